@@ -28,6 +28,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    found = near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import read_back, to_media
 
@@ -57,6 +64,20 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_ids")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import THRESHOLD, held_out, toxicity
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= THRESHOLD).cast("int").alias("predicted"),
+        F.size("toxic_passages").alias("n_passages"),
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -65,5 +86,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op4_media, op6_token_counts, op7_chat, op10_mixing)
+    f.__name__: f for f in (op1_sentencepiece, op3_simhash, op4_media, op6_token_counts, op7_chat, op9_toxicity, op10_mixing)
 }
