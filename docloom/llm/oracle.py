@@ -2,4 +2,57 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+KNN = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+MIXING = """
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS hash
+  FROM documents
+), per AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INTEGER] AS weight FROM per
+), x AS (
+  SELECT *, 3 * source_size / weight AS ratio FROM w
+), y AS (
+  SELECT *, sum(source_size) OVER () AS all_size, sum(weight) OVER () AS all_weight,
+         coalesce(sum(3 * source_size) OVER before, 0) AS capped, coalesce(sum(weight) OVER before, 0) AS capped_weight
+  FROM x WINDOW before AS (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), z AS (
+  SELECT *, (all_size - capped)::DOUBLE / (all_weight - capped_weight)::DOUBLE AS level FROM y
+), t AS (
+  SELECT source, source_size,
+         CASE WHEN (SELECT count(*) FROM z WHERE level <= ratio) = 0 THEN (3 * source_size)::DOUBLE
+              ELSE least((3 * source_size)::DOUBLE, weight * (SELECT arg_min(level, ratio) FROM z WHERE level <= ratio)) END AS target
+  FROM z
+), g AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t
+), b AS (
+  SELECT *, round(target)::BIGINT - whole * source_size AS budget FROM g
+), h AS (
+  SELECT d.*, b.source_size, b.target, b.whole, b.budget,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.hash RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)::BIGINT AS upto,
+         sum(d.size) OVER (PARTITION BY d.source, d.hash)::BIGINT AS inside
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, size, source_size, target,
+       (whole * size + CASE WHEN upto <= budget THEN size WHEN upto - inside < budget THEN floor((budget - (upto - inside)) * size / inside) ELSE 0 END)::BIGINT AS taken,
+       source
+FROM h
+"""
+
+SQL: dict[str, str] = {"op2_knn": KNN, "op10_mixing": MIXING}

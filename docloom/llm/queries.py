@@ -28,6 +28,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .knn import top_k
+
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, F.col("id") % 100 == 0).withColumnRenamed("id", "vec_id")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -64,6 +71,12 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_ids")
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import shared_passages
+
+    return shared_passages(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import THRESHOLD, held_out, toxicity
 
@@ -86,5 +99,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op3_simhash, op4_media, op6_token_counts, op7_chat, op9_toxicity, op10_mixing)
+    f.__name__: f for f in (op1_sentencepiece, op2_knn, op3_simhash, op4_media, op6_token_counts, op7_chat, op8_passages, op9_toxicity, op10_mixing)
 }
