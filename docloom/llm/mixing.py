@@ -77,39 +77,62 @@ def _boundary(cells: DataFrame, budget: str) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, keys: list[str], source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """(keys..., source, size, source_size, target, copies, extra, taken) for each row of docs.
+def measured(docs: DataFrame, keys: list[str], source: str = "source", text: str = "text") -> DataFrame:
+    """docs with _source, _size and _hash, which all decisions rest on."""
+    return docs.withColumns({"_source": F.col(source), "_size": word_count(F.col(text)), "_hash": stable_hash(*(F.col(k) for k in keys))})
 
-    copies: whole copies; extra: words of one more copy, usually 0 or the size; taken: copies * size + extra.
-    """
-    base = durable(
-        docs.select(*keys, F.col(source).alias("source"), word_count(F.col(text)).alias("size"), stable_hash(*(F.col(k) for k in keys)).alias("hash")),
-        "mix",
-    )
+
+def plan(base: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """A row for each source of base (source, size, hash): its target, whole copies and the threshold of one more."""
     goal = targets(base.select("source", "size"), weights, most)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = durable(goal.withColumn("budget", F.round(F.col("target")).cast("long") - F.col("whole") * F.col("source_size")), "mix-goal")
 
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    sizes = base.groupBy("source", F.shiftright("hash", HASH_BITS - BITS).alias("bucket")).agg(F.sum("size").alias("words"))
-    with_budget = lambda cells, left: cells.join(left, same(cells, left)).select(cells["*"], left["left"])
-    one = _boundary(with_budget(sizes, goal.select("source", F.col("budget").alias("left"))), "left")
-    one = one.join(goal.select(F.col("source").alias("_s"), "budget"), F.col("source").eqNullSafe(F.col("_s"))).select("source", "bucket", (F.col("budget") - F.col("before")).alias("left"))
+    same = F.col("source").eqNullSafe(F.col("_s"))
+    left_of = goal.select(F.col("source").alias("_s"), F.col("budget").alias("left"))
+    cells = base.groupBy("source", F.shiftright("hash", HASH_BITS - BITS).alias("bucket")).agg(F.sum("size").alias("words"))
+    one = _boundary(cells.join(left_of, same).drop("_s"), "left")
+    known = one.join(left_of, same).select("source", "bucket", (F.col("left") - F.col("before")).alias("left"))
 
-    def refine(known: DataFrame, shift: int, bits: int) -> tuple[DataFrame, Column]:
+    def refine(known: DataFrame, shift: int, bits: int) -> DataFrame:
         """Split each source's boundary bucket by the next bits of the hash."""
-        inside = base.join(known.withColumnsRenamed({"source": "_s"}), F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright("hash", shift + bits) == F.col("bucket")))
+        outer = known.withColumnRenamed("source", "_s")
+        inside = base.join(outer, same & (F.shiftright("hash", shift + bits) == F.col("bucket")))
         cells = inside.groupBy("source", "left", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words"))
-        return _boundary(cells, "left").join(known.select(F.col("source").alias("_s"), "left"), F.col("source").eqNullSafe(F.col("_s"))).select("source", "bucket", (F.col("left") - F.col("before")).alias("left"), "inside")
+        return _boundary(cells, "left").join(outer.select("_s", "left"), same).select("source", "bucket", (F.col("left") - F.col("before")).alias("left"), "inside")
 
-    two = refine(one, HASH_BITS - 2 * BITS, BITS).drop("inside")
+    two = refine(known, HASH_BITS - 2 * BITS, BITS).drop("inside")
     three = refine(two, 0, HASH_BITS - 2 * BITS)
-    found = three.select(F.col("source").alias("_t"), F.col("bucket").alias("threshold"), F.col("left").alias("rest"), "inside")
-    plan = durable(goal.join(found, F.col("source").eqNullSafe(F.col("_t")), "left").drop("_t").withColumnRenamed("source", "_s"), "mix-plan")
+    found = three.select(F.col("source").alias("_s"), F.col("bucket").alias("threshold"), F.col("left").alias("rest"), "inside")
+    return durable(goal.join(found, same, "left").drop("_s"), "mix-plan")
+
 
+def decided(rows: DataFrame, made: DataFrame) -> DataFrame:
+    """measured() rows with source_size, target, copies, extra and taken of their source's plan."""
+    plans = made.withColumnRenamed("source", "_s")
     # A source without a threshold has its budget used up exactly by all or by none of its words.
-    below = F.when(F.col("threshold").isNull(), F.when(F.col("budget") > 0, F.col("size")).otherwise(0))
-    at = F.when(F.col("hash") == F.col("threshold"), F.floor(F.col("rest") * F.col("size") / F.col("inside")).cast("long"))
-    extra = F.coalesce(below, at, F.when(F.col("hash") < F.col("threshold"), F.col("size")).otherwise(0)).cast("long")
-    out = base.join(plan, F.col("source").eqNullSafe(F.col("_s")))
-    return out.select(*keys, "source", "size", "source_size", "target", F.col("whole").alias("copies"), extra.alias("extra"), (F.col("whole") * F.col("size") + extra).alias("taken"))
+    below = F.when(F.col("threshold").isNull(), F.when(F.col("budget") > 0, F.col("_size")).otherwise(0))
+    at = F.when(F.col("_hash") == F.col("threshold"), F.floor(F.col("rest") * F.col("_size") / F.col("inside")).cast("long"))
+    extra = F.coalesce(below, at, F.when(F.col("_hash") < F.col("threshold"), F.col("_size")).otherwise(0)).cast("long")
+    out = rows.join(plans, F.col("_source").eqNullSafe(F.col("_s")))
+    added = {"copies": F.col("whole"), "extra": extra, "taken": F.col("whole") * F.col("_size") + extra}
+    return out.withColumns(added).drop("_s", "whole", "budget", "threshold", "rest", "inside")
+
+
+def mix(docs: DataFrame, keys: list[str], source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """(keys..., source, size, source_size, target, copies, extra, taken) for each row of docs.
+
+    copies: whole copies; extra: words of one more copy, usually 0 or the size; taken: copies * size + extra.
+    """
+    rows = durable(measured(docs, keys, source, text).select(*keys, "_source", "_size", "_hash"), "mix")
+    made = plan(rows.select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_hash").alias("hash")), weights, most)
+    return decided(rows, made).select(*keys, F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", "copies", "extra", "taken")
+
+
+def mixed(docs: DataFrame, keys: list[str], source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """docs as the mix takes them: each row as often as it is taken whole; a last part counts if it is half of the text or more."""
+    rows = measured(docs, keys, source, text)
+    base = durable(rows.select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_hash").alias("hash")), "mix")
+    times = F.col("copies") + F.when((F.col("_size") > 0) & (2 * F.col("extra") >= F.col("_size")), 1).otherwise(0)
+    out = decided(rows, plan(base, weights, most)).filter(times > 0)
+    return out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long")))).select(*docs.columns)

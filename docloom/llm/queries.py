@@ -52,6 +52,20 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_bytes", *(F.col(f"back.{n}") for n in names), F.lower(F.hex("back.hash")).alias("feature"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import fit, secrets
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = secrets(docs, fit(docs))
+    return found.select(
+        "doc_id",
+        F.col("n_candidates").cast("long").alias("n_candidates"),
+        F.size("findings").cast("long").alias("n_findings"),
+        F.array_join(F.transform("findings", lambda f: F.concat_ws("-", f["start"], f["end"])), ",").alias("spans"),
+        F.sha2(F.coalesce("redacted", F.lit("")), 256).alias("redacted_sha256"),
+    )
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_count
 
@@ -99,5 +113,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_knn, op3_simhash, op4_media, op6_token_counts, op7_chat, op8_passages, op9_toxicity, op10_mixing)
+    f.__name__: f for f in (op1_sentencepiece, op2_knn, op3_simhash, op4_media, op5_secrets, op6_token_counts, op7_chat, op8_passages, op9_toxicity, op10_mixing)
 }
