@@ -102,7 +102,7 @@ class Model:
         return -DRIFT
 
     def segments(self, words: list[str], known: dict[str, float]) -> list[Segment]:
-        for w in set(words) - known.keys():
+        for w in {w for w in words if w not in known}:
             known[w] = self.word_score(w)
         values = np.fromiter((known[w] for w in words), dtype=np.float64, count=len(words))
         at = np.flatnonzero(values > 0).tolist()
