@@ -130,7 +130,8 @@ class ChunkTable:
         if len(self.place) > TABLE_SIZE:
             self.clear()
         cut = [self.model.cut(t) for t in texts]
-        if new := {c for chunks in cut for c in chunks} - self.place.keys():
+        held = self.place
+        if new := {c for chunks in cut for c in chunks if c not in held}:
             self.add(sorted(new))
         place = self.place
         at = np.fromiter((place[c] for chunks in cut for c in chunks), dtype=np.int64)

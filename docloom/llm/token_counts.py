@@ -121,7 +121,8 @@ class CountTable:
             special.append(len(parts) - 1)
             words.append([w for part in parts for w in find(part)])
         new, raw, size = [], [], 0
-        for word in {w for found in words for w in found} - self.known.keys():
+        known = self.known
+        for word in {w for found in words for w in found if w not in known}:
             new.append(word)
             raw.append(word.encode("utf-8", "surrogatepass"))
             size += len(raw[-1])
