@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("text",)
+MODULES: tuple[str, ...] = ("text", "relational", "geometry")
 
 
 def load() -> None:
