@@ -22,7 +22,9 @@ RENDERED = r"""
 SELECT o_orderkey AS doc_id, CAST(line_idx AS INTEGER) AS line_idx, text FROM (
   SELECT o_orderkey, 0 AS line_idx, CASE WHEN o_orderkey % 3 = 0 THEN 'RECEIPT' WHEN o_orderkey % 3 = 1 THEN 'TAX INVOICE' ELSE 'Page 1' END AS text FROM {orders}
   UNION ALL SELECT o_orderkey, 1, CASE WHEN o_orderkey % 11 = 0 THEN concat('No ', CAST(o_orderkey AS STRING)) ELSE concat('Invoice No : ', lpad(CAST(o_orderkey AS STRING), 8, '0')) END FROM {orders}
-  UNION ALL SELECT o_orderkey, 2, concat('Date : ', CASE WHEN o_orderkey % 13 = 0 THEN '2928' ELSE CAST(year(o_orderdate) AS STRING) END, '-', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '-', lpad(CAST(day(o_orderdate) AS STRING), 2, '0')) FROM {orders}
+  UNION ALL SELECT o_orderkey, 2, concat('Date : ', CASE WHEN o_orderkey % 4 = 1 THEN concat(lpad(CAST(day(o_orderdate) AS STRING), 2, '0'), '-', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '-', CAST(year(o_orderdate) AS STRING))
+    WHEN o_orderkey % 4 = 2 THEN concat(CAST(year(o_orderdate) AS STRING), '/', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '/', lpad(CAST(day(o_orderdate) AS STRING), 2, '0'))
+    ELSE concat(CASE WHEN o_orderkey % 13 = 0 THEN '2928' ELSE CAST(year(o_orderdate) AS STRING) END, '-', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '-', lpad(CAST(day(o_orderdate) AS STRING), 2, '0')) END) FROM {orders}
   UNION ALL SELECT o_orderkey, 3, concat('Customer : Customer ', CAST(o_custkey AS STRING)) FROM {orders}
   UNION ALL SELECT o_orderkey, 4, CASE WHEN o_orderkey % 5 = 0 THEN translate(concat('Total : ', CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), ' EGP'), '0123456789', '٠١٢٣٤٥٦٧٨٩') ELSE concat('Total : ', CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), ' EGP') END FROM {orders}
   UNION ALL SELECT o_orderkey, 5, concat('Total ', CAST(CAST(floor(o_totalprice) AS BIGINT) + o_orderkey % 2 AS STRING)) FROM {orders} WHERE o_orderkey % 7 = 0
@@ -68,6 +70,19 @@ SELECT l_orderkey AS doc_id, l_linenumber AS line_idx,
        CAST(20 + l_quantity AS DOUBLE) AS width, CAST(12 AS DOUBLE) AS height, CAST(1 - 5 * l_discount AS DOUBLE) AS confidence,
        CASE WHEN l_suppkey % 3 = 0 THEN CAST(l_partkey * 37 AS STRING) ELSE concat('w', CAST(l_partkey AS STRING)) END AS text
 FROM {lineitem}
+""",
+    # Fields read from the rendered orders, some of them invented or misplaced.
+    "candidates": r"""
+SELECT doc_id, CAST(ord AS INTEGER) AS ord, key, type, raw, CAST(confidence AS DOUBLE) AS confidence FROM (
+  SELECT o_orderkey AS doc_id, 0 AS ord, 'invoice_number' AS key, 'string' AS type, CASE WHEN o_orderkey % 17 = 0 THEN '99999999' ELSE lpad(CAST(o_orderkey AS STRING), 8, '0') END AS raw, 0.9 AS confidence FROM {orders}
+  UNION ALL SELECT o_orderkey, 1, 'invoice_date', 'date', concat(CAST(year(o_orderdate) AS STRING), '-', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '-', lpad(CAST(day(o_orderdate) AS STRING), 2, '0')), 0.8 FROM {orders}
+  UNION ALL SELECT o_orderkey, 4, 'seller_tax_id', 'string', lpad(CAST(o_orderkey AS STRING), 8, '0'), 0.6 FROM {orders} WHERE o_orderkey % 6 = 0
+  UNION ALL SELECT o_orderkey, 6, 'buyer_name', 'string', concat('customer  ', CAST(o_custkey AS STRING)), 0.85 FROM {orders} WHERE o_orderkey % 23 <> 0
+  UNION ALL SELECT o_orderkey, 9, 'currency', 'enum', CASE WHEN o_orderkey % 8 = 0 THEN 'xyz' ELSE 'egp' END, 0.7 FROM {orders}
+  UNION ALL SELECT o_orderkey, 12, 'tax_rate', 'number', CASE WHEN o_orderkey % 2 = 0 THEN '14' ELSE '140' END, 0.5 FROM {orders} WHERE o_orderkey % 10 < 4
+  UNION ALL SELECT o_orderkey, 15, 'total_amount', 'currency', CAST(CAST(floor(o_totalprice) AS BIGINT) + CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END AS STRING), 0.95 FROM {orders} WHERE o_orderkey % 29 <> 0
+  UNION ALL SELECT o_orderkey, 21, 'notes', 'text', CASE WHEN o_orderkey % 8 = 0 THEN '' ELSE '© § oe a il' END, 0.25 FROM {orders} WHERE o_orderkey % 4 = 0
+) AS f
 """,
     "jobs": r"""
 SELECT event_id AS job_id, user_id, ts AS updated_at,
