@@ -41,9 +41,11 @@ LEAST_Z = 2.2
 DRIFT = 1.0
 MOST_SCORE = 8.0
 E_VALUE = 0.05
+#: Best segments from this score on count towards K.
+LEAST_BEST = 1.0
 THRESHOLD = 0.7
 #: Words whose scores a task keeps before it starts anew.
-TABLE_SIZE = 500_000
+TABLE_SIZE = 200_000
 
 words_of = re.compile(r"[^\W\d_]+").findall
 
@@ -160,7 +162,8 @@ def _entry_sets(text: Column) -> Column:
     @F.arrow_udf("array<string>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([sorted({e for w in set(words_of(t.lower())) for e in entries(w)}) for part in slices(batch) for t in part], type=pa.list_(pa.string()))
+            parts = [pa.array([sorted({e for w in set(words_of(t.lower())) for e in entries(w)}) for t in part], type=pa.list_(pa.string())) for part in slices(batch, 200_000)]
+            yield pa.concat_arrays([pa.array([], type=pa.list_(pa.string())), *parts])
 
     return run(text)
 
@@ -204,7 +207,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = LABELLED_ROWS) -> Model:
-    """Fit on at most most_rows labelled rows that aren't held out. Collected: the model's entries and three numbers a sample row."""
+    """Fit on at most most_rows labelled rows that aren't held out. Collected: the model's entries, their scores' counts, and four numbers a sample row."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = durable(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxicity-sample")
@@ -219,17 +222,22 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = LABELLED_ROWS) -> M
     best = log_odds(counts, toxic, clean).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "entry").limit(MOST_TOKENS)
     model = Model({r["entry"]: min(r["score"], MOST_SCORE) for r in best.collect() if r["score"] > 0}, rate)
 
-    measured = rows.select((F.col("toxic") != 0).cast("int").alias("toxic"), _measure(F.col("text"), model).alias("m")).select("toxic", "m.*").toPandas()
-    quiet = measured[measured.toxic == 0]
+    measured = rows.select((F.col("toxic") != 0).cast("int").alias("toxic"), _measure(F.col("text"), model).alias("m")).select("toxic", "m.*")
+    measured = durable(measured, "toxicity-measured")
+    quiet = measured.filter("toxic = 0")
     # Scores of clean words: the model's positive ones as met, half a word more for what wasn't, and -DRIFT.
-    met = np.concatenate([np.asarray(x, dtype=float) for x in quiet.positive] or [np.zeros(0)])
-    values = np.concatenate([met, [np.mean(list(model.scores.values()) or [1.0]), -DRIFT]])
-    n_words = float(quiet.n_words.sum())
-    model.scale = _solve_scale(values, np.concatenate([np.ones(len(met)), [0.5, max(1.0, n_words - len(met))]]))
-    least = 1.0
-    model.size = (float((quiet.best >= least).sum()) + 0.5) / max(1.0, n_words * math.exp(-model.scale * least))
-    x = np.array([model.features([Segment(0, 1, s) for s in row.segments], row.n_words) for row in measured.itertuples()]).reshape(-1, 3)
-    model.weights = tuple(_logistic(x, measured.toxic.to_numpy(dtype=float)))
+    met = quiet.select(F.explode("positive").alias("s")).groupBy("s").agg(F.count("*").alias("n")).orderBy("s").collect()
+    n_words, loud = quiet.agg(F.sum("n_words"), F.count_if(F.col("best") >= LEAST_BEST)).first()
+    n_met = sum(r.n for r in met)
+    values = np.array([*(r.s for r in met), np.mean(list(model.scores.values()) or [1.0]), -DRIFT])
+    model.scale = _solve_scale(values, np.array([*(r.n for r in met), 0.5, max(1.0, n_words - n_met)]))
+    model.size = (loud + 0.5) / max(1.0, n_words * math.exp(-model.scale * LEAST_BEST))
+
+    level = F.transform("segments", lambda s: s * model.scale - F.log(F.lit(model.size) * F.greatest(F.col("n_words"), F.lit(1))))
+    found = F.filter(level, lambda x: x >= -math.log(E_VALUE))
+    features = [F.log1p(F.coalesce(F.array_max(found), F.lit(0.0))), F.log1p(F.aggregate(found, F.lit(0.0), lambda a, x: a + x)), F.log1p(F.size(found))]
+    x = np.array([tuple(r) for r in measured.select("toxic", *features).collect()], dtype=float).reshape(-1, 4)
+    model.weights = tuple(_logistic(x[:, 1:], x[:, 0]))
     return model
 
 
