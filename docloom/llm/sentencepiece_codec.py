@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 
 #: Distinct chunks that a task keeps before it starts a new table: bounds memory, changes no result.
-TABLE_SIZE = 300_000
+TABLE_SIZE = 150_000
 
 #: Characters of text that are gathered at once.
 SLICE_CHARS = 1_000_000
@@ -72,7 +72,14 @@ class Codec:
             for p in proto.pieces
         ]
         self.marked = {k for k, p in enumerate(proto.pieces) if p.type == kinds["normal"] and p.piece.startswith(MARK)}
-        self.whole = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        self.path = model_path
+
+    @cached_property
+    def whole(self):
+        """The library's own processor, loaded only where it is asked."""
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=self.path)
 
     def cut(self, text: str) -> list[str]:
         if not text:
