@@ -14,10 +14,13 @@ from docloom.functions.text import SPACE, fold_arabic, unify_digits
 INVISIBLE = r"[\x{ad}\x{61c}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}\x{2066}-\x{2069}\x{feff}]"
 
 
-@F.arrow_udf("string")
-def nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        yield pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in batch.to_pylist()], type=pa.string())
+def nfkc(s: Column) -> Column:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in batch.to_pylist()], type=pa.string())
+
+    return run(s)
 
 
 def normalize_arabic(s: Column) -> Column:
