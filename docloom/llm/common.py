@@ -18,6 +18,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Arrow batches of at most so many rows and bytes for this session: texts have no bound of their own, so a
+    batch of the default 10,000 rows is as large as they are, in the executor and in its Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

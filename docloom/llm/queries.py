@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, tokenizer_path
+from .common import bounded_batches, read, tokenizer_path
 
 PIECES = "piece_bpe_32k.model"
 BYTES = "byte_bpe_50k.json"
@@ -112,6 +113,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_knn, op3_simhash, op4_media, op5_secrets, op6_token_counts, op7_chat, op8_passages, op9_toxicity, op10_mixing)
+    f.__name__: _bounded(f) for f in (op1_sentencepiece, op2_knn, op3_simhash, op4_media, op5_secrets, op6_token_counts, op7_chat, op8_passages, op9_toxicity, op10_mixing)
 }
