@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("text", "relational", "geometry", "grounding", "extraction")
+MODULES: tuple[str, ...] = ("text", "relational", "geometry", "grounding", "extraction", "streams")
 
 
 def load() -> None:
