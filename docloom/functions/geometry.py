@@ -38,23 +38,20 @@ class Box:
         return self.width * self.height
 
 
-ZERO = F.lit(0.0)
-
-
 def overlap_x(a: Box, b: Box) -> Column:
-    return F.greatest(ZERO, F.least(a.right, b.right) - F.greatest(a.x, b.x))
+    return F.greatest(F.lit(0.0), F.least(a.right, b.right) - F.greatest(a.x, b.x))
 
 
 def overlap_y(a: Box, b: Box) -> Column:
-    return F.greatest(ZERO, F.least(a.bottom, b.bottom) - F.greatest(a.y, b.y))
+    return F.greatest(F.lit(0.0), F.least(a.bottom, b.bottom) - F.greatest(a.y, b.y))
 
 
 def gap_x(a: Box, b: Box) -> Column:
-    return F.greatest(ZERO, F.greatest(a.x, b.x) - F.least(a.right, b.right))
+    return F.greatest(F.lit(0.0), F.greatest(a.x, b.x) - F.least(a.right, b.right))
 
 
 def gap_y(a: Box, b: Box) -> Column:
-    return F.greatest(ZERO, F.greatest(a.y, b.y) - F.least(a.bottom, b.bottom))
+    return F.greatest(F.lit(0.0), F.greatest(a.y, b.y) - F.least(a.bottom, b.bottom))
 
 
 def center_distance(a: Box, b: Box) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("text", "relational", "geometry", "grounding", "extraction", "streams")
+MODULES: tuple[str, ...] = ("text", "relational", "geometry", "grounding", "extraction", "streams", "layout")
 
 
 def load() -> None:
