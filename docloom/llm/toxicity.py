@@ -8,8 +8,9 @@ the expected score of clean text is negative.
 Scoring, linear in the text: each word takes the score of the most specific entry it has; all maximal scoring
 segments are found in one scan. Under the scores' distribution in clean text, the best segment of n words
 follows an extreme-value law with parameters lambda and K, which gives each segment a normalized score and an
-E-value. A text's significant segments are aggregated (best, sum, number) and a logistic curve fitted on the
-sample turns them into the probability of label 1.
+E-value. A text's segments are aggregated (best, sum and number of the significant ones), beside its
+number of strong words and its size, and a logistic curve fitted on the sample turns them into the probability of
+label 1. Copies of a text count once in the sample.
 
 Cases: null and empty texts have no segments and get the curve's value for none; without labelled rows of
 both kinds there is no token and every score is the smoothed base rate; a word's k-th repeat counts 1/k, so
@@ -37,10 +38,14 @@ LABELLED_ROWS = 16_000
 MOST_TOKENS = 20_000
 PREFIXES = (4, 5, 6, 7)
 PRIOR = 10.0
-LEAST_Z = 2.2
+LEAST_Z = 2.6
+#: Words of this score or more count as strong.
+STRONG = 3.0
 DRIFT = 1.0
 MOST_SCORE = 8.0
 E_VALUE = 0.05
+#: Normalized score of a text without a segment.
+NO_SEGMENT = -10.0
 #: Best segments from this score on count towards K.
 LEAST_BEST = 1.0
 THRESHOLD = 0.7
@@ -95,7 +100,7 @@ class Model:
     rate: float = 0.1
     scale: float = 1.0  # lambda of the extreme-value law
     size: float = 0.1  # its K
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
+    weights: tuple[float, ...] = (0.0,) * 6
 
     def word_score(self, word: str) -> float:
         for entry in entries(word):
@@ -123,11 +128,13 @@ class Model:
         """The score in nats above what chance gives: minus the logarithm of the E-value."""
         return self.scale * segment.score - math.log(self.size * max(n_words, 1))
 
-    def features(self, segments: list[Segment], n_words: int) -> tuple[float, float, float]:
-        found = [x for s in segments if (x := self.normalized(s, n_words)) >= -math.log(E_VALUE)]
-        return (math.log1p(max(found, default=0.0)), math.log1p(sum(found)), math.log1p(len(found)))
+    def features(self, segments: list[Segment], n_words: int, strong: int) -> tuple[float, ...]:
+        """Best segment, sum and number of the significant ones, number of strong words, size."""
+        level = [self.normalized(s, n_words) for s in segments]
+        found = [x for x in level if x >= -math.log(E_VALUE)]
+        return (max(level, default=NO_SEGMENT), math.log1p(sum(found)), math.log1p(len(found)), math.log1p(strong), math.log1p(n_words))
 
-    def probability(self, features: tuple[float, float, float]) -> float:
+    def probability(self, features: tuple[float, ...]) -> float:
         b, *w = self.weights
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, b + sum(x * y for x, y in zip(w, features, strict=True))))))
 
@@ -149,7 +156,8 @@ def score_texts(text: Column, model: Model) -> Column:
                         known = {}
                     words = words_of(text.lower())
                     found = model.segments(words, known)
-                    p = model.probability(model.features(found, len(words)))
+                    strong = sum(known[w] >= STRONG for w in set(words))
+                    p = model.probability(model.features(found, len(words), strong))
                     each = [{"start": s.start, "end": s.end, "score": s.score, "e_value": e} for s in found if (e := math.exp(min(0.0, -model.normalized(s, len(words))))) <= E_VALUE]
                     out.append({"score": p, "n_words": len(words), "passages": each})
             passage = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())])
@@ -192,29 +200,33 @@ def _solve_scale(values: np.ndarray, counts: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
-    x = np.hstack([np.ones((len(x), 1)), x])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
-    penalty[0] = 1e-6
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 100) -> np.ndarray:
+    """Constant and weights of a ridge logistic curve, by Newton steps of bounded length on standardized columns."""
+    mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    z = np.hstack([np.ones((len(x), 1)), (x - mean) / spread])
+    w = np.zeros(z.shape[1])
+    penalty = np.array([1e-3] + [ridge] * x.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
-        w += step
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
+        w += step * min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    slope = w[1:] / spread
+    return np.concatenate([[w[0] - (slope * mean).sum()], slope])
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = LABELLED_ROWS) -> Model:
-    """Fit on at most most_rows labelled rows that aren't held out. Collected: the model's entries, their scores' counts, and four numbers a sample row."""
+    """Fit on at most most_rows labelled rows that aren't held out. Collected: the model's entries, their scores' counts, and six numbers a sample row."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = durable(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxicity-sample")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") != 0).cast("int").alias("toxic"))
+    # Copies of one text would count as so many witnesses: each text counts once, by the majority of its labels.
+    rows = durable(rows.groupBy("text").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")), "toxicity-sample")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("toxic") != 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     rate = (toxic + 0.5) / (toxic + clean + 1)
-    base = Model({}, rate, weights=(math.log(rate / (1 - rate)), 0.0, 0.0, 0.0))
+    base = Model({}, rate, weights=(math.log(rate / (1 - rate)), *(0.0,) * 5))
     if not toxic or not clean:
         return base
     held = rows.select((F.col("toxic") != 0).alias("t"), F.explode(_entry_sets(F.col("text"))).alias("entry"))
@@ -235,13 +247,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = LABELLED_ROWS) -> M
 
     level = F.transform("segments", lambda s: s * model.scale - F.log(F.lit(model.size) * F.greatest(F.col("n_words"), F.lit(1))))
     found = F.filter(level, lambda x: x >= -math.log(E_VALUE))
-    features = [F.log1p(F.coalesce(F.array_max(found), F.lit(0.0))), F.log1p(F.aggregate(found, F.lit(0.0), lambda a, x: a + x)), F.log1p(F.size(found))]
-    x = np.array([tuple(r) for r in measured.select("toxic", *features).collect()], dtype=float).reshape(-1, 4)
+    features = [F.coalesce(F.array_max(level), F.lit(NO_SEGMENT)), F.log1p(F.aggregate(found, F.lit(0.0), lambda a, x: a + x)), F.log1p(F.size(found)), F.log1p("strong"), F.log1p("n_words")]
+    x = np.array([tuple(r) for r in measured.select("toxic", *features).collect()], dtype=float).reshape(-1, 6)
     model.weights = tuple(_logistic(x[:, 1:], x[:, 0]))
     return model
 
 
-MEASURE = "struct<n_words:long,best:double,positive:array<double>,segments:array<double>>"
+MEASURE = "struct<n_words:long,strong:long,best:double,positive:array<double>,segments:array<double>>"
 
 
 def _measure(text: Column, model: Model) -> Column:
@@ -254,8 +266,8 @@ def _measure(text: Column, model: Model) -> Column:
                 for text in part:
                     words = words_of(text.lower())
                     found = [s.score for s in model.segments(words, known)]
-                    out.append({"n_words": len(words), "best": max(found, default=0.0), "positive": [x for w in set(words) if (x := known[w]) > 0], "segments": found})
-            yield pa.array(out, type=pa.struct([("n_words", pa.int64()), ("best", pa.float64()), ("positive", pa.list_(pa.float64())), ("segments", pa.list_(pa.float64()))]))
+                    out.append({"n_words": len(words), "strong": sum(known[w] >= STRONG for w in set(words)), "best": max(found, default=0.0), "positive": [x for w in set(words) if (x := known[w]) > 0], "segments": found})
+            yield pa.array(out, type=pa.struct([("n_words", pa.int64()), ("strong", pa.int64()), ("best", pa.float64()), ("positive", pa.list_(pa.float64())), ("segments", pa.list_(pa.float64()))]))
 
     return run(text)
 
