@@ -181,6 +181,28 @@ def encode(text: Column, model_path: str) -> Column:
     return run(text)
 
 
+def round_trip(text: Column, model_path: str) -> Column:
+    """Column of (ids, decoded): encode() and decode() of each text in one worker."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = ChunkTable(codec(model_path))
+        for batch in batches:
+            ids, counts, decoded = [], [], [pa.array([], type=pa.string())]
+            for part in slices(batch, SLICE_CHARS // 4):
+                found, sizes = table.look_up(part)
+                ends = np.cumsum(sizes)
+                decoded.append(pa.array([table.model.decode(found[e - n : e].tolist()) for e, n in zip(ends, sizes, strict=True)], type=pa.string()))
+                ids.append(found)
+                counts.append(sizes)
+            flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts) if counts else [])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.int32()))
+            yield pa.StructArray.from_arrays([lists, pa.concat_arrays(decoded)], names=["ids", "decoded"])
+
+    return run(text)
+
+
 def decode(ids: Column, model_path: str) -> Column:
     """Column of texts, as the library's decode() of the ids gives them; null ids decode to the empty text."""
 

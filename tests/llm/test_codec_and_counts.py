@@ -102,3 +102,12 @@ def test_query_digests(spark, small, pieces):
         ids = pieces.encode(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(pieces.decode(ids).encode()).hexdigest()
+
+
+def test_round_trip_is_both(spark, small):
+    from docloom.llm.sentencepiece_codec import round_trip
+
+    docs = read(spark, small, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
+    one = docs.select("doc_id", round_trip(F.col("text"), PIECES).alias("t")).select("doc_id", "t.ids", "t.decoded")
+    two = docs.select("doc_id", encode(F.col("text"), PIECES).alias("ids")).withColumn("decoded", decode(F.col("ids"), PIECES))
+    assert one.exceptAll(two).count() == 0 and one.count() == docs.count()
