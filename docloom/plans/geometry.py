@@ -38,7 +38,7 @@ def r6(c):
 def pairwise(name: str, sql: str, **columns):
     @query(name, f"{NEXT} SELECT {KEY}, {sql} FROM q")
     def run(spark, sf_dir):
-        return neighbours(spark, sf_dir).select(*KEYS, *(c.alias(n) for n, c in columns.items()))
+        return neighbours(spark, sf_dir).select(*KEYS, *(c().alias(n) for n, c in columns.items()))
 
 
 @query("geo_center", f"{BOXES} SELECT {KEY}, x + width / 2 AS cx, y + height / 2 AS cy FROM boxes")
@@ -55,21 +55,21 @@ def area(spark, sf_dir):
 pairwise(
     "geo_distance",
     "round(sqrt(pow(a_x + a_width / 2 - b_x - b_width / 2, 2) + pow(a_y + a_height / 2 - b_y - b_height / 2, 2)), 6) AS centers, round(sqrt(gx * gx + gy * gy), 6) AS boxes",
-    centers=r6(G.center_distance(A, B)),
-    boxes=r6(G.box_distance(A, B)),
+    centers=lambda: r6(G.center_distance(A, B)),
+    boxes=lambda: r6(G.box_distance(A, B)),
 )
-pairwise("geo_intersects", "ox > 0 AND oy > 0 AS hit", hit=G.intersects(A, B))
-pairwise("geo_contains", "a_x <= b_x AND a_y <= b_y AND a_x + a_width >= b_x + b_width AND a_y + a_height >= b_y + b_height AS hit", hit=G.contains(A, B))
-pairwise("geo_point_in", "b_x BETWEEN a_x AND a_x + a_width AND b_y BETWEEN a_y AND a_y + a_height AS hit", hit=G.contains_point(A, B.x, B.y))
-pairwise("geo_intersection", "ox * oy AS area", area=G.intersection_area(A, B))
-pairwise("geo_iou", "round(ox * oy / (a_width * a_height + b_width * b_height - ox * oy), 6) AS iou", iou=r6(G.iou(A, B)))
-pairwise("geo_overlap", "ox::DOUBLE AS ox, oy::DOUBLE AS oy", ox=G.overlap_x(A, B), oy=G.overlap_y(A, B))
-pairwise("geo_gap", "gx::DOUBLE AS gx, gy::DOUBLE AS gy", gx=G.gap_x(A, B), gy=G.gap_y(A, B))
+pairwise("geo_intersects", "ox > 0 AND oy > 0 AS hit", hit=lambda: G.intersects(A, B))
+pairwise("geo_contains", "a_x <= b_x AND a_y <= b_y AND a_x + a_width >= b_x + b_width AND a_y + a_height >= b_y + b_height AS hit", hit=lambda: G.contains(A, B))
+pairwise("geo_point_in", "b_x BETWEEN a_x AND a_x + a_width AND b_y BETWEEN a_y AND a_y + a_height AS hit", hit=lambda: G.contains_point(A, B.x, B.y))
+pairwise("geo_intersection", "ox * oy AS area", area=lambda: G.intersection_area(A, B))
+pairwise("geo_iou", "round(ox * oy / (a_width * a_height + b_width * b_height - ox * oy), 6) AS iou", iou=lambda: r6(G.iou(A, B)))
+pairwise("geo_overlap", "ox::DOUBLE AS ox, oy::DOUBLE AS oy", ox=lambda: G.overlap_x(A, B), oy=lambda: G.overlap_y(A, B))
+pairwise("geo_gap", "gx::DOUBLE AS gx, gy::DOUBLE AS gy", gx=lambda: G.gap_x(A, B), gy=lambda: G.gap_y(A, B))
 pairwise(
     "geo_overlap_ratio",
     "round(ox / least(a_width, b_width), 6) AS rx, round(oy / least(a_height, b_height), 6) AS ry",
-    rx=r6(G.overlap_ratio(G.overlap_x(A, B), A.width, B.width)),
-    ry=r6(G.overlap_ratio(G.overlap_y(A, B), A.height, B.height)),
+    rx=lambda: r6(G.overlap_ratio(G.overlap_x(A, B), A.width, B.width)),
+    ry=lambda: r6(G.overlap_ratio(G.overlap_y(A, B), A.height, B.height)),
 )
 
 PAGE = f"{BOXES}, g AS (SELECT doc_id, min(x) AS px, min(y) AS py, max(x + width) - min(x) AS pw, max(y + height) - min(y) AS ph FROM boxes GROUP BY 1)"
@@ -106,43 +106,47 @@ def spx_build(spark, sf_dir):
 SELF = f"""{BOXES}, a AS (SELECT doc_id, line_idx AS a_line, word_idx AS a_word, x AS a_x, y AS a_y, width AS a_width, height AS a_height FROM boxes),
 b AS (SELECT doc_id, line_idx AS b_line, word_idx AS b_word, x AS b_x, y AS b_y, width AS b_width, height AS b_height FROM boxes), p AS (SELECT * FROM a JOIN b USING (doc_id) WHERE (a_line, a_word) <> (b_line, b_word))"""
 IDS = ["doc_id", "a_line", "a_word", "b_line", "b_word"]
-OTHER = ~((F.col("a_line") == F.col("b_line")) & (F.col("a_word") == F.col("b_word")))
+
+
+def other():
+    return ~((F.col("a_line") == F.col("b_line")) & (F.col("a_word") == F.col("b_word")))
+
 
 
 def self_pairs(spark, sf_dir, test, reach=0.0):
     df = boxes(spark, sf_dir).drop("confidence").withColumnsRenamed({"line_idx": "line", "word_idx": "word"})
-    return S.grid_join(S.named(df, "a_"), S.named(df, "b_"), OTHER & test, cell=32.0, reach=reach)
+    return S.grid_join(S.named(df, "a_"), S.named(df, "b_"), other() & test, cell=32.0, reach=reach)
 
 
 def window_query(name: str, sql: str, test, reach=0.0):
     @query(name, f"{SELF} SELECT {', '.join(IDS)} FROM p WHERE {sql}")
     def run(spark, sf_dir):
-        return self_pairs(spark, sf_dir, test, reach).select(*IDS)
+        return self_pairs(spark, sf_dir, test(), reach).select(*IDS)
 
 
 OVER = "a_x < b_x + b_width AND b_x < a_x + a_width AND a_y < b_y + b_height AND b_y < a_y + a_height"
 HOLDS = "a_x <= b_x AND a_y <= b_y AND a_x + a_width >= b_x + b_width AND a_y + a_height >= b_y + b_height"
 NEAR = "sqrt(pow(greatest(0, greatest(a_x, b_x) - least(a_x + a_width, b_x + b_width)), 2) + pow(greatest(0, greatest(a_y, b_y) - least(a_y + a_height, b_y + b_height)), 2))"
 CENTERS = "sqrt(pow(a_x + a_width / 2 - b_x - b_width / 2, 2) + pow(a_y + a_height / 2 - b_y - b_height / 2, 2))"
-window_query("spx_overlap", OVER, G.intersects(A, B))
-window_query("spx_contained", HOLDS, G.contains(A, B))
-window_query("spx_containing", HOLDS.replace("a_", "#").replace("b_", "a_").replace("#", "b_"), G.contains(B, A))
-window_query("spx_point", "a_x + a_width / 2 BETWEEN b_x AND b_x + b_width AND a_y + a_height / 2 BETWEEN b_y AND b_y + b_height", G.contains_point(B, A.center_x, A.center_y))
-window_query("spx_nearby", f"{NEAR} <= 24", G.box_distance(A, B) <= 24, reach=24.0)
+window_query("spx_overlap", OVER, lambda: G.intersects(A, B))
+window_query("spx_contained", HOLDS, lambda: G.contains(A, B))
+window_query("spx_containing", HOLDS.replace("a_", "#").replace("b_", "a_").replace("#", "b_"), lambda: G.contains(B, A))
+window_query("spx_point", "a_x + a_width / 2 BETWEEN b_x AND b_x + b_width AND a_y + a_height / 2 BETWEEN b_y AND b_y + b_height", lambda: G.contains_point(B, A.center_x, A.center_y))
+window_query("spx_nearby", f"{NEAR} <= 24", lambda: G.box_distance(A, B) <= 24, reach=24.0)
 
 
 @query("spx_knn", f"{SELF}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, a_line, a_word ORDER BY round({CENTERS}, 6), b_line, b_word) AS n FROM p) SELECT {', '.join(IDS)}, n::INTEGER AS rank FROM r WHERE n <= 3")
 def spx_knn(spark, sf_dir):
     """Within a document every other box is a candidate: the join key is the document, whose boxes are few."""
     df = boxes(spark, sf_dir).drop("confidence").withColumnsRenamed({"line_idx": "line", "word_idx": "word"})
-    pairs = S.named(df, "a_").join(S.named(df, "b_"), "doc_id").filter(OTHER)
+    pairs = S.named(df, "a_").join(S.named(df, "b_"), "doc_id").filter(other())
     return S.nearest(pairs, ["doc_id", "a_line", "a_word"], [r6(G.center_distance(A, B)), F.col("b_line"), F.col("b_word")], 3).select(*IDS, "rank")
 
 
 @query("lq_nearest", f"{SELF}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, a_line, a_word ORDER BY round({NEAR}, 6), b_line, b_word) AS n FROM p) SELECT {', '.join(IDS)} FROM r WHERE n = 1")
 def lq_nearest(spark, sf_dir):
     df = boxes(spark, sf_dir).drop("confidence").withColumnsRenamed({"line_idx": "line", "word_idx": "word"})
-    pairs = S.named(df, "a_").join(S.named(df, "b_"), "doc_id").filter(OTHER)
+    pairs = S.named(df, "a_").join(S.named(df, "b_"), "doc_id").filter(other())
     return S.nearest(pairs, ["doc_id", "a_line", "a_word"], [r6(G.box_distance(A, B)), F.col("b_line"), F.col("b_word")], 1).select(*IDS)
 
 

@@ -199,12 +199,12 @@ def ro_queries(spark, sf_dir):
 def weighted(name: str, weight: str, column):
     @query(name, f"{BOXES}, s AS (SELECT *, {weight} AS w FROM boxes), t AS (SELECT *, w / sum(w) OVER (PARTITION BY doc_id, line_idx) AS share FROM s), m AS (SELECT doc_id, line_idx, sum(confidence * share) AS mean FROM t GROUP BY 1, 2) SELECT t.doc_id, t.line_idx, round(m.mean, 9) AS mean, round(sum(pow(confidence - mean, 2) * share), 9) AS variance, count(*)::BIGINT AS n FROM t JOIN m ON m.doc_id = t.doc_id AND m.line_idx = t.line_idx GROUP BY t.doc_id, t.line_idx, m.mean")
     def run(spark, sf_dir):
-        p = L.propagate(boxes(spark, sf_dir).withColumnRenamed("confidence", "mean"), ["doc_id", "line_idx"], column)
+        p = L.propagate(boxes(spark, sf_dir).withColumnRenamed("confidence", "mean"), ["doc_id", "line_idx"], column())
         return p.select("doc_id", "line_idx", F.round("mean", 9).alias("mean"), F.round("variance", 9).alias("variance"), "n")
 
 
-weighted("cp_propagate", "1.0", F.lit(1.0))
-weighted("cp_weights", "width * height", F.col("width") * F.col("height"))
+weighted("cp_propagate", "1.0", lambda: F.lit(1.0))
+weighted("cp_weights", "width * height", lambda: F.col("width") * F.col("height"))
 
 
 @query("cp_composite", f"{BOXES} SELECT {KEY}, round(CASE WHEN word_idx % 2 = 0 THEN (confidence + width / 100) / 2 ELSE confidence END, 6) AS score FROM boxes")
