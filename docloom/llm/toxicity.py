@@ -74,7 +74,9 @@ class Segment:
 def maximal_segments(at: list[int], score: list[float], between: list[float]) -> list[Segment]:
     """All maximal scoring segments (Ruzzo and Tompa) of a sequence given by its positive scores at `at`;
     between[k] is the sum of the other scores from the one before (or the start) to at[k]. end is exclusive."""
+    done: list[tuple[int, int, float, float]] = []
     kept: list[tuple[int, int, float, float]] = []  # start, end, sum before it, sum up to its end
+    lower: list[int] = []  # of each kept one, the nearest before it with a smaller sum before it
     total = 0.0
     for position, value, gap in zip(at, score, between, strict=True):
         total += gap
@@ -83,13 +85,18 @@ def maximal_segments(at: list[int], score: list[float], between: list[float]) ->
         while True:
             j = len(kept) - 1
             while j >= 0 and kept[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or kept[j][3] >= new[3]:
+                j = lower[j]
+            if j < 0:  # no later one can reach back over this sum: all kept ones are final
+                done += kept
+                kept, lower = [new], [-1]
+                break
+            if kept[j][3] >= new[3]:
                 kept.append(new)
+                lower.append(j)
                 break
             new = (kept[j][0], new[1], kept[j][2], new[3])
-            del kept[j:]
-    return [Segment(a, b, high - low) for a, b, low, high in kept]
+            del kept[j:], lower[j:]
+    return [Segment(a, b, high - low) for a, b, low, high in done + kept]
 
 
 @dataclass
