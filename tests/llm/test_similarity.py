@@ -70,6 +70,44 @@ def test_fingerprints_and_odd_rows(spark):
     assert simhash.near_duplicates(df.filter("false")).count() == 0
 
 
+def shingle_sets(texts):
+    grams = lambda w: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    return {k: grams((v or "").lower().encode().split()) for k, v in texts.items()}
+
+
+def similar_sets(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def test_stage_keeps_one_document_of_what_brute_force_jaccard_links(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(12)
+    texts = {}
+    for _ in range(60):
+        base = prose(rnd, rnd.choice([4, 5, 9, 20, 60, 150, 400]))
+        for _ in range(rnd.randint(1, 5)):
+            copy = list(base)
+            for _ in range(rnd.randint(0, max(1, len(base) // 40))):
+                copy[rnd.randrange(len(copy))] = "changed"
+            base = copy if rnd.random() < 0.4 else base  # chains of copies as well as stars
+            texts[len(texts)] = " ".join(copy)
+    group = prose(rnd, 80)
+    for _ in range(60):  # one large group; some of its members are far from each other
+        texts[len(texts)] = " ".join(group[: rnd.randint(60, 80)])
+    line = prose(rnd, 10)
+    for k in range(40):  # a common line in short texts
+        texts[len(texts)] = " ".join(line + prose(rnd, rnd.randint(1, 6)))
+    texts |= {500: None, 501: "", 502: "One two", 503: "one  TWO"}
+    sets = shingle_sets(texts)
+    edges = [(a, b) for a in texts for b in texts if a < b and similar_sets(sets[a], sets[b])]
+    assert sum(sets[a] != sets[b] for a, b in edges) > 100
+    rows = [(k, v, "en", "s", 1) for k, v in texts.items()] + [(None, "a", "en", "s", 1)] * 2 + [(7, texts[7], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([*set(union_find(texts, edges).values()), None, None], key=str)
+
+
 def test_query_equals_brute_force(spark, small):
     from docloom.llm.common import read
     from docloom.llm.queries import op3_simhash
