@@ -6,14 +6,16 @@ prefix sums of the segments' lengths, within the turn and, over a window, within
 
 Template (one row a turn): <s> [INST] role, line feed, text [/INST] for all but the assistant;
 assistant turns are text </s>. The template's strings inside texts are broken by an escape character, which
-is reversible: "<s>" becomes "<\\s>", a backslash becomes two. The model's marker character, which decoding
-would turn into a space, is escaped too.
+is reversible: "<s>" becomes "<\\s>", a backslash becomes two. A role's line feeds are escaped, so the first one
+ends it. The model's marker character, which decoding would turn into a space, is escaped too.
 
 A conversation is never collected: turns are formatted row by row, sorted within their partition, and read
-back as a stream in which a conversation's digests grow turn by turn.
+back as a stream in which a conversation's digests grow turn by turn. The ids under the loss mask are decoded
+before that shuffle, so it carries each text once. The digest of one conversation is sequential by contract.
 
-Cases: null texts and roles are empty; a null conv_id is a conversation; turns with equal numbers (repeated
-rows) are ordered by role, then text; null turn numbers come first; extra columns are ignored.
+Cases: null texts and roles are empty; texts of any length are encoded whole; a null conv_id is a conversation;
+turns with equal numbers (repeated rows) are ordered by role, then formatted text; null turn numbers come first; an empty
+table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sentencepiece_codec import MARK, ChunkTable, codec, slices
@@ -53,10 +55,15 @@ def unescape(text: str) -> str:
         if not part:  # a pair of escapes: what follows the second is plain
             out.append(ESCAPE + next(parts, ""))
         else:
-            out.append(MARK + part[1:] if part[0] == "_" else part)
+            out.append({"_": MARK, "n": "\n"}[part[0]] + part[1:] if part[0] in "_n" else part)
     return "".join(out)
 
 
+def escape_role(role: str) -> str:
+    """A role on one line; unescape() gives it back."""
+    return escape(role).replace("\n", ESCAPE + "n")
+
+
 TURN = "struct<ids:array<int>,formatted:string,loss_start:int,loss_length:int>"
 
 
@@ -78,7 +85,7 @@ def format_turns(conversations: DataFrame, model_path: str) -> DataFrame:
                 own = names[at : at + len(part)]
                 at += len(part)
                 clean = [escape(t) for t in part]
-                headers = [escape(r) + "\n" for r in own]
+                headers = [escape_role(r) + "\n" for r in own]
                 ids, counts = table.look_up(clean)
                 head_ids, head_counts = table.look_up(headers)
                 content = np.split(ids, np.cumsum(counts)[:-1])
@@ -96,16 +103,17 @@ def format_turns(conversations: DataFrame, model_path: str) -> DataFrame:
             kinds = [("ids", pa.list_(pa.int32())), ("formatted", pa.string()), ("loss_start", pa.int32()), ("loss_length", pa.int32())]
             yield pa.array(out, type=pa.struct(kinds))
 
-    made = conversations.select("conv_id", "turn", "role", F.col("text").alias("_text"), run(F.col("role"), F.col("text")).alias("_made"))
-    return made.select("conv_id", "turn", "role", "_text", "_made.*").withColumn("n_ids", F.size("ids"))
+    made = conversations.select("conv_id", "turn", "role", run(F.col("role"), F.col("text")).alias("_made"))
+    return made.select("conv_id", "turn", "role", "_made.*").withColumn("n_ids", F.size("ids"))
 
 
 def order() -> list:
-    return [F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")), F.coalesce("_text", F.lit(""))]
+    return [F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")), F.col("formatted")]
 
 
-def assemble(turns: DataFrame) -> DataFrame:
-    """The turns with `offset`, the place of their first id in their conversation's ids (a running sum)."""
+def assemble(turns: DataFrame, model_path: str) -> DataFrame:
+    """The turns with `learnt`, and with `offset`, the place of their first id in their conversation's ids (a running sum)."""
+    turns = turns.withColumn("learnt", learnt(F.col("ids"), F.col("loss_start"), F.col("loss_length"), F.col("formatted"), model_path)).drop("ids")
     before = Window.partitionBy("conv_id").orderBy(*order()).rowsBetween(Window.unboundedPreceding, -1)
     return turns.withColumn("offset", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
 
@@ -118,44 +126,62 @@ def parse(formatted: str) -> tuple[str, str]:
     return ASSISTANT, unescape(formatted[: -len(END)])
 
 
-DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_ids long"
+def learnt(ids: Column, start: Column, length: Column, formatted: Column, model_path: str) -> Column:
+    """Column of the text under a turn's loss mask, decoded from its ids; null where it is just the turn's text again."""
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        model = codec(model_path)
+        for batch in batches:
+            out = []
+            for row, s, n, shown in zip(*batch, strict=True):
+                text = unescape(model.decode(row.values.to_numpy(zero_copy_only=False)[s.as_py() : s.as_py() + n.as_py()].tolist()))
+                out.append(None if text == (parse(shown.as_py())[1] if n.as_py() else "") else text)
+            yield pa.array(out, type=pa.string())
 
+    return run(ids, start, length, formatted)
 
-def digests(assembled: DataFrame, model_path: str) -> DataFrame:
+
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_ids long, mask_sha256 string"
+
+
+def digests(assembled: DataFrame) -> DataFrame:
     """A row for each conversation, read back from the formatted turns and from the ids under the loss mask.
 
-    The rows arrive sorted, so each task holds one batch and the running digests of one conversation.
+    mask_sha256: of "first id:number of ids," of each span of the conversation's loss mask. The rows arrive
+    sorted, so each task holds one batch and the running digests of one conversation.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = codec(model_path)
         rows: list[tuple] = []
         now, state = None, None
 
         def close() -> None:
-            n, turns, chars, loss, shown, ids = state
-            rows.append((now[0], n, turns.hexdigest(), chars, loss.hexdigest(), shown, ids))
+            n, turns, chars, loss, shown, ids, mask = state
+            rows.append((now[0], n, turns.hexdigest(), chars, loss.hexdigest(), shown, ids, mask.hexdigest()))
 
         def emit() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_ids"]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+            names = [c.split(" ")[0] for c in DIGESTS.split(", ")]
             columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for conv, shown, ids, start, length in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "ids", "loss_start", "loss_length")), strict=True):
+            for conv, shown, ids, offset, start, length, other in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "n_ids", "offset", "loss_start", "loss_length", "learnt")), strict=True):
                 if (conv,) != now:
                     if state:
                         close()
-                    now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                    now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, hashlib.sha256()]
                 role, text = parse(shown)
-                learnt = unescape(model.decode(ids[start : start + length]))
+                loss = other if other is not None else text if length else ""
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
-                state[2] += len(learnt)
-                state[3].update(learnt.encode())
+                state[2] += len(loss)
+                state[3].update(loss.encode())
                 state[4] += len(shown)
-                state[5] += len(ids)
+                state[5] += ids
+                if length:
+                    state[6].update(f"{offset + start}:{length},".encode())
             if rows:
                 yield emit()
                 rows.clear()
@@ -163,5 +189,5 @@ def digests(assembled: DataFrame, model_path: str) -> DataFrame:
             close()
             yield emit()
 
-    by = assembled.repartition("conv_id").sortWithinPartitions("conv_id", *order())
-    return by.select("conv_id", "formatted", "ids", "loss_start", "loss_length").mapInArrow(run, DIGESTS)
+    # The window of assemble() has dealt and sorted the turns by conversation already: neither is done again.
+    return assembled.select("conv_id", "formatted", "n_ids", "offset", "loss_start", "loss_length", "learnt").mapInArrow(run, DIGESTS)

@@ -20,7 +20,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Arrow batches of at most so many rows and bytes for this session: texts have no bound of their own, so a
-    batch of the default 10,000 rows is as large as they are, in the executor and in its Python workers."""
+    batch of the default 10,000 rows is as large as they are, in the executor and in its Python workers.
+
+    The settings stay with the session, since a query runs when its rows are asked for, after this has returned."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
@@ -32,13 +34,33 @@ def tokenizer_path(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one."""
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset and everything runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir: executors don't share a temporary folder of one machine")
         found = "file://" + os.path.join(tempfile.gettempdir(), "docloom-checkpoints")
     return found.rstrip("/")
 
 
+#: A key with more than one in so many of all rows is hot.
+HOT_SHARE = 1000
+
+
+def join_counted(rows: DataFrame, named: DataFrame, key: str, n: str = "n", total: int | None = None) -> DataFrame:
+    """rows joined on key with named, which has one row a key and in n how many of rows have it.
+
+    Keys with more than one in HOT_SHARE of all rows are fewer than HOT_SHARE, whatever the data: these are
+    broadcast, so their rows stay where they are; the others meet in a shuffle. total: a bound of the sum of n.
+    """
+    if total is None:
+        total = named.agg(F.sum(n)).first()[0] or 0
+    is_hot = F.col(n) * HOT_SHARE > F.lit(total)
+    hot = F.broadcast(named.filter(is_hot).drop(n))
+    cold = rows.join(hot.select(key), key, "left_anti").join(named.filter(~is_hot).drop(n), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, join_counted
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """edges (u, v): every v is linked to the smallest neighbour of u instead of to u."""
-    least = edges.groupBy("u").agg(F.min("v").alias("least"))
-    return edges.join(least.withColumn("least", F.least("u", "least")), "u")
+def _star(edges: DataFrame, most: int) -> DataFrame:
+    """edges (u, v), at most so many: every v is linked to the smallest neighbour of u instead of to u."""
+    least = edges.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n"))
+    return join_counted(edges, least.withColumn("least", F.least("u", "least")), "u", total=most)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -28,8 +28,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
-        small = _star(large)
+        large = _star(both, 2 * state[0]).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+        small = _star(large, 2 * state[0])
         kept = small.select("u", F.col("least").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("least").alias("v")))
         now = durable(kept.filter("u <> v").distinct(), "edges")
     raise RuntimeError(f"components still change after {most_rounds} rounds")

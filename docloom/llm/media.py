@@ -9,7 +9,9 @@ their median, in integer arithmetic, so equal payloads have equal hashes on any
 Every step is a column expression over an Arrow batch: no shuffle, one row's image in memory at a time.
 
 Cases: null and empty texts become one block of padding; texts of any length become taller images; a damaged
-image raises BadPng, which names the test that failed; a null image has null samples and a null hash.
+image raises BadPng, which names the test that failed; a null image has null samples and a null hash; repeated
+rows have equal images; an empty table gives an empty result; other columns pass through untouched, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -121,6 +123,8 @@ def read_png(data: bytes) -> np.ndarray:
         if struct.unpack_from(">I", data, at + 8 + size)[0] != zlib.crc32(kind + body):
             raise BadPng(f"checksum of {kind.decode('latin-1')}")
         if kind == b"IHDR":
+            if len(body) != 13:
+                raise BadPng("length of IHDR")
             header = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             stream.append(body)

@@ -10,8 +10,9 @@ of one hash value share what is left of the budget in proportion to their sizes.
 The text is read once; what follows works on a written table of (keys, source, size, hash).
 
 Cases: a null source is a source of its own, last in order; null and empty texts have size 0 and take 0;
-repeated rows have equal hashes and are treated alike; an empty table gives an empty result; columns that
-clash are not touched, since the caller names the key columns to keep.
+repeated rows have equal hashes and are treated alike; very long texts count whole; an empty table gives an empty
+result; mixed() gives all columns back whatever their names, mix() keeps the key columns, none of which may be named
+like one of its outputs.
 """
 
 from __future__ import annotations
@@ -78,8 +79,8 @@ def _boundary(cells: DataFrame, budget: str) -> DataFrame:
 
 
 def measured(docs: DataFrame, keys: list[str], source: str = "source", text: str = "text") -> DataFrame:
-    """docs with _source, _size and _hash, which all decisions rest on."""
-    return docs.withColumns({"_source": F.col(source), "_size": word_count(F.col(text)), "_hash": stable_hash(*(F.col(k) for k in keys))})
+    """The keys with _source, _size and _hash, which all decisions rest on."""
+    return docs.select(*keys, F.col(source).alias("_source"), word_count(F.col(text)).alias("_size"), stable_hash(*(F.col(k) for k in keys)).alias("_hash"))
 
 
 def plan(base: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -108,7 +109,7 @@ def plan(base: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_C
 
 
 def decided(rows: DataFrame, made: DataFrame) -> DataFrame:
-    """measured() rows with source_size, target, copies, extra and taken of their source's plan."""
+    """rows with _source, _size and _hash, and source_size, target, copies, extra and taken of their source's plan."""
     plans = made.withColumnRenamed("source", "_s")
     # A source without a threshold has its budget used up exactly by all or by none of its words.
     below = F.when(F.col("threshold").isNull(), F.when(F.col("budget") > 0, F.col("_size")).otherwise(0))
@@ -124,15 +125,18 @@ def mix(docs: DataFrame, keys: list[str], source: str = "source", text: str = "t
 
     copies: whole copies; extra: words of one more copy, usually 0 or the size; taken: copies * size + extra.
     """
-    rows = durable(measured(docs, keys, source, text).select(*keys, "_source", "_size", "_hash"), "mix")
+    rows = durable(measured(docs, keys, source, text), "mix")
     made = plan(rows.select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_hash").alias("hash")), weights, most)
     return decided(rows, made).select(*keys, F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", "copies", "extra", "taken")
 
 
 def mixed(docs: DataFrame, keys: list[str], source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """docs as the mix takes them: each row as often as it is taken whole; a last part counts if it is half of the text or more."""
-    rows = measured(docs, keys, source, text)
+    """docs as the mix takes them: each row as often as it is taken whole; a last part counts if it is half of the text or more.
+
+    The rows travel as one struct, so columns of any name come out as they went in."""
+    own = {"_source": F.col(source), "_size": word_count(F.col(text)), "_hash": stable_hash(*(F.col(k) for k in keys))}
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *(c.alias(n) for n, c in own.items()))
     base = durable(rows.select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_hash").alias("hash")), "mix")
     times = F.col("copies") + F.when((F.col("_size") > 0) & (2 * F.col("extra") >= F.col("_size")), 1).otherwise(0)
     out = decided(rows, plan(base, weights, most)).filter(times > 0)
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long")))).select(*docs.columns)
+    return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long")))).select("_row.*")

@@ -1,24 +1,33 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are runs of credential characters that hold a digit; numbers, addresses and paths are among them.
-Each is described by its length, its character transitions, how much of it dictionary words cover, the path
-it comes from and its neighbouring words. A random forest, trained on a bounded sample of labelled findings,
+Candidates are runs of credential characters that hold a digit (numbers, addresses and paths are among them),
+values of any kind assigned to a credential's name, passwords in addresses, and private key blocks. Each is
+described by its length, its character transitions, how much of it dictionary words cover, the path it comes from
+and its neighbouring words, which are hashed. A random forest, trained on a bounded sample of labelled findings,
 keeps those whose mean vote reaches THRESHOLD. Scanning is one pass over the text in which the exported trees
 vote on all candidates of a slice at once: no shuffle.
 
 Labelled findings: a table (value, before, after, path, label). Where a caller has none, label_findings()
-labels candidates by what is certain on its own: credential assignments and vendors' fixed formats are 1;
-addresses, plain numbers, names built of dictionary words and checksums announced as such are 0. The forest
-sees neither rule, only the features, and decides the rest.
+labels candidates of the corpus by rules (label_of: assignments to credential names, vendors' fixed formats,
+addresses, plain numbers, dictionary words, announced checksums); made_findings() adds kinds that a corpus may
+lack, made by rule. No feature is one of the rules: names, assignments and "@" are not told to the forest. It can
+learn them only as far as neighbouring words and the shares of characters show them, so it stands for the rules
+on what they leave undecided, not for an independent judgement of them. The dictionary is counted over all
+documents, with a pre-aggregated count by word.
 
 Cases: null and empty texts have no findings; texts of any length are scanned whole; an empty or one-sided
-sample gives a forest that votes that side; a null path is an empty path; repeated rows have equal findings.
+sample gives a forest that votes that side; a null path is an empty path; repeated rows have equal findings; an
+empty table gives an empty result; columns of docs named like an output (n_candidates, findings, redacted) are
+replaced by it, all others stay as they are.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
+import string
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,9 +41,9 @@ from .common import durable
 
 #: Labelled findings that training uses at most, chosen by a hash.
 LABELLED_ROWS = 20_000
-#: Words of the dictionary: the commonest in the sampled documents.
+#: Words of the dictionary: the commonest of all documents. A feature's resolution, not a filter: every candidate is described and decided.
 DICTIONARY = 5_000
-#: Documents whose findings and words the sample draws on, chosen by a hash of their id.
+#: Documents with a candidate whose findings may be labelled, chosen by a hash of their id.
 SAMPLE_DOCUMENTS = 20_000
 TREES = 24
 DEPTH = 6
@@ -55,7 +64,17 @@ CHECKSUMS = re.compile(r"(?i)(sha\d*|md5|checksum|digest|commit|revision|etag|uu
 #: Vendors' fixed formats (fixed values).
 VENDORS = re.compile(r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk_(live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20})$")
 
-FEATURES = ("length", "digits", "upper", "lower", "marks", "hex", "entropy", "transitions", "to_digit", "case_changes", "repeats", "longest_class", "covered", "path_depth", "path_test", "name_before", "checksum_before", "assigned", "quoted", "at_sign", "plain_neighbours")
+#: Values assigned to a name, passwords in addresses, private key blocks.
+assigned_of = re.compile(r"""[:=]\s*["'`]?([^\s"'`,;<>]{6,})""").finditer
+address_of = re.compile(r"://[^\s:/@]+:([^\s@/]{4,})@").finditer
+block_of = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+").finditer
+
+#: Buckets of the hashed neighbouring words, on either side.
+BUCKETS = 16
+FEATURES = (
+    "length", "digits", "upper", "lower", "marks", "hex", "entropy", "transitions", "to_digit", "case_changes", "repeats", "longest_class", "covered", "path_depth", "path_test", "quoted", "plain_neighbours",
+    *(f"before_{k}" for k in range(BUCKETS)), *(f"after_{k}" for k in range(BUCKETS)),
+)
 
 
 def _class(c: str) -> int:
@@ -77,9 +96,12 @@ def describe(value: str, before: str, after: str, path: str, dictionary: frozens
         run = run + 1 if a == b else 1
         longest = max(longest, run)
     covered = sum(len(w) for w in _word.findall(value) if w.lower() in dictionary)
-    left = before.rstrip(" \"'`=:>(")
-    gap = before[len(left) :]
-    words = _word.findall(before[-CONTEXT:])[-3:] + _word.findall(after[:CONTEXT])[:3]
+    sides = _word.findall(before[-CONTEXT:])[-3:], _word.findall(after[:CONTEXT])[:3]
+    near = [[0.0] * BUCKETS for _ in sides]
+    for bucket, words in zip(near, sides, strict=True):
+        for w in words:
+            bucket[zlib.crc32(w.lower().encode()) % BUCKETS] = 1.0
+    both = sides[0] + sides[1]
     return [
         float(n), share[0], share[2], share[1], share[3],
         sum(c in "0123456789abcdefABCDEF" for c in value) / n,
@@ -92,37 +114,84 @@ def describe(value: str, before: str, after: str, path: str, dictionary: frozens
         covered / n,
         float(path.count("/")),
         float(bool(re.search(r"(?i)test|example|sample|mock|doc", path))),
-        float(bool(NAMES.search(left))),
-        float(bool(CHECKSUMS.search(left))),
-        float("=" in gap or ":" in gap),
         float(before[-1:] in "\"'`" and after[:1] in "\"'`" and before[-1:] != ""),
-        float("@" in value or "@" in before[-2:] or "@" in after[:2]),
-        sum(w.lower() in dictionary for w in words) / max(1, len(words)),
+        sum(w.lower() in dictionary for w in both) / max(1, len(both)),
+        *near[0], *near[1],
     ]
 
 
+def _names(before: str) -> bool:
+    return bool(NAMES.search(before[-CONTEXT:].rstrip(" \"'`=:>(")))
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    """Places of all candidates, in order; of those that overlap the longest, then the first."""
+    found = [m.span() for m in candidates_of(text) if _digit(m.group())]
+    if ":" in text or "=" in text:
+        found += [m.span(1) for m in assigned_of(text) if _names(text[max(0, m.start() - CONTEXT) : m.start()])]
+        found += [m.span(1) for m in address_of(text)]
+    if "-----BEGIN" in text:
+        found += [m.span() for m in block_of(text)]
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(set(found)):
+        if out and start < out[-1][1]:
+            if end - start > out[-1][1] - out[-1][0]:
+                out[-1] = (start, end)
+        else:
+            out.append((start, end))
+    return out
+
+
 def scan(text: str) -> Iterator[tuple[int, int, str, str, str]]:
     """(start, end, value, before, after) of every candidate of a text."""
-    for m in candidates_of(text):
-        value = m.group()
-        if _digit(value):
-            yield m.start(), m.end(), value, text[max(0, m.start() - CONTEXT) : m.start()], text[m.end() : m.end() + CONTEXT]
+    for start, end in spans(text):
+        yield start, end, text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
 
 
 def label_of(value: str, before: str, after: str, dictionary: frozenset[str]) -> int | None:
-    """1 or 0 where the finding is certain on its own, else None."""
+    """1 or 0 where the rules decide, else None."""
     left = before.rstrip(" \"'`=:>(")
     assigned = "=" in before[len(left) :] or ":" in before[len(left) :]
-    if VENDORS.match(value) or (NAMES.search(left) and assigned):
+    covered = sum(len(w) for w in _word.findall(value) if w.lower() in dictionary)
+    plain = covered * 2 > len(value) and not _digit(value)
+    if VENDORS.match(value) or value.startswith("-----BEGIN") or (assigned and not plain and NAMES.search(left)):
+        return 1
+    if after[:1] == "@" and "://" in before and ":" in before[-2:]:
         return 1
-    if "@" in value or "@" in before[-2:] or "@" in after[:2] or CHECKSUMS.search(left):
+    if plain or "@" in value or "@" in before[-2:] or "@" in after[:2] or CHECKSUMS.search(left):
         return 0
-    covered = sum(len(w) for w in _word.findall(value) if w.lower() in dictionary)
     if covered * 2 > len(value) or sum(c.isdigit() for c in value) * 10 > len(value) * 9:
         return 0
     return 0 if not assigned and value.islower() and not all(c in "0123456789abcdef-" for c in value) else None
 
 
+def made_findings(n: int = 40) -> list[tuple[str, str, str, str, int]]:
+    """n labelled findings of each kind that a corpus may lack, by rule: short and digit-free values, addresses, keys, and what looks like them."""
+    rnd = random.Random(11)
+    some = lambda chars, least, most: "".join(rnd.choice(chars) for _ in range(rnd.randint(least, most)))
+    low, all_ = string.ascii_lowercase, string.ascii_letters + string.digits
+    names = ("password", "passwd", "token", "secret", "api_key", "access_key", "auth")
+    prose = lambda: " ".join(some(low, 3, 8) for _ in range(3))
+    out = []
+    for k in range(n):
+        name, quote = rnd.choice(names), rnd.choice(("", '"', "'"))
+        begin = f"{prose()} {name}{rnd.choice((' = ', '=', ': '))}{quote}"
+        out.append((some(low, 5, 8) + some(string.digits, 1, 3) + some(low, 0, 8), begin, f"{quote} {prose()}", "", 1))
+        out.append((some(all_ + "&!$%#", 8, 14), begin, f"{quote} {prose()}", "", 1))
+        out.append((some(all_, 20, 44), begin, f"{quote} {prose()}", "", 1))
+        out.append((some(low, 16, 30), begin, f"{quote} {prose()}", "", 1))
+        out.append((some(all_, 6, 14), f"{prose()} {rnd.choice(('postgres', 'https', 'amqp', 'redis'))}://{some(low, 1, 6)}:", f"@{some(low, 2, 8)}/x", "", 1))
+        out.append((rnd.choice(("AKIA" + some(string.ascii_uppercase + string.digits, 16, 16), "ghp_" + some(all_, 36, 36))), f"{prose()} ", f" {prose()}", "", 1))
+        out.append(("-----BEGIN PRIVATE KEY-----\n" + some(all_ + "+/", 200, 400), f"{prose()}\n", "-----END PRIVATE KEY-----", "", 1))
+        out.append((f"{some(low, 4, 9)}.{k}@{some(low, 3, 6)}.example.com", f"{prose()} ", f" {prose()}", "", 0))
+        out.append((f"{some(low, 4, 8)}/{some(low, 4, 8)}/{some(low, 3, 6)}-{k}", f"{prose()} ", f" {prose()}", "", 0))
+        out.append((".".join(str(rnd.randrange(256)) for _ in range(4)), f"{prose()} ", f" {prose()}", "", 0))
+        out.append((some(string.digits, 16, 18), f"{prose()} ", f" {prose()}", "", 0))
+        out.append((f"{2000 + k}-{rnd.randint(1, 12):02}-{rnd.randint(1, 28):02}T{rnd.randint(10, 23)}-{rnd.randint(10, 59)}", f"{prose()} ", f" {prose()}", "", 0))
+        out.append((some("0123456789abcdef", 40, 40), f"{prose()} {rnd.choice(('commit', 'sha', 'digest', 'checksum'))} ", f" {prose()}", "", 0))
+    return out
+
+
 @dataclass(frozen=True)
 class Forest:
     """Exported trees: for each node feature, threshold, children, and the probability of label 1 at its leaves."""
@@ -165,7 +234,7 @@ def label_findings(docs: DataFrame, dictionary: frozenset[str], text: str = "tex
 
 
 def dictionary_of(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> frozenset[str]:
-    """The `size` commonest words of four letters or more. Collected: the words."""
+    """The `size` commonest words of four letters or more, of all documents. Collected: the words."""
     words = docs.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("w")).filter(F.length("w") >= 4)
     best = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(size)
     return frozenset(r.w for r in best.collect())
@@ -247,18 +316,22 @@ def scan_texts(text: Column, path: Column, forest: Forest, threshold: float = TH
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source", most_documents: int = SAMPLE_DOCUMENTS) -> Forest:
-    """Dictionary and forest from a bounded sample: documents with the smallest hashes of their key that have a candidate, and as many others."""
+    """A dictionary of all documents, and a forest from labelled findings: the rules' labels in a bounded sample of
+    the documents that have a candidate (those with the smallest hashes of their key), and the made ones."""
     order = F.xxhash64(key)
-    likely = docs.filter(F.col(text).rlike(r"[A-Za-z0-9_+/\-]{16,}") & F.col(text).rlike(r"\d"))
+    body = F.col(text)
+    likely = docs.filter((body.rlike(r"[A-Za-z0-9_+/\-]{16,}") & body.rlike(r"\d")) | body.rlike(r"(?i)(token|secret|passw|key|credential|auth|bearer)\w*[\"'` ]{0,3}[:=]") | body.contains("://"))
     # Only the hashes are ordered; the texts of the sample never meet in one task.
     last = likely.select(order.alias("o")).orderBy("o").limit(most_documents).agg(F.max("o")).first()[0]
-    chosen = likely.filter(order <= F.lit(last).cast("long")).select(F.col(text).alias("text"), F.col(path).alias("source"))
-    sample = durable(chosen, "secret-sample")
-    dictionary = dictionary_of(sample)
-    return train(label_findings(sample, dictionary), dictionary)
+    chosen = likely.filter(order <= F.lit(last).cast("long")).select(body.alias("text"), F.col(path).alias("source"))
+    dictionary = dictionary_of(docs, text)
+    found = label_findings(durable(chosen, "secret-sample"), dictionary)
+    made = docs.sparkSession.createDataFrame(made_findings(), "value string, before string, after string, path string, label int")
+    return train(found.unionByName(made), dictionary)
 
 
 def secrets(docs: DataFrame, forest: Forest, text: str = "text", path: str = "source") -> DataFrame:
     """docs with n_candidates, findings and redacted (the text without them)."""
-    held = docs.withColumn("_scan", scan_texts(F.col(text), F.col(path), forest))
-    return held.withColumns({n: F.col(f"_scan.{n}") for n in ("n_candidates", "findings", "redacted")}).drop("_scan")
+    names = ("n_candidates", "findings", "redacted")
+    held = docs.select(F.struct(*(F.col(c) for c in docs.columns if c not in names)).alias("row"), scan_texts(F.col(text), F.col(path), forest).alias("scan"))
+    return held.select("row.*", *(F.col(f"scan.{n}").alias(n) for n in names))

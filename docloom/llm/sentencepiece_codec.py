@@ -9,8 +9,8 @@ position with one ragged gather. A text needs no shuffle, so the work is as larg
 Characters that occur in no piece of two or more characters (line feeds in the public models) cut too.
 
 Cases: a null or empty text has no ids and decodes to the empty text; texts of any length are cut chunk by
-chunk, so a task holds one text and the table; repeated texts are repeated work on a filled table; other
-columns pass through untouched, whatever their names.
+chunk, so a task holds one text and the table; repeated texts are repeated work on a filled table; an empty
+table gives an empty result; other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations

@@ -4,18 +4,21 @@ Fingerprints are made from a text's word shingles and collapsed to distinct ones
 A pivot distance table holds, for every distinct fingerprint, its Hamming distances to fixed reference
 fingerprints, by segment of the 64 bits. Two fingerprints that differ in at most d bits agree in all but d of
 the SEGMENTS segments, and where segments agree, so do their distances to every reference: each choice of
-SEGMENTS - d segments is an equi-join key made of table entries. Of the pairs that meet in a key, those with
+SEGMENTS - d segments is an equi-join key made of table entries. Fingerprints of one key are alike in 56 of
+64 bits, so at most 256 distinct ones meet in a key whatever the data. Of the pairs in a key, those with
 a coordinate (distance of the whole fingerprint to a reference) that differs by more than d are discarded,
 as the triangle inequality allows, and the rest are verified bit by bit.
 
-Keys that more than PAIRED fingerprints share are not paired. Their fingerprints are linked through hubs: all
-that lie within one bit of a hub are within two bits of each other, and two that differ in two bits share a
-hub, so linking each to its hub's smallest member keeps every component with 65 rows a fingerprint.
+Components are then found over the links of distinct fingerprints only, and joined back to the documents;
+fingerprints that hold more than a thousandth of all rows are broadcast there, at most a thousand of them.
 
-Components are then found over the links of distinct fingerprints only, and joined back to the documents.
+similar_documents() is the same for a similarity of shingle sets (shingles.py): pairs that share a rare
+shingle take the place of the keys, the table's coordinates discard, and the exact sets verify.
 
-Cases: null and empty texts have fingerprint 0; texts shorter than a shingle are one shingle; repeated rows
-get equal rows; a null doc_id counts for no component id; an empty table gives an empty result.
+Cases: null and empty texts have fingerprint 0; texts shorter than a shingle are one shingle; texts of any
+length are read whole, a bounded number of shingles at a time; repeated rows get equal rows; a null doc_id
+counts for no component id; an empty table gives an empty result; columns other than key and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,16 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, join_counted
 from .components import components
 
 SHINGLE = 3
 SEED = 42
 DIFFERENCE = 2
-SEGMENTS = 4
+SEGMENTS = 16
 REFERENCES = 16
-#: Up to so many fingerprints of one key are compared pair by pair; larger keys are linked through hubs.
-PAIRED = 40
 
 
 def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
@@ -92,38 +93,42 @@ def pivot_table(distinct: DataFrame, segments: int = SEGMENTS, n: int = REFERENC
     return distinct.withColumn("near", F.array(*rows))
 
 
-def links(distinct: DataFrame, difference: int = DIFFERENCE, segments: int = SEGMENTS, n: int = REFERENCES, paired: int = PAIRED) -> DataFrame:
-    """(u, v) between distinct fingerprints: enough links within `difference` (at most 2) bits that each component holds together."""
-    if not 1 <= difference <= 2:
-        raise ValueError("difference must be 1 or 2")
-    table = pivot_table(distinct.select("fp"), segments, n)
-    keys = [F.xxhash64(F.lit(k), *(F.col("near")[s] for s in chosen)) for k, chosen in enumerate(combinations(range(segments), segments - difference))]
-    keyed = table.select("fp", F.explode(F.array(*keys)).alias("key"))
-    several = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = durable(keyed.join(several, "key"), "simhash-keys")
-
-    few = pivot_table(shared.filter(F.col("n") <= paired).select("key", "fp"), segments, n)
-    whole = F.array(*(sum((F.col("near")[s][k].cast("int") for s in range(1, segments)), F.col("near")[0][k].cast("int")) for k in range(n)))
-    few = few.select("key", "fp", whole.alias("d"))
-    other = few.select("key", F.col("fp").alias("fp2"), F.col("d").alias("d2"))
-    apart = F.greatest(*(F.abs(F.col("d")[k] - F.col("d2")[k]) for k in range(n)))
-    pairs = few.join(other, "key").filter("fp < fp2").filter(apart <= difference).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= difference)
-
-    many = shared.filter(F.col("n") > paired).select("fp").distinct()
-    flips = [F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64)]
-    hubs = many.select("fp", F.explode(F.array(F.col("fp"), *flips)).alias("hub")) if difference == 2 else many.select("fp", F.explode(F.array(*(F.least(F.col("fp"), f) for f in flips))).alias("hub"))
-    first = hubs.groupBy("hub").agg(F.min("fp").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    stars = hubs.join(first, "hub").filter("fp <> first")
-    return pairs.select(F.col("fp").alias("u"), F.col("fp2").alias("v")).unionByName(stars.select(F.col("fp").alias("u"), F.col("first").alias("v")))
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, difference: int = DIFFERENCE, paired: int = PAIRED) -> DataFrame:
+def links(distinct: DataFrame, difference: int = DIFFERENCE, segments: int = SEGMENTS, n: int = REFERENCES) -> DataFrame:
+    """(u, v), u < v, for all distinct fingerprints within `difference` bits of each other."""
+    if not 1 <= difference < segments:
+        raise ValueError("difference must be between 1 and the number of segments, less one")
+    table = pivot_table(distinct.select("fp"), segments, n).select("fp", F.transform("near", lambda row: F.xxhash64(row)).alias("own"))
+    # A key is the sum of what its segments hash to, position included: each left-out choice is taken from the whole.
+    table = table.select("fp", F.transform("own", lambda h, s: F.xxhash64(s, h).bitwiseAND(F.lit((1 << 56) - 1))).alias("own"))
+    whole = F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x)
+    left_out = enumerate(combinations(range(segments), difference))
+    keys = [F.xxhash64(F.lit(k), F.col("whole") - sum((F.col("own")[s] for s in out[1:]), F.col("own")[out[0]])) for k, out in left_out]
+    keyed = table.withColumn("whole", whole).select("fp", F.explode(F.array(*keys)).alias("key"))
+    met = keyed.groupBy("key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    met = durable(met.select("fps"), "simhash-met")
+
+    refs = references(n)
+    apart = lambda a, b: F.greatest(*(F.abs(F.bit_count(a.bitwiseXOR(F.lit(r))) - F.bit_count(b.bitwiseXOR(F.lit(r)))) for r in refs))
+    ordered = met.select(F.explode("fps").alias("u"), "fps")
+    pairs = ordered.select("u", F.explode(F.filter("fps", lambda v: v > F.col("u"))).alias("v"))
+    near = pairs.filter(apart(F.col("u"), F.col("v")) <= difference).filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= difference)
+    return near.distinct()
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, difference: int = DIFFERENCE) -> DataFrame:
     """(key, fp, component_id) for each row of docs; component_id is the smallest key that near-duplicate links reach."""
     prints = durable(docs.select(F.col(key), fingerprint(F.col(text), shingle).alias("fp")), "simhash")
-    distinct = durable(prints.groupBy("fp").agg(F.min(key).alias("first")), "simhash-distinct")
-    of = components(links(distinct, difference, paired=paired))
-    grouped = of.join(distinct.withColumnRenamed("fp", "node"), "node")
-    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = grouped.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(named, "fp").select(key, "fp", "component_id")
+    distinct = durable(prints.groupBy("fp").agg(F.min(key).alias("first"), F.count("*").alias("n")), "simhash-distinct")
+    of = components(links(distinct, difference))
+    grouped = of.join(distinct.select(F.col("fp").alias("node"), "first"), "node")
+    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    linked = join_counted(grouped.select("node", "root"), least, "root").select(F.col("node").alias("fp"), "component_id")
+    named = distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"))
+    return join_counted(prints, durable(named, "simhash-named"), "fp").select(key, "fp", "component_id")
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """(doc_id, component_id) for each row of docs with a key, linked where the sets of word shingles have a similarity of 0.8 or more."""
+    from .shingles import near_duplicates as by_similarity
+
+    return by_similarity(docs, key, text, shingle)

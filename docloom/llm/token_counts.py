@@ -8,8 +8,9 @@ pair that a merge creates never ranks below it, and the rounds give what one mer
 Counts of distinct pre-tokens are kept per task; a text's count is the sum over its pre-tokens, plus one for
 each special string in it. No shuffle.
 
-Cases: null and empty texts have no tokens; a pre-token of any length is merged in linear memory; extra
-columns pass through untouched.
+Cases: null and empty texts have no tokens; texts of any length count whole, and a pre-token of any
+length is merged in linear memory; repeated rows have equal counts; an empty table gives an empty result; extra
+columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations

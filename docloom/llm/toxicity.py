@@ -2,7 +2,7 @@
 
 Fitting, on a bounded sample of labelled rows: for every word and word beginning, how many toxic and how many
 clean texts hold it gives a log-odds ratio with an informative Dirichlet prior (the sample's own rates); those
-whose ratio is significant are the model, at most MOST_TOKENS of them. Every other word costs DRIFT, so that
+whose ratio is significant are the model, as many as the labelled rows bear. Every other word costs DRIFT, so that
 the expected score of clean text is negative.
 
 Scoring, linear in the text: each word takes the score of the most specific entry it has; all maximal scoring
@@ -14,7 +14,9 @@ label 1. Copies of a text count once in the sample.
 
 Cases: null and empty texts have no segments and get the curve's value for none; without labelled rows of
 both kinds there is no token and every score is the smoothed base rate; a word's k-th repeat counts 1/k, so
-that one repeated word is no passage; conflicting labels of one id count as toxic; extra columns are ignored.
+that one repeated word is no passage; conflicting labels of one id count as toxic; texts of any length are read
+whole; repeated rows have equal scores; an empty table gives an empty result; columns of docs named like an output
+(toxic, toxic_score, toxic_passages) are replaced by it, all others stay as they are.
 """
 
 from __future__ import annotations
@@ -34,8 +36,6 @@ from .sentencepiece_codec import slices
 
 #: Labelled rows that the fit uses at most, chosen by a hash of their id.
 LABELLED_ROWS = 16_000
-#: Entries of the model at most.
-MOST_TOKENS = 20_000
 PREFIXES = (4, 5, 6, 7)
 PRIOR = 10.0
 LEAST_Z = 2.6
@@ -101,7 +101,7 @@ def maximal_segments(at: list[int], score: list[float], between: list[float]) ->
 
 @dataclass
 class Model:
-    """All that scoring needs; bounded by MOST_TOKENS."""
+    """All that scoring needs; its entries come from LABELLED_ROWS rows at most and are significant in them."""
 
     scores: dict[str, float]
     rate: float = 0.1
@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = LABELLED_ROWS) -> M
         return base
     held = rows.select((F.col("toxic") != 0).alias("t"), F.explode(_entry_sets(F.col("text"))).alias("entry"))
     counts = held.groupBy("entry").agg(F.count_if("t").alias("in_toxic"), F.count_if(~F.col("t")).alias("in_clean")).filter("in_toxic > 1")
-    best = log_odds(counts, toxic, clean).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "entry").limit(MOST_TOKENS)
+    best = log_odds(counts, toxic, clean).filter(F.col("z") >= LEAST_Z)
     model = Model({r["entry"]: min(r["score"], MOST_SCORE) for r in best.collect() if r["score"] > 0}, rate)
 
     measured = rows.select((F.col("toxic") != 0).cast("int").alias("toxic"), _measure(F.col("text"), model).alias("m")).select("toxic", "m.*")

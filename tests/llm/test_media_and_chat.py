@@ -94,7 +94,7 @@ def expected(rows):
 
 def got(df):
     path = tokenizer_path("piece_bpe_32k.model")
-    return {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digests(chat.assemble(chat.format_turns(df, path)), path).collect()}
+    return {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digests(chat.assemble(chat.format_turns(df, path), path)).collect()}
 
 
 def test_chat_query(spark, small):
@@ -110,19 +110,41 @@ def test_chat_query(spark, small):
 def test_chat_odd_rows(spark):
     rows = [(1, 0, "user", None), (1, 1, "assistant", ""), (1, 1, "assistant", ""), (1, None, None, "x"), (None, 0, "assistant", "  ▁ <s>\\"), (2, 5, "we\nird", "a"), (3, 0, "assistant", "é" * 50000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("ids", F.lit(9))
-    rows = [r if r[2] != "we\nird" else r for r in rows]
-    found = got(df)
-    assert {c: found[c] for c in (1, None, 3)} == {c: v for c, v in expected(rows).items() if c in (1, None, 3)}
+    assert got(df) == expected(rows)
+    path = tokenizer_path("piece_bpe_32k.model")
+    shown = chat.format_turns(df.filter("conv_id = 2"), path).first().formatted
+    assert chat.parse(shown) == ("we\nird", "a")
     assert got(df.filter("false")) == {}
 
 
 def test_offsets_and_masks(spark):
     path = tokenizer_path("piece_bpe_32k.model")
     df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yes, I do"), (1, 2, "user", "ok")], "conv_id long, turn long, role string, text string")
-    rows = sorted(chat.assemble(chat.format_turns(df, path)).collect(), key=lambda r: r.turn)
+    made = sorted(chat.format_turns(df, path).collect(), key=lambda r: r.turn)
+    rows = sorted(chat.assemble(chat.format_turns(df, path), path).collect(), key=lambda r: r.turn)
     assert [r.offset for r in rows] == [0, rows[0].n_ids, rows[0].n_ids + rows[1].n_ids]
     from docloom.llm.sentencepiece_codec import codec
 
-    r = rows[1]
-    assert codec(path).decode(r.ids[r.loss_start : r.loss_start + r.loss_length]) == "yes, I do" and r.ids[-1] == 2 and rows[0].ids[0] == 1
-    assert [x.loss_length for x in (rows[0], rows[2])] == [0, 0]
+    r = made[1]
+    assert codec(path).decode(r.ids[r.loss_start : r.loss_start + r.loss_length]) == "yes, I do" and r.ids[-1] == 2 and made[0].ids[0] == 1
+    assert [x.loss_length for x in (made[0], made[2])] == [0, 0] and [x.learnt for x in rows] == [None] * 3
+    mask = f"{rows[1].offset + r.loss_start}:{r.loss_length},"
+    whole = chat.digests(chat.assemble(chat.format_turns(df, path), path)).first()
+    assert whole.mask_sha256 == hashlib.sha256(mask.encode()).hexdigest() and whole.n_ids == sum(x.n_ids for x in rows)
+
+
+def test_media_odd_tables(spark):
+    df = spark.createDataFrame([(1, "x" * 3_000_000), (1, "x" * 3_000_000), (2, "")], "doc_id long, text string").withColumns({"media": F.lit(1), "hash": F.lit(2)})
+    back = df.select("doc_id", media.read_back(media.to_media(F.col("text"))).alias("b")).select("doc_id", "b.*").collect()
+    assert [r.payload_bytes for r in sorted(back, key=lambda r: r.doc_id)] == [3_000_384, 3_000_384, 576] and len({r.media_sha256 for r in back}) == 2
+    assert df.filter("false").select(media.read_back(media.to_media(F.col("text"))).alias("b")).count() == 0
+
+
+def test_header_of_the_wrong_length_is_a_bad_png():
+    import struct
+
+    good = media.write_png(media.pad(b"abc"))
+    body = b"IHDR" + good[16:27]
+    bad = good[:8] + struct.pack(">I", 11) + body + struct.pack(">I", zlib.crc32(body)) + good[33:]
+    with pytest.raises(media.BadPng):
+        media.read_png(bad)

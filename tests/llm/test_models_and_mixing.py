@@ -112,7 +112,10 @@ def test_mix_comes_to_its_targets(spark, seed):
 
 def test_mixed_repeats_rows(spark):
     rows = [(k, "a" if k < 50 else "b", "word " * 10) for k in range(100)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    names = ("target", "threshold", "_size", "_hash", "copies", "extra", "whole", "budget", "rest", "inside", "source_size", "_s", "_row", "taken")
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({n: F.lit(n) for n in names})
+    out = mixing.mixed(df, ["doc_id"])
+    assert out.columns == df.columns and all(r[n] == n for r in out.collect() for n in names)
     counts = {r.source: r["count"] for r in mixing.mixed(df, ["doc_id"]).groupBy("source").count().collect()}
     assert counts["a"] == pytest.approx(100 * 5 / 7, abs=1) and counts["b"] == pytest.approx(100 * 2 / 7, abs=1)
 
@@ -137,14 +140,52 @@ def test_secrets(spark):
         assert found == ([planted[k]] if k in planted else []), text
         assert out[k].redacted == text.replace(planted.get(k, "\0"), secrets.REDACTED)
     assert len(out[501].findings) == 1 and out[None].redacted is None
-    none = secrets.fit(df.filter("false"))
-    assert secrets.secrets(df.filter("false"), none).count() == 0 and none.vote(np.zeros((2, len(secrets.FEATURES)))).tolist() == [0.0, 0.0]
+    assert secrets.secrets(df.filter("false"), secrets.fit(df.filter("false"))).count() == 0
+    none = secrets.train(spark.createDataFrame([], "value string, before string, after string, path string, label int"), frozenset())
+    assert none.vote(np.zeros((2, len(secrets.FEATURES)))).tolist() == [0.0, 0.0]
+
+
+def test_query_finds_planted_secrets(spark, small, tmp_path):
+    """op5 over a whole table with secrets and look-alikes of many kinds planted in it."""
+    from docloom.llm.common import read
+    from docloom.llm.queries import op5_secrets
+
+    rnd = random.Random(5)
+    pick = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
+    low, mixed = "abcdefghijklmnopqrstuvwxyz", "abcdefghijkmnopqrstuvwxyzABCDEFGHIJKLMNPQRSTUVWXYZ0123456789"
+    kinds = {
+        "assigned": lambda: ('api_key = "', pick(mixed, 32), '"'), "short": lambda: ('password = "', pick(low, 6) + "2" + pick(low, 6) + "2", '"'), "marks": lambda: ("password: ", "Tr0" + pick(low, 5) + "&3", ""),
+        "letters": lambda: ("token=", pick(low, 26), ""), "address": lambda: ("postgres://u:", "s3" + pick(low, 7), "@db/x"), "vendor": lambda: ("use ", "ghp_" + pick(mixed, 36), " here"),
+    }
+    harmless = {"mail": lambda: f"{pick(low, 7)}.12@mail3.example.com", "number": lambda: pick("0123456789", 16), "path": lambda: f"{pick(low, 5)}/{pick(low, 6)}/{pick(low, 4)}-{rnd.randrange(99)}", "commit": lambda: f"commit {pick('0123456789abcdef', 40)}"}
+    docs = read(spark, small, "documents").orderBy("doc_id").collect()
+    rows, planted, clean = [], {}, {}
+    for k, r in enumerate(docs):
+        cut = (len(r.text or "") // 2) if r.text else 0
+        head, tail = (r.text or "")[:cut] + "\n", "\n" + (r.text or "")[cut:]
+        if k % 2:
+            kind = list(kinds)[k // 2 % len(kinds)]
+            before, value, after = kinds[kind]()
+            planted[r.doc_id] = (kind, len(head + before), len(head + before) + len(value))
+            rows.append((r.doc_id, head + before + value + after + tail, r.source))
+        else:
+            kind = list(harmless)[k // 2 % len(harmless)]
+            text = harmless[kind]()
+            clean[r.doc_id] = (kind, len(head), len(head) + len(text))
+            rows.append((r.doc_id, head + text + tail, r.source))
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: [tuple(map(int, s.split("-"))) for s in r.spans.split(",") if s] for r in op5_secrets(spark, str(tmp_path)).collect()}
+    assert set(out) == {r.doc_id for r in docs}
+    missed = [kind for k, (kind, a, b) in planted.items() if (a, b) not in out[k]]
+    wrong = [kind for k, (kind, a, b) in clean.items() if any(x < b and a < y for x, y in out[k])]
+    assert len(missed) <= 0.05 * len(planted), missed
+    assert len(wrong) <= 0.05 * len(clean), wrong
 
 
 def test_pipeline_stages(spark, small):
     import corpus_pipeline as p
     from docloom.llm.common import durable, read
-    from docloom.llm.simhash import near_duplicates
+    from tests.llm.test_similarity import shingle_sets, similar_sets, union_find
 
     docs = read(spark, small, "documents")
     sizes = [docs.count()]
@@ -154,10 +195,19 @@ def test_pipeline_stages(spark, small):
         if name != p.STAGES[-1][0]:
             assert tuple(docs.columns) == p.COLUMNS
         if name == "near_duplicates":
-            kept = near_duplicates(docs).select("component_id").distinct().count()
-            assert kept == docs.count() == near_duplicates(before).select("component_id").distinct().count()
+            sets = shingle_sets(dict(before.select("doc_id", "text").collect()))
+            edges = [(a, b) for a in sets for b in sets if a < b and similar_sets(sets[a], sets[b])]
+            assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == sorted(set(union_find(sets, edges).values()))
     assert docs.filter("NOT lossless").count() == 0 and sizes[1] > 0.8 * sizes[0]
-    odd = spark.createDataFrame([(1, None, None, None, None), (None, "a", "en", "s", 1), (1, None, None, None, None)], read(spark, small, "documents").schema)
-    for _, stage in p.STAGES:
-        stage(spark, odd, small).collect()
+    rows = [(1, None, None, None, None), (None, "a", "en", "s", 1), (1, None, None, None, None), (3, "word other " * 40_000, "en", "s", 1), (4, "", "en", None, 0)]
+    odd = spark.createDataFrame(rows, read(spark, small, "documents").schema)
+    clash = ("toxic_score", "redacted", "findings", "target", "threshold", "ids", "trip", "component_id", "n", "row", "node", "fp")
+    odd = odd.withColumns({c: F.lit(c) for c in clash})
+    for name, stage in p.STAGES:
+        out = stage(spark, odd, small).collect()
+        assert {r.doc_id for r in out} <= {1, 3, 4, None}
+        if name in ("toxicity", "secret_scan"):
+            assert len(out) == len(rows)
+        if name == "near_duplicates":
+            assert sorted((r.doc_id for r in out), key=str) == [1, 3, None]
         stage(spark, odd.filter("false"), small).collect()

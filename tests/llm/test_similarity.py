@@ -35,8 +35,8 @@ def test_components_of_chains_stars_and_cycles(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-@pytest.mark.parametrize("paired", [1, 3, 40])
-def test_near_duplicates_are_whatever_brute_force_links(spark, monkeypatch, paired):
+@pytest.mark.parametrize("difference", [1, 2, 3])
+def test_near_duplicates_are_whatever_brute_force_links(spark, difference):
     rnd = random.Random(4)
     prints = set()
     for _ in range(40):
@@ -46,12 +46,13 @@ def test_near_duplicates_are_whatever_brute_force_links(spark, monkeypatch, pair
             for _ in range(rnd.randint(1, 3)):
                 x ^= 1 << rnd.randrange(64)
             prints.add(x)
+    hub = rnd.getrandbits(64)
+    prints |= {hub ^ (1 << k) ^ (1 << j) for k in range(20) for j in range(20)}  # one key for many
     signed = [simhash._signed(x) for x in sorted(prints)]
     distinct = spark.createDataFrame([(x,) for x in signed], "fp long")
-    found = simhash.links(distinct, paired=paired).collect()
-    assert all(bin((r.u ^ r.v) & (2**64 - 1)).count("1") <= 2 for r in found)
-    every = [(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= 2]
-    assert union_find(signed, [(r.u, r.v) for r in found]) == union_find(signed, every)
+    found = [(r.u, r.v) for r in simhash.links(distinct, difference).collect()]
+    every = [(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= difference]
+    assert sorted(found) == sorted(every)
 
 
 def test_fingerprints_and_odd_rows(spark):
@@ -126,19 +127,36 @@ def test_top_k_equals_brute_force(spark, spread):
     rows = [(int(k), [float(x) for x in centres[k % 6] + spread * rnd.normal(size=8)]) for k in range(900)]
     rows += [(5000 + k, [0.5] * 8) for k in range(300)]  # one very common vector
     rows += [(9000, None), (9100, [float("nan")] * 8), (9200, [None] + [1.0] * 7), (9300, [1.0, 2.0]), (9400, []), (9500, [float("inf")] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(3))
+    rows += [(100, rows[100][1])] * 14 + [(200, rows[7][1]), (777, rows[777][1]), (None, rows[0][1])]  # repeated ids, with equal and other vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(3)).withColumn("row", F.lit(1)).withColumn("cell", F.lit(1))
     found = {}
     for r in knn.top_k(df, F.col("id") % 100 == 0, pivots=7, block_rows=50, query_rows=3).collect():
         found.setdefault(r.query_id, []).append((r["rank"], r["id"], r.score))
-    usable = {k: np.floor(np.array(v + [0.0] * (8 - len(v))) * 1024).astype(np.int64) for k, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    for q in [k for k in usable if k % 100 == 0]:
-        best = sorted(((-int(usable[q] @ v), k) for k, v in usable.items() if k != q))[:10]
-        assert sorted(found[q]) == [(n + 1, k, -s) for n, (s, k) in enumerate(best)]
-    assert set(found) == {k for k in usable if k % 100 == 0}
+    usable = [(k, np.floor(np.array(v + [0.0] * (8 - len(v))) * 1024).astype(np.int64)) for k, v in rows if k is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = {}
+    for own, (q, v) in enumerate(usable):
+        if q % 100 == 0:
+            best = sorted((-int(v @ c), k) for at, (k, c) in enumerate(usable) if at != own)[:10]
+            want.setdefault(q, []).extend((n + 1, k, -s) for n, (s, k) in enumerate(best))
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
     assert knn.top_k(df.filter("false"), F.col("id") % 100 == 0).count() == 0
     assert knn.top_k(df.filter("vec_id = 1"), F.col("id") % 100 == 0).count() == 0
 
 
+def test_bounds_hold_and_prune_clustered_vectors(spark):
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(40, 16))
+    rows = [(int(k), [float(x) for x in centres[k % 40] * (1 + k % 3) + 0.05 * rnd.normal(size=16)]) for k in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found, pairs, every = knn.searched(df, F.col("id") % 50 == 0)
+    assert pairs.count() < 0.2 * every
+    v = np.floor(np.array([x for _, x in rows]) * 1024).astype(np.int64)
+    scores = v @ v.T
+    np.fill_diagonal(scores, -(2**62))
+    want = {(q, n + 1, int(k), int(scores[q, k])) for q in range(0, 4000, 50) for n, k in enumerate(np.lexsort((np.arange(4000), -scores[q]))[:10])}
+    assert {(r.query_id, r["rank"], r["id"], r.score) for r in found.collect()} == want
+
+
 def chain_scores(points, k, cost):
     points = sorted(set(points))
     best = []
