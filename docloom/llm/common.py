@@ -47,14 +47,13 @@ def shared_dir(spark: SparkSession) -> str:
 HOT_SHARE = 1000
 
 
-def join_counted(rows: DataFrame, named: DataFrame, key: str, n: str = "n", total: int | None = None) -> DataFrame:
+def join_counted(rows: DataFrame, named: DataFrame, key: str, n: str = "n") -> DataFrame:
     """rows joined on key with named, which has one row a key and in n how many of rows have it.
 
     Keys with more than one in HOT_SHARE of all rows are fewer than HOT_SHARE, whatever the data: these are
-    broadcast, so their rows stay where they are; the others meet in a shuffle. total: a bound of the sum of n.
+    broadcast, so their rows stay where they are; the others meet in a shuffle.
     """
-    if total is None:
-        total = named.agg(F.sum(n)).first()[0] or 0
+    total = named.agg(F.sum(n)).first()[0] or 0
     is_hot = F.col(n) * HOT_SHARE > F.lit(total)
     hot = F.broadcast(named.filter(is_hot).drop(n))
     cold = rows.join(hot.select(key), key, "left_anti").join(named.filter(~is_hot).drop(n), key)

@@ -101,9 +101,9 @@ def links(distinct: DataFrame, difference: int = DIFFERENCE, segments: int = SEG
     # A key is the sum of what its segments hash to, position included: each left-out choice is taken from the whole.
     table = table.select("fp", F.transform("own", lambda h, s: F.xxhash64(s, h).bitwiseAND(F.lit((1 << 56) - 1))).alias("own"))
     whole = F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x)
-    left_out = enumerate(combinations(range(segments), difference))
-    keys = [F.xxhash64(F.lit(k), F.col("whole") - sum((F.col("own")[s] for s in out[1:]), F.col("own")[out[0]])) for k, out in left_out]
-    keyed = table.withColumn("whole", whole).select("fp", F.explode(F.array(*keys)).alias("key"))
+    left_out = F.array(*(F.array(*map(F.lit, out)) for out in combinations(range(segments), difference)))
+    each = table.withColumn("whole", whole).select("fp", "own", "whole", F.posexplode(left_out).alias("k", "out"))
+    keyed = each.select("fp", F.xxhash64("k", F.col("whole") - sum((F.col("own")[F.col("out")[j]] for j in range(1, difference)), F.col("own")[F.col("out")[0]])).alias("key"))
     met = keyed.groupBy("key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     met = durable(met.select("fps"), "simhash-met")
 
