@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("CONTAINS", "CHILD_OF", "ADJACENT", "ALIGNED_HORIZONTAL", "ALIGNED_VERTICAL", "READING_NEXT", "READING_PREVIOUS")
+NEAR = 1e-6
 
 
 def duplicate_ids(nodes: DataFrame) -> DataFrame:
@@ -21,27 +26,41 @@ def unknown_kinds(edges: DataFrame) -> DataFrame:
 
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with an end that is no node."""
-    known = nodes.select("doc_id", "id")
-    ends = edges.select("doc_id", "type", "from_id", "to_id", F.explode(F.array("from_id", "to_id")).alias("id"))
-    return ends.join(known, ["doc_id", "id"], "left_anti").select("doc_id", "type", "from_id", "to_id").distinct()
+    """(doc_id, id): ends of edges that are no node."""
+    ends = edges.select("doc_id", F.explode(F.array("from_id", "to_id")).alias("id"))
+    return ends.join(nodes.select("doc_id", "id"), ["doc_id", "id"], "left_anti").distinct()
 
 
 def several_parents(edges: DataFrame) -> DataFrame:
     return edges.filter("type = 'CONTAINS'").groupBy("doc_id", F.col("to_id").alias("id")).agg(F.count_distinct("from_id").alias("n")).filter("n > 1")
 
 
+def _with_parent(nodes: DataFrame) -> DataFrame:
+    up = nodes.select("doc_id", F.col("id").alias("parent"), *(F.col(c).alias(f"p_{c}") for c in ("page", "x", "y", "width", "height"))).dropDuplicates(["doc_id", "parent"])
+    return nodes.filter("parent IS NOT NULL").join(up, ["doc_id", "parent"], "left")
+
+
+def orphans(nodes: DataFrame) -> DataFrame:
+    """Nodes whose parent is no node."""
+    return nodes.filter("parent IS NOT NULL").join(nodes.select("doc_id", F.col("id").alias("parent")), ["doc_id", "parent"], "left_anti").select("doc_id", "id")
+
+
 def outside_parent(nodes: DataFrame) -> DataFrame:
     """Nodes whose box leaves their parent's."""
-    up = nodes.select("doc_id", F.col("id").alias("parent"), *(F.col(c).alias(f"p_{c}") for c in ("x", "y", "width", "height")))
-    both = nodes.join(up, ["doc_id", "parent"])
-    inside = (F.col("p_x") <= F.col("x") + 1e-6) & (F.col("p_y") <= F.col("y") + 1e-6) & (F.col("p_x") + F.col("p_width") >= F.col("x") + F.col("width") - 1e-6) & (F.col("p_y") + F.col("p_height") >= F.col("y") + F.col("height") - 1e-6)
-    return both.filter(~inside).select("doc_id", "id")
+    left, top = F.col("p_x") <= F.col("x") + NEAR, F.col("p_y") <= F.col("y") + NEAR
+    right = F.col("p_x") + F.col("p_width") >= F.col("x") + F.col("width") - NEAR
+    bottom = F.col("p_y") + F.col("p_height") >= F.col("y") + F.col("height") - NEAR
+    return _with_parent(nodes).filter(~(left & top & right & bottom)).select("doc_id", "id")
+
+
+def off_page(nodes: DataFrame) -> DataFrame:
+    """Nodes on another page than their parent."""
+    return _with_parent(nodes).filter(F.col("p_page") != F.col("page")).select("doc_id", "id")
 
 
 def unmirrored(edges: DataFrame) -> DataFrame:
     """READING_NEXT edges without their READING_PREVIOUS, and the other way."""
-    kind = lambda k: edges.filter(F.col("type") == k)
+    kind = lambda k: edges.filter(F.col("type") == k).select("type", "doc_id", "from_id", "to_id").distinct()
     back = lambda df: df.select("doc_id", F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
     ahead, behind = kind("READING_NEXT"), kind("READING_PREVIOUS")
     on = ["doc_id", "from_id", "to_id"]
@@ -49,8 +68,33 @@ def unmirrored(edges: DataFrame) -> DataFrame:
     return one.unionByName(behind.join(back(ahead), on, "left_anti").select("type", *on))
 
 
-def several_successors(edges: DataFrame) -> DataFrame:
-    return edges.filter("type = 'READING_NEXT'").groupBy("doc_id", F.col("from_id").alias("id")).agg(F.count("*").alias("n")).filter("n > 1")
+def several_neighbours(edges: DataFrame, side: str) -> DataFrame:
+    """Nodes with several READING_NEXT edges out (side from_id) or in (side to_id)."""
+    return edges.filter("type = 'READING_NEXT'").groupBy("doc_id", F.col(side).alias("id")).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def repeated_edges(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("doc_id", "type", "from_id", "to_id").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def reading_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, firsts, lasts, untouched): words without a predecessor, without a successor, and without either of several."""
+    n = edges.filter("type = 'READING_NEXT'")
+    words = nodes.filter("level = 'word'").select("doc_id", "id").distinct()
+    out = n.select("doc_id", F.col("from_id").alias("id"), F.lit(True).alias("out")).distinct()
+    into = n.select("doc_id", F.col("to_id").alias("id"), F.lit(True).alias("into")).distinct()
+    w = words.join(out, ["doc_id", "id"], "left").join(into, ["doc_id", "id"], "left")
+    return w.groupBy("doc_id").agg(
+        F.count_if(F.col("into").isNull()).alias("firsts"), F.count_if(F.col("out").isNull()).alias("lasts"), F.when(F.count("*") > 1, F.count_if(F.col("into").isNull() & F.col("out").isNull())).otherwise(0).alias("untouched")
+    )
+
+
+def wrong_topology(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """READING_NEXT edges that don't join two words."""
+    words = nodes.filter("level = 'word'").select("doc_id", "id").distinct()
+    n = edges.filter("type = 'READING_NEXT'").select("doc_id", "from_id", "to_id").distinct()
+    good = n.join(words.withColumnRenamed("id", "from_id"), ["doc_id", "from_id"], "left_semi").join(words.withColumnRenamed("id", "to_id"), ["doc_id", "to_id"], "left_semi")
+    return n.join(good, ["doc_id", "from_id", "to_id"], "left_anti")
 
 
 def dedupe(edges: DataFrame) -> DataFrame:
@@ -71,18 +115,78 @@ def universe_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select(*ids).exceptAll(b.select(*ids)).withColumn("side", F.lit("left")).unionByName(b.select(*ids).exceptAll(a.select(*ids)).withColumn("side", F.lit("right")))
 
 
-def cyclic_nodes(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """Nodes on or behind a cycle: what remains when nodes without incoming edges are peeled off, round by round.
+def _peel(ids: list[str], edges: list[tuple]) -> dict[str, int]:
+    """Round in which each node is peeled: one after the last of its predecessors. Nodes on or behind a cycle have none."""
+    waits: dict[str, int] = dict.fromkeys(ids, 0)
+    after = defaultdict(list)
+    for a, b, *_ in edges:
+        waits.setdefault(a, 0)
+        waits[b] = waits.get(b, 0) + 1
+        after[a].append(b)
+    rounds = {x: 0 for x, n in waits.items() if n == 0}
+    queue = list(rounds)
+    for x in queue:
+        for y in after[x]:
+            waits[y] -= 1
+            if waits[y] == 0:
+                rounds[y] = rounds[x] + 1
+                queue.append(y)
+    return rounds
+
+
+ORDERED = "doc_id long, id string, round int"
 
-    A round costs one anti-join; rounds are as many as the longest chain, most_rounds at most.
+
+def ordered(edges: DataFrame) -> DataFrame:
+    """(doc_id, id, round): topological rounds of a document's edges; null on or behind a cycle.
+
+    Chains are as long as documents, so rounds of joins would be too: a document's edges are peeled in one pass
+    over them, in the task of their document, and a page is a document's usual size.
     """
-    left = edges.select("doc_id", "from_id", "to_id").distinct()
-    before = -1
-    for _ in range(most_rounds):
-        targets = left.select("doc_id", F.col("to_id").alias("from_id")).distinct()
-        left = left.join(targets, ["doc_id", "from_id"], "left_semi").checkpoint()
-        n = left.count()
-        if n in (0, before):
-            break
-        before = n
-    return left.select("doc_id", F.col("from_id").alias("id")).distinct()
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("from_id", "to_id")), strict=True))
+        rounds = _peel([], rows)
+        ids = sorted({x for r in rows for x in r})
+        return pa.table({"doc_id": [table.column("doc_id")[0].as_py()] * len(ids), "id": ids, "round": pa.array([rounds.get(x) for x in ids], type=pa.int32())})
+
+    return edges.select("doc_id", "from_id", "to_id").groupBy("doc_id").applyInArrow(run, ORDERED)
+
+
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes on or behind a cycle."""
+    return ordered(edges).filter("round IS NULL").select("doc_id", "id")
+
+
+def _weakest(rows: list[tuple], place: dict[str, int]) -> list[tuple]:
+    """Edges that are taken out one by one until no cycle is left: of those among nodes on or behind a cycle the least confident, then one that leads back, then the first."""
+    kept, out = sorted(rows, key=lambda r: r[3]), []
+    while True:
+        rounds = _peel([], kept)
+        open_ = [r for r in kept if r[0] not in rounds and r[1] not in rounds]
+        if not open_:
+            return out
+        worst = min(open_, key=lambda r: (r[2], place.get(r[0], 0) <= place.get(r[1], 0), r[3]))
+        kept.remove(worst)
+        out.append(worst)
+
+
+def cycle_breakers(edges: DataFrame, place: Column) -> DataFrame:
+    """(doc_id, from_id, to_id, ord): the edges whose removal leaves no cycle. place: position of from_id in the document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("from_id", "to_id", "score", "ord")), strict=True))
+        out = _weakest(rows, dict(zip(table.column("from_id").to_pylist(), table.column("place").to_pylist(), strict=True)))
+        return pa.table({"doc_id": pa.array([table.column("doc_id")[0].as_py()] * len(out), type=pa.int64()), "from_id": pa.array([r[0] for r in out], type=pa.string()), "to_id": pa.array([r[1] for r in out], type=pa.string()), "ord": pa.array([r[3] for r in out], type=pa.int32())})
+
+    wanted = edges.select("doc_id", "from_id", "to_id", "score", "ord", place.alias("place"))
+    return wanted.groupBy("doc_id").applyInArrow(run, "doc_id long, from_id string, to_id string, ord int")
+
+
+def violations(checks: dict[str, DataFrame]) -> DataFrame:
+    """(name, n): how many rows each check found, in one union."""
+    parts: Iterator[DataFrame] = (df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in checks.items())
+    out = next(parts)
+    for p in parts:
+        out = out.unionByName(p)
+    return out

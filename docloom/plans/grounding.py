@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import grounding as G
+from docloom.operators.quotes import holding
 from docloom.plans.text import NORMAL, count_sql
 from docloom.registry import query
 from docloom.sources import dimensions as D
+from docloom.sources.documents import lines as split_lines
 from docloom.sources.tables import fixture, rows, rows_sql, table, with_fixtures
 
 OCR = "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE ((line_idx * 7 + doc_id) % 10) / 10.0 END"
@@ -72,22 +74,19 @@ def fields(spark, sf_dir):
     return fixture(spark, sf_dir, "candidates")
 
 
-QUOTES = "SELECT item_id, text AS quote FROM benchmark"
 FOLD = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
+#: The benchmark's passages and, as short quotes, their first one to six words.
+QUOTES = "SELECT item_id, 0 AS words, text AS quote FROM benchmark UNION ALL SELECT item_id, n::INTEGER, array_to_string(string_split(text, ' ')[1:n], ' ') FROM benchmark, range(1, 7) AS r(n)"
 
 
-@query("gr_universal", f"WITH d AS (SELECT doc_id, {FOLD.format('text')} AS t FROM documents), q AS (SELECT item_id, {FOLD.format('text')} AS t FROM benchmark) SELECT d.doc_id, q.item_id FROM d JOIN q ON contains(d.t, q.t)")
+@query("gr_universal", f"WITH l AS (SELECT doc_id, unnest(generate_series(0, len(ls) - 1))::INTEGER AS line_idx, unnest(ls) AS text FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS ls FROM documents)), t AS (SELECT doc_id, line_idx, {FOLD.format('text')} AS t FROM l), q AS (SELECT item_id, words, {FOLD.format('quote')} AS t FROM ({QUOTES})) SELECT t.doc_id, t.line_idx, q.item_id, q.words FROM t JOIN q ON q.t <> '' AND contains(t.t, q.t)")
 def universal(spark, sf_dir):
-    """Quotes in whole texts, fuzzy nowhere: candidate pairs share the quote's first five words, the exact test follows."""
-    fold = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    n = 5
-    docs = table(spark, sf_dir, "documents").select("doc_id", fold(F.col("text")).alias("t"))
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", fold(F.col("text")).alias("q")).withColumn("w", F.split("q", " "))
-    # Inner words only: the first and last word of a quote may lie inside a longer word.
-    inner = quotes.filter(F.size("w") >= n + 2).select("item_id", "q", F.xxhash64(F.slice("w", 2, n)).alias("h"))
-    grams = docs.withColumn("w", F.split("t", " ")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda k: F.xxhash64(F.slice("w", k, n))))).alias("h"))
-    met = grams.join(inner, "h").select("doc_id", "item_id", "q").distinct()
-    return met.join(docs, "doc_id").filter(F.col("t").contains(F.col("q"))).select("doc_id", "item_id")
+    """Quotes, long and short, in the lines of all documents, as they are."""
+    lines_ = split_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_idx", "text")
+    whole = table(spark, sf_dir, "benchmark").select("item_id", F.lit(0).alias("words"), F.col("text").alias("quote"))
+    cut = whole.select("item_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("words"), F.split("quote", " ").alias("w"))
+    quotes = whole.unionByName(cut.select("item_id", "words", F.array_join(F.slice("w", F.lit(1), F.col("words")), " ").alias("quote")))
+    return holding(lines_, quotes).select("doc_id", "line_idx", "item_id", "words").distinct()
 
 
 ITEMS = [(1, '[{"description":"Blue pen","amount":3},{"description":" "},{"amount":4}]'), (2, "[]"), (3, '[{"description":"Notebook"}]')]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import ocr as O
+from docloom.operators.quotes import holding
 from docloom.plans.grounding import OCR, label_sql
 from docloom.plans.text import GARBAGE, CONSISTENT, PRINTABLE, QUALITY, REPEATED
 from docloom.registry import query
@@ -195,18 +196,24 @@ def ar_repair(spark, sf_dir):
     return r.select("k", F.regexp_replace(once, r"(?<=[؀-ۿ])(?=[A-Za-z])|(?<=[A-Za-z])(?=[؀-ۿ])", " ").alias("text"))
 
 
-@query("ev_hits", "SELECT b.item_id, count(d.doc_id)::BIGINT AS hits FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text[1:24]) GROUP BY 1")
+@query("ev_hits", "SELECT b.item_id, count(d.doc_id)::BIGINT AS hits FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def ev_hits(spark, sf_dir):
-    """Openings of the benchmark texts found in documents; the few needles are bound into one scan."""
-    needles = [(r.item_id, r.t) for r in table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(24)).alias("t")).collect()]
-    found = F.array_compact(F.array(*(F.when(F.col("text").contains(t), F.lit(k)) for k, t in needles)))
-    hits = table(spark, sf_dir, "documents").select(F.explode(found).alias("item_id")).groupBy("item_id").agg(F.count("*").alias("hits"))
-    return table(spark, sf_dir, "benchmark").select("item_id").join(hits, "item_id", "left").fillna(0, ["hits"])
+    """Documents that hold a whole benchmark text; what meets on its inner words is tested as it is."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    met = holding(table(spark, sf_dir, "documents").select("doc_id", "text"), items).filter(F.col("text").contains(F.col("quote")))
+    return items.select("item_id").join(met.groupBy("item_id").agg(F.count("*").alias("hits")), "item_id", "left").fillna(0, ["hits"])
 
 
-@query("ev_confusion", "SELECT quality, toxic, count(*)::BIGINT AS n FROM labels GROUP BY 1, 2")
+READINGS = "SELECT l_orderkey AS doc_id, l_returnflag AS corpus, l_discount <= 0.05 AS first_ok, l_tax <= 0.05 AS second_ok FROM {lineitem}"
+
+
+@query("ev_confusion", f"WITH r AS ({READINGS.replace('{lineitem}', 'lineitem')}), c AS (SELECT corpus, count(*) FILTER (first_ok AND second_ok) AS both_ok, count(*) FILTER (NOT first_ok AND second_ok) AS fixed, count(*) FILTER (NOT first_ok AND NOT second_ok) AS both_fail, count(*) FILTER (first_ok AND NOT second_ok) AS first_better FROM r GROUP BY 1) SELECT corpus, both_ok, fixed, both_fail, first_better, round(fixed / nullif(fixed + first_better, 0), 6)::DOUBLE AS precision, round(fixed / nullif(fixed + both_fail, 0), 6)::DOUBLE AS recall FROM c")
 def ev_confusion(spark, sf_dir):
-    return table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+    """Two readers of the same fields: precision and recall of letting the second one mend the first."""
+    a, b = F.col("first_ok"), F.col("second_ok")
+    c = spark.sql(READINGS, lineitem=table(spark, sf_dir, "lineitem")).groupBy("corpus").agg(F.count_if(a & b).alias("both_ok"), F.count_if(~a & b).alias("fixed"), F.count_if(~a & ~b).alias("both_fail"), F.count_if(a & ~b).alias("first_better"))
+    share = lambda other: F.round(F.col("fixed") / F.nullif(F.col("fixed") + F.col(other), F.lit(0)), 6)
+    return c.withColumns({"precision": share("first_better"), "recall": share("both_fail")})
 
 
 TIERS = f"""{BOX}, n AS (SELECT *, {IS_NUMBER} AS num FROM boxes), p AS (SELECT a.doc_id, a.line_idx AS a_line, a.word_idx AS a_word, b.line_idx AS b_line, b.word_idx AS b_word, a.line_idx = b.line_idx AS same,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.vectors import cosine
 from docloom.operators import relational as R
+from docloom.operators.search import top_cosine
 from docloom.registry import query
 from docloom.sources.tables import fixture, table, with_fixtures
 
@@ -213,17 +214,14 @@ def rag_cosine(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(cosine(F.col("embedding"), F.array(*(F.lit(x) for x in q))), 6).alias("score"))
 
 
-ANN = "WITH q AS (SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.v) AS s FROM q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.query_id) SELECT query_id, vec_id, round(s, 6) AS score, n::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS n FROM s) WHERE n <= 5"
+ANN = "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.v), 6) AS score FROM q JOIN embeddings e ON e.vec_id <> q.query_id) SELECT query_id, vec_id, score, n::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) WHERE n <= 5"
 
 
 @query("rag_ann_index", ANN)
 def ann_index(spark, sf_dir):
-    """Exact top 5 within the query's own label: the label is the join key, so no vector meets all others."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("v"))
-    scored = q.join(e, "label").filter("vec_id <> query_id").select("query_id", "vec_id", cosine(F.col("embedding"), F.col("v")).alias("s"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter("rank <= 5").select("query_id", "vec_id", F.round("s", 6).alias("score"), "rank")
+    """Exact top 5 of every fiftieth vector against all rows."""
+    e = table(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL").select("vec_id", F.col("embedding").alias("v"))
+    return top_cosine(e.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e, 5)
 
 
 @query("rag_null_guard", "SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL AND label < 4")

@@ -47,15 +47,22 @@ def rag_split_point(spark, sf_dir):
     return d.select("doc_id", C.split_point(F.col("text")).cast("int").alias("at"))
 
 
-FOLD = f"""WITH RECURSIVE t AS (SELECT doc_id, {PREPARED} AS now, 0 AS n, NULL::VARCHAR AS chunk FROM documents WHERE length({PREPARED}) > 800 AND NOT regexp_matches({PREPARED}, '\\n\\n')
-UNION ALL SELECT doc_id, CASE WHEN length(now) > 1200 THEN now[greatest(0, p - 150) + 1:] ELSE '' END, n + 1, CASE WHEN length(now) > 1200 THEN trim(now[:p]) ELSE trim(now) END FROM (SELECT *, {point_sql('now')} AS p FROM t WHERE now <> ''))
-SELECT doc_id, (n - 1)::INTEGER AS n, md5(chunk) AS digest FROM t WHERE chunk IS NOT NULL"""
+DOUBLED = PREPARED.replace("(text,", "(replace(text, chr(10), chr(10) || chr(10)),")
+# State of the fold: paragraphs, the next one, the text carried, the chunks so far and the one just given.
+FOLD = f"""WITH RECURSIVE d AS (SELECT doc_id, {DOUBLED} AS whole FROM documents WHERE {DOUBLED} <> ''),
+t AS (SELECT doc_id, CASE WHEN length(whole) <= 800 THEN [whole] ELSE list_filter(list_transform(regexp_split_to_array(whole, '\\n{{2,}}'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> '') END AS ps, 1 AS i, '' AS now, 0 AS n, NULL::VARCHAR AS chunk FROM d
+UNION ALL SELECT doc_id, ps, CASE WHEN length(now) > 1200 OR i > len(ps) THEN i ELSE i + 1 END,
+  CASE WHEN length(now) > 1200 THEN now[greatest(0, p - 150) + 1:] WHEN i > len(ps) THEN NULL WHEN now <> '' AND length(now) + length(ps[i]) + 2 > 800 THEN right(now, 150) || chr(10) || chr(10) || ps[i] WHEN now <> '' THEN now || chr(10) || chr(10) || ps[i] ELSE ps[i] END,
+  n + CASE WHEN chunk IS NULL THEN 0 ELSE 1 END,
+  CASE WHEN length(now) > 1200 THEN trim(now[:p]) WHEN i > len(ps) THEN nullif(trim(now), '') WHEN now <> '' AND length(now) + length(ps[i]) + 2 > 800 THEN trim(now) END
+  FROM (SELECT *, {point_sql('now')} AS p FROM t WHERE now IS NOT NULL))
+SELECT doc_id, n::INTEGER AS n, md5(chunk) AS digest FROM t WHERE chunk IS NOT NULL"""
 
 
 @query("rag_chunk_fold", FOLD)
 def rag_chunk_fold(spark, sf_dir):
-    """Texts of one paragraph, the case that cuts; the paragraph fold is tested on its own."""
-    d = table(spark, sf_dir, "documents").filter(~C.prepared(F.col("text")).rlike("\n\n") & (F.char_length(C.prepared(F.col("text"))) > C.SIZE))
+    """All documents, each line a paragraph: folded to the size with overlap, long ones cut."""
+    d = table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
     return d.select("doc_id", F.posexplode(C.chunks(F.col("text"))).alias("n", "chunk")).select("doc_id", "n", F.md5("chunk").alias("digest"))
 
 

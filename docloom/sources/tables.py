@@ -83,6 +83,32 @@ SELECT doc_id, CAST(ord AS INTEGER) AS ord, key, type, raw, CAST(confidence AS D
   UNION ALL SELECT o_orderkey, 15, 'total_amount', 'currency', CAST(CAST(floor(o_totalprice) AS BIGINT) + CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END AS STRING), 0.95 FROM {orders} WHERE o_orderkey % 29 <> 0
   UNION ALL SELECT o_orderkey, 21, 'notes', 'text', CASE WHEN o_orderkey % 8 = 0 THEN '' ELSE '© § oe a il' END, 0.25 FROM {orders} WHERE o_orderkey % 4 = 0
 ) AS f
+""",
+    # A graph over each document's boxes: the document, its lines and its words. Faults by key: a repeated id, a box that leaves its line, a word on another page, an unknown parent.
+    "faulty_nodes": r"""
+WITH b AS (__BOXES__), w AS (SELECT doc_id, line_idx, word_idx, concat('w-', CAST(line_idx AS STRING), '-', CAST(word_idx AS STRING)) AS id, x, y, width, height, confidence FROM b)
+SELECT doc_id, 'word' AS level, id, CASE WHEN doc_id % 37 = 0 AND line_idx = 1 THEN 'l-ghost' ELSE concat('l-', CAST(line_idx AS STRING)) END AS parent, CASE WHEN doc_id % 31 = 0 AND line_idx = 2 THEN 2 ELSE 1 END AS page, x, y, CASE WHEN doc_id % 13 = 0 AND line_idx = 1 THEN width + 600 ELSE width END AS width, height,
+  CASE WHEN doc_id % 41 = 0 AND line_idx = 3 THEN 1.5 WHEN doc_id % 43 = 0 AND line_idx = 2 THEN NULL ELSE confidence END AS confidence FROM w
+UNION ALL SELECT doc_id, 'word', id, concat('l-', CAST(line_idx AS STRING)), 1, x, y, width, height, confidence FROM w WHERE doc_id % 11 = 0 AND line_idx = 1 AND word_idx = 0
+UNION ALL SELECT doc_id, 'line', concat('l-', CAST(line_idx AS STRING)), 'd', 1, min(x), min(y), max(x + width) - min(x), max(y + height) - min(y), avg(confidence) FROM w GROUP BY doc_id, line_idx
+UNION ALL SELECT doc_id, 'document', 'd', NULL, 1, min(x), min(y), max(x + width) - min(x), max(y + height) - min(y), avg(confidence) FROM w GROUP BY doc_id
+""",
+    # Its edges. Faults by key: a repeated edge, a second parent, a reading cycle, a loop of unknown kind, a loop, a missing node, a missing mirror, a second successor.
+    "faulty_edges": r"""
+WITH b AS (__BOXES__), w AS (SELECT doc_id, line_idx, concat('w-', CAST(line_idx AS STRING), '-', CAST(word_idx AS STRING)) AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_idx, word_idx) AS INTEGER) AS pos, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS n FROM b),
+c AS (SELECT *, lead(id) OVER (PARTITION BY doc_id ORDER BY pos) AS next_id, first_value(id) OVER (PARTITION BY doc_id ORDER BY pos) AS first_id, CAST(20 + (doc_id * 7 + pos * 13) % 80 AS DOUBLE) / 100 AS score FROM w)
+SELECT doc_id, type, from_id, to_id, score, CAST(ord AS INTEGER) AS ord, CAST(place AS INTEGER) AS place FROM (
+  SELECT doc_id, 'CONTAINS' AS type, concat('l-', CAST(line_idx AS STRING)) AS from_id, id AS to_id, score, pos AS ord, 0 AS place FROM c
+  UNION ALL SELECT DISTINCT doc_id, 'CONTAINS', 'd', concat('l-', CAST(line_idx AS STRING)), CAST(0.9 AS DOUBLE), 1000000 + line_idx, 0 FROM c
+  UNION ALL SELECT doc_id, 'CONTAINS', concat('l-', CAST(line_idx AS STRING)), id, score, 2000000, 0 FROM c WHERE doc_id % 7 = 0 AND pos = 1
+  UNION ALL SELECT doc_id, 'CONTAINS', 'd', id, CAST(0.99 AS DOUBLE), 2000001, 0 FROM c WHERE doc_id % 17 = 0 AND pos = 1
+  UNION ALL SELECT doc_id, 'READING_NEXT', id, next_id, score, 3000000 + pos, pos FROM c WHERE next_id IS NOT NULL
+  UNION ALL SELECT doc_id, 'READING_PREVIOUS', next_id, id, score, 4000000 + pos, pos + 1 FROM c WHERE next_id IS NOT NULL AND NOT (doc_id % 29 = 0 AND pos = 1)
+  UNION ALL SELECT doc_id, 'READING_NEXT', id, first_id, score, 5000000, pos FROM c WHERE doc_id % 5 = 0 AND pos = n AND n > 1
+  UNION ALL SELECT doc_id, 'NEAR', id, id, score, 5000001, pos FROM c WHERE doc_id % 19 = 0 AND pos = 1
+  UNION ALL SELECT doc_id, 'READING_NEXT', id, id, CAST(0.1 AS DOUBLE), 5000002, pos FROM c WHERE doc_id % 47 = 0 AND pos = 1
+  UNION ALL SELECT doc_id, 'CONTAINS', id, 'ghost', score, 5000003, 0 FROM c WHERE doc_id % 23 = 0 AND pos = 1
+) AS e
 """,
     "jobs": r"""
 SELECT event_id AS job_id, user_id, ts AS updated_at,
@@ -93,6 +119,10 @@ FROM {events}
 }
 
 
+for _name in ("faulty_nodes", "faulty_edges"):
+    FIXTURES[_name] = FIXTURES[_name].replace("__BOXES__", FIXTURES["boxes"].strip())
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = FIXTURES[name]
     used = set(re.findall(r"\{(\w+)\}", sql))
