@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,10 @@ def fold(s: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(s, r"\s+", " ")))
 
 
+def _hashed(way: int) -> Callable[[Column], Column]:
+    return lambda x: F.xxhash64(F.lit(way), x)
+
+
 def holding(texts: DataFrame, quotes: DataFrame, text: str = "text", quote: str = "quote") -> DataFrame:
     """Rows of texts joined with the rows of quotes whose folded quote the folded text holds, each pair once.
 
@@ -34,7 +40,7 @@ def holding(texts: DataFrame, quotes: DataFrame, text: str = "text", quote: str
     ends = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(w), F.lit(1))), lambda k: F.substring(w, k, F.char_length(w)))))
     parts = F.flatten(F.transform(F.array_distinct(ends), lambda e: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(e), F.lit(1))), lambda n: F.substring(e, F.lit(1), n))))
     made = {n: F.when(F.size(words) >= n, runs(n)) if n >= 1 else ends if n == 0 else parts for n in ways}
-    hashed = [F.coalesce(F.transform(F.array_distinct(c), lambda x, n=n: F.xxhash64(F.lit(n), x)), F.array().cast("array<long>")) for n, c in made.items()]
+    hashed = [F.coalesce(F.transform(F.array_distinct(c), _hashed(n)), F.array().cast("array<long>")) for n, c in made.items()]
     t = texts.withColumns({"_t": fold(F.col(text))}).withColumn("_words", F.split("_t", " "))
     keyed = t.select(*texts.columns, "_t", F.explode(F.flatten(F.array(*hashed))).alias("_key")) if hashed else t.select(*texts.columns, "_t", F.lit(0).cast("long").alias("_key")).limit(0)
     return keyed.join(q, "_key").filter(F.col("_t").contains(F.col("_q"))).drop("_t", "_q", "_key", "_way").distinct()

@@ -28,8 +28,8 @@ def top_cosine(queries: DataFrame, data: DataFrame, k: int, decimals: int = 6) -
     task, which gives on k rows a query. Scores are rounded before they are ranked; ties go to the smaller id.
     """
     n_q, n_d = (max(1, -(-df.count() // BLOCK)) for df in (queries, data))
-    asked = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))).cast("long"))
-    held = data.withColumn("db", F.pmod(F.xxhash64("vec_id"), F.lit(n_d))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("long"))
+    asked = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn("db", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_d - 1).cast("long"))))
+    held = data.withColumn("db", F.pmod(F.xxhash64("vec_id"), F.lit(n_d))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
 
     def solve(a: pa.Table, b: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])

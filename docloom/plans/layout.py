@@ -547,13 +547,13 @@ def vrc_reachability(spark, sf_dir):
     return L.region_scores(features(spark, sf_dir)).groupBy("type").agg(F.count_if(F.col("score") >= L.FLOOR).alias("reached"))
 
 
-@query("vrc_explanation", f"{STATS}, wide AS (SELECT * FROM features JOIN stats USING (doc_id)), terms AS ({' UNION ALL '.join(f"SELECT doc_id, id, '{kind}' AS type, {w} * ({t}) AS part FROM wide" for kind in L.SCORERS for w, t in L.SCORERS[kind][0])}) SELECT doc_id, id, type, round(sum(part)::DOUBLE, 4) AS explained FROM terms GROUP BY 1, 2, 3")
+@query("vrc_explanation", f"{STATS}, wide AS (SELECT * FROM features JOIN stats USING (doc_id)), terms AS ({' UNION ALL '.join(f"SELECT doc_id, id, '{kind}' AS type, {w} * ({t}) AS part FROM wide" for kind in L.SCORERS for w, t in L.SCORERS[kind][0])}) SELECT doc_id, id, type, round(sum(part)::DOUBLE + 1e-9, 6) AS explained FROM terms GROUP BY 1, 2, 3")
 def vrc_explanation(spark, sf_dir):
     """Weighted terms of every score add up to it, before its gate."""
     f = features(spark, sf_dir)
     terms = F.array(*(F.struct(F.lit(kind).alias("type"), F.expr(f"{w} * ({t})").cast("double").alias("part")) for kind in L.SCORERS for w, t in L.SCORERS[kind][0]))
     wide = f.join(L.page_statistics(f), "doc_id").select("doc_id", "id", F.explode(terms).alias("t"))
-    return wide.groupBy("doc_id", "id", "t.type").agg(F.round(F.sum("t.part"), 4).alias("explained"))
+    return wide.groupBy("doc_id", "id", "t.type").agg(F.round(F.sum("t.part") + 1e-9, 6).alias("explained"))
 
 
 @query("vrc_determinism", "SELECT 0::BIGINT AS differing")
