@@ -124,27 +124,89 @@ def dedupe(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
+def _asked(fields: DataFrame) -> DataFrame:
+    """fields with what is looked for: _needle, _target (of numbers), _printed and _isos (of dates), _bare (of references), _want (category)."""
+    raw, kind = F.col("raw"), F.col("type")
+    is_date = (kind == "date") & raw.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    want = group_for_key(F.col("key"))
+    is_reference = want.isin("number", "tax") & kind.isin("string", "text") & raw.rlike("[0-9]")
+    none = F.array().cast("array<string>")
+    f = fields.withColumns({"_needle": F.when(T.trim_space(raw) != "", T.normalize(raw)), "_want": want})
+    return f.withColumns({"_target": F.when(is_numeric(kind), T.number_key(F.col("_needle"))), "_printed": F.when(is_date, T.date_variants(raw)).otherwise(none), "_isos": F.when(is_date, T.iso_variants(raw)).otherwise(none), "_bare": F.when(is_reference, raw)})
+
+
+def _ready(lines: DataFrame) -> DataFrame:
+    """lines with their normal form, words and label category, each made once."""
+    r = lines.withColumnRenamed("text", "line").withColumns({"nline": T.normalize(F.col("line")), "has": label_group(F.col("line"))})
+    return r.withColumn("nwords", F.filter(F.split("nline", " "), lambda w: w != ""))
+
+
+EVIDENCE = "array<struct<role:string,start:int,end:int,stage:int>>"
+
+
+def _met(fields: DataFrame, lines: DataFrame, how: str) -> DataFrame:
+    """One join of fields with the lines of their document that may hold them; found: all evidence of the pair.
+
+    Stage 0 is the value as it is or a date's printed forms, stage 1 the forms that count only without those."""
+    digits = F.col("nline").rlike("[0-9]")
+    holds = lambda x: F.col("nline").contains(x)
+    numeric = is_numeric(F.col("type"))
+    may = (numeric & digits & F.col("_needle").isNotNull()) | (~numeric & F.coalesce(holds(F.col("_needle")), F.lit(False))) | F.exists("_printed", holds) | F.exists("_isos", holds) | (F.col("_bare").isNotNull() & digits)
+    own = _ready(lines).withColumnRenamed("doc_id", "_doc")
+    met = _asked(fields).join(own, (F.col("doc_id") == F.col("_doc")) & may, how).drop("_doc")
+
+    none = F.array().cast(EVIDENCE)
+    item = lambda span, role, stage: F.struct(F.lit(role).alias("role"), span["start"].cast("int").alias("start"), span["end"].cast("int").alias("end"), F.lit(stage).alias("stage"))
+    one = lambda test, span, role, stage: F.when(test, F.filter(F.array(span), lambda x: x.isNotNull())).otherwise(F.array().cast(SPAN if stage == 0 else PLACE))
+    words = F.col("nwords")
+    direct = one(numeric & digits, numeric_span(words, F.col("_target")), "value-match", 0)
+    texts = one(~numeric & holds(F.col("_needle")), word_span(words, F.col("_needle")), "value-match", 0)
+    forms = lambda column: F.transform(F.filter(column, holds), lambda v: word_span(words, v))
+    bare = one(F.col("_bare").isNotNull() & digits, separator_free_span(words, F.col("_bare")), "derived", 1)
+    parts = [F.transform(x, lambda sp: item(sp, "value-match", 0)) for x in (direct, texts)]
+    parts += [F.transform(forms("_printed"), lambda sp: item(sp, "derived", 0)), F.transform(bare, lambda sp: item(sp, "derived", 1)), F.transform(forms("_isos"), lambda sp: item(sp, "derived", 1))]
+    return met.withColumn("found", F.when(words.isNull(), none).otherwise(F.flatten(F.array(*parts))))
+
+
+SPAN = "array<struct<length:int,start:int,end:int,text:string>>"
+PLACE = "array<struct<start:int,end:int>>"
+
+
+def _chosen(fields: DataFrame, lines: DataFrame, how: str) -> DataFrame:
+    """Evidence rows with `own`: true for those that count. With how = left, every field keeps a row at least."""
+    met = _met(fields, lines, how)
+    kept = [*fields.columns, "_want", "line_idx", "line", "ocr", "has"]
+    rows = met.select(*kept, (F.explode_outer if how == "left" else F.explode)("found").alias("e")).select(*kept, "e.*")
+    rows = rows.withColumn("_stage", F.min("stage").over(Window.partitionBy("doc_id", "key")))
+    first = Window.partitionBy("doc_id", "key", "line_idx", "role", "start", "stage").orderBy("end")
+    return rows.withColumn("_n", F.row_number().over(first)).withColumn("own", F.coalesce((F.col("stage") == F.col("_stage")) & (F.col("_n") == 1), F.lit(False)))
+
+
 def evidence_of(fields: DataFrame, lines: DataFrame) -> DataFrame:
-    """All evidence: direct; dates also derived; without any, the verified forms."""
-    found = dedupe(direct_evidence(fields, lines).unionByName(derived_evidence(fields, lines)))
-    missing = fields.join(found.select("doc_id", "key").distinct(), ["doc_id", "key"], "left_anti").select(*fields.columns)
-    return found.unionByName(dedupe(verified_evidence(missing, lines).unionByName(iso_evidence(missing, lines))))
+    """All evidence: direct; dates also derived; without any, the verified forms. has: the line's label category."""
+    return _chosen(fields, lines, "inner").filter("own").select(*fields.columns, "line_idx", "line", "ocr", "start", "end", "role", "has")
 
 
-def verdicts(evidence: DataFrame) -> DataFrame:
-    """(doc_id, key, verdict, factor, ocr): whether a line names the field's own category, another one, or none."""
-    e = evidence.withColumns({"_want": group_for_key(F.col("key")), "_has": label_group(F.col("line"))})
-    per = e.groupBy("doc_id", "key", "_want").agg(
-        F.coalesce(F.bool_or(F.col("_has") == F.col("_want")), F.lit(False)).alias("own"), F.bool_or(F.col("_has").isNotNull()).alias("any"), F.avg("ocr").alias("ocr"), F.count("*").alias("n_evidence")
-    )
-    verdict = F.when(F.col("_want").isNull() | F.col("own"), "ok").when(F.col("any"), "conflict").otherwise("neutral")
-    factor = F.when(F.col("_want").isNull() | F.col("own"), 1.0).otherwise(NEUTRAL)
-    return per.select("doc_id", "key", verdict.alias("verdict"), factor.alias("factor"), "ocr", "n_evidence")
+def _verdict(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, and verdict, factor, ocr and n_evidence of the rows that count: whether a line names the field's own category, another one, or none."""
+    own = F.col("own")
+    seen = rows.groupBy(*by, "_want").agg(
+        F.coalesce(F.bool_or(own & (F.col("has") == F.col("_want"))), F.lit(False)).alias("_named"), F.coalesce(F.bool_or(own & F.col("has").isNotNull()), F.lit(False)).alias("_any"),
+        F.avg(F.when(own, F.col("ocr"))).alias("ocr"), F.count_if(own).alias("n_evidence"),
+    )
+    free = F.col("_want").isNull() | F.col("_named")
+    verdict = F.when(F.col("n_evidence") == 0, None).when(free, "ok").when(F.col("_any"), "conflict").otherwise("neutral")
+    return seen.withColumns({"verdict": verdict, "factor": F.when(F.col("n_evidence") > 0, F.when(free, 1.0).otherwise(NEUTRAL))}).drop("_want", "_named", "_any")
+
+
+def verdicts(fields: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, key, verdict, factor, ocr, n_evidence) of the fields with evidence."""
+    return _verdict(_chosen(fields, lines, "inner"), ["doc_id", "key"]).filter("n_evidence > 0")
 
 
 def primary(evidence: DataFrame) -> DataFrame:
     """Every evidence row with its rank: own label first, then OCR confidence, then document order."""
-    own = (label_group(F.col("line")) == group_for_key(F.col("key"))).cast("int")
+    own = (F.col("has") == group_for_key(F.col("key"))).cast("int")
     score = F.coalesce(own, F.lit(0)) * LABEL_BONUS + F.coalesce("ocr", F.lit(0.0))
     best = Window.partitionBy("doc_id", "key").orderBy(F.desc("_score"), "line_idx", "start")
     return evidence.withColumn("_score", score).withColumn("rank", F.row_number().over(best)).drop("_score")
@@ -157,8 +219,7 @@ def composed_confidence(ai: Column, ocr: Column, factor: Column, has_evidence: C
 
 def ground(fields: DataFrame, lines: DataFrame) -> DataFrame:
     """fields with n_evidence, verdict, confidence, reasons and dropped (why a field isn't kept, else null)."""
-    seen = verdicts(evidence_of(fields, lines))
-    out = fields.withColumnRenamed("confidence", "ai").join(seen, ["doc_id", "key"], "left")
+    out = _verdict(_chosen(fields, lines, "left"), fields.columns).withColumnRenamed("confidence", "ai")
     marked = lines.groupBy("doc_id").agg(F.bool_or(F.col("text").rlike(r"(?i)\b(egp|usd|sar|eur)\b")).alias("has_currency"), F.bool_or(F.lower("text").rlike("tax|vat|ضريب")).alias("has_tax"))
     out = out.join(marked, "doc_id", "left")
     n = F.coalesce("n_evidence", F.lit(0))

@@ -171,7 +171,7 @@ def group_for_field(spark, sf_dir):
 
 @query("gr_label_verdict", f"{CHECKED} SELECT doc_id, key, verdict, n::BIGINT AS n_evidence FROM verdict")
 def label_verdict(spark, sf_dir):
-    return G.verdicts(G.evidence_of(fields(spark, sf_dir), lines(spark, sf_dir))).select("doc_id", "key", "verdict", "n_evidence")
+    return G.verdicts(fields(spark, sf_dir), lines(spark, sf_dir)).select("doc_id", "key", "verdict", "n_evidence")
 
 
 @query("gr_primary", f"{CHECKED}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY CASE WHEN has = want THEN 10 ELSE 0 END + coalesce(ocr, 0) DESC, line_idx, start) AS rank FROM labelled) SELECT doc_id, key, line_idx, rank::INTEGER AS rank FROM r")
