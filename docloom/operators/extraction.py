@@ -83,11 +83,17 @@ def label_words(label: str, group: str) -> list[str]:
     return sorted(found, key=lambda w: (-len(w), w))
 
 
+def label_word(norm: Column, words: list[str]) -> Column:
+    """The first of the words that a normal form holds, ASCII ones as words of their own. One expression over the list, whatever its length."""
+    whole = lambda w: F.rlike(norm, F.concat(F.lit(r"\b\Q"), w, F.lit(r"\E\b")))
+    fits = F.filter(F.array(*map(F.lit, words)), lambda w: norm.contains(w) & (w.rlike(r"[^\x00-\x7F]") | whole(w)))
+    return F.get(fits, F.lit(0))
+
+
 def recovery_candidates(lines: DataFrame, key: str, kind: str, label: str, group: str) -> DataFrame:
     """(doc_id, key, line_idx, raw, value, confidence): what follows a label word of the field on its line."""
-    norm = T.normalize(F.col("text"))
-    hits = [F.when(norm.rlike(rf"\b{literal(w)}\b") if w.isascii() else norm.contains(w), F.lit(w)) for w in label_words(label, group)]
-    found = lines.withColumn("word", F.coalesce(*hits)).filter("word IS NOT NULL").withColumn("norm", norm)
+    found = lines.withColumn("norm", T.normalize(F.col("text")))
+    found = found.withColumn("word", label_word(F.col("norm"), label_words(label, group))).filter("word IS NOT NULL")
     after = F.trim(F.regexp_replace(F.split_part(F.col("norm"), F.col("word"), F.lit(-1)), r"^[\s:：.\-#]+", ""))
     dates = F.regexp_extract_all("norm", F.lit(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}"), F.lit(0))
     numbers = F.regexp_extract_all(after, F.lit(r"[-+]?\d[\d,]*(?:\.\d+)?"), F.lit(0))

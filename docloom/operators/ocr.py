@@ -127,25 +127,3 @@ def within_budget(df: DataFrame, key: str, order: str, cost: str, budget: float)
     """df with admitted: rows whose cost still fits what the rows before them leave of the budget."""
     before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("admitted", F.coalesce(F.sum(cost).over(before), F.lit(0)) + F.col(cost) <= budget)
-
-
-def label_values(words: DataFrame) -> DataFrame:
-    """Number words beside or below label words of a document, with alignment and tier.
-
-    Tier 30: on the label's line; 20: level with it (24 px or half its height); 15: a cell below with 35 % common
-    width within 120 px; 10: straight below within 48 px.
-    """
-    from docloom.functions import geometry as G
-    from docloom.operators.spatial import named
-
-    w = words.withColumn("is_number", T.is_numeric_word(F.col("text")))
-    a, b = G.Box("a_"), G.Box("b_")
-    p = named(w.filter("NOT is_number"), "a_").join(named(w.filter("is_number"), "b_"), "doc_id")
-    same = F.col("a_line_idx") == F.col("b_line_idx")
-    level = (F.abs(a.center_y - b.center_y) <= 24) | (G.overlap_ratio(G.overlap_y(a, b), a.height, b.height) >= 0.5)
-    below = b.y - a.bottom
-    column = below.between(0, 120) & (G.overlap_ratio(G.overlap_x(a, b), a.width, b.width) >= 0.35)
-    adjacent = below.between(0, 48)
-    kind = lambda n, name: F.struct(F.lit(n).alias("tier"), F.lit(name).alias("alignment"))
-    tier = F.when(same, kind(30, "inline")).when(level, kind(20, "same_line")).when(column, kind(15, "column_below")).when(adjacent, kind(10, "adjacent_below"))
-    return p.withColumn("t", tier).filter("t IS NOT NULL").withColumns({"tier": F.col("t.tier"), "alignment": F.col("t.alignment")}).drop("t")

@@ -9,6 +9,7 @@ from docloom.functions import text as T
 from docloom.operators import extraction as E
 from docloom.operators import grounding as G
 from docloom.plans.grounding import BASE, GROUND, fields, lines, norm
+from docloom.operators.replies import outer, repair, strip_fences
 from docloom.registry import query
 from docloom.sources import dimensions as D
 from docloom.sources.tables import fixture, rows, rows_sql, table, with_fixtures
@@ -130,46 +131,41 @@ def json_envelope(spark, sf_dir):
     return envelopes(spark).select("k", "name", "is_envelope", F.to_json("value").alias("value"))
 
 
-REPLIES = [(1, '```json\n{"data": {"a": 1}}\n```'), (2, 'Sure: {"fields": {"b": [1, 2,], "c": "x}"}} done'), (3, '{"d": 4, "confidence": {"d": 0.5}}'), (4, "nothing"), (5, '{"open": {"e": 1}'), (6, "[1, 2, 3,]")]
+REPLY = with_fixtures("replies")
 
 
-@query("json_strip_fences", f"SELECT k, trim(regexp_replace(regexp_replace(reply, '^```(json)?\\s*', ''), '\\s*```$', '')) AS body FROM {rows_sql('k long, reply string', REPLIES)}")
-def json_strip_fences(spark, sf_dir):
-    from docloom.operators.replies import strip_fences
+def by_kind(*parts: str | None) -> str:
+    """What the reply of each kind holds; V stands for the order's number in it."""
+    whens = " ".join(f"WHEN {k} THEN " + ("NULL" if p is None else "replace('" + p + "', 'V', v::VARCHAR)") for k, p in enumerate(parts))
+    return f"CASE k % {len(parts)} {whens} END"
+
 
-    return rows(spark, "k long, reply string", REPLIES).select("k", strip_fences(F.col("reply")).alias("body"))
+@query("json_strip_fences", f"{REPLY} SELECT k, trim(regexp_replace(regexp_replace(reply, '^```(json)?\\s*', ''), '\\s*```$', '')) AS body FROM replies")
+def json_strip_fences(spark, sf_dir):
+    return fixture(spark, sf_dir, "replies").select("k", strip_fences(F.col("reply")).alias("body"))
 
 
-@query("json_outer", "SELECT * FROM (VALUES (1::BIGINT, '{\"data\": {\"a\": 1}}'), (2, '{\"fields\": {\"b\": [1, 2,], \"c\": \"x}\"}}'), (3, '{\"d\": 4, \"confidence\": {\"d\": 0.5}}'), (4, NULL), (5, '{\"e\": 1}'), (6, '[1, 2, 3,]')) AS v(k, body)")
+@query("json_outer", f"""{REPLY} SELECT k, {by_kind('{"data": {"a": V}}', '{"fields": {"b": [V, 2,], "c": "x}"}}', '{"d": V, "confidence": {"d": 0.5}}', None, '{"e": V}', '[V, 2, 3,]')} AS body FROM replies""")
 def json_outer(spark, sf_dir):
-    from docloom.operators.replies import outer, strip_fences
-
-    return rows(spark, "k long, reply string", REPLIES).select("k", outer(strip_fences(F.col("reply"))).alias("body"))
+    return fixture(spark, sf_dir, "replies").select("k", outer(strip_fences(F.col("reply"))).alias("body"))
 
 
-@query("json_repair", "SELECT * FROM (VALUES (1::BIGINT, '{\"data\":{\"a\":1}}'), (2, '{\"fields\":{\"b\":[1,2],\"c\":\"x}\"}}'), (3, '{\"confidence\":{\"d\":0.5},\"d\":4}'), (4, NULL), (5, '{\"e\":1}'), (6, '[1,2,3]')) AS v(k, json)")
+@query("json_repair", f"""{REPLY} SELECT k, {by_kind('{"data":{"a":V}}', '{"fields":{"b":[V,2],"c":"x}"}}', '{"confidence":{"d":0.5},"d":V}', None, '{"e":V}', '[V,2,3]')} AS json FROM replies""")
 def json_repair(spark, sf_dir):
-    from docloom.operators.replies import repair
+    return fixture(spark, sf_dir, "replies").select("k", F.to_json(repair(F.col("reply"))).alias("json"))
 
-    return rows(spark, "k long, reply string", REPLIES).select("k", F.to_json(repair(F.col("reply"))).alias("json"))
 
-
-@query("json_parse_raw", "SELECT * FROM (VALUES (1::BIGINT, '{\"a\":1}'), (2, '{\"b\":[1,2],\"c\":\"x}\"}'), (3, '{\"confidence\":{\"d\":0.5},\"d\":4}'), (5, '{\"e\":1}')) AS v(k, data)")
+@query("json_parse_raw", f"""{REPLY} SELECT k, {by_kind('{"a":V}', '{"b":[V,2],"c":"x}"}', '{"confidence":{"d":0.5},"d":V}', None, '{"e":V}', None)} AS data FROM replies WHERE k % 6 NOT IN (3, 5)""")
 def json_parse_raw(spark, sf_dir):
-    from docloom.operators.replies import repair
-
-    v = rows(spark, "k long, reply string", REPLIES).withColumn("v", repair(F.col("reply"))).filter("v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'")
+    v = fixture(spark, sf_dir, "replies").select("k", repair(F.col("reply")).alias("v")).filter("v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'")
     data = F.coalesce(F.expr("try_variant_get(v, '$.data', 'variant')"), F.expr("try_variant_get(v, '$.fields', 'variant')"), F.col("v"))
     return v.select("k", F.to_json(data).alias("data"))
 
 
-VERDICTS = [(1, '```json\n{"type": "Invoice ", "confidence": 1.4, "reasons": ["a", "b", "c", "d", "e", "f"]}\n```'), (2, 'I think {"type": "memo", "confidence": "x"} ok'), (3, "none"), (4, '{"type": "receipt", "confidence": 0.25, "reasons": []}')]
-
-
-@query("json_classification", "SELECT * FROM (VALUES (1::BIGINT, 'invoice', 1.0::DOUBLE, 5), (2, 'unknown', 0.0, 0), (3, 'unknown', 0.0, 0), (4, 'receipt', 0.25, 0)) AS v(k, type, confidence, n_reasons)")
+@query("json_classification", f"{with_fixtures('verdicts')} SELECT k, CASE k % 4 WHEN 0 THEN 'invoice' WHEN 3 THEN 'receipt' ELSE 'unknown' END AS type, CASE k % 4 WHEN 0 THEN least(1.0, v % 3 + 0.25) WHEN 3 THEN (1 + v % 9) / 10.0 ELSE 0.0 END::DOUBLE AS confidence, CASE WHEN k % 4 = 0 THEN 5 ELSE 0 END::INTEGER AS n_reasons FROM verdicts")
 def json_classification(spark, sf_dir):
     body = F.regexp_extract("reply", r"(?s)\{.*\}", 0)
-    v = rows(spark, "k long, reply string", VERDICTS).withColumn("v", F.try_parse_json(body))
+    v = fixture(spark, sf_dir, "verdicts").select("k", F.try_parse_json(body).alias("v"))
     kind = F.lower(F.trim(F.expr("try_variant_get(v, '$.type', 'string')")))
     known = F.when(kind.isin(*D.ALIASES), kind).otherwise("unknown")
     numeric = F.expr("schema_of_variant(try_variant_get(v, '$.confidence', 'variant'))") != "STRING"
@@ -280,18 +276,19 @@ def cln_stage(spark, sf_dir):
 WORDS = [(w,) for w in E.label_words("Total amount", "total")]
 
 
-@query("rec_label_words", f"SELECT word, ord FROM (VALUES {', '.join(f"('{w}', {k})" for k, (w,) in enumerate(WORDS))}) AS v(word, ord)")
-def rec_label_words(spark, sf_dir):
-    lex = rows(spark, "word string", [(w,) for w in D.LABELS["total"]] + [("Total amount",)]).select(F.lower("word").alias("word")).distinct()
-    return lex.withColumn("ord", F.row_number().over(Window.orderBy(F.desc(F.char_length("word")), "word")) - 1)
-
-
 TOTALS = f"""{BASE}, hit AS (SELECT doc_id, line_idx, ocr, nline, CASE {' '.join(f"WHEN {f"regexp_matches(nline, '\\b{w}\\b')" if w.isascii() else f"contains(nline, '{w}')"} THEN '{w}'" for (w,) in WORDS)} END AS word FROM w),
 aft AS (SELECT *, trim(regexp_replace(list_last(string_split(nline, word)), '^[\\s:：.\\-#]+', '')) AS a FROM hit WHERE word IS NOT NULL),
 cand AS (SELECT doc_id, line_idx, replace(list_last(regexp_extract_all(a, '[-+]?[0-9][0-9,]*(?:\\.[0-9]+)?')), ',', '') AS value, least(0.5, coalesce(ocr, 0.7) * 0.7) AS confidence FROM aft WHERE regexp_matches(a, '[0-9]')),
 decided AS (SELECT doc_id, count(DISTINCT value) AS n, min(value) AS v, max(confidence) AS c FROM cand GROUP BY 1)"""
 
 
+@query("rec_label_words", f"{TOTALS} SELECT doc_id, line_idx, word FROM hit WHERE word IS NOT NULL")
+def rec_label_words(spark, sf_dir):
+    """The longest word of a field's label that each line holds."""
+    norm = T.normalize(F.col("text"))
+    return lines(spark, sf_dir).select("doc_id", "line_idx", E.label_word(norm, E.label_words("Total amount", "total")).alias("word")).filter("word IS NOT NULL")
+
+
 def totals(spark, sf_dir):
     return E.recovery_candidates(lines(spark, sf_dir), "total_amount", "currency", "Total amount", "total")
 
@@ -482,7 +479,13 @@ def trc_ground_summary(spark, sf_dir):
     return g.groupBy("doc_id").agg(F.round(F.avg((F.col("n_evidence") > 0).cast("double")), 3).alias("coverage"), F.count_if(F.col("dropped").isNotNull()).alias("n_dropped"))
 
 
-@query("err_map", f"SELECT code, http FROM (VALUES {', '.join(f"('{k}', {v})" for k, v in D.ERRORS.items())}, ('OTHER', 500)) AS v(code, http)")
+CODES = [*D.ERRORS, "OTHER"]
+
+
+@query("err_map", f"{with_fixtures('jobs')}, c AS (SELECT job_id, {CODES}[job_id % {len(CODES)} + 1] AS code FROM jobs WHERE status = 'error') SELECT job_id, code, CASE code {' '.join(f"WHEN '{k}' THEN {v}" for k, v in D.ERRORS.items())} ELSE 500 END::INTEGER AS http FROM c")
 def err_map(spark, sf_dir):
+    """The status of each failed job's error."""
     status = F.create_map(*(F.lit(x) for pair in D.ERRORS.items() for x in pair))
-    return rows(spark, "code string", [(k,) for k in [*D.ERRORS, "OTHER"]]).select("code", F.coalesce(status[F.col("code")], F.lit(500)).alias("http"))
+    code = F.get(F.array(*map(F.lit, CODES)), (F.col("job_id") % len(CODES)).cast("int"))
+    failed = fixture(spark, sf_dir, "jobs").filter("status = 'error'").select("job_id", code.alias("code"))
+    return failed.select("job_id", "code", F.coalesce(status[F.col("code")], F.lit(500)).alias("http"))

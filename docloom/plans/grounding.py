@@ -11,7 +11,7 @@ from docloom.plans.text import NORMAL, count_sql
 from docloom.registry import query
 from docloom.sources import dimensions as D
 from docloom.sources.documents import lines as split_lines
-from docloom.sources.tables import fixture, rows, rows_sql, table, with_fixtures
+from docloom.sources.tables import derived, fixture, rows, rows_sql, table, with_fixtures
 
 OCR = "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE ((line_idx * 7 + doc_id) % 10) / 10.0 END"
 
@@ -89,13 +89,15 @@ def universal(spark, sf_dir):
     return holding(lines_, quotes).select("doc_id", "line_idx", "item_id", "words").distinct()
 
 
-ITEMS = [(1, '[{"description":"Blue pen","amount":3},{"description":" "},{"amount":4}]'), (2, "[]"), (3, '[{"description":"Notebook"}]')]
+ITEMS = """SELECT l_orderkey AS k, l_linenumber AS n, concat('[{"description":"Part ', CAST(l_partkey AS STRING), '","amount":3},{"description":" "},{"amount":4}]') AS items, l_partkey AS v FROM {lineitem}"""
 
 
-@query("gr_needles", "SELECT * FROM (VALUES (1::BIGINT, 'Blue pen'), (3::BIGINT, 'Notebook')) AS v(k, needle)")
+@query("gr_needles", f"SELECT k, n, 'Part ' || v AS needle FROM ({ITEMS.replace('{lineitem}', 'lineitem')})")
 def needles(spark, sf_dir):
+    """Descriptions of line items, as far as there are any."""
+    r = derived(spark, sf_dir, ITEMS)
     items = F.from_json("items", "array<struct<description:string,amount:double>>")
-    return rows(spark, "k long, items string", ITEMS).select("k", F.explode(F.transform(items, lambda i: i["description"])).alias("needle")).filter(F.trim("needle") != "")
+    return r.select("k", "n", F.explode(F.transform(items, lambda i: i["description"])).alias("needle")).filter(F.trim("needle") != "")
 
 
 @query("gr_find_evidence", f"{EVIDENCE} SELECT {SPOT_SQL} FROM (SELECT doc_id, key, line_idx, s[2] AS start, s[3] AS \"end\", role FROM direct)")
@@ -124,12 +126,13 @@ def verify_separator_free(spark, sf_dir):
     return G.verified_evidence(fields(spark, sf_dir), lines(spark, sf_dir)).select("doc_id", "key", "line_idx", "start", "end")
 
 
-DATES = [(1, "Issued 2028/07/02 noon", "2028-07-02"), (2, "on 20280702", "2028-07-02"), (3, "2028.07.02", "2028-07-02"), (4, "02/07/2028", "2028-07-02"), (5, "2928-07-02", "2028-07-02")]
+DATES = """SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN concat('Issued ', replace(iso, '-', '/'), ' noon') WHEN 1 THEN concat('on ', replace(iso, '-', '')) WHEN 2 THEN replace(iso, '-', '.') WHEN 3 THEN concat(substr(iso, 9, 2), '/', substr(iso, 6, 2), '/', substr(iso, 1, 4)) ELSE concat('2', substr(iso, 3, 8), 'x') END AS text, iso AS raw
+FROM (SELECT o_orderkey, concat(CAST(year(o_orderdate) AS STRING), '-', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '-', lpad(CAST(day(o_orderdate) AS STRING), 2, '0')) AS iso FROM {orders}) AS o"""
 
 
-@query("gr_verify_dates", "SELECT * FROM (VALUES (1::BIGINT, 1::INTEGER, 1::INTEGER), (2::BIGINT, 1::INTEGER, 1::INTEGER), (3::BIGINT, 0::INTEGER, 0::INTEGER)) AS v(doc_id, start, \"end\")")
+@query("gr_verify_dates", f"SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN 0 ELSE 1 END::INTEGER AS start, CASE WHEN doc_id % 5 = 2 THEN 0 ELSE 1 END::INTEGER AS \"end\" FROM ({DATES.replace('{orders}', 'orders')}) WHERE doc_id % 5 < 3")
 def verify_dates(spark, sf_dir):
-    d = rows(spark, "doc_id long, text string, raw string", DATES)
+    d = spark.sql(DATES, orders=table(spark, sf_dir, "orders"))
     f = d.select("doc_id", F.lit("invoice_date").alias("key"), F.lit("date").alias("type"), "raw")
     return G.iso_evidence(f, d.select("doc_id", F.lit(0).alias("line_idx"), "text", F.lit(1.0).alias("ocr"))).select("doc_id", "start", "end")
 

@@ -207,14 +207,6 @@ weighted("cp_propagate", "1.0", lambda: F.lit(1.0))
 weighted("cp_weights", "width * height", lambda: F.col("width") * F.col("height"))
 
 
-@query("cp_composite", f"{BOXES} SELECT {KEY}, round(CASE WHEN word_idx % 2 = 0 THEN (confidence + width / 100) / 2 ELSE confidence END, 6) AS score FROM boxes")
-def cp_composite(spark, sf_dir):
-    """Mean over the measured components only."""
-    parts = F.array_compact(F.array(F.col("confidence"), F.when(F.col("word_idx") % 2 == 0, F.col("width") / 100)))
-    score = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.size(parts)
-    return boxes(spark, sf_dir).select(*L.WORD, F.round(score, 6).alias("score"))
-
-
 @query("cp_profile", f"{BOXES} SELECT doc_id, count(*)::BIGINT AS n, round(avg(confidence), 6) AS mean, round(var_pop(confidence), 6) AS variance, min(confidence) AS least, max(confidence) AS most FROM boxes GROUP BY 1")
 def cp_profile(spark, sf_dir):
     c = "confidence"

@@ -11,7 +11,7 @@ from docloom.operators.quotes import holding
 from docloom.plans.grounding import OCR, label_sql
 from docloom.plans.text import GARBAGE, CONSISTENT, PRINTABLE, QUALITY, REPEATED
 from docloom.registry import query
-from docloom.sources.tables import fixture, rows, rows_sql, table, with_fixtures
+from docloom.sources.tables import fixture, rows, table, with_fixtures
 
 NOISE = f"CASE WHEN {GARBAGE} IS NOT NULL THEN 1.0 ELSE least(1.0, greatest(0.0, (1 - {PRINTABLE}) * 0.3 + (1 - {CONSISTENT}) * 0.25 + (1 - {QUALITY}) * 0.25 + {REPEATED} * 0.1)) END".replace("TXT", "text")
 NORM = "trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
@@ -216,58 +216,6 @@ def ev_confusion(spark, sf_dir):
     return c.withColumns({"precision": share("first_better"), "recall": share("both_fail")})
 
 
-TIERS = f"""{BOX}, n AS (SELECT *, {IS_NUMBER} AS num FROM boxes), p AS (SELECT a.doc_id, a.line_idx AS a_line, a.word_idx AS a_word, b.line_idx AS b_line, b.word_idx AS b_word, a.line_idx = b.line_idx AS same,
-abs(a.y + a.height / 2 - b.y - b.height / 2) <= 24 OR greatest(0, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y)) / least(a.height, b.height) >= 0.5 AS lev, b.y - a.y - a.height AS below,
-greatest(0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) / least(a.width, b.width) AS ov FROM n a JOIN n b ON a.doc_id = b.doc_id AND NOT a.num AND b.num),
-t AS (SELECT *, CASE WHEN same THEN 30 WHEN lev THEN 20 WHEN below BETWEEN 0 AND 120 AND ov >= 0.35 THEN 15 WHEN below BETWEEN 0 AND 48 THEN 10 END AS tier FROM p)"""
-ENDS = "doc_id, a_line, a_word, b_line, b_word"
-
-
-def tiers(spark, sf_dir):
-    t = O.label_values(fixture(spark, sf_dir, "boxes"))
-    return t.select("doc_id", F.col("a_line_idx").alias("a_line"), F.col("a_word_idx").alias("a_word"), F.col("b_line_idx").alias("b_line"), F.col("b_word_idx").alias("b_word"), "tier", "alignment")
-
-
-def tier_query(name: str, tier: int):
-    @query(name, f"{TIERS} SELECT {ENDS} FROM t WHERE tier = {tier}")
-    def run(spark, sf_dir):
-        return tiers(spark, sf_dir).filter(F.col("tier") == tier).select(*ENDS.split(", "))
-
-
-tier_query("sx_inline", 30)
-tier_query("sx_same_line", 20)
-tier_query("sx_column_below", 15)
-tier_query("sx_adjacent_below", 10)
-
-
-@query("sx_best", f"{TIERS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, a_line, a_word ORDER BY tier DESC, b_line, b_word) AS n FROM t WHERE tier IS NOT NULL) SELECT {ENDS}, tier FROM r WHERE n = 1")
-def sx_best(spark, sf_dir):
-    best = Window.partitionBy("doc_id", "a_line", "a_word").orderBy(F.desc("tier"), "b_line", "b_word")
-    return tiers(spark, sf_dir).withColumn("n", F.row_number().over(best)).filter("n = 1").select(*ENDS.split(", "), "tier")
-
-
-MATCH = [(1, "1,234.50", "1234.5"), (2, "100", "1000"), (3, "12345678901234567", "12345678901234568"), (4, "AB-1", "ab-1"), (5, "x", "y")]
-
-
-@query("sx_values_match", "SELECT * FROM (VALUES (1::BIGINT, true), (2, false), (3, false), (4, true), (5, false)) AS v(k, equal)")
-def sx_values_match(spark, sf_dir):
-    r = rows(spark, "k long, a string, b string", MATCH)
-    a, b = T.to_number(F.col("a")), T.to_number(F.col("b"))
-    short = (F.char_length(T.digits_only(F.col("a"))) <= 14) & (F.char_length(T.digits_only(F.col("b"))) <= 14)
-    plain = F.col("a").rlike(r"^[0-9.,]+$") & F.col("b").rlike(r"^[0-9.,]+$")
-    return r.select("k", F.when(plain & short, F.abs(a - b) < 1e-6).when(plain, T.digits_only(F.col("a")) == T.digits_only(F.col("b"))).otherwise(T.normalize(F.col("a")) == T.normalize(F.col("b"))).alias("equal"))
-
-
-@query("sx_classify", f"{TIERS}, r AS (SELECT doc_id, a_line, a_word, max(tier) AS tier FROM t GROUP BY 1, 2, 3), c AS (SELECT r.*, b.confidence FROM r JOIN boxes b ON b.doc_id = r.doc_id AND b.line_idx = r.a_line AND b.word_idx = r.a_word) SELECT doc_id, a_line, a_word, CASE WHEN tier IS NULL THEN 'MISSING' WHEN confidence < 0.6 OR tier < 20 THEN 'UNCERTAIN' ELSE 'VERIFIED' END AS status FROM c")
-def sx_classify(spark, sf_dir):
-    """Labels of documents that hold a number: verified beside one, uncertain when weak or above one, else missing."""
-    b = fixture(spark, sf_dir, "boxes").withColumn("num", T.is_numeric_word(F.col("text")))
-    labels = b.filter("NOT num").join(b.filter("num").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("line_idx").alias("a_line"), F.col("word_idx").alias("a_word"), "confidence")
-    top = tiers(spark, sf_dir).groupBy("doc_id", "a_line", "a_word").agg(F.max("tier").alias("tier"))
-    both = labels.join(top, ["doc_id", "a_line", "a_word"], "left")
-    return both.select("doc_id", "a_line", "a_word", F.when(F.col("tier").isNull(), "MISSING").when((F.col("confidence") < 0.6) | (F.col("tier") < 20), "UNCERTAIN").otherwise("VERIFIED").alias("status"))
-
-
 @query("sx_label_coverage", f"{with_fixtures('rendered')}, l AS (SELECT doc_id, {label_sql('text')} AS grp FROM rendered) SELECT doc_id, round(count(DISTINCT grp) / 4.0, 6)::DOUBLE AS coverage FROM l WHERE grp IN ('number', 'date', 'buyer', 'total') GROUP BY 1")
 def sx_label_coverage(spark, sf_dir):
     from docloom.operators.grounding import label_group
@@ -284,13 +232,6 @@ def sx_neighbors(spark, sf_dir):
     return p.join(a, "doc_id").filter("pos BETWEEN lo - 3 AND hi + 3").select("doc_id", "line_idx", "word_idx")
 
 
-@query("sx_document", f"{TIERS}, r AS (SELECT doc_id, a_line, a_word, max(tier) AS tier FROM t GROUP BY 1, 2, 3) SELECT doc_id, count(*) FILTER (tier >= 20)::BIGINT AS found, count(*) FILTER (tier IS NULL)::BIGINT AS missing FROM r GROUP BY 1")
-def sx_document(spark, sf_dir):
-    s = sx_classify(spark, sf_dir).select("doc_id", "a_line", "a_word", "status")
-    top = tiers(spark, sf_dir).groupBy("doc_id", "a_line", "a_word").agg(F.max("tier").alias("tier"))
-    return s.join(top, ["doc_id", "a_line", "a_word"], "left").groupBy("doc_id").agg(F.count_if(F.col("tier") >= 20).alias("found"), F.count_if(F.col("tier").isNull()).alias("missing"))
-
-
 HISTOGRAM = "SELECT l_orderkey % 20 AS img, (l_partkey * 7 + l_suppkey) % 256 AS v, count(*) AS n FROM {lineitem} GROUP BY 1, 2"
 OTSU = f"""WITH h AS ({HISTOGRAM.replace('{lineitem}', 'lineitem')}), c AS (SELECT img, v, sum(n) OVER (PARTITION BY img ORDER BY v) AS w0, sum(n * v) OVER (PARTITION BY img ORDER BY v) AS s0, sum(n) OVER (PARTITION BY img) AS w, sum(n * v) OVER (PARTITION BY img) AS s FROM h),
 b AS (SELECT img, v, CASE WHEN w = w0 THEN 0 ELSE w0::DOUBLE * (w - w0) * pow(s0 / w0 - (s - s0) / (w - w0), 2) END AS between_ FROM c) SELECT img, arg_max(v, (between_, -v)) AS threshold FROM b GROUP BY 1"""

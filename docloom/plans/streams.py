@@ -91,18 +91,19 @@ def mime_sniff(spark, sf_dir):
     return rows(spark, "k long, hex string", MAGIC).select("k", F.coalesce(*(F.when(F.startswith(content, F.unhex(F.lit(h))), m) for h, m in SNIFF)).alias("mime"))
 
 
-OCR = [(1, '{"lines": [{"text": "a b", "confidence": 0.9}, {"text": "c"}]}'), (2, "plain\ntext"), (3, '{"lines": []}')]
+READ = f"{with_fixtures('pages_read')}, l AS (SELECT k, 'total ' || v AS text, 0.9::DOUBLE AS confidence FROM pages_read WHERE k % 3 = 0 UNION ALL SELECT k, 'end', NULL FROM pages_read WHERE k % 3 = 0 UNION ALL SELECT k, unnest(string_split(reply, chr(10))), NULL FROM pages_read WHERE k % 3 = 1)"
 
 
-@query("src_ocr_json", "SELECT * FROM (VALUES (1::BIGINT, 'a b', 0.9::DOUBLE), (1, 'c', NULL), (2, 'plain', NULL), (2, 'text', NULL)) AS v(k, text, confidence)")
+@query("src_ocr_json", f"{READ} SELECT k, text, confidence FROM l")
 def ocr_json(spark, sf_dir):
-    r = rows(spark, "k long, reply string", OCR).withColumn("p", F.from_json("reply", "lines array<struct<text:string,confidence:double>>"))
+    """Lines of a reader's replies, JSON or plain text."""
+    r = fixture(spark, sf_dir, "pages_read").withColumn("p", F.from_json("reply", "lines array<struct<text:string,confidence:double>>"))
     plain = F.transform(F.split("reply", r"\r?\n"), lambda t: F.struct(t.alias("text"), F.lit(None).cast("double").alias("confidence")))
     found = F.when(F.trim("reply").startswith("{"), F.col("p.lines")).otherwise(plain)
     return r.select("k", F.explode(found).alias("l")).select("k", "l.text", "l.confidence")
 
 
-@query("src_image", "SELECT * FROM (VALUES (1::BIGINT, 'a', 0.9::DOUBLE), (1, 'b', 0.9), (1, 'c', NULL), (2, 'plain', NULL), (2, 'text', NULL)) AS v(k, word, confidence)")
+@query("src_image", f"{READ} SELECT k, unnest(string_split(text, ' ')) AS word, confidence FROM l")
 def image(spark, sf_dir):
     """Line confidence goes to each of its words."""
     return ocr_json(spark, sf_dir).select("k", F.explode(F.split("text", " ")).alias("word"), "confidence")
@@ -196,7 +197,7 @@ def sink_skip_rule(spark, sf_dir):
     return table(spark, sf_dir, "conversations").filter((F.char_length("text") >= 30) & ~F.col("text").rlike(r"^\[(Audio|Video|Could not extract|No text found)")).select("conv_id", "turn")
 
 
-@query("sink_agent_context", f"{CAND} SELECT doc_id, string_agg('- ' || key || ': ' || raw[:120] || CASE WHEN confidence < 0.6 THEN ' (low OCR confidence)' ELSE '' END, chr(10) ORDER BY ord) AS context FROM candidates WHERE raw <> '' GROUP BY 1")
+@query("sink_agent_context", f"{CAND} SELECT doc_id, string_agg('- ' || key || ': ' || raw[:120] || CASE WHEN confidence < 0.6 THEN ' ({D.UNCERTAINTY['ocr_confidence_low']})' ELSE '' END, chr(10) ORDER BY ord) AS context FROM candidates WHERE raw <> '' GROUP BY 1")
 def sink_agent_context(spark, sf_dir):
     unsure = F.when(F.col("confidence") < 0.6, F.lit(f" ({D.UNCERTAINTY['ocr_confidence_low']})")).otherwise("")
     line = F.concat(F.lit("- "), "key", F.lit(": "), F.left("raw", F.lit(120)), unsure)
@@ -217,10 +218,14 @@ def sink_dto(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang", F.md5(F.left("text", F.lit(4000))).alias("preview"))
 
 
-@query("sink_uncertainty_label", f"SELECT code, phrase FROM (VALUES {', '.join(f"('{k}', '{v}')" for k, v in D.UNCERTAINTY.items())}) AS v(code, phrase)")
+CODES = list(D.UNCERTAINTY)
+
+
+@query("sink_uncertainty_label", f"{with_fixtures('candidates')}, c AS (SELECT doc_id, key, {CODES}[(doc_id + ord) % {len(CODES)} + 1] AS code FROM candidates) SELECT doc_id, key, code, CASE code {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in D.UNCERTAINTY.items())} END AS phrase FROM c")
 def sink_uncertainty_label(spark, sf_dir):
     phrase = F.create_map(*(F.lit(x) for pair in D.UNCERTAINTY.items() for x in pair))
-    return rows(spark, "code string", [(k,) for k in D.UNCERTAINTY]).select("code", phrase[F.col("code")].alias("phrase"))
+    code = F.get(F.array(*map(F.lit, CODES)), ((F.col("doc_id") + F.col("ord")) % len(CODES)).cast("int"))
+    return fixture(spark, sf_dir, "candidates").select("doc_id", "key", code.alias("code")).withColumn("phrase", phrase[F.col("code")])
 
 
 JOBS = with_fixtures("jobs")
@@ -252,12 +257,13 @@ def rate_gc(spark, sf_dir):
     return last.select("user_id", (F.col("last") + F.expr("INTERVAL 900 SECOND") < F.col("now")).alias("expired"))
 
 
-HEADERS = [(1, " 1.2.3.4 , 5.6.7.8", "9.9.9.9"), (2, None, "9.9.9.9"), (3, "", None), (4, None, None)]
+HEADERS = "SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat(' 1.2.3.', CAST(user_id AS STRING), ' , 5.6.7.8') WHEN 1 THEN '' END AS fwd, CASE WHEN event_id % 3 = 0 THEN concat('9.9.9.', CAST(user_id AS STRING)) END AS ip FROM {events}"
 
 
-@query("st_client_id", "SELECT * FROM (VALUES (1::BIGINT, '1.2.3.4'), (2, '9.9.9.9'), (3, 'unknown'), (4, 'unknown')) AS v(k, client)")
+@query("st_client_id", f"WITH h AS ({HEADERS.replace('{events}', 'events')}) SELECT event_id, CASE WHEN trim(split_part(fwd, ',', 1)) <> '' THEN trim(split_part(fwd, ',', 1)) WHEN trim(ip) <> '' THEN trim(ip) ELSE 'unknown' END AS client FROM h")
 def client_id(spark, sf_dir):
-    return rows(spark, "k long, fwd string, ip string", HEADERS).select("k", L.client_id(F.col("fwd"), F.col("ip")).alias("client"))
+    h = spark.sql(HEADERS, events=table(spark, sf_dir, "events"))
+    return h.select("event_id", L.client_id(F.col("fwd"), F.col("ip")).alias("client"))
 
 
 FRAME = "concat('event: token', chr(10), 'data: ', replace(text, chr(10), ' '), chr(10), chr(10))"

@@ -79,9 +79,15 @@ GROUP_OF_KEY = {
     "payment_method": "payment", "pos_number": "pos", "terminal_id": "pos", "merchant_tax_id": "tax", "seller_tax_id": "tax", "buyer_tax_id": "tax",
 }
 UNCERTAINTY = {
-    "no_direct_evidence": "no direct evidence", "ocr_confidence_low": "low OCR confidence", "label_not_matched": "label not matched", "ambiguous_candidates": "several candidates",
-    "recovered": "recovered value", "ocr_near_duplicate": "near-duplicate reading", "validation_failed": "failed validation", "cleaned": "cleaned value",
-}
+    "recovered_from_ocr": "value was recovered directly from the OCR text by label matching, not independently verified",
+    "ambiguous_candidates": "several distinct candidates appear in the document and the correct one could not be determined",
+    "ocr_confidence_low": "OCR confidence for this value is low (blurry, faint, or misread characters)",
+    "label_not_matched": "value was found in the text but no matching field label sat on the same line",
+    "no_direct_evidence": "value does not directly appear in the OCR text and was inferred rather than read verbatim",
+    "ocr_near_duplicate": "the OCR text contains near-identical candidate values and the correct one could not be resolved",
+    "inferred_by_position": "value was chosen by its position and size in the document, not by a matching label",
+    "entity_cleaned": "value was repaired by a generic entity cleaner (e.g. OCR character or spacing noise)",
+}
 ERRORS = {"FILE_NOT_FOUND": 404, "PROFILE_NOT_FOUND": 404, "EMPTY_SOURCE": 422, "EXTRACTION_FAILED": 502, "PIPELINE_INTERRUPTED": 409, "UNSUPPORTED_FORMAT": 400, "RATE_LIMITED": 429}
 # ----------------------------------------------------------------------------
 

@@ -109,6 +109,42 @@ SELECT doc_id, type, from_id, to_id, score, CAST(ord AS INTEGER) AS ord, CAST(pl
   UNION ALL SELECT doc_id, 'READING_NEXT', id, id, CAST(0.1 AS DOUBLE), 5000002, pos FROM c WHERE doc_id % 47 = 0 AND pos = 1
   UNION ALL SELECT doc_id, 'CONTAINS', id, 'ghost', score, 5000003, 0 FROM c WHERE doc_id % 23 = 0 AND pos = 1
 ) AS e
+""",
+    # The rendered lines as boxes of a page, 40 px apart but for a second total beside the first, eight px a character.
+    "sheet": r"""
+SELECT doc_id, line_idx, text, CAST((line_idx * 7 + doc_id) % 10 AS DOUBLE) / 10 AS conf, CAST(doc_id % 3 * 40 AS DOUBLE) AS x, CAST(CASE WHEN line_idx = 5 THEN 170 ELSE 40 * line_idx END AS DOUBLE) AS y, CAST(8 * length(text) AS DOUBLE) AS width, CAST(12 AS DOUBLE) AS height,
+  CASE WHEN line_idx <= 3 THEN 'header' WHEN line_idx <= 5 THEN 'footer' WHEN doc_id % 8 = 0 THEN NULL ELSE 'body' END AS region, CAST(floor(line_idx / 2) AS INTEGER) AS block, CASE WHEN line_idx > 5 THEN 1 ELSE 0 END AS page
+FROM (__RENDERED__) AS r
+""",
+    # What a schema asks of each order: keys with the expected value, where there is one.
+    "asked": r"""
+SELECT o_orderkey AS doc_id, 'invoice_number' AS key, CASE WHEN o_orderkey % 9 = 0 THEN '12345678' ELSE lpad(CAST(o_orderkey AS STRING), 8, '0') END AS expected FROM {orders}
+UNION ALL SELECT o_orderkey, 'total_amount', CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN '7' ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) END FROM {orders}
+UNION ALL SELECT o_orderkey, 'buyer_name', NULL FROM {orders}
+UNION ALL SELECT o_orderkey, 'payment_method', CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS STRING) END FROM {orders}
+""",
+    # Replies of a model about each order: fenced, in prose with a trailing comma, plain, none, unclosed, a list.
+    "replies": r"""
+SELECT o_orderkey AS k, CASE o_orderkey % 6
+    WHEN 0 THEN concat('```json', chr(10), '{"data": {"a": ', CAST(o_custkey AS STRING), '}}', chr(10), '```')
+    WHEN 1 THEN concat('Sure: {"fields": {"b": [', CAST(o_custkey AS STRING), ', 2,], "c": "x}"}} done')
+    WHEN 2 THEN concat('{"d": ', CAST(o_custkey AS STRING), ', "confidence": {"d": 0.5}}')
+    WHEN 3 THEN concat('nothing ', CAST(o_custkey AS STRING))
+    WHEN 4 THEN concat('{"open": {"e": ', CAST(o_custkey AS STRING), '}')
+    ELSE concat('[', CAST(o_custkey AS STRING), ', 2, 3,]') END AS reply, o_custkey AS v FROM {orders}
+""",
+    # A model's verdicts on each order's type.
+    "verdicts": r"""
+SELECT o_orderkey AS k, CASE o_orderkey % 4
+    WHEN 0 THEN concat('```json', chr(10), '{"type": "Invoice ", "confidence": ', CAST(o_custkey % 3 AS STRING), '.25, "reasons": ["a", "b", "c", "d", "e", "f"]}', chr(10), '```')
+    WHEN 1 THEN 'I think {"type": "memo", "confidence": "x"} ok'
+    WHEN 2 THEN concat('none ', CAST(o_custkey AS STRING))
+    ELSE concat('{"type": "receipt", "confidence": 0.', CAST(1 + o_custkey % 9 AS STRING), ', "reasons": []}') END AS reply, o_custkey AS v FROM {orders}
+""",
+    # Replies of a reader of pages: lines as JSON, as plain text, none.
+    "pages_read": r"""
+SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN concat('{"lines": [{"text": "total ', CAST(o_custkey AS STRING), '", "confidence": 0.9}, {"text": "end"}]}')
+    WHEN 1 THEN concat('plain ', CAST(o_custkey AS STRING), chr(10), 'text') ELSE '{"lines": []}' END AS reply, o_custkey AS v FROM {orders}
 """,
     "jobs": r"""
 SELECT event_id AS job_id, user_id, ts AS updated_at,
@@ -119,14 +155,20 @@ FROM {events}
 }
 
 
+FIXTURES["sheet"] = FIXTURES["sheet"].replace("__RENDERED__", RENDERED.strip())
 for _name in ("faulty_nodes", "faulty_edges"):
     FIXTURES[_name] = FIXTURES[_name].replace("__BOXES__", FIXTURES["boxes"].strip())
 
 
+def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The rows of a SQL text whose table names stand in braces; other braces are its own."""
+    plain = re.sub(r"\{\{(\w+)\}\}", r"{\1}", sql.replace("{", "{{").replace("}", "}}"))
+    used = set(re.findall(r"\{(\w+)\}", sql)) & set(TABLES)
+    return spark.sql(plain, **{t: table(spark, sf_dir, t) for t in used})
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = FIXTURES[name]
-    used = set(re.findall(r"\{(\w+)\}", sql))
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used})
+    return derived(spark, sf_dir, FIXTURES[name])
 
 
 def fixture_sql(name: str) -> str:
