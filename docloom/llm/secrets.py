@@ -41,8 +41,8 @@ from .common import durable
 
 #: Labelled findings that training uses at most, chosen by a hash.
 LABELLED_ROWS = 20_000
-#: Words of the dictionary: the commonest of all documents. A feature's resolution, not a filter: every candidate is described and decided.
-DICTIONARY = 5_000
+#: Words that are at least one in so many of all documents' words make the dictionary, which is no larger by arithmetic.
+DICTIONARY = 20_000
 #: Documents with a candidate whose findings may be labelled, chosen by a hash of their id.
 SAMPLE_DOCUMENTS = 20_000
 TREES = 24
@@ -233,11 +233,12 @@ def label_findings(docs: DataFrame, dictionary: frozenset[str], text: str = "tex
     return docs.select(F.explode(run(F.col(text))).alias("f"), F.coalesce(path, F.lit("")).alias("path")).select("f.*", "path").distinct()
 
 
-def dictionary_of(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> frozenset[str]:
-    """The `size` commonest words of four letters or more, of all documents. Collected: the words."""
+def dictionary_of(docs: DataFrame, text: str = "text", share: int = DICTIONARY) -> frozenset[str]:
+    """The words of four letters or more that are at least one in `share` of all such words of all documents. Collected: at most `share` words."""
     words = docs.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("w")).filter(F.length("w") >= 4)
-    best = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(size)
-    return frozenset(r.w for r in best.collect())
+    counts = durable(words.groupBy("w").agg(F.count("*").alias("n")), "secret-words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return frozenset(r.w for r in counts.filter(F.col("n") * share >= F.lit(total)).select("w").collect())
 
 
 def train(findings: DataFrame, dictionary: frozenset[str], most_rows: int = LABELLED_ROWS) -> Forest:

@@ -218,3 +218,43 @@ def test_every_document_with_50_words_of_an_earlier_one_is_found(spark, small):
         for g in own:
             first.setdefault(g, k)
     assert need <= {r.doc_id for r in op8_passages(spark, small).collect()}
+
+
+def test_fingerprints_of_similar_sets_lie_within_the_bound():
+    from docloom.llm import shingles
+
+    rnd = np.random.default_rng(7)
+    bits = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(shingles.set_fingerprint(a), shingles.set_fingerprint(b), strict=True))
+    for n in (5, 6, 10, 30, 200):
+        most = 0
+        for _ in range(300):
+            both = rnd.integers(0, 2**63, size=n, dtype=np.uint64)
+            kept = both[: -(-4 * n // 5)]  # a subset of four fifths: similarity 0.8 at least
+            most = max(most, bits(np.unique(both), np.unique(kept)))
+        assert most <= shingles.BITS
+    apart = [bits(np.unique(rnd.integers(0, 2**63, size=50, dtype=np.uint64)), np.unique(rnd.integers(0, 2**63, size=50, dtype=np.uint64))) for _ in range(300)]
+    assert np.mean(np.array(apart) > shingles.BITS) > 0.99
+
+
+@pytest.mark.parametrize("kind", ["lines", "edits"])
+def test_composed_and_fuzzy_passages(spark, kind):
+    """Passages whose lines were first seen elsewhere apart, and passages with a word in ten replaced."""
+    rnd = random.Random(8)
+    rows, want, k = [], set(), 0
+    for _ in range(40):
+        if kind == "lines":
+            parts = [prose(rnd, 20) for _ in range(3)]
+            for part in parts:
+                rows.append((k, " ".join(prose(rnd, 30) + part + prose(rnd, 30))))
+                k += 1
+            copies = [sum(parts, []), sum(parts, [])]
+        else:
+            base = prose(rnd, 100)
+            copies = [base, [w if at % 10 else f"edit{rnd.randrange(10**6)}" for at, w in enumerate(base)]]
+        for copy in copies:
+            rows.append((k, " ".join(prose(rnd, 40) + copy + prose(rnd, 40))))
+            k += 1
+        want.add((k - 1, k - 2))
+    found = {(r.doc_id, r.other_id) for r in passages.shared_passages(spark.createDataFrame(rows, DOC)).collect()}
+    assert len(want & found) >= (40 if kind == "lines" else 30)
+    assert not found - want
