@@ -131,3 +131,29 @@ def test_stream_limiter_equals_batch(spark, tmp_path):
     live = {(r.user, r["at"]): r.allowed for r in spark.table("limited").collect()}
     batch = {(r.user, r["at"]): r.allowed for r in limits.rate_limit(df, "user", "at", "n", 2, 60).collect()}
     assert live == batch and len(live) == 200 and not all(live.values())
+
+
+def test_long_chains_have_no_cycle_and_cycles_are_broken(spark):
+    from docloom.operators import graphs as V
+
+    chain = [(1, f"n{k:03}", f"n{k + 1:03}", 0.5, k) for k in range(100)]
+    rings = [(2, f"n{k:03}", f"n{(k + 1) % 90:03}", 0.2 + (k % 7) / 10, k) for k in range(90)] + [(2, "n003", "n003", 0.9, 90), (3, "a", "b", 0.5, 0), (3, "b", "a", 0.5, 1)]
+    e = spark.createDataFrame(chain + rings, "doc_id long, from_id string, to_id string, score double, ord int")
+    found = {(r.doc_id, r.id): r.round for r in V.ordered(e).collect()}
+    assert all(found[1, f"n{k:03}"] == k for k in range(101)) and all(v is None for (d, _), v in found.items() if d != 1)
+    out = {(r.doc_id, r.from_id, r.to_id) for r in V.cycle_breakers(e, F.when(F.col("from_id") == "a", 1).otherwise(2)).collect()}
+    assert out == {(2, "n000", "n001"), (2, "n003", "n003"), (3, "b", "a")}
+    left = e.join(spark.createDataFrame(list(out), "doc_id long, from_id string, to_id string"), ["doc_id", "from_id", "to_id"], "left_anti")
+    assert V.cyclic_nodes(left).count() == 0
+
+
+def test_quotes_of_every_length(spark):
+    import random
+
+    from docloom.operators.quotes import holding
+
+    rnd = random.Random(3)
+    texts = [(k, " ".join(rnd.choice(["ab", "abc", "b", "cab", "bca"]) for _ in range(rnd.randint(0, 12)))) for k in range(40)]
+    quotes = [(k, " ".join(rnd.choice(["ab", "b", "ca", "abc"]) for _ in range(rnd.randint(0, 8)))) for k in range(60)]
+    got = {(r.t, r.q) for r in holding(spark.createDataFrame(texts, "t long, text string"), spark.createDataFrame(quotes, "q long, quote string")).collect()}
+    assert got == {(t, q) for t, x in texts for q, y in quotes if y and y in x}
