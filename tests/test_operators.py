@@ -137,7 +137,7 @@ def test_long_chains_have_no_cycle_and_cycles_are_broken(spark):
     from docloom.operators import graphs as V
 
     chain = [(1, f"n{k:03}", f"n{k + 1:03}", 0.5, k) for k in range(100)]
-    rings = [(2, f"n{k:03}", f"n{(k + 1) % 90:03}", 0.2 + (k % 7) / 10, k) for k in range(90)] + [(2, "n003", "n003", 0.9, 90), (3, "a", "b", 0.5, 0), (3, "b", "a", 0.5, 1)]
+    rings = [(2, f"n{k:03}", f"n{(k + 1) % 90:03}", 0.2 + (k % 7) / 10, k) for k in range(90)] + [(2, "n003", "n003", 0.1, 90), (3, "a", "b", 0.5, 0), (3, "b", "a", 0.5, 1)]
     e = spark.createDataFrame(chain + rings, "doc_id long, from_id string, to_id string, score double, ord int")
     found = {(r.doc_id, r.id): r.round for r in V.ordered(e).collect()}
     assert all(found[1, f"n{k:03}"] == k for k in range(101)) and all(v is None for (d, _), v in found.items() if d != 1)
