@@ -258,3 +258,16 @@ def test_composed_and_fuzzy_passages(spark, kind):
     found = {(r.doc_id, r.other_id) for r in passages.shared_passages(spark.createDataFrame(rows, DOC)).collect()}
     assert len(want & found) >= (40 if kind == "lines" else 30)
     assert not found - want
+
+
+@pytest.mark.parametrize("n", [4, 20, 145, 900, 5000])
+def test_parities_differ_in_no_more_bits_than_the_sets_in_shingles(n):
+    from docloom.llm import shingles
+
+    rng = np.random.default_rng(n)
+    a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+    b = np.unique(np.concatenate([a[n // 8 :], rng.integers(0, 2**63, n // 9 + 1, dtype=np.uint64)]))
+    differ = [(x ^ y) & (2**64 - 1) for x, y in zip(shingles.parities(a), shingles.parities(b), strict=True)]
+    folded = [differ[w] ^ differ[w + 4] ^ differ[w + 8] ^ differ[w + 12] for w in range(4)]
+    bits = lambda words: sum(w.bit_count() for w in words)
+    assert bits(folded) <= bits(differ) <= len(np.setxor1d(a, b))
