@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -33,13 +34,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset and everything runs on one machine."""
+def shared_dir(spark: SparkSession, qualified: bool = False) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset and everything runs on one machine.
+
+    qualified: with its file system, for readers other than Spark's."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir: executors don't share a temporary folder of one machine")
         found = "file://" + os.path.join(tempfile.gettempdir(), "docloom-checkpoints")
+    if qualified:
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        found = re.sub("^file:/+", "file:///", path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString())
     return found.rstrip("/")
 
 
@@ -69,10 +75,15 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def on_exit(spark: SparkSession, path: str) -> None:
+    """Remove path when the driver ends."""
+    atexit.register(_remove, spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)

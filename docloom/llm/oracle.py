@@ -55,4 +55,72 @@ SELECT doc_id, size, source_size, target,
 FROM h
 """
 
-SQL: dict[str, str] = {"op2_knn": KNN, "op10_mixing": MIXING}
+WARC = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+         row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST) AS place,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top
+  FROM pages
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(hex, (k // 8 * 10 + 1)::INTEGER, 10))::BIGINT >> (35 - k % 8 * 5)) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
+       CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place > 1 THEN top END AS refers_to
+FROM p
+"""
+
+USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+#: Integer division that rounds down.
+MEAN = "((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT"
+
+
+def _code_round(k: int) -> str:
+    """a{k}: the nearest entries of book b{k}; b{k + 1}: the book that follows."""
+    return f"""a{k} AS (
+  SELECT row, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+    SELECT v.row, v.part, b.entry, sum((v.x - b.x) * (v.x - b.x))::BIGINT AS d FROM v JOIN b{k} b USING (part, dim) GROUP BY 1, 2, 3) GROUP BY 1, 2
+), b{k + 1} AS (
+  SELECT part, entry, dim, coalesce(m.x, b.x) AS x FROM b{k} b
+  LEFT JOIN (SELECT part, entry, dim, {MEAN} AS x FROM v JOIN a{k} USING (row, part) GROUP BY 1, 2, 3) m USING (part, entry, dim)
+)"""
+
+
+CODES = f"""
+WITH e AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS row, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE {USABLE}
+), w AS (SELECT ((max(len(q)) + 15) // 16)::BIGINT AS size FROM e
+), v AS (
+  SELECT row, i // size AS part, i % size AS dim, coalesce(q[(i + 1)::INTEGER], 0) AS x FROM e, w, LATERAL (SELECT unnest(range(16 * size)) AS i)
+), b0 AS (SELECT part, row AS entry, dim, x FROM v WHERE row < 64
+), {_code_round(0)}, {_code_round(1)}, {_code_round(2).partition(", b3 AS")[0]},
+s AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, dim)) AS codebooks_sha256 FROM b2
+), c AS (SELECT row, string_agg(printf('%02x', entry::INTEGER), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY 1)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN e USING (row), s
+"""
+
+
+def _cluster_round(k: int) -> str:
+    return f"""a{k} AS (
+  SELECT row, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (
+    SELECT v.row, c.cluster, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM v JOIN c{k} c USING (dim) GROUP BY 1, 2) GROUP BY 1
+), c{k + 1} AS (
+  SELECT cluster, dim, coalesce(m.x, c.x) AS x FROM c{k} c
+  LEFT JOIN (SELECT cluster, dim, {MEAN} AS x FROM v JOIN a{k} USING (row) GROUP BY 1, 2) m USING (cluster, dim)
+)"""
+
+
+CLUSTERS = f"""
+WITH e AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, embedding) - 1 AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE len(embedding) = 64 AND {USABLE}
+), v AS (SELECT row, generate_subscripts(q, 1) AS dim, unnest(q) AS x FROM e
+), c0 AS (SELECT row AS cluster, dim, x FROM v WHERE row < 16
+), {_cluster_round(0)}, {_cluster_round(1)}, {_cluster_round(2)}, {_cluster_round(3).partition(", c4 AS")[0]},
+s AS (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY dim)) AS centroid_sha256 FROM c3 GROUP BY 1)
+SELECT vec_id, cluster::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a3 JOIN e USING (row) JOIN s USING (cluster)
+"""
+
+SQL: dict[str, str] = {"op2_knn": KNN, "op10_mixing": MIXING, "op11_warc": WARC, "op12_codes": CODES, "op13_clusters": CLUSTERS}

@@ -113,6 +113,37 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import durable
+    from .warc import read_records, resolved, write_archives
+
+    index = write_archives(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = resolved(durable(read_records(index, payload=False), "warc-records"))
+    return found.select(
+        F.col("key").alias("page_id"),
+        F.col("n_bytes").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        F.col("refers_key").alias("refers_to"),
+    )
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codes import vector_codes
+
+    coded, books = vector_codes(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books and books.digest()).alias("codebooks_sha256"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clusters import clustered, with_inertia
+
+    found, centroids = clustered(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    if centroids is None:
+        return found.select("vec_id", "cluster", "distance", F.col("distance").alias("cluster_inertia"), F.col("distance").alias("inertia"), F.lit("").alias("centroid_sha256"))
+    return with_inertia(found, centroids).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,5 +154,5 @@ def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _bounded(f) for f in (op1_sentencepiece, op2_knn, op3_simhash, op4_media, op5_secrets, op6_token_counts, op7_chat, op8_passages, op9_toxicity, op10_mixing)
+    f.__name__: _bounded(f) for f in (op1_sentencepiece, op2_knn, op3_simhash, op4_media, op5_secrets, op6_token_counts, op7_chat, op8_passages, op9_toxicity, op10_mixing, op11_warc, op12_codes, op13_clusters)
 }
