@@ -7,6 +7,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,10 +77,33 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SCRATCH[-1].append(path)
     on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables made so far, by open scratch() blocks; the first list is of those that stay until the driver ends.
+_SCRATCH: list[list[str]] = [[]]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the durable() tables that its block has made. What the block gives on must be written again after it, before the block ends: see kept()."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _remove(spark, path)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """durable(df), of the block around the innermost scratch()."""
+    out = durable(df, name)
+    _SCRATCH[-2].append(_SCRATCH[-1].pop())
+    return out
+
+
 def on_exit(spark: SparkSession, path: str) -> None:
     """Remove path when the driver ends."""
     atexit.register(_remove, spark, path)
