@@ -1,7 +1,8 @@
 """Schema-driven reading: a field's label is found in the lines, its value beside or below it, and a verdict follows.
 
-Labels and numbers of a document meet in bands of its height, wider than any tier reaches, so a document's lines are
-compared only with those near them. The label words of the few schema fields are bound into expressions.
+Labels and numbers of a document meet in bands of its height: a label is in every band from just above its top to the end of what the tiers
+reach below it, a number in every band it stands in, and a pair counts in the first band that both are in. So only what is near meets, and boxes of any
+height lose nothing. Values without a label near them are found by equal numbers, digits or texts. The label words of the few schema fields are bound into expressions.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from docloom.sources import dimensions as D
 SAME_LINE, COLUMN_GAP, COLUMN_OVERLAP, PAIR_GAP, LEAST_CONF = 24, 120, 0.35, 48, 0.6
 TIERS = {"inline_label": 30, "same_line": 20, "column_below": 15, "adjacent_below": 10}
 EXPECTED, UNCERTAIN_CONF, MISMATCH_CAP = 100, 0.35, 0.3
-#: Height of a band: more than any tier reaches below a label.
+#: Height of a band.
 BAND = 200
 
 
@@ -29,10 +30,23 @@ def label_tokens(key: str, label: str, group: str | None) -> list[str]:
 
 def labelled(lines: DataFrame, schema: dict[str, list[str]]) -> DataFrame:
     """lines with the keys that they name, one row each."""
-    norm = T.normalize(F.col("text"))
-    hit = lambda words: F.exists(F.array(*(T.normalize(F.lit(w)) for w in words)), lambda w: F.col("norm").contains(w))
-    keys = F.array_compact(F.array(*(F.when(hit(words), k) for k, words in schema.items())))
-    return lines.withColumn("norm", norm).withColumn("key", F.explode(keys))
+    keys = F.array_compact(F.array(*(F.when(T.holds_any(F.col("norm"), words), k) for k, words in schema.items())))
+    return lines.withColumn("norm", T.normalize(F.col("text"))).withColumn("key", F.explode(keys))
+
+
+def matching(asked: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Pairs of an asked value (doc_id, key, expected) and a number (doc_id, line_idx, token) of its document that values_match().
+
+    They meet on what makes them equal: the whole part of the number (that of either end of the tolerance), the digits, the normal form."""
+    digits = lambda c: F.concat(F.lit("d"), T.digits_only(c))
+    text = lambda c: F.concat(F.lit("t"), T.normalize(c))
+    whole = lambda x: F.concat(F.lit("n"), F.floor(x).cast("string"))
+    own = as_number(F.col("expected"))
+    wanted = F.array(digits(F.col("expected")), text(F.col("expected")), whole(own - 1e-6), whole(own + 1e-6))
+    given = F.array(digits(F.col("token")), text(F.col("token")), whole(as_number(F.col("token"))))
+    a = asked.withColumn("_meet", F.explode(F.array_distinct(F.array_compact(wanted))))
+    b = numbers.withColumn("_meet", F.explode(F.array_distinct(F.array_compact(given))))
+    return a.join(b, ["doc_id", "_meet"]).drop("_meet").distinct().filter(values_match(F.col("expected"), F.col("token")))
 
 
 def number_token(s: Column) -> Column:
@@ -41,11 +55,13 @@ def number_token(s: Column) -> Column:
 
 def values_match(a: Column, b: Column) -> Column:
     """Equal as numbers within 1e-6 up to 14 digits, else by digits or normal form."""
-    bare = lambda x: F.regexp_replace(x, "[^0-9.]", "")
-    number = lambda x: F.when(bare(x) == "", 0.0).otherwise(bare(x).try_cast("double"))
-    short = number(a).isNotNull() & number(b).isNotNull() & (F.char_length(bare(a)) <= 14)
-    digits = lambda x: F.regexp_replace(x, "[^0-9]", "")
-    return F.when(F.trim(a) == "", False).when(short, F.abs(number(a) - number(b)) < 1e-6).otherwise((digits(a) == digits(b)) | (T.normalize(a) == T.normalize(b)))
+    short = as_number(a).isNotNull() & as_number(b).isNotNull() & (F.char_length(F.regexp_replace(a, "[^0-9.]", "")) <= 14)
+    return F.when(F.trim(a) == "", False).when(short, F.abs(as_number(a) - as_number(b)) < 1e-6).otherwise((T.digits_only(a) == T.digits_only(b)) | (T.normalize(a) == T.normalize(b)))
+
+
+def as_number(s: Column) -> Column:
+    bare = F.regexp_replace(s, "[^0-9.]", "")
+    return F.when(bare == "", 0.0).otherwise(bare.try_cast("double"))
 
 
 def expected_length(expected: Column) -> Column:
@@ -55,21 +71,30 @@ def expected_length(expected: Column) -> Column:
 
 def words_of(lines: DataFrame) -> DataFrame:
     """Word boxes of the lines, each as wide as its share of the characters."""
-    parts = F.transform(F.split("text", " "), lambda w: F.struct(w.alias("word"), F.char_length(w).alias("n")))
-    w = lines.select("doc_id", "line_idx", "text", "x", "y", "width", "height", F.posexplode(parts).alias("k", "w"))
-    before = F.coalesce(F.sum(F.col("w.n") + 1).over(Window.partitionBy("doc_id", "line_idx").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    each = F.col("width") / F.char_length("text")
-    return w.select("doc_id", "line_idx", "k", F.col("w.word").alias("word"), (F.col("x") + each * before).alias("x"), "y", (each * F.col("w.n")).alias("width"), "height")
+    words = F.split("text", " ")
+    parts = F.transform(words, lambda w, k: F.struct(w.alias("word"), F.char_length(w).alias("n"), F.when(k == 0, 0).otherwise(F.char_length(F.array_join(F.slice(words, F.lit(1), k), " ")) + 1).alias("before")))
+    w = lines.select("*", F.posexplode(parts).alias("k", "w"))
+    before, each = F.col("w.before"), F.col("width") / F.char_length("text")
+    return w.select("doc_id", "line_idx", *(c for c in ("conf",) if c in lines.columns), "k", F.col("w.word").alias("word"), (F.col("x") + each * before).alias("x"), "y", (each * F.col("w.n")).alias("width"), "height")
+
+
+def _banded(boxes: DataFrame, top: Column, bottom: Column) -> DataFrame:
+    """boxes once for each band from top to bottom, with band and the first of them."""
+    at = lambda y: F.floor(y / BAND).cast("int")
+    return boxes.withColumn("first", at(top)).withColumn("band", F.explode(F.sequence("first", F.greatest(F.col("first"), at(bottom)))))
 
 
 def candidates(lines: DataFrame, schema: dict[str, list[str]], asked: DataFrame) -> DataFrame:
     """(doc_id, key, expected, label_line, value, value_line, value_word, alignment, conf, score) for each value that a tier attaches to a label."""
-    token = lines.withColumn("token", number_token(F.col("text")))
-    label = labelled(lines, schema).join(asked, ["doc_id", "key"]).withColumn("band", F.floor(F.col("y") / BAND).cast("int"))
+    token = lines.withColumn("token", number_token(F.col("text"))).filter("token IS NOT NULL")
+    label = labelled(lines, schema).join(asked, ["doc_id", "key"])
     sides = lambda df, prefix: df.select("doc_id", *(F.col(c).alias(f"{prefix}{c}") for c in df.columns if c != "doc_id"))
     a, b = G.Box("a_"), G.Box("b_")
-    banded = token.filter("token IS NOT NULL").withColumn("band", F.explode(F.sequence(F.floor(F.col("y") / BAND).cast("int") - 1, F.floor(F.col("y") / BAND).cast("int") + 1)))
-    met = sides(label, "a_").join(sides(banded, "b_").withColumnRenamed("b_band", "a_band"), ["doc_id", "a_band"])
+    # Above a label a value's centre may lie SAME_LINE higher, below it a value may begin COLUMN_GAP lower.
+    reach = lambda df: _banded(df, F.col("y") - SAME_LINE, F.col("y") + F.col("height") + COLUMN_GAP)
+    stand = lambda df: _banded(df, F.col("y"), F.col("y") + F.col("height"))
+    near = lambda left, right: sides(reach(left), "a_").join(sides(stand(right), "b_").withColumnRenamed("b_band", "a_band"), ["doc_id", "a_band"]).filter(F.col("a_band") == F.greatest("a_first", "b_first"))
+    met = near(label, token)
     same = F.col("a_line_idx") == F.col("b_line_idx")
     level = (F.abs(a.center_y - b.center_y) <= SAME_LINE) | (G.overlap_y(a, b) >= 0.5 * F.least(a.height, b.height))
     below = b.y - a.bottom
@@ -78,13 +103,13 @@ def candidates(lines: DataFrame, schema: dict[str, list[str]], asked: DataFrame)
     whole = met.select(*out, F.col("b_token").alias("value"), F.col("b_line_idx").alias("value_line"), F.lit(-1).alias("value_word"), F.explode(kinds).alias("alignment"), F.col("b_conf").alias("conf"))
 
     w = words_of(lines)
-    token_in = F.exists(F.array(*(F.struct(F.lit(k).alias("k"), F.transform(F.array(*map(F.lit, v)), T.normalize).alias("v")) for k, v in schema.items())), lambda s: (s["k"] == F.col("key")) & F.exists(s["v"], lambda t: T.normalize(F.col("word")).contains(t)))
-    anchors = label.select("doc_id", "key", "expected", "line_idx", "band").join(w, ["doc_id", "line_idx"]).filter(token_in)
+    named = F.lit(False)
+    for k, words in schema.items():
+        named = F.when(F.col("key") == k, T.holds_any(F.col("nword"), words)).otherwise(named)
+    anchors = label.select("doc_id", "key", "expected", "line_idx").join(w.withColumn("nword", T.normalize(F.col("word"))), ["doc_id", "line_idx"]).filter(named)
     plain = T.unify_digits(F.col("word"))
     cells = w.withColumn("word", plain).filter((T.count(plain, "[0-9]") > 0) & (T.count(plain, "[0-9.,:/-]") / F.char_length(plain) >= 0.6))
-    cells = cells.join(lines.select("doc_id", "line_idx", "conf"), ["doc_id", "line_idx"]).withColumn("band", F.explode(F.sequence(F.floor(F.col("y") / BAND).cast("int") - 1, F.floor(F.col("y") / BAND).cast("int") + 1)))
-    column = sides(anchors, "a_").join(sides(cells, "b_").withColumnRenamed("b_band", "a_band"), ["doc_id", "a_band"])
-    column = column.filter((F.col("a_line_idx") != F.col("b_line_idx")) & below.between(0, COLUMN_GAP) & (G.overlap_x(a, b) / F.greatest(F.lit(1.0), F.least(a.width, b.width)) >= COLUMN_OVERLAP))
+    column = near(anchors, cells).filter((F.col("a_line_idx") != F.col("b_line_idx")) & below.between(0, COLUMN_GAP) & (G.overlap_x(a, b) / F.greatest(F.lit(1.0), F.least(a.width, b.width)) >= COLUMN_OVERLAP))
     column = column.select(*out, F.col("b_word").alias("value"), F.col("b_line_idx").alias("value_line"), F.col("b_k").alias("value_word"), F.lit("column_below").alias("alignment"), F.col("b_conf").alias("conf")).distinct()
     every = whole.unionByName(column)
     need = expected_length(F.col("expected"))
@@ -105,7 +130,7 @@ def classified(lines: DataFrame, schema: dict[str, list[str]], asked: DataFrame)
     labels = labelled(lines, schema).groupBy("doc_id", "key").agg(F.count("*").alias("labels"))
     numbers = lines.select("doc_id", "line_idx", number_token(F.col("text")).alias("token")).filter("token IS NOT NULL")
     need = expected_length(F.col("expected"))
-    bare = asked.filter("expected IS NOT NULL").join(numbers, "doc_id").filter((need.isNull() | (T.count(F.col("token"), "[0-9]") == need)) & values_match(F.col("expected"), F.col("token")))
+    bare = matching(asked.filter("expected IS NOT NULL"), numbers).filter(need.isNull() | (T.count(F.col("token"), "[0-9]") == need))
     bare = bare.groupBy("doc_id", "key").agg(F.min_by("token", "line_idx").alias("bare"))
     f = asked.join(top, ["doc_id", "key"], "left").join(labels, ["doc_id", "key"], "left").join(bare, ["doc_id", "key"], "left")
     off = F.col("expected").isNotNull() & ~F.coalesce(values_match(F.col("expected"), F.col("value")), F.lit(True))

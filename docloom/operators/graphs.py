@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.sources.cut import cut
+
 KINDS = ("CONTAINS", "CHILD_OF", "ADJACENT", "ALIGNED_HORIZONTAL", "ALIGNED_VERTICAL", "READING_NEXT", "READING_PREVIOUS")
 NEAR = 1e-6
 
@@ -31,6 +33,26 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return ends.join(nodes.select("doc_id", "id"), ["doc_id", "id"], "left_anti").distinct()
 
 
+def claimed_twice(edges: DataFrame) -> DataFrame:
+    """(doc_id, id, listed, owners): children that several parents claim, or one parent more than once."""
+    claims = edges.filter("type = 'CONTAINS'").groupBy("doc_id", F.col("to_id").alias("id")).agg(F.count("*").alias("listed"), F.count_distinct("from_id").alias("owners"))
+    return claims.filter("listed > 1")
+
+
+def unending(nodes: DataFrame) -> DataFrame:
+    """(doc_id, id): nodes whose chain of parents never ends, on a loop or behind one. Of a repeated id the smallest parent counts.
+
+    Ancestors by doubling: after k rounds a row holds a node's 2^k-th ancestor, and nodes whose chain has ended are gone. Ids of a document
+    outnumber any chain without a loop, so what is left once 2^k exceeds them never ends: log2 of the depth in rounds, and two of them where all is well."""
+    up = nodes.groupBy("doc_id", "id").agg(F.min("parent").alias("to"))
+    most = up.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    jumps, length = cut(up.filter("to IS NOT NULL")), 1
+    while length <= most and not jumps.isEmpty():
+        on = jumps.select("doc_id", F.col("id").alias("to"), F.col("to").alias("_on"))
+        jumps, length = cut(jumps.join(on, ["doc_id", "to"]).select("doc_id", "id", F.col("_on").alias("to"))), 2 * length
+    return jumps.select("doc_id", "id")
+
+
 def several_parents(edges: DataFrame) -> DataFrame:
     return edges.filter("type = 'CONTAINS'").groupBy("doc_id", F.col("to_id").alias("id")).agg(F.count_distinct("from_id").alias("n")).filter("n > 1")
 
@@ -40,6 +62,13 @@ def _with_parent(nodes: DataFrame) -> DataFrame:
     return nodes.filter("parent IS NOT NULL").join(up, ["doc_id", "parent"], "left")
 
 
+def broken_chains(nodes: DataFrame) -> DataFrame:
+    """(doc_id, id, fault): parents that are no node, chains that never end, and documents that have not exactly one root."""
+    roots = nodes.groupBy("doc_id").agg(F.count_if(F.col("parent").isNull()).alias("n")).filter("n <> 1").select("doc_id", F.lit(None).cast("string").alias("id"), F.lit("roots").alias("fault"))
+    ghosts = orphans(nodes).distinct().withColumn("fault", F.lit("unknown parent"))
+    return ghosts.unionByName(unending(nodes).withColumn("fault", F.lit("unending"))).unionByName(roots)
+
+
 def orphans(nodes: DataFrame) -> DataFrame:
     """Nodes whose parent is no node."""
     return nodes.filter("parent IS NOT NULL").join(nodes.select("doc_id", F.col("id").alias("parent")), ["doc_id", "parent"], "left_anti").select("doc_id", "id")
@@ -159,16 +188,39 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
 
 
 def _weakest(rows: list[tuple], place: dict[str, int]) -> list[tuple]:
-    """Edges that are taken out one by one until no cycle is left: of those among nodes on or behind a cycle the least confident, then one that leads back, then the first."""
-    kept, out = sorted(rows, key=lambda r: r[3]), []
-    while True:
-        rounds = _peel([], kept)
-        open_ = [r for r in kept if r[0] not in rounds and r[1] not in rounds]
-        if not open_:
-            return out
-        worst = min(open_, key=lambda r: (r[2], place.get(r[0], 0) <= place.get(r[1], 0), r[3]))
-        kept.remove(worst)
-        out.append(worst)
+    """Edges that are taken out one by one until no cycle is left: of those among nodes on or behind a cycle the least confident, then one that leads back, then the first.
+
+    Taking an edge out only lets more nodes be peeled, so the peeling goes on from where it stood, and an edge that was passed over
+    because an end was peeled is never open again: each edge is looked at once, in order of what is taken first."""
+    back = lambda r: r[0] in place and r[1] in place and place[r[0]] >= place[r[1]]
+    waits: dict[str, int] = {}
+    after = defaultdict(list)
+    for a, b, *_ in rows:
+        waits.setdefault(a, 0)
+        waits[b] = waits.get(b, 0) + 1
+        after[a].append(b)
+    peeled: set[str] = set()
+
+    def peel(queue: list[str]) -> None:
+        peeled.update(queue)
+        for x in queue:
+            for y in after[x]:
+                waits[y] -= 1
+                if waits[y] == 0 and y not in peeled:
+                    peeled.add(y)
+                    queue.append(y)
+
+    peel([x for x, n in waits.items() if n == 0])
+    out = []
+    for r in sorted(rows, key=lambda r: (r[2], not back(r), r[3])):
+        a, b = r[:2]
+        if a not in peeled and b not in peeled:
+            out.append(r)
+            after[a].remove(b)
+            waits[b] -= 1
+            if waits[b] == 0:
+                peel([b])
+    return out
 
 
 def cycle_breakers(edges: DataFrame, place: Column) -> DataFrame:
@@ -176,13 +228,65 @@ def cycle_breakers(edges: DataFrame, place: Column) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table.column(c).to_pylist() for c in ("from_id", "to_id", "score", "ord")), strict=True))
-        out = _weakest(rows, dict(zip(table.column("from_id").to_pylist(), table.column("place").to_pylist(), strict=True)))
+        places = zip(table.column("from_id").to_pylist(), table.column("place").to_pylist(), strict=True)
+        out = _weakest(rows, {k: v for k, v in places if v is not None})
         return pa.table({"doc_id": pa.array([table.column("doc_id")[0].as_py()] * len(out), type=pa.int64()), "from_id": pa.array([r[0] for r in out], type=pa.string()), "to_id": pa.array([r[1] for r in out], type=pa.string()), "ord": pa.array([r[3] for r in out], type=pa.int32())})
 
     wanted = edges.select("doc_id", "from_id", "to_id", "score", "ord", place.alias("place"))
     return wanted.groupBy("doc_id").applyInArrow(run, "doc_id long, from_id string, to_id string, ord int")
 
 
+def unrepairable(nodes: DataFrame, edges: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc_id, reason): documents that no repair mends: ends of edges that are no node, words without a node, confidences that are no number from 0 to 1."""
+    bad = nodes.filter(F.col("confidence").isNull() | F.isnan("confidence") | (F.col("confidence") < 0) | (F.col("confidence") > 1))
+    parts = [dangling(edges, nodes).select("doc_id", F.lit("universe").alias("reason")), uncovered(words, nodes).select("doc_id", F.lit("coverage").alias("reason")), bad.select("doc_id", F.lit("confidence").alias("reason"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+
+
+def repairs(edges: DataFrame, place: Column) -> DataFrame:
+    """(doc_id, action, type, from_id, to_id, ord): what a repair takes out, in its order: repeated edges, containment cycles, parents beyond the best, reading cycles with their mirrors.
+
+    edges: doc_id, type, from_id, to_id, score, ord. Documents are repaired each by itself."""
+    once = cut(dedupe(edges))
+    took = lambda df, action: df.select("doc_id", F.lit(action).alias("action"), "type", "from_id", "to_id", "ord")
+    key = ["doc_id", "from_id", "to_id", "ord"]
+    repeated = took(edges.join(once.select("doc_id", "ord"), ["doc_id", "ord"], "left_anti"), "duplicate")
+    contains, ahead = once.filter("type = 'CONTAINS'"), once.filter("type = 'READING_NEXT'")
+    rings = cut(cycle_breakers(contains, F.lit(None).cast("int")))
+    held = contains.join(rings, key, "left_anti")
+    parents = held.join(best_parents(held).select("doc_id", "ord"), ["doc_id", "ord"], "left_anti")
+    turns = cut(cycle_breakers(ahead, place))
+    mirrors = once.filter("type = 'READING_PREVIOUS'").join(turns.select("doc_id", F.col("from_id").alias("to_id"), F.col("to_id").alias("from_id")), ["doc_id", "from_id", "to_id"], "left_semi")
+    out = repeated.unionByName(took(rings.withColumn("type", F.lit("CONTAINS")), "containment")).unionByName(took(parents, "parent"))
+    return out.unionByName(took(turns.withColumn("type", F.lit("READING_NEXT")), "reading")).unionByName(took(mirrors, "mirror"))
+
+
+def uncovered(words: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, id): words of the source that are no word node."""
+    return words.select("doc_id", "id").join(nodes.filter("level = 'word'").select("doc_id", "id"), ["doc_id", "id"], "left_anti")
+
+
+def unread(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, id): words of documents of several words that no reading edge touches."""
+    words = nodes.filter("level = 'word'").select("doc_id", "id").distinct()
+    several = words.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    ends = edges.filter(F.col("type").isin("READING_NEXT", "READING_PREVIOUS")).select("doc_id", F.explode(F.array("from_id", "to_id")).alias("id"))
+    return words.join(several, "doc_id", "left_semi").join(ends, ["doc_id", "id"], "left_anti")
+
+
+def parents_of_meaning(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, id, n): nodes without exactly one containing parent, and roots with any. Repeated edges count once."""
+    held = edges.filter("type = 'CONTAINS'").groupBy("doc_id", F.col("to_id").alias("id")).agg(F.count_distinct("from_id").alias("n"))
+    n = nodes.select("doc_id", "id", (F.col("level") == "document").alias("top")).distinct().join(held, ["doc_id", "id"], "left").fillna(0, ["n"])
+    return n.filter(F.col("n") != F.when(F.col("top"), 0).otherwise(1)).select("doc_id", "id", "n")
+
+
+def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row (rows, differing): rows of a, and rows that only one of the two has."""
+    one, two = a.exceptAll(b), b.select(*a.columns).exceptAll(a)
+    return a.agg(F.count("*").alias("rows")).crossJoin(one.unionByName(two).agg(F.count("*").alias("differing")))
+
+
 def violations(checks: dict[str, DataFrame]) -> DataFrame:
     """(name, n): how many rows each check found, in one union."""
     parts: Iterator[DataFrame] = (df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in checks.items())

@@ -1,14 +1,12 @@
-"""Texts that hold given quotes: candidate pairs meet on a hash of words inside the quote, the exact test follows."""
+"""Texts that hold given quotes: candidate pairs of ids meet on a hash of words inside the quote, the exact test follows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a key at most.
-GRAM = 5
+#: Words of a key at most, and characters of a key inside one word and on either side of a space.
+WORDS, INSIDE, BESIDE = 5, 6, 4
 
 
 def fold(s: Column) -> Column:
@@ -16,31 +14,42 @@ def fold(s: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(s, r"\s+", " ")))
 
 
-def _hashed(way: int) -> Callable[[Column], Column]:
-    return lambda x: F.xxhash64(F.lit(way), x)
+def _quote_keys(q: DataFrame) -> DataFrame:
+    """q (_q) with the way in which it is keyed (words, or characters before and after a space) and its key."""
+    w = F.split("_q", " ")
+    inner = F.least(F.size(w) - 2, F.lit(WORDS))
+    before, after = F.least(F.char_length(w[0]), F.lit(BESIDE)), F.least(F.char_length(F.get(w, F.lit(1))), F.lit(BESIDE))
+    inside = F.least(F.char_length("_q"), F.lit(INSIDE))
+    way = F.when(inner >= 1, F.struct(F.lit("words").alias("kind"), inner.alias("a"), F.lit(0).alias("b"))).when(inner == 0, F.struct(F.lit("pair").alias("kind"), before.alias("a"), after.alias("b"))).otherwise(F.struct(F.lit("part").alias("kind"), inside.alias("a"), F.lit(0).alias("b")))
+    pair = F.concat(F.right(w[0], before), F.lit(" "), F.left(F.get(w, F.lit(1)), after))
+    key = F.when(inner >= 1, F.array_join(F.slice(w, F.lit(2), F.greatest(inner, F.lit(1))), " ")).when(inner == 0, pair).otherwise(F.left("_q", inside))
+    return q.withColumns({"_way": way, "_key": key})
+
+
+def _text_keys(t: Column, kind: str, a: int, b: int) -> Column:
+    """All keys of one way in a folded text, each once. Patterns look ahead from every place, so a text costs its length, however long its words are."""
+    if kind == "words":
+        words = F.split(t, " ")
+        return F.when(F.size(words) >= a, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - a + 1), lambda k: F.array_join(F.slice(words, k, a), " "))))
+    pattern = rf"(?=(\S{{{a}}} \S{{{b}}}))" if kind == "pair" else rf"(?=(\S{{{a}}}))"
+    return F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)))
 
 
-def holding(texts: DataFrame, quotes: DataFrame, text: str = "text", quote: str = "quote") -> DataFrame:
+def holding(texts: DataFrame, quotes: DataFrame, text: str = "text", quote: str = "quote", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows of texts joined with the rows of quotes whose folded quote the folded text holds, each pair once.
 
-    Only the first and the last word of a quote may lie inside a longer word of the text. A quote of three words or
-    more is keyed by its inner words (GRAM of them at most); one of two by its first word, which ends a word of the
-    text; one of one word by itself, a part of a word. The texts are keyed in just the ways that some quote needs.
-    Empty quotes are in no text.
-    """
-    q = quotes.withColumn("_q", fold(F.col(quote))).filter("_q <> ''").withColumn("_w", F.split("_q", " "))
-    inner = F.size("_w") - 2
-    way = F.when(inner >= 1, F.least(inner, F.lit(GRAM))).otherwise(inner)
-    key = F.when(inner >= 1, F.array_join(F.slice("_w", 2, F.least(F.greatest(inner, F.lit(1)), F.lit(GRAM))), " ")).otherwise(F.col("_w")[0])
-    q = q.withColumns({"_key": F.xxhash64(way.cast("int"), key), "_way": way.cast("int")}).drop("_w")
-    ways = [r[0] for r in q.select("_way").distinct().collect()]
-
-    words = F.col("_words")
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda k: F.array_join(F.slice(words, k, n), " "))
-    ends = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(w), F.lit(1))), lambda k: F.substring(w, k, F.char_length(w)))))
-    parts = F.flatten(F.transform(F.array_distinct(ends), lambda e: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(e), F.lit(1))), lambda n: F.substring(e, F.lit(1), n))))
-    made = {n: F.when(F.size(words) >= n, runs(n)) if n >= 1 else ends if n == 0 else parts for n in ways}
-    hashed = [F.coalesce(F.transform(F.array_distinct(c), _hashed(n)), F.array().cast("array<long>")) for n, c in made.items()]
-    t = texts.withColumns({"_t": fold(F.col(text))}).withColumn("_words", F.split("_t", " "))
-    keyed = t.select(*texts.columns, "_t", F.explode(F.flatten(F.array(*hashed))).alias("_key")) if hashed else t.select(*texts.columns, "_t", F.lit(0).cast("long").alias("_key")).limit(0)
-    return keyed.join(q, "_key").filter(F.col("_t").contains(F.col("_q"))).drop("_t", "_q", "_key", "_way").distinct()
+    Only the first and the last word of a quote may lie inside a longer word of the text. A quote of three words or more is keyed by its inner
+    words, one of two by the characters around its space, one of one word by its first characters, which lie inside a word of the text. Texts are keyed in
+    the ways that some quote needs (at most 27, a row each on the driver), as pairs of id and hash; only ids meet, and then the texts and quotes of the pairs.
+    Empty quotes are in no text; rows of texts are told apart by keys; without a value in one of them they take no part."""
+    q = _quote_keys(quotes.withColumn("_q", fold(F.col(quote))).filter("_q <> ''").withColumn("_id", F.xxhash64("_q")))
+    hashed = lambda kind, a, b: lambda k: F.xxhash64(F.lit(kind), F.lit(a), F.lit(b), k)
+    ways = sorted(tuple(r[0]) for r in q.select("_way").distinct().collect())
+    own = F.xxhash64(F.col("_way.kind"), F.col("_way.a"), F.col("_way.b"), F.col("_key")).alias("_hash")
+    wanted = q.select("_id", own).distinct()
+    t = texts.dropna(subset=list(keys)).select(*keys, fold(F.col(text)).alias("_t"))
+    made = [F.coalesce(F.transform(_text_keys(F.col("_t"), *way), hashed(*way)), F.array().cast("array<long>")) for way in ways]
+    keyed = t.select(*keys, F.explode(F.flatten(F.array(*made))).alias("_hash")) if ways else t.select(*keys, F.lit(0).cast("long").alias("_hash")).limit(0)
+    pairs = keyed.join(wanted, "_hash").select(*keys, "_id").distinct()
+    met = pairs.join(texts, list(keys)).join(q.drop("_way", "_key"), "_id")
+    return met.filter(fold(F.col(text)).contains(F.col("_q"))).drop("_q", "_id")

@@ -79,11 +79,12 @@ def sx_expected_length(spark, sf_dir):
     return parts(spark, sf_dir)[1].select("doc_id", "key", R.expected_length(F.col("expected")).alias("digits"))
 
 
-@query("sx_values_match", f"{BASE} SELECT doc_id, key, line_idx, {match('expected', 'token')} AS equal FROM asked JOIN s USING (doc_id) WHERE expected IS NOT NULL AND token IS NOT NULL")
+@query("sx_values_match", f"{BASE} SELECT doc_id, key, line_idx, token FROM asked JOIN s USING (doc_id) WHERE expected IS NOT NULL AND token IS NOT NULL AND {match('expected', 'token')}")
 def sx_values_match(spark, sf_dir):
+    """Asked values and the numbers of their documents that equal them."""
     lines, asked = parts(spark, sf_dir)
     numbers = lines.select("doc_id", "line_idx", R.number_token(F.col("text")).alias("token")).filter("token IS NOT NULL")
-    return asked.filter("expected IS NOT NULL").join(numbers, "doc_id").select("doc_id", "key", "line_idx", R.values_match(F.col("expected"), F.col("token")).alias("equal"))
+    return R.matching(asked.filter("expected IS NOT NULL"), numbers).select("doc_id", "key", "line_idx", "token")
 
 
 def tier_query(name: str, alignment: str):
@@ -131,20 +132,20 @@ def sx_final(spark, sf_dir):
 
 # Region types to search first, by a pattern of the key; the first match counts.
 KEY_RULES = [
-    (r"(invoice_number|receipt_number|document_number|transaction|reference|_no$|_number|_date|issue_date|due_date|merchant|seller|vendor|supplier|buyer|customer|client|company|address|tax_id|vat)", "header,form_field"),
-    (r"(line_items|^items$|line_item|product|item)", "body,table"),
-    (r"(total|subtotal|amount|tax_amount|discount|shipping|grand|balance|due)", "footer,table"),
-    (r"(payment|iban|bank|account|pay_|pos_|terminal)", "footer"),
-    (r"(notes|terms|remarks|comment|conditions)", "body"),
-    (r"(signature|signed|authori[sz]e|stamp)", "signature_zone"),
+    (r"(invoice_number|receipt_number|document_number|transaction|reference|_no$|_number|_date|issue_date|due_date|merchant|seller|vendor|supplier|buyer|customer|client|company|address|tax_id|vat)", ["header", "form_field"]),
+    (r"(line_items|^items$|line_item|product|item)", ["body", "table"]),
+    (r"(total|subtotal|amount|tax_amount|discount|shipping|grand|balance|due)", ["footer", "table"]),
+    (r"(payment|iban|bank|account|pay_|pos_|terminal)", ["footer"]),
+    (r"(notes|terms|remarks|comment|conditions)", ["body"]),
+    (r"(signature|signed|authori[sz]e|stamp)", ["signature_zone"]),
 ]
-RULES_SQL = "CASE " + " ".join(f"WHEN regexp_matches(key, '{p}') THEN '{t}'" for p, t in KEY_RULES) + " ELSE '' END"
+RULES_SQL = "CASE " + " ".join(f"WHEN regexp_matches(key, '{p}') THEN '{','.join(t)}'" for p, t in KEY_RULES) + " ELSE '' END"
 
 
 def region_types():
     out = F.lit("")
     for pattern, types in reversed(KEY_RULES):
-        out = F.when(F.col("key").rlike(pattern), types).otherwise(out)
+        out = F.when(F.col("key").rlike(pattern), ",".join(types)).otherwise(out)
     return out
 
 

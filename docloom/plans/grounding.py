@@ -86,7 +86,7 @@ def universal(spark, sf_dir):
     whole = table(spark, sf_dir, "benchmark").select("item_id", F.lit(0).alias("words"), F.col("text").alias("quote"))
     cut = whole.select("item_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("words"), F.split("quote", " ").alias("w"))
     quotes = whole.unionByName(cut.select("item_id", "words", F.array_join(F.slice("w", F.lit(1), F.col("words")), " ").alias("quote")))
-    return holding(lines_, quotes).select("doc_id", "line_idx", "item_id", "words").distinct()
+    return holding(lines_, quotes, keys=("doc_id", "line_idx")).select("doc_id", "line_idx", "item_id", "words").distinct()
 
 
 ITEMS = """SELECT l_orderkey AS k, l_linenumber AS n, concat('[{"description":"Part ', CAST(l_partkey AS STRING), '","amount":3},{"description":" "},{"amount":4}]') AS items, l_partkey AS v FROM {lineitem}"""

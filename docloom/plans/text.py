@@ -187,13 +187,10 @@ MARKED = "SELECT page_id, concat('# T', CAST(page_id AS STRING), chr(10), '> ',
 
 
 def _strip_sql() -> str:
-    steps = [
-        (r"(?s)```[^\n`]*\n(.*?)\n[^\n`]*```", "\\1"), ("`([^`]+)`", "\\1"), (r"!\[([^\]]*)\]\([^)]+\)", "\\1"), (r"\[([^\]]+)\]\([^)]+\)", "\\1"),
-        (r"\*\*\*([^*]+)\*\*\*", "\\1"), (r"\*\*([^*]+)\*\*", "\\1"), (r"\*([^*]+)\*", "\\1"), ("___([^_]+)___", "\\1"), ("__([^_]+)__", "\\1"), ("_([^_]+)_", "\\1"),
-        (r"(?m)^#{1,6}\s+", ""), (r"(?m)^[-*_]{3,}\s*$", ""), (r"(?m)^>\s+", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""), ("<[^>]+>", ""), (r"\n{3,}", "\n\n"),
-    ]
     out = "md"
-    for pattern, to in steps:
+    for wrapper in T.wrappers():
+        out = f"regexp_replace({out}, '{wrapper}', '\\1', 'g')"
+    for pattern, to in ((T.LINE_HEAD, ""), (T.ITEM_HEAD, ""), (T.TAG, ""), (T.GAP, "\n\n")):
         out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
     return trim_sql(out)
 

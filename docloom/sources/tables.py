@@ -84,16 +84,16 @@ SELECT doc_id, CAST(ord AS INTEGER) AS ord, key, type, raw, CAST(confidence AS D
   UNION ALL SELECT o_orderkey, 21, 'notes', 'text', CASE WHEN o_orderkey % 8 = 0 THEN '' ELSE '© § oe a il' END, 0.25 FROM {orders} WHERE o_orderkey % 4 = 0
 ) AS f
 """,
-    # A graph over each document's boxes: the document, its lines and its words. Faults by key: a repeated id, a box that leaves its line, a word on another page, an unknown parent.
+    # A graph over each document's boxes: the document, its lines and its words. Faults by key: a repeated id, a box that leaves its line, a word on another page, an unknown parent, a word that is its own parent, a document whose parent is a line of its own.
     "faulty_nodes": r"""
 WITH b AS (__BOXES__), w AS (SELECT doc_id, line_idx, word_idx, concat('w-', CAST(line_idx AS STRING), '-', CAST(word_idx AS STRING)) AS id, x, y, width, height, confidence FROM b)
-SELECT doc_id, 'word' AS level, id, CASE WHEN doc_id % 37 = 0 AND line_idx = 1 THEN 'l-ghost' ELSE concat('l-', CAST(line_idx AS STRING)) END AS parent, CASE WHEN doc_id % 31 = 0 AND line_idx = 2 THEN 2 ELSE 1 END AS page, x, y, CASE WHEN doc_id % 13 = 0 AND line_idx = 1 THEN width + 600 ELSE width END AS width, height,
+SELECT doc_id, 'word' AS level, id, CASE WHEN doc_id % 37 = 0 AND line_idx = 1 THEN 'l-ghost' WHEN doc_id % 59 = 0 AND line_idx = 1 THEN id ELSE concat('l-', CAST(line_idx AS STRING)) END AS parent, CASE WHEN doc_id % 31 = 0 AND line_idx = 2 THEN 2 ELSE 1 END AS page, x, y, CASE WHEN doc_id % 13 = 0 AND line_idx = 1 THEN width + 600 ELSE width END AS width, height,
   CASE WHEN doc_id % 41 = 0 AND line_idx = 3 THEN 1.5 WHEN doc_id % 43 = 0 AND line_idx = 2 THEN NULL ELSE confidence END AS confidence FROM w
 UNION ALL SELECT doc_id, 'word', id, concat('l-', CAST(line_idx AS STRING)), 1, x, y, width, height, confidence FROM w WHERE doc_id % 11 = 0 AND line_idx = 1 AND word_idx = 0
 UNION ALL SELECT doc_id, 'line', concat('l-', CAST(line_idx AS STRING)), 'd', 1, min(x), min(y), max(x + width) - min(x), max(y + height) - min(y), avg(confidence) FROM w GROUP BY doc_id, line_idx
-UNION ALL SELECT doc_id, 'document', 'd', NULL, 1, min(x), min(y), max(x + width) - min(x), max(y + height) - min(y), avg(confidence) FROM w GROUP BY doc_id
+UNION ALL SELECT doc_id, 'document', 'd', CASE WHEN doc_id % 53 = 0 THEN concat('l-', CAST(max(line_idx) AS STRING)) END, 1, min(x), min(y), max(x + width) - min(x), max(y + height) - min(y), avg(confidence) FROM w GROUP BY doc_id
 """,
-    # Its edges. Faults by key: a repeated edge, a second parent, a reading cycle, a loop of unknown kind, a loop, a missing node, a missing mirror, a second successor.
+    # Its edges. Faults by key: a repeated edge, a second parent, a reading cycle, a loop of unknown kind, a loop, a missing node, a missing mirror, a second successor, a word that contains its document, a document that is read.
     "faulty_edges": r"""
 WITH b AS (__BOXES__), w AS (SELECT doc_id, line_idx, concat('w-', CAST(line_idx AS STRING), '-', CAST(word_idx AS STRING)) AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_idx, word_idx) AS INTEGER) AS pos, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS n FROM b),
 c AS (SELECT *, lead(id) OVER (PARTITION BY doc_id ORDER BY pos) AS next_id, first_value(id) OVER (PARTITION BY doc_id ORDER BY pos) AS first_id, CAST(20 + (doc_id * 7 + pos * 13) % 80 AS DOUBLE) / 100 AS score FROM w)
@@ -107,6 +107,8 @@ SELECT doc_id, type, from_id, to_id, score, CAST(ord AS INTEGER) AS ord, CAST(pl
   UNION ALL SELECT doc_id, 'READING_NEXT', id, first_id, score, 5000000, pos FROM c WHERE doc_id % 5 = 0 AND pos = n AND n > 1
   UNION ALL SELECT doc_id, 'NEAR', id, id, score, 5000001, pos FROM c WHERE doc_id % 19 = 0 AND pos = 1
   UNION ALL SELECT doc_id, 'READING_NEXT', id, id, CAST(0.1 AS DOUBLE), 5000002, pos FROM c WHERE doc_id % 47 = 0 AND pos = 1
+  UNION ALL SELECT doc_id, 'CONTAINS', id, 'd', CAST(0.3 AS DOUBLE), 2000003, 0 FROM c WHERE doc_id % 61 = 0 AND pos = 1
+  UNION ALL SELECT doc_id, 'READING_NEXT', 'd', id, score, 3999999, 0 FROM c WHERE doc_id % 67 = 0 AND pos = 1
   UNION ALL SELECT doc_id, 'CONTAINS', id, 'ghost', score, 5000003, 0 FROM c WHERE doc_id % 23 = 0 AND pos = 1
 ) AS e
 """,
@@ -115,6 +117,41 @@ SELECT doc_id, type, from_id, to_id, score, CAST(ord AS INTEGER) AS ord, CAST(pl
 SELECT doc_id, line_idx, text, CAST((line_idx * 7 + doc_id) % 10 AS DOUBLE) / 10 AS conf, CAST(doc_id % 3 * 40 AS DOUBLE) AS x, CAST(CASE WHEN line_idx = 5 THEN 170 ELSE 40 * line_idx END AS DOUBLE) AS y, CAST(8 * length(text) AS DOUBLE) AS width, CAST(12 AS DOUBLE) AS height,
   CASE WHEN line_idx <= 3 THEN 'header' WHEN line_idx <= 5 THEN 'footer' WHEN doc_id % 8 = 0 THEN NULL ELSE 'body' END AS region, CAST(floor(line_idx / 2) AS INTEGER) AS block, CASE WHEN line_idx > 5 THEN 1 ELSE 0 END AS page
 FROM (__RENDERED__) AS r
+""",
+    # The sheets with more lines: labels without values, a long number weakly read, a broken date, items; some share rows.
+    "scans": r"""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INTEGER) AS line_idx, text, CAST(conf AS DOUBLE) AS conf, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(8 * length(text) AS DOUBLE) AS width, CAST(12 AS DOUBLE) AS height FROM (
+  SELECT doc_id, line_idx AS ord, text, CAST(20 + (line_idx * 37 + doc_id * 11) % 80 AS DOUBLE) / 100 AS conf, x, y FROM (__SHEET__) AS s
+  UNION ALL SELECT o_orderkey, 7, 'Reference', 0.9, 0, 290 FROM {orders} WHERE o_orderkey % 2 = 0
+  UNION ALL SELECT o_orderkey, 8, 'Mobile phone :', 0.95, 150, CASE WHEN o_orderkey % 4 = 0 THEN 295 ELSE 330 END FROM {orders} WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT o_orderkey, 9, concat('[6070218301', lpad(CAST(o_orderkey % 1000000 AS STRING), 6, '0'), ')'), CAST(50 + o_orderkey % 50 AS DOUBLE) / 100, 0, 360 FROM {orders} WHERE o_orderkey % 5 < 3
+  UNION ALL SELECT o_orderkey, 10, concat('Date : 45-13-20', CAST(10 + o_orderkey % 20 AS STRING)), 0.8, 20, CASE WHEN o_orderkey % 6 = 1 THEN 365 ELSE 400 END FROM {orders} WHERE o_orderkey % 3 = 1
+  UNION ALL SELECT o_orderkey, 11, CASE WHEN o_orderkey % 2 = 0 THEN 'Cash' ELSE 'Change due' END, 0.9, 0, 430 FROM {orders} WHERE o_orderkey % 7 < 3
+  UNION ALL SELECT o_orderkey, 12, concat('Customer no 12a', CAST(o_custkey AS STRING), '4567 8901234'), 0.85, 0, 460 FROM {orders} WHERE o_orderkey % 9 = 2
+  UNION ALL SELECT o_orderkey, 13, concat('code : ', lpad(CAST(o_orderkey % 10000 AS STRING), 9, '8'), ' x'), 0.99, 0, 490 FROM {orders} WHERE o_orderkey % 8 = 5
+) AS r
+""",
+    # What a second reader finds in each of a page's regions, boxes in no order.
+    "rereads": r"""
+SELECT o_orderkey AS doc_id, CAST(region AS INTEGER) AS region, CAST(item AS INTEGER) AS item, CASE (o_orderkey * 5 + region * 7 + item * 3) % 13
+    WHEN 0 THEN 'Total' WHEN 1 THEN concat(CAST(100 + o_orderkey % 900 AS STRING), '.40') WHEN 2 THEN concat('Date: ', CAST(1 + o_orderkey % 28 AS STRING), '/05/2024') WHEN 3 THEN 'Reference'
+    WHEN 4 THEN lpad(CAST(o_orderkey * 7919 % 1000000000 AS STRING), 10, '0') WHEN 5 THEN 'thanks' WHEN 6 THEN concat('Transaction ', lpad(CAST(o_orderkey * 104729 AS STRING), 16, '7')) WHEN 7 THEN '12x456'
+    WHEN 8 THEN concat('terminal ', CAST(100 + o_orderkey % 900 AS STRING)) WHEN 9 THEN concat('Customer 55', lpad(CAST(o_custkey AS STRING), 6, '0')) WHEN 10 THEN lpad(CAST(o_orderkey AS STRING), 8, '0')
+    WHEN 11 THEN concat('(6070218309', lpad(CAST(o_orderkey % 1000000 AS STRING), 6, '0'), ') x') ELSE concat('Total ', CAST(45 + o_orderkey % 50 AS STRING), '.10') END AS text,
+  CAST(60 + (o_orderkey * 3 + region * 17 + item * 29) % 41 AS DOUBLE) / 100 * CASE WHEN (o_orderkey + item) % 19 = 0 THEN 0 ELSE 1 END AS confidence,
+  CASE WHEN (o_orderkey + region + item) % 23 = 0 THEN NULL ELSE CAST((o_orderkey * 7 + item * 211) % 400 AS DOUBLE) END AS x, CAST(20 + item * CASE WHEN (o_orderkey + region) % 4 = 0 THEN 70 ELSE 14 END + (o_orderkey + region * 3 + item * 5) % 9 + region * (o_orderkey % 4) * 15 AS DOUBLE) AS y,
+  CAST(60 AS DOUBLE) AS width, CAST(10 + item % 3 * 2 AS DOUBLE) AS height, CAST((o_orderkey * 13 + region * 701) % 6000 AS INTEGER) AS latency
+FROM {orders} JOIN (VALUES (1), (2), (3), (4), (5), (6)) AS r(region) ON o_orderkey % 11 <> region JOIN (VALUES (0), (1), (2), (3), (4), (5), (6)) AS i(item) ON (o_orderkey + region) % 5 + 2 >= item
+""",
+    "budgets": "SELECT o_orderkey AS doc_id, CAST(3000 + o_orderkey * 977 % 30000 AS INTEGER) AS budget, o_orderkey % 3 <> 0 AS recall FROM {orders}",
+    # Lines of Arabic and mixed pages as a reader misreads them: parted and doubled letters, glued scripts, stray edges.
+    "arabic_lines": r"""
+SELECT o_orderkey AS doc_id, CAST(k AS INTEGER) AS line_idx, CASE (o_orderkey * 7 + k * 5) % 15
+    WHEN 0 THEN 'ا ل ر ح ي م متجر' WHEN 1 THEN concat('متجر الللرحيم ', CAST(o_orderkey AS STRING)) WHEN 2 THEN 'اااالرحيم و ت' WHEN 3 THEN concat('SuperPay', CAST(o_orderkey AS STRING), ' SA12', CAST(o_custkey AS STRING))
+    WHEN 4 THEN concat('رقم', CAST(o_orderkey AS STRING), ' العملية') WHEN 5 THEN concat('gla المطلوب : ', CAST(o_custkey AS STRING), '.38') WHEN 6 THEN concat('له SuperPay ', CAST(o_custkey AS STRING)) WHEN 7 THEN translate(concat('الرحيمABC ', CAST(o_custkey AS STRING)), '0123456789', '٠١٢٣٤٥٦٧٨٩')
+    WHEN 8 THEN concat('hello world ', CAST(o_orderkey AS STRING)) WHEN 9 THEN concat(CAST(o_custkey AS STRING), ' ريال المطلوب ;') WHEN 10 THEN 'glad | العلى' WHEN 11 THEN 'ab المجموع الكلي cd :' WHEN 12 THEN 'x ا ه' WHEN 13 THEN concat('tax12 ضريبةvat ', CAST(o_orderkey AS STRING)) ELSE 'أحمد' END AS text,
+  CAST(50 + (o_orderkey + k * 3) % 50 AS DOUBLE) / 100 AS conf, CAST(10 AS DOUBLE) AS x, CAST(30 * k AS DOUBLE) AS y, CAST(300 AS DOUBLE) AS width, CAST(12 AS DOUBLE) AS height
+FROM {orders} JOIN (VALUES (0), (1), (2), (3)) AS l(k) ON o_orderkey % 4 >= k
 """,
     # What a schema asks of each order: keys with the expected value, where there is one.
     "asked": r"""
@@ -156,6 +193,7 @@ FROM {events}
 
 
 FIXTURES["sheet"] = FIXTURES["sheet"].replace("__RENDERED__", RENDERED.strip())
+FIXTURES["scans"] = FIXTURES["scans"].replace("__SHEET__", FIXTURES["sheet"].strip())
 for _name in ("faulty_nodes", "faulty_edges"):
     FIXTURES[_name] = FIXTURES[_name].replace("__BOXES__", FIXTURES["boxes"].strip())
 
