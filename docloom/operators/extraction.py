@@ -84,10 +84,10 @@ def label_words(label: str, group: str) -> list[str]:
 
 
 def label_word(norm: Column, words: list[str]) -> Column:
-    """The first of the words that a normal form holds, ASCII ones as words of their own. One expression over the list, whatever its length."""
-    whole = lambda w: F.rlike(norm, F.concat(F.lit(r"\b\Q"), w, F.lit(r"\E\b")))
-    fits = F.filter(F.array(*map(F.lit, words)), lambda w: norm.contains(w) & (w.rlike(r"[^\x00-\x7F]") | whole(w)))
-    return F.get(fits, F.lit(0))
+    """The first of the words that a normal form holds, ASCII ones as words of their own. Every test is a literal pattern, compiled once."""
+    tests = [(w, rf"\b{literal(w)}\b" if w.isascii() else literal(w)) for w in words]
+    any_ = "|".join(p for _, p in tests)
+    return F.when(norm.rlike(any_), F.transform(F.array(norm), lambda n: F.coalesce(*(F.when(n.rlike(p), w) for w, p in tests)))[0])
 
 
 def recovery_candidates(lines: DataFrame, key: str, kind: str, label: str, group: str) -> DataFrame:

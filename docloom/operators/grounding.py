@@ -21,9 +21,10 @@ def label_text(s: Column) -> Column:
 
 
 def label_group(s: Column) -> Column:
-    """Category of the longest label word in a line; the first category among equals."""
-    norm = label_text(s)
-    return F.coalesce(*(F.when(norm.contains(w), g) for w, g in D.labels_by_length()))
+    """Category of the longest label word in a line; the first category among equals.
+
+    The normal form goes through a one-element array, so that it is made once and not for every word."""
+    return F.transform(F.array(label_text(s)), lambda n: F.coalesce(*(F.when(n.contains(w), g) for w, g in D.labels_by_length())))[0]
 
 
 def group_for_key(key: Column) -> Column:
@@ -125,20 +126,28 @@ def dedupe(evidence: DataFrame) -> DataFrame:
 
 
 def _asked(fields: DataFrame) -> DataFrame:
-    """fields with what is looked for: _needle, _target (of numbers), _printed and _isos (of dates), _bare (of references), _want (category)."""
+    """fields with what is looked for: _needle, _target and _whole (of numbers, and the digits before their point), _printed and _isos (of dates), _bare and _solid (of references), _want (category)."""
     raw, kind = F.col("raw"), F.col("type")
     is_date = (kind == "date") & raw.rlike(r"^\d{4}-\d{2}-\d{2}$")
     want = group_for_key(F.col("key"))
     is_reference = want.isin("number", "tax") & kind.isin("string", "text") & raw.rlike("[0-9]")
     none = F.array().cast("array<string>")
     f = fields.withColumns({"_needle": F.when(T.trim_space(raw) != "", T.normalize(raw)), "_want": want})
-    return f.withColumns({"_target": F.when(is_numeric(kind), T.number_key(F.col("_needle"))), "_printed": F.when(is_date, T.date_variants(raw)).otherwise(none), "_isos": F.when(is_date, T.iso_variants(raw)).otherwise(none), "_bare": F.when(is_reference, raw)})
+    target = F.when(is_numeric(kind), T.number_key(F.col("_needle")))
+    # A number below one may be printed without a digit before its point.
+    whole = F.when(F.abs(target) < 1, "").otherwise(F.floor(F.abs(target)).cast("string"))
+    return f.withColumns({"_target": target, "_whole": whole, "_solid": F.when(is_reference, solid(T.normalize(raw))), "_printed": F.when(is_date, T.date_variants(raw)).otherwise(none), "_isos": F.when(is_date, T.iso_variants(raw)).otherwise(none), "_bare": F.when(is_reference, raw)})
+
+
+def solid(s: Column) -> Column:
+    """Letters and digits of a normal form alone."""
+    return F.regexp_replace(s, "[^a-z0-9]+", "")
 
 
 def _ready(lines: DataFrame) -> DataFrame:
-    """lines with their normal form, words and label category, each made once."""
+    """lines with their normal form, words, digits, letters and digits, and label category, each made once."""
     r = lines.withColumnRenamed("text", "line").withColumns({"nline": T.normalize(F.col("line")), "has": label_group(F.col("line"))})
-    return r.withColumn("nwords", F.filter(F.split("nline", " "), lambda w: w != ""))
+    return r.withColumns({"nwords": F.filter(F.split("nline", " "), lambda w: w != ""), "ndigits": T.digits_only(F.col("nline")), "nsolid": solid(F.col("nline"))})
 
 
 EVIDENCE = "array<struct<role:string,start:int,end:int,stage:int>>"
@@ -148,10 +157,12 @@ def _met(fields: DataFrame, lines: DataFrame, how: str) -> DataFrame:
     """One join of fields with the lines of their document that may hold them; found: all evidence of the pair.
 
     Stage 0 is the value as it is or a date's printed forms, stage 1 the forms that count only without those."""
-    digits = F.col("nline").rlike("[0-9]")
     holds = lambda x: F.col("nline").contains(x)
     numeric = is_numeric(F.col("type"))
-    may = (numeric & digits & F.col("_needle").isNotNull()) | (~numeric & F.coalesce(holds(F.col("_needle")), F.lit(False))) | F.exists("_printed", holds) | F.exists("_isos", holds) | (F.col("_bare").isNotNull() & digits)
+    # Words of a run stand side by side, so their digits, or letters and digits, do so in the line's: only lines that hold these are cut into runs.
+    digits = (F.col("ndigits") != "") & F.coalesce(F.col("ndigits").contains(F.col("_whole")), F.lit(False))
+    solid_ = (F.col("ndigits") != "") & F.coalesce(F.col("nsolid").contains(F.col("_solid")), F.lit(False))
+    may = (numeric & digits & F.col("_needle").isNotNull()) | (~numeric & F.coalesce(holds(F.col("_needle")), F.lit(False))) | F.exists("_printed", holds) | F.exists("_isos", holds) | (F.col("_bare").isNotNull() & solid_)
     own = _ready(lines).withColumnRenamed("doc_id", "_doc")
     met = _asked(fields).join(own, (F.col("doc_id") == F.col("_doc")) & may, how).drop("_doc")
 
@@ -162,7 +173,7 @@ def _met(fields: DataFrame, lines: DataFrame, how: str) -> DataFrame:
     direct = one(numeric & digits, numeric_span(words, F.col("_target")), "value-match", 0)
     texts = one(~numeric & holds(F.col("_needle")), word_span(words, F.col("_needle")), "value-match", 0)
     forms = lambda column: F.transform(F.filter(column, holds), lambda v: word_span(words, v))
-    bare = one(F.col("_bare").isNotNull() & digits, separator_free_span(words, F.col("_bare")), "derived", 1)
+    bare = one(F.col("_bare").isNotNull() & solid_, separator_free_span(words, F.col("_bare")), "derived", 1)
     parts = [F.transform(x, lambda sp: item(sp, "value-match", 0)) for x in (direct, texts)]
     parts += [F.transform(forms("_printed"), lambda sp: item(sp, "derived", 0)), F.transform(bare, lambda sp: item(sp, "derived", 1)), F.transform(forms("_isos"), lambda sp: item(sp, "derived", 1))]
     return met.withColumn("found", F.when(words.isNull(), none).otherwise(F.flatten(F.array(*parts))))

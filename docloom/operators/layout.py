@@ -6,14 +6,14 @@ All joins are within a document. Components of words are found per document, who
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import geometry as G
-from docloom.operators.spatial import named
+from docloom.operators.spatial import grid_join, named
+from docloom.sources.cut import cut
 
 GAP_SCALE, SEARCH_CAP = 3, 10
 WORD = ["doc_id", "line_idx", "word_idx"]
@@ -27,11 +27,18 @@ def finite(words: DataFrame) -> DataFrame:
     return words.filter(ok)
 
 
+def _quantile(values: Column, share: float) -> Column:
+    """Interpolated quantile of a sorted array."""
+    at = (F.size(values) - 1) * share
+    low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+    return F.get(values, low) + (F.get(values, high) - F.get(values, low)) * (at - low)
+
+
 def threshold(samples: DataFrame, gap: str) -> DataFrame:
-    """(doc_id, threshold): median, plus GAP_SCALE times the median deviation where there is one."""
-    m = samples.groupBy("doc_id").agg(F.median(gap).alias("m"))
-    d = samples.join(m, "doc_id").groupBy("doc_id", "m").agg(F.median(F.abs(F.col(gap) - F.col("m"))).alias("mad"))
-    return d.select("doc_id", F.when(F.col("mad") == 0, F.col("m")).otherwise(F.col("m") + GAP_SCALE * F.col("mad")).alias("threshold"))
+    """(doc_id, threshold): median, plus GAP_SCALE times the median deviation where there is one. A page's gaps are gathered in order once, as many as it has boxes."""
+    held = samples.groupBy("doc_id").agg(F.array_sort(F.collect_list(gap)).alias("v")).withColumn("m", _quantile(F.col("v"), 0.5))
+    held = held.withColumn("mad", _quantile(F.array_sort(F.transform("v", lambda x: F.abs(x - F.col("m")))), 0.5))
+    return held.select("doc_id", F.when(F.col("mad") == 0, F.col("m")).otherwise(F.col("m") + GAP_SCALE * F.col("mad")).alias("threshold"))
 
 
 def horizontal_gaps(words: DataFrame) -> DataFrame:
@@ -42,67 +49,90 @@ def horizontal_gaps(words: DataFrame) -> DataFrame:
     return prev.filter(F.col("b_x").isNotNull() & (G.overlap_y(a, b) > 0)).select(*WORD, G.gap_x(a, b).alias("gap"))
 
 
-def pairs(words: DataFrame) -> DataFrame:
-    """Pairs of different words of a document, as a_ and b_ columns."""
-    w = words.select("doc_id", "line_idx", "word_idx", "x", "y", "width", "height").withColumnsRenamed({"line_idx": "line", "word_idx": "word"})
-    other = ~((F.col("a_line") == F.col("b_line")) & (F.col("a_word") == F.col("b_word")))
-    return named(w, "a_").join(named(w, "b_"), "doc_id").filter(other)
+def _near(boxes: DataFrame, ids: list[str], reach: DataFrame, test: Column) -> DataFrame:
+    """Pairs of different boxes of a document, as a_ and b_ columns, that pass a test which holds only within the document's reach (doc_id, reach, ...)."""
+    b = boxes.select("doc_id", *ids, "x", "y", "width", "height").join(reach, "doc_id")
+    other = ~F.lit(True)
+    for c in ids:
+        other = other | (F.col(f"a_{c}") != F.col(f"b_{c}"))
+    return grid_join(named(b, "a_"), named(b, "b_"), other & test, reach=F.col("a_reach"), base=F.greatest(F.median(F.greatest("b_width", "b_height")), F.max("b_reach")) * 2)
 
 
-def vertical_gaps(words: DataFrame) -> DataFrame:
-    """Each word's smallest gap to a word above or below it, within SEARCH_CAP median heights."""
-    cap = words.groupBy("doc_id").agg((F.median("height") * SEARCH_CAP).alias("cap"))
+def search_cap(boxes: DataFrame) -> DataFrame:
+    """(doc_id, reach): how far neighbours are looked for, SEARCH_CAP median heights."""
+    return boxes.groupBy("doc_id").agg((F.median("height") * SEARCH_CAP).alias("reach"))
+
+
+def nearest_gaps(boxes: DataFrame, ids: list[str], axis: str) -> DataFrame:
+    """(doc_id, a_<ids>, gap): each box's smallest positive gap along an axis to a box beside it on that axis, within search_cap()."""
     a, b = G.Box("a_"), G.Box("b_")
-    near = pairs(words).join(cap, "doc_id").filter((G.overlap_x(a, b) > 0) & (G.gap_y(a, b) > 0) & (G.box_distance(a, b) <= F.col("cap")))
-    return near.groupBy("doc_id", "a_line", "a_word").agg(F.min(G.gap_y(a, b)).alias("gap"))
+    gap, shared = (G.gap_y(a, b), G.overlap_x(a, b)) if axis == "y" else (G.gap_x(a, b), G.overlap_y(a, b))
+    near = _near(boxes, ids, search_cap(boxes), (shared > 0) & (gap > 0) & (G.box_distance(a, b) <= F.col("a_reach")))
+    return near.groupBy("doc_id", *(f"a_{c}" for c in ids)).agg(F.min(gap).alias("gap"))
 
 
-def links(words: DataFrame) -> DataFrame:
-    """Pairs of words of one block: beside each other or above each other within the document's thresholds."""
-    h = threshold(horizontal_gaps(words), "gap").withColumnRenamed("threshold", "h")
-    v = threshold(vertical_gaps(words), "gap").withColumnRenamed("threshold", "v")
+def vertical_gaps(words: DataFrame) -> DataFrame:
+    """Each word's smallest gap to a word above or below it."""
+    w = words.withColumnsRenamed({"line_idx": "line", "word_idx": "word"})
+    return nearest_gaps(w, ["line", "word"], "y")
+
+
+def links(boxes: DataFrame, ids: list[str], h_samples: DataFrame, v_samples: DataFrame) -> DataFrame:
+    """Pairs of boxes of one group (doc_id, a_<ids>, b_<ids>): beside each other or above each other within the document's thresholds, learnt from its gaps."""
+    h = threshold(h_samples, "gap").withColumnRenamed("threshold", "h")
+    v = threshold(v_samples, "gap").withColumnRenamed("threshold", "v")
+    reach = boxes.select("doc_id").distinct().join(h, "doc_id", "left").join(v, "doc_id", "left").fillna(0.0, ["h", "v"]).withColumn("reach", F.greatest("h", "v"))
     a, b = G.Box("a_"), G.Box("b_")
-    p = pairs(words).join(h, "doc_id", "left").join(v, "doc_id", "left").fillna(0.0, ["h", "v"])
-    beside = (G.overlap_y(a, b) > 0) & (G.gap_x(a, b) <= F.col("h"))
-    above = (G.overlap_x(a, b) > 0) & (G.gap_y(a, b) <= F.col("v"))
-    return p.filter(beside | above).select("doc_id", "a_line", "a_word", "b_line", "b_word")
+    beside = (G.overlap_y(a, b) > 0) & (G.gap_x(a, b) <= F.col("a_h"))
+    above = (G.overlap_x(a, b) > 0) & (G.gap_y(a, b) <= F.col("a_v"))
+    return _near(boxes, ids, reach, beside | above).select("doc_id", *(f"a_{c}" for c in ids), *(f"b_{c}" for c in ids))
+
 
+def groups(edges: DataFrame) -> DataFrame:
+    """(doc_id, node, root) of every node of the edges (doc_id, u, v); root is the smallest node it reaches. A page's edges, as many as its boxes have near ones, are one task's work at a time."""
 
-def _components(pairs: list[dict]) -> list[dict]:
-    """line, word and block of every word in the pairs; blocks are numbered by their first word."""
-    up: dict[tuple, tuple] = {}
+    def run(table: pa.Table) -> pa.Table:
+        up: dict[int, int] = {}
 
-    def find(x: tuple) -> tuple:
-        up.setdefault(x, x)
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+        def find(x: int) -> int:
+            up.setdefault(x, x)
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
 
-    for p in pairs:
-        a, b = find((p["a_line"], p["a_word"])), find((p["b_line"], p["b_word"]))
-        up[max(a, b)] = min(a, b)
-    nodes = sorted(up)
-    number = {r: k for k, r in enumerate(sorted({find(n) for n in nodes}))}
-    return [{"line_idx": n[0], "word_idx": n[1], "block": number[find(n)]} for n in nodes]
+        for u, v in zip(table.column("u").to_pylist(), table.column("v").to_pylist(), strict=True):
+            one, two = find(u), find(v)
+            up[max(one, two)] = min(one, two)
+        nodes = sorted(up)
+        return pa.table({"doc_id": pa.array([table.column("doc_id")[0].as_py()] * len(nodes), type=pa.int64()), "node": pa.array(nodes, type=pa.int64()), "root": pa.array([find(n) for n in nodes], type=pa.int64())})
 
+    return edges.select("doc_id", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).groupBy("doc_id").applyInArrow(run, "doc_id long, node long, root long")
 
-def components_of(pairs: Column) -> Column:
-    @F.arrow_udf("array<struct<line_idx:int,word_idx:int,block:int>>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("line_idx", pa.int32()), ("word_idx", pa.int32()), ("block", pa.int32())]))
-        for batch in batches:
-            yield pa.array([_components(row) for row in batch.to_pylist()], type=kind)
 
-    return run(pairs)
+#: Words of a line at most, as far as a word's place in its document goes.
+LINE_WORDS = 1 << 20
 
 
 def blocks(words: DataFrame) -> DataFrame:
-    """(doc_id, line_idx, word_idx, block): components of the links, numbered by their first word. A page's links are one row."""
-    ends = ["a_line", "a_word", "b_line", "b_word"]
-    own = words.select("doc_id", *(F.col(c).alias(e) for c, e in zip(("line_idx", "word_idx") * 2, ends, strict=True)))
-    pages = links(words).unionByName(own).groupBy("doc_id").agg(F.collect_list(F.struct(*ends)).alias("pairs"))
-    return pages.select("doc_id", F.explode(components_of(F.col("pairs"))).alias("w")).select("doc_id", "w.*")
+    """(doc_id, line_idx, word_idx, block): groups of linked words, numbered by their first word."""
+    w = words.withColumnsRenamed({"line_idx": "line", "word_idx": "word"})
+    linked = links(w, ["line", "word"], horizontal_gaps(words), vertical_gaps(words))
+    place = lambda line, word: F.col(line).cast("long") * LINE_WORDS + F.col(word)
+    edges = linked.select("doc_id", place("a_line", "a_word").alias("u"), place("b_line", "b_word").alias("v"))
+    of = groups(edges.filter("u < v").unionByName(w.select("doc_id", place("line", "word").alias("u"), place("line", "word").alias("v"))))
+    block = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("root")) - 1
+    return of.select("doc_id", F.floor(F.col("node") / LINE_WORDS).cast("int").alias("line_idx"), (F.col("node") % LINE_WORDS).cast("int").alias("word_idx"), block.alias("block"))
+
+
+def regions(of_blocks: DataFrame) -> DataFrame:
+    """(doc_id, block, region): blocks that lie near each other, by gaps that the page's own blocks leave. of_blocks: doc_id, block, box."""
+    of_blocks = cut(of_blocks)
+    linked = links(of_blocks, ["block"], nearest_gaps(of_blocks, ["block"], "x"), nearest_gaps(of_blocks, ["block"], "y"))
+    edges = linked.select("doc_id", F.col("a_block").alias("u"), F.col("b_block").alias("v")).filter("u < v")
+    of = groups(edges.unionByName(of_blocks.select("doc_id", F.col("block").alias("u"), F.col("block").alias("v"))))
+    region = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("root")) - 1
+    return of.select("doc_id", F.col("node").cast("int").alias("block"), region.alias("region"))
 
 
 def union_box(df: DataFrame, keys: list[str], *more: Column) -> DataFrame:
@@ -205,13 +235,19 @@ STATISTICS = ("center_y", "width", "height", "area", "density", "coverage", "chi
 
 
 def page_statistics(features: DataFrame) -> DataFrame:
-    """Quartiles, maximum and median deviation of the features over each page."""
+    """Quartiles, maximum and median deviation of the features over each page: one pass gathers a page's values, as many as it has regions, in order."""
+    held = features.groupBy("doc_id").agg(*(F.array_sort(F.collect_list(F.col(c).cast("double"))).alias(f"_{c}") for c in STATISTICS))
     parts = []
     for c in STATISTICS:
-        parts += [F.percentile(c, 0.25).alias(f"q25_{c}"), F.median(c).alias(f"mid_{c}"), F.percentile(c, 0.75).alias(f"q75_{c}"), F.max(c).alias(f"max_{c}")]
-    stats = features.groupBy("doc_id").agg(*parts)
-    mads = features.join(stats.select("doc_id", *(f"mid_{c}" for c in STATISTICS)), "doc_id").groupBy("doc_id").agg(*(F.median(F.abs(F.col(c) - F.col(f"mid_{c}"))).alias(f"mad_{c}") for c in STATISTICS))
-    return stats.join(mads, "doc_id")
+        v = F.col(f"_{c}")
+        parts += [_quantile(v, 0.25).alias(f"q25_{c}"), _quantile(v, 0.5).alias(f"mid_{c}"), _quantile(v, 0.75).alias(f"q75_{c}"), F.array_max(v).alias(f"max_{c}")]
+    wide = held.select("doc_id", *(f"_{c}" for c in STATISTICS), *parts)
+    return wide.select("*", *map(_deviation, STATISTICS)).drop(*(f"_{c}" for c in STATISTICS))
+
+
+def _deviation(c: str) -> Column:
+    """Median distance of the values of a feature from their median."""
+    return _quantile(F.array_sort(F.transform(f"_{c}", lambda x: F.abs(x - F.col(f"mid_{c}")))), 0.5).alias(f"mad_{c}")
 
 
 def score_sql(kind: str) -> str:
@@ -222,19 +258,24 @@ def score_sql(kind: str) -> str:
     return f"({total}) * CASE WHEN {gate} THEN 1.0 ELSE {GATE} END"
 
 
-def region_scores(features: DataFrame) -> DataFrame:
-    """(doc_id, id, type, score) for every region and type."""
+def _scored(features: DataFrame) -> DataFrame:
+    """(doc_id, id, each): an array of the types and scores of every region."""
     wide = features.join(page_statistics(features), "doc_id")
     each = F.array(*(F.struct(F.lit(k).alias("type"), F.expr(score_sql(k)).cast("double").alias("score")) for k in SCORERS))
-    return wide.select("doc_id", "id", F.explode(each).alias("s")).select("doc_id", "id", "s.type", "s.score")
+    return wide.select("doc_id", "id", each.alias("each"))
+
+
+def region_scores(features: DataFrame) -> DataFrame:
+    """(doc_id, id, type, score) for every region and type."""
+    return _scored(features).select("doc_id", "id", F.explode("each").alias("s")).select("doc_id", "id", "s.type", "s.score")
 
 
 def classify_regions(features: DataFrame) -> DataFrame:
-    """(doc_id, id, type, score): the best type, or unknown below the page's floor."""
-    best = Window.partitionBy("doc_id", "id").orderBy(F.desc(F.round("score", 9)), "type")
-    top = region_scores(features).withColumn("rank", F.row_number().over(best)).filter("rank = 1")
-    floor = top.groupBy("doc_id").agg(F.greatest(F.lit(FLOOR), F.median("score") * FLOOR_SHARE).alias("floor"))
-    return top.join(floor, "doc_id").select("doc_id", "id", F.when(F.col("score") < F.col("floor"), "unknown").otherwise(F.col("type")).alias("type"), "score")
+    """(doc_id, id, type, score): the best type, the first by name of equal ones, or unknown below the page's floor."""
+    best = F.array_min(F.transform("each", lambda s: F.struct((-F.round(s["score"], 9)).alias("order"), s["type"].alias("type"), s["score"].alias("score"))))
+    top = _scored(features).select("doc_id", "id", best.alias("b")).select("doc_id", "id", "b.type", "b.score")
+    floor = F.greatest(F.lit(FLOOR), F.median("score").over(Window.partitionBy("doc_id")) * FLOOR_SHARE)
+    return top.withColumn("_floor", floor).select("doc_id", "id", F.when(F.col("score") < F.col("_floor"), "unknown").otherwise(F.col("type")).alias("type"), "score")
 
 
 def propagate(children: DataFrame, keys: list[str], weight: Column) -> DataFrame:

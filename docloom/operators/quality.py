@@ -11,9 +11,9 @@ from docloom.functions import text as T
 def line_quality(lines: DataFrame, ocr: str) -> DataFrame:
     """lines with arabic_ratio, latin_ratio, printable_ratio, script_consistency, ocr_confidence, noise_score, reasons."""
     s, conf = F.col("text"), F.col(ocr)
-    parts = lines.withColumns(
-        {"printable_ratio": T.printable_ratio(s), "script_consistency": T.script_consistency(s), "_token": T.token_quality(s), "_repeated": T.repetition(s), "_fault": T.structural_garbage(s), "ocr_confidence": conf}
-    )
+    # The measures are one value of a generator's row: what follows reads them and can't make them again.
+    parts = lines.withColumn("_m", F.explode(F.array(T.measures(s))))
+    parts = parts.select(*lines.columns, "_m.printable_ratio", "_m.script_consistency", F.col("_m.token").alias("_token"), F.col("_m.repeated").alias("_repeated"), F.col("_m.fault").alias("_fault"), conf.alias("ocr_confidence"), "_m.arabic_ratio", "_m.latin_ratio")
     c = F.col
     sum_ = (1 - c("printable_ratio")) * T.NOISE["printable"] + (1 - c("script_consistency")) * T.NOISE["script"] + (1 - c("_token")) * T.NOISE["token"] + c("_repeated") * T.NOISE["repetition"] + F.coalesce((1 - conf) * T.NOISE["ocr"], F.lit(0.0))
     noise = F.when(c("_fault").isNotNull(), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), sum_)))
@@ -27,4 +27,4 @@ def line_quality(lines: DataFrame, ocr: str) -> DataFrame:
             F.when(conf < 0.5, "ocr"),
         )
     )
-    return parts.withColumns({"arabic_ratio": T.script_ratio(s, "arabic"), "latin_ratio": T.script_ratio(s, "latin"), "noise_score": noise, "reasons": reasons}).drop("_token", "_repeated", "_fault")
+    return parts.withColumns({"noise_score": noise, "reasons": reasons}).drop("_token", "_repeated", "_fault")

@@ -35,13 +35,14 @@ def _text_keys(t: Column, kind: str, a: int, b: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)))
 
 
-def holding(texts: DataFrame, quotes: DataFrame, text: str = "text", quote: str = "quote", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def holding(texts: DataFrame, quotes: DataFrame, text: str = "text", quote: str = "quote", keys: tuple[str, ...] = ()) -> DataFrame:
     """Rows of texts joined with the rows of quotes whose folded quote the folded text holds, each pair once.
 
     Only the first and the last word of a quote may lie inside a longer word of the text. A quote of three words or more is keyed by its inner
     words, one of two by the characters around its space, one of one word by its first characters, which lie inside a word of the text. Texts are keyed in
     the ways that some quote needs (at most 27, a row each on the driver), as pairs of id and hash; only ids meet, and then the texts and quotes of the pairs.
-    Empty quotes are in no text; rows of texts are told apart by keys; without a value in one of them they take no part."""
+    Empty quotes are in no text; rows of texts are told apart by keys (all columns but the text, if none are named); without a value in one of them they take no part."""
+    keys = keys or tuple(c for c in texts.columns if c != text)
     q = _quote_keys(quotes.withColumn("_q", fold(F.col(quote))).filter("_q <> ''").withColumn("_id", F.xxhash64("_q")))
     hashed = lambda kind, a, b: lambda k: F.xxhash64(F.lit(kind), F.lit(a), F.lit(b), k)
     ways = sorted(tuple(r[0]) for r in q.select("_way").distinct().collect())

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("text", "relational", "geometry", "grounding", "extraction", "fields", "streams", "layout", "ocr", "rescue", "arabic")
+MODULES: tuple[str, ...] = ("text", "relational", "geometry", "grounding", "extraction", "fields", "streams", "layout", "ocr", "rescue", "arabic", "profiles")
 
 
 def load() -> None:

@@ -322,15 +322,6 @@ def rec_verdict(spark, sf_dir):
 MISSING = f"{TOTALS}, lack AS (SELECT DISTINCT doc_id FROM lines WHERE doc_id NOT IN (SELECT doc_id FROM candidates WHERE key = 'total_amount'))"
 
 
-@query("rec_retry_eligible", f"{MISSING} SELECT doc_id FROM lack WHERE doc_id NOT IN (SELECT doc_id FROM cand) UNION ALL SELECT -1")
-def rec_retry_eligible(spark, sf_dir):
-    """Documents without the required field and without a candidate; -1 marks the end, since every total here has one."""
-    ln = lines(spark, sf_dir)
-    have = fields(spark, sf_dir).filter("key = 'total_amount'").select("doc_id")
-    lack = ln.select("doc_id").distinct().join(have, "doc_id", "left_anti").join(totals(spark, sf_dir).select("doc_id"), "doc_id", "left_anti")
-    return lack.unionByName(rows(spark, "doc_id long", [(-1,)]))
-
-
 @query("rec_apply", f"{MISSING} SELECT l.doc_id, d.v AS value FROM lack l JOIN decided d USING (doc_id) WHERE n = 1")
 def rec_apply(spark, sf_dir):
     have = fields(spark, sf_dir).filter("key = 'total_amount'").select("doc_id")
@@ -387,12 +378,6 @@ def val_required(spark, sf_dir):
     return checks(spark, sf_dir).filter("missing IS NOT NULL").select("doc_id", "key")
 
 
-@query("val_unknown_rule", f"SELECT key FROM {rows_sql('key string', [('total_amount',), ('color',), ('iban',)])} WHERE key NOT IN ({', '.join(f"'{f[0]}'" for f in D.INVOICE_FIELDS)})")
-def val_unknown_rule(spark, sf_dir):
-    known = rows(spark, "key string", [(f[0],) for f in D.INVOICE_FIELDS])
-    return rows(spark, "key string", [("total_amount",), ("color",), ("iban",)]).join(known, "key", "left_anti")
-
-
 @query("val_outcome", f"{CHECKS} SELECT doc_id, bool_and(ok) AND count(missing) = 0 AS ok, count(missing)::BIGINT AS n_missing FROM checks GROUP BY 1")
 def val_outcome(spark, sf_dir):
     return checks(spark, sf_dir).groupBy("doc_id").agg((F.bool_and("ok") & (F.count("missing") == 0)).alias("ok"), F.count("missing").alias("n_missing"))

@@ -115,7 +115,7 @@ def other():
 
 def self_pairs(spark, sf_dir, test, reach=0.0):
     df = boxes(spark, sf_dir).drop("confidence").withColumnsRenamed({"line_idx": "line", "word_idx": "word"})
-    return S.grid_join(S.named(df, "a_"), S.named(df, "b_"), other() & test, cell=32.0, reach=reach)
+    return S.grid_join(S.named(df, "a_"), S.named(df, "b_"), other() & test, reach=reach)
 
 
 def window_query(name: str, sql: str, test, reach=0.0):
@@ -135,19 +135,19 @@ window_query("spx_point", "a_x + a_width / 2 BETWEEN b_x AND b_x + b_width AND a
 window_query("spx_nearby", f"{NEAR} <= 24", lambda: G.box_distance(A, B) <= 24, reach=24.0)
 
 
+def ringed(spark, sf_dir, distance, k):
+    df = boxes(spark, sf_dir).drop("confidence").withColumnsRenamed({"line_idx": "line", "word_idx": "word"})
+    return S.nearest(S.named(df, "a_"), S.named(df, "b_"), distance, k, ["a_line", "a_word"], ["b_line", "b_word"], other())
+
+
 @query("spx_knn", f"{SELF}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, a_line, a_word ORDER BY round({CENTERS}, 6), b_line, b_word) AS n FROM p) SELECT {', '.join(IDS)}, n::INTEGER AS rank FROM r WHERE n <= 3")
 def spx_knn(spark, sf_dir):
-    """Within a document every other box is a candidate: the join key is the document, whose boxes are few."""
-    df = boxes(spark, sf_dir).drop("confidence").withColumnsRenamed({"line_idx": "line", "word_idx": "word"})
-    pairs = S.named(df, "a_").join(S.named(df, "b_"), "doc_id").filter(other())
-    return S.nearest(pairs, ["doc_id", "a_line", "a_word"], [r6(G.center_distance(A, B)), F.col("b_line"), F.col("b_word")], 3).select(*IDS, "rank")
+    return ringed(spark, sf_dir, G.center_distance(A, B), 3).select(*IDS, "rank")
 
 
 @query("lq_nearest", f"{SELF}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, a_line, a_word ORDER BY round({NEAR}, 6), b_line, b_word) AS n FROM p) SELECT {', '.join(IDS)} FROM r WHERE n = 1")
 def lq_nearest(spark, sf_dir):
-    df = boxes(spark, sf_dir).drop("confidence").withColumnsRenamed({"line_idx": "line", "word_idx": "word"})
-    pairs = S.named(df, "a_").join(S.named(df, "b_"), "doc_id").filter(other())
-    return S.nearest(pairs, ["doc_id", "a_line", "a_word"], [r6(G.box_distance(A, B)), F.col("b_line"), F.col("b_word")], 1).select(*IDS)
+    return ringed(spark, sf_dir, G.box_distance(A, B), 1).select(*IDS)
 
 
 @query("lq_containing", f"{BOXES} SELECT {KEY} FROM boxes WHERE x <= 100 AND x + width >= 100 AND y <= 45 AND y + height >= 45")

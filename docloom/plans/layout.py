@@ -127,17 +127,18 @@ def hier_order(spark, sf_dir):
     return nodes(spark, sf_dir).filter(F.col("level").isin("line", "block")).select("doc_id", "id", F.row_number().over(at).alias("ord"))
 
 
-@query("hier_region_group", f"{OF}, u AS (SELECT doc_id, block, {UNION} FROM w GROUP BY 1, 2) SELECT a.doc_id, a.block, count(b.block)::BIGINT AS touching FROM u a LEFT JOIN u b ON a.doc_id = b.doc_id AND a.block <> b.block AND {GX} <= 40 AND {GY} <= 20 GROUP BY 1, 2")
-def hier_region_group(spark, sf_dir):
-    """Blocks near enough to each other on both axes belong to one region."""
-    from docloom.functions import geometry as G
-    from docloom.operators.spatial import named
+# Blocks of a page as words are blocks: gaps to the nearest block beside and below, thresholds, links, what they reach.
+GROUPED = f"""{OF}, ub AS (SELECT doc_id, block, {UNION} FROM w GROUP BY 1, 2), ucap AS (SELECT doc_id, median(height) * 10 AS cap FROM ub GROUP BY 1),
+bp AS (SELECT a.doc_id, a.block AS ab, b.block AS bb, {OX} AS ox, {OY} AS oy, {GX} AS gx, {GY} AS gy, cap FROM ub a JOIN ub b ON a.doc_id = b.doc_id AND a.block <> b.block JOIN ucap ON ucap.doc_id = a.doc_id),
+bh AS (SELECT doc_id, ab, min(gx) AS gap FROM bp WHERE oy > 0 AND gx > 0 AND sqrt(gx * gx + gy * gy) <= cap GROUP BY 1, 2), bv AS (SELECT doc_id, ab, min(gy) AS gap FROM bp WHERE ox > 0 AND gy > 0 AND sqrt(gx * gx + gy * gy) <= cap GROUP BY 1, 2),
+{limit_sql('bh')}, {limit_sql('bv')}, be AS (SELECT bp.doc_id, ab, bb FROM bp LEFT JOIN bht ON bht.doc_id = bp.doc_id LEFT JOIN bvt ON bvt.doc_id = bp.doc_id WHERE (oy > 0 AND gx <= coalesce(bht.t, 0)) OR (ox > 0 AND gy <= coalesce(bvt.t, 0))),
+breach AS (SELECT doc_id, block AS a, block AS b FROM ub UNION SELECT r.doc_id, r.a, be.bb FROM breach r JOIN be ON be.doc_id = r.doc_id AND be.ab = r.b), broots AS (SELECT doc_id, a AS block, min(b) AS root FROM breach GROUP BY 1, 2)"""
 
-    u = L.union_box(blocked(spark, sf_dir), ["doc_id", "block"])
-    a, b = G.Box("a_"), G.Box("b_")
-    near = named(u, "a_").join(named(u, "b_"), "doc_id").filter((F.col("a_block") != F.col("b_block")) & (G.gap_x(a, b) <= 40) & (G.gap_y(a, b) <= 20))
-    n = near.groupBy("doc_id", F.col("a_block").alias("block")).agg(F.count("*").alias("touching"))
-    return u.select("doc_id", "block").join(n, ["doc_id", "block"], "left").fillna(0, ["touching"])
+
+@query("hier_region_group", f"{GROUPED} SELECT doc_id, block, (dense_rank() OVER (PARTITION BY doc_id ORDER BY root) - 1)::INTEGER AS region FROM broots")
+def hier_region_group(spark, sf_dir):
+    """The region of each block: blocks near each other, by the page's own gaps."""
+    return L.regions(L.union_box(blocked(spark, sf_dir), ["doc_id", "block"]))
 
 
 @query("hier_agg_conf", f"{OF}, l AS (SELECT doc_id, block, line_idx, avg(confidence) AS c FROM w GROUP BY 1, 2, 3) SELECT doc_id, block, round(avg(c), 6) AS mean FROM l GROUP BY 1, 2")

@@ -10,7 +10,7 @@ from docloom.registry import query
 from docloom.sources import dimensions as D
 from docloom.sources.documents import lines as split_lines
 from docloom.sources.documents import words as split_words
-from docloom.sources.tables import fixture, rows, rows_sql, table, with_fixtures
+from docloom.sources.tables import derived, fixture, rows, rows_sql, table, with_fixtures
 from docloom.streaming import limits as L
 
 LINES = "SELECT doc_id, unnest(generate_series(0, len(l) - 1))::INTEGER AS line_idx, unnest(l) AS text FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS l FROM documents)"
@@ -124,11 +124,27 @@ def ocr_fallback_models(spark, sf_dir):
     return L.first_success(attempts(spark, sf_dir), "doc_id").select("doc_id", F.col("ord").alias("model"), "score")
 
 
-@query("st_provider_failover", f"{TRIED} SELECT doc_id, min(CASE WHEN ok THEN ord END) AS provider, count(*)::BIGINT AS n_tried FROM (SELECT *, min(CASE WHEN ok THEN ord END) OVER (PARTITION BY doc_id) AS w FROM a) WHERE w IS NULL OR ord <= w GROUP BY 1")
+# What each provider would say to each order's request, attempt by attempt.
+SAID = """SELECT o_custkey AS run, o_orderkey AS seq, CAST(p AS INTEGER) AS provider, CAST(t AS INTEGER) AS attempt, CASE (o_orderkey * 7 + p * 5 + t * 3 + o_custkey) % 29
+    WHEN 0 THEN '402 payment required' WHEN 1 THEN 'HTTP 404' WHEN 2 THEN '413 too large' WHEN 3 THEN '401 denied' WHEN 4 THEN 'RESOURCE_EXHAUSTED: limit: 0' WHEN 5 THEN 'RESOURCE_EXHAUSTED' WHEN 6 THEN '429 slow down' WHEN 7 THEN 'port 4040 closed'
+    ELSE CASE WHEN (o_orderkey + p + t) % 3 < 2 THEN 'timeout' END END AS message
+FROM {orders} JOIN (VALUES (0), (1), (2)) AS ps(p) ON o_orderkey >= 0 JOIN (VALUES (0), (1), (2)) AS ts(t) ON o_orderkey >= 0"""
+FAILOVER = f"""WITH RECURSIVE said AS ({SAID.replace('{orders}', 'orders WHERE_')}), k AS (SELECT *, CASE WHEN message IS NULL THEN 'ok' WHEN regexp_matches(message, '\\b(402|404)\\b') THEN 'permanent' WHEN regexp_matches(message, '\\b(413|401)\\b') OR (contains(message, 'RESOURCE_EXHAUSTED') AND contains(message, 'limit: 0')) THEN 'final' END AS kind FROM said),
+pr AS (SELECT run, seq, provider, coalesce(arg_min(kind, attempt), 'failed') AS result, coalesce(min(attempt) FILTER (kind IS NOT NULL) + 1, count(*)) AS n FROM (SELECT * FROM k) GROUP BY 1, 2, 3),
+q AS (SELECT run, seq, list(result ORDER BY provider) AS res, list(n ORDER BY provider) AS ns, row_number() OVER (PARTITION BY run ORDER BY seq) AS pos FROM pr GROUP BY 1, 2),
+s AS (SELECT *, []::INTEGER[] AS lost FROM q WHERE pos = 1 UNION ALL SELECT q.*, list_concat(s.lost, list_filter([0, 1, 2], lambda p: NOT list_contains(s.lost, p) AND s.res[p + 1] = 'permanent' AND p < coalesce(list_filter([0, 1, 2], lambda o: NOT list_contains(s.lost, o) AND s.res[o + 1] = 'ok')[1], 3))) FROM s JOIN q ON q.run = s.run AND q.pos = s.pos + 1),
+u AS (SELECT *, list_filter([0, 1, 2], lambda o: NOT list_contains(lost, o) AND res[o + 1] = 'ok')[1] AS provider FROM s)
+SELECT run, seq, provider, len(list_filter([0, 1, 2], lambda p: NOT list_contains(lost, p) AND p <= coalesce(provider, 2)))::INTEGER AS tried, coalesce(list_sum(list_transform(list_filter([0, 1, 2], lambda p: NOT list_contains(lost, p) AND p <= coalesce(provider, 2)), lambda p: ns[p + 1])), 0)::INTEGER AS attempts FROM u""".replace("orders WHERE_", "orders")
+
+
+def provider_outcomes(spark, sf_dir):
+    return L.provider_results(derived(spark, sf_dir, SAID), ["run", "seq", "provider"])
+
+
+@query("st_provider_failover", FAILOVER)
 def provider_failover(spark, sf_dir):
-    won = Window.partitionBy("doc_id")
-    a = attempts(spark, sf_dir).withColumn("w", F.min(F.when(F.col("ok"), F.col("ord"))).over(won))
-    return a.filter("w IS NULL OR ord <= w").groupBy("doc_id").agg(F.min(F.when(F.col("ok"), F.col("ord"))).alias("provider"), F.count("*").alias("n_tried"))
+    """The provider that answers each request of a customer; one that fails for good is not asked again."""
+    return L.failover(provider_outcomes(spark, sf_dir), "run", "seq", [0, 1, 2])
 
 
 @query("src_pdf_pages", "SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER w <= 100 AS done FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")

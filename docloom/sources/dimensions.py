@@ -42,12 +42,103 @@ INVOICE_RULES = [
     ("invoice_date", "string", False, r"^\d{4}-\d{2}-\d{2}$", None, None, False),
     ("tax_rate", "number", False, None, 0.0, 100.0, False),
 ]
-RECEIPT_PATTERNS = {"transaction_id": r"^\d{16}$", "reference_number": r"^20\d{8}$", "mobile_number": r"^01[0125]\d{8}$"}
+RECEIPT_FIELDS = [
+    ("receipt_number", "string", "Receipt number", True, False),
+    ("receipt_date", "date", "Receipt date", True, False),
+    ("merchant_name", "string", "Merchant / store name", True, False),
+    ("merchant_tax_id", "string", "Merchant tax ID", False, True),
+    ("merchant_address", "string", "Merchant address", False, False),
+    ("customer_name", "string", "Customer name", False, False),
+    ("transaction_id", "string", "Transaction ID (رقم العملية)", False, True),
+    ("reference_number", "string", "Reference number (الرقم المرجعي)", False, True),
+    ("customer_id", "string", "Customer ID (رقم العميل)", False, True),
+    ("account_number", "string", "Account number (رقم الحساب)", False, True),
+    ("mobile_number", "string", "Customer mobile number", False, True),
+    ("currency", "enum", "Currency", False, False),
+    ("subtotal", "currency", "Subtotal", False, True),
+    ("tax_amount", "currency", "Tax amount", False, True),
+    ("discount_amount", "currency", "Discount amount", False, True),
+    ("total_amount", "currency", "Total amount", True, True),
+    ("payment_method", "string", "Payment method", False, False),
+    ("cashier_name", "string", "Cashier", False, False),
+    ("pos_number", "string", "POS / terminal number", False, False),
+    ("description", "string", "Service / description", False, False),
+    ("notes", "text", "Notes / footer text", False, False),
+    ("line_items", "array", "Line items", False, False),
+]
+RECEIPT_RULES = [
+    ("receipt_number", "string", True, None, None, None, False),
+    ("receipt_date", "date", True, None, None, None, False),
+    ("merchant_name", "string", True, None, None, None, False),
+    ("total_amount", "currency", True, None, None, None, False),
+    ("currency", "enum", False, None, None, None, True),
+    ("receipt_date", "string", False, r"^\d{4}-\d{2}-\d{2}$", None, None, False),
+    ("transaction_id", "string", False, r"^\d{16}$", None, None, False),
+    ("reference_number", "string", False, r"^20\d{8}$", None, None, False),
+    ("mobile_number", "string", False, r"^01[0125]\d{8}$", None, None, False),
+]
+CONTRACT_FIELDS = [
+    ("contract_title", "string", "Contract title", True, False),
+    ("contract_date", "date", "Contract date", True, False),
+    ("effective_date", "date", "Effective date", False, False),
+    ("expiry_date", "date", "Expiry / termination date", False, True),
+    ("party_a_name", "string", "Party A (first party)", True, False),
+    ("party_a_type", "enum", "Party A type", False, False),
+    ("party_b_name", "string", "Party B (second party)", True, False),
+    ("party_b_type", "enum", "Party B type", False, False),
+    ("jurisdiction", "string", "Jurisdiction / governing law", False, False),
+    ("currency", "enum", "Currency", False, False),
+    ("contract_value", "currency", "Contract value", False, True),
+    ("payment_terms", "string", "Payment terms", False, False),
+    ("renewal_terms", "string", "Renewal terms", False, False),
+    ("notice_period", "string", "Notice period", False, False),
+    ("governing_law", "string", "Governing law", False, False),
+    ("signatories", "array", "Signatories", False, False),
+    ("key_obligations", "array", "Key obligations", False, False),
+    ("summary", "text", "Summary", False, False),
+]
+CONTRACT_RULES = [
+    ("contract_title", "string", True, None, None, None, False),
+    ("contract_date", "date", True, None, None, None, False),
+    ("party_a_name", "string", True, None, None, None, False),
+    ("party_b_name", "string", True, None, None, None, False),
+    ("contract_date", "string", False, r"^\d{4}-\d{2}-\d{2}$", None, None, False),
+]
+RESUME_FIELDS = [
+    ("full_name", "string", "Full name", True, False),
+    ("job_title", "string", "Current job title", False, False),
+    ("phone", "string", "Phone", False, False),
+    ("email", "string", "Email", False, True),
+    ("location", "string", "Location / address", False, False),
+    ("linkedin", "string", "LinkedIn URL", False, False),
+    ("portfolio_url", "string", "Portfolio / website", False, False),
+    ("summary", "text", "Professional summary", False, False),
+    ("years_of_experience", "number", "Years of experience", False, True),
+    ("skills", "array", "Skills", False, False),
+    ("languages", "array", "Languages", False, False),
+    ("experience", "array", "Work experience", False, False),
+    ("education", "array", "Education", False, False),
+    ("certifications", "array", "Certifications", False, False),
+    ("projects", "array", "Projects", False, False),
+]
+RESUME_RULES = [
+    ("full_name", "string", True, None, None, None, False),
+    ("email", "string", False, r"^[^\s@]+@[^\s@]+\.[^\s@]+$", None, None, False),
+]
+#: Profiles whose missing fields are no fault, and what their fields are called where a category's words announce them.
+LENIENT = ["receipt"]
+GROUP_OF_FIELD = {"transaction_id": "number", "reference_number": "number", "customer_id": "buyer", "account_number": "pos", "mobile_number": "phone"}
+PROFILES = {
+    "invoice": (INVOICE_FIELDS, INVOICE_RULES),
+    "receipt": (RECEIPT_FIELDS, RECEIPT_RULES),
+    "resume": (RESUME_FIELDS, RESUME_RULES),
+    "contract": (CONTRACT_FIELDS, CONTRACT_RULES),
+}
 
 #: Words that name a profile, in order of the profiles.
 ALIASES = {
     "invoice": ["invoice", "فاتورة", "facture", "faktur", "boleta", "nota fiscal"],
-    "receipt": ["receipt", "إيصال", "reçu", "kwitansi"],
+    "receipt": ["receipt", "إيصال", "reçu", "kwitansi", "bon", "ticket", "fiskal", "purchase", "payment", "transaction", "عملية ناجحة", "رقم الحساب", "رقم البطاقة", "رقم العميل"],
     "resume": ["resume", "cv", "curriculum vitae", "سيرة ذاتية", "lebenslauf", "履历"],
     "contract": ["contract", "agreement", "عقد", "ميثاق", "accordo", "contrat"],
 }

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docloom.operators.anchors import anchored
+
 #: limit and window in seconds by kind of request (fixed values)
 PRESETS = {"chat": (30, 60), "upload": (10, 60), "pipeline": (30, 60), "auth": (10, 900)}
 
@@ -23,22 +25,10 @@ def limit_step(count: int, reset: float, at: float, limit: int, seconds: int) ->
 
 
 def rate_limit(requests: DataFrame, key: str, at: str, order: str, limit: int, seconds: int) -> DataFrame:
-    """requests with allowed. Each key's rows are folded in order; keys are spread, rows arrive sorted and stream by."""
-    schema = requests.select(key, at, order).withColumn("allowed", F.lit(True)).schema
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, count, reset = None, 0, 0.0
-        for df in frames:
-            flags = []
-            for k, t in zip(df[key], df[at].astype("int64") / 1e9 if df[at].dtype.kind == "M" and df[at].dtype.str.endswith("[ns]") else df[at].astype("datetime64[ns]").astype("int64") / 1e9, strict=True):
-                if k != now:
-                    now, count, reset = k, 0, 0.0
-                count, reset, ok = limit_step(count, reset, t, limit, seconds)
-                flags.append(ok)
-            yield df.assign(allowed=flags)
-
-    by = requests.select(key, at, order).repartition(key).sortWithinPartitions(key, at, order)
-    return by.mapInPandas(run, schema)
+    """requests with allowed. A window opens with the first request after the last one's end: groups anchored at their first row, however many
+    requests a key has; the first `limit` of a group are allowed."""
+    groups = anchored(requests.select(key, at, order), [key], F.unix_micros(F.col(at).cast("timestamp")), seconds * 1_000_000, [F.col(order)])
+    return groups.select(key, at, order, (F.col("_row") - F.col("_first") < limit).alias("allowed"))
 
 
 def rate_limit_stream(requests: DataFrame, key: str, at: str, limit: int, seconds: int) -> DataFrame:
@@ -99,6 +89,67 @@ def sessions(events: DataFrame, key: str, at: str, gap: str) -> DataFrame:
     return events.groupBy(key, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+# What a provider's message says of trying it again.
+PERMANENT, FINAL, EXHAUSTED = r"\b(402|404)\b", r"\b(413|402|401|404)\b", ["RESOURCE_EXHAUSTED", "limit: 0"]
+
+
+def provider_results(outcomes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, result, n): what trying a provider comes to, and after how many attempts: ok, permanent, final or failed.
+
+    outcomes: keys, attempt (from 0) and message, null where it succeeds. Nothing is tried again after a success, a final error or a used-up quota."""
+    m = F.col("message")
+    kind = F.when(m.isNull(), "ok").when(m.rlike(PERMANENT), "permanent").when(m.rlike(FINAL) | (m.contains(EXHAUSTED[0]) & m.contains(EXHAUSTED[1])), "final")
+    per = outcomes.withColumn("_kind", kind).groupBy(*keys).agg(F.min(F.when(F.col("_kind").isNotNull(), F.struct("attempt", "_kind"))).alias("_end"), F.count("*").alias("_n"))
+    return per.select(*keys, F.coalesce("_end._kind", F.lit("failed")).alias("result"), F.coalesce(F.col("_end.attempt") + 1, F.col("_n")).cast("int").alias("n"))
+
+
+def failover(results: DataFrame, run: str, seq: str, providers: list[int]) -> DataFrame:
+    """(run, seq, provider, tried, attempts): the provider that answers each request of a run, null if none does, how many were tried, and how often in all.
+
+    A provider that once fails for good is left out of the later requests of its run. It is tried where those before it don't answer, which is known before
+    its own turn, so one window for each provider finds when it drops out. results: run, seq, provider, result, n; every request has all providers."""
+    by = Window.partitionBy(run).orderBy(seq)
+    wide = results.groupBy(run, seq).pivot("provider", providers).agg(F.first("result").alias("result"), F.first("n").alias("n"))
+    out = wide.withColumns({"provider": F.lit(None).cast("int"), "tried": F.lit(0), "attempts": F.lit(0)})
+    for p in providers:
+        result = F.col(f"{p}_result")
+        turn = F.col("provider").isNull() & result.isNotNull()
+        lost = F.coalesce(F.max((turn & (result == "permanent")).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
+        out = out.withColumn("_on", turn & ~lost)
+        out = out.withColumns({"tried": F.col("tried") + F.col("_on").cast("int"), "attempts": F.col("attempts") + F.when(F.col("_on"), F.col(f"{p}_n")).otherwise(0), "provider": F.when(F.col("_on") & (result == "ok"), p).otherwise(F.col("provider"))})
+    return out.select(run, seq, "provider", "tried", "attempts")
+
+
+def failover_stream(requests: DataFrame, run: str, seq: str) -> DataFrame:
+    """failover() over a stream of requests (run, seq, results array<string> and ns array<int> by provider), in order of seq within a batch. State of a run: its lost providers."""
+
+    def answer(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        lost = set(state.get[0]) if state.exists else set()
+        rows = []
+        for df in frames:
+            for r in df.itertuples(index=False):
+                rows.append((getattr(r, seq), list(r.results), list(r.ns)))
+        out = []
+        for at, results, ns in sorted(rows):
+            used, tried, attempts = None, 0, 0
+            for p, result in enumerate(results):
+                if p in lost:
+                    continue
+                tried, attempts = tried + 1, attempts + int(ns[p])
+                if result == "permanent":
+                    lost.add(p)
+                if result == "ok":
+                    used = p
+                    break
+            out.append((name[0], at, used, tried, attempts))
+        state.update((sorted(lost),))
+        yield pd.DataFrame(out, columns=[run, seq, "provider", "tried", "attempts"]).astype({"provider": "Int32", "tried": "int32", "attempts": "int32"})
+
+    kinds = requests.schema
+    schema = f"{run} {kinds[run].dataType.simpleString()}, {seq} {kinds[seq].dataType.simpleString()}, provider int, tried int, attempts int"
+    return requests.groupBy(run).applyInPandasWithState(answer, schema, "lost array<int>", "append", GroupStateTimeout.NoTimeout)
+
+
 def first_success(attempts: DataFrame, key: str) -> DataFrame:
     """The first attempt of each key that succeeded, in provider order."""
     best = Window.partitionBy(key).orderBy("ord")

@@ -76,3 +76,44 @@ def test_words_known_beforehand_are_normalized_alike(spark):
     assert [r[0] for r in df.select(T.normalize(F.col("w"))).collect()] == [T.plain_normalize(w) for w in words]
     hits = df.select(T.holds_any(T.normalize(F.col("w")), ["a.b", "د.ك", "ref no"]))
     assert [r[0] for r in hits.collect()] == [False, False, True, True, False, False, False]
+
+
+def page_of(spark, n, seed, wide=0.02):
+    rnd = random.Random(seed)
+    rows = []
+    for k in range(n):
+        big = rnd.random() < wide
+        rows.append((1 + k % 2, k, float(rnd.randint(0, 3000)), float(rnd.randint(0, 4000)), float(rnd.choice([0, 20, 40, 60]) if not big else 3000), float(rnd.choice([0, 12, 14]) if not big else rnd.choice([12, 2000]))))
+    rows += [(3, 900_001, 5.0, 5.0, 10.0, 10.0), (4, 900_002, 0.0, 0.0, 0.0, 0.0), (4, 900_003, 0.0, 0.0, 0.0, 0.0), (4, 900_004, 50_000.0, 0.0, 1.0, 1.0)]
+    return spark.createDataFrame(rows, "doc_id long, id long, x double, y double, width double, height double")
+
+
+@pytest.mark.parametrize("which", ["center", "box"])
+def test_nearest_boxes_equal_brute_force(spark, which):
+    from docloom.functions import geometry as G
+    from docloom.operators import spatial as S
+
+    a, b = G.Box("a_"), G.Box("b_")
+    distance = G.center_distance(a, b) if which == "center" else G.box_distance(a, b)
+    df = page_of(spark, 900, 4)
+    one, two, other = S.named(df, "a_"), S.named(df, "b_"), F.col("a_id") != F.col("b_id")
+    got = sorted((r.a_id, r["rank"], r.b_id) for r in S.nearest(one, two, distance, 3, ["a_id"], ["b_id"], other).collect())
+    from pyspark.sql import Window
+
+    every = one.join(two, "doc_id").filter(other).withColumn("d", F.round(distance, 6))
+    want = every.withColumn("rank", F.row_number().over(Window.partitionBy("a_id").orderBy("d", "b_id"))).filter("rank <= 3")
+    assert got == sorted((r.a_id, r["rank"], r.b_id) for r in want.collect()) and len(got) > 2600
+
+
+def test_a_page_of_many_boxes_meets_few_candidates(spark):
+    from docloom.functions import geometry as G
+    from docloom.operators import spatial as S
+
+    a, b = G.Box("a_"), G.Box("b_")
+    df = page_of(spark, 4000, 5, wide=0.0)
+    one, two = S.named(df, "a_"), S.named(df, "b_")
+    met = S.grid_join(one, two, F.lit(True), reach=60.0)
+    assert met.count() < 4000 * 60  # all pairs of the two pages are eight million
+    every = one.join(two, "doc_id").filter(G.box_distance(a, b) <= 60).count()
+    assert met.filter(G.box_distance(a, b) <= 60).count() == every > 0
+    assert S.grid_join(one.filter("false"), two, F.lit(True)).count() == 0
