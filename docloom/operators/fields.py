@@ -71,8 +71,9 @@ def expected_length(expected: Column) -> Column:
 
 def words_of(lines: DataFrame) -> DataFrame:
     """Word boxes of the lines, each as wide as its share of the characters."""
-    words = F.split("text", " ")
-    parts = F.transform(words, lambda w, k: F.struct(w.alias("word"), F.char_length(w).alias("n"), F.when(k == 0, 0).otherwise(F.char_length(F.array_join(F.slice(words, F.lit(1), k), " ")) + 1).alias("before")))
+    # The cut text is an element, so that it is made once and not for every word.
+    before = lambda words, k: F.when(k == 0, 0).otherwise(F.char_length(F.array_join(F.slice(words, F.lit(1), k), " ")) + 1)
+    parts = F.transform(F.array(F.split("text", " ")), lambda words: F.transform(words, lambda w, k: F.struct(w.alias("word"), F.char_length(w).alias("n"), before(words, k).alias("before"))))[0]
     w = lines.select("*", F.posexplode(parts).alias("k", "w"))
     before, each = F.col("w.before"), F.col("width") / F.char_length("text")
     return w.select("doc_id", "line_idx", *(c for c in ("conf",) if c in lines.columns), "k", F.col("w.word").alias("word"), (F.col("x") + each * before).alias("x"), "y", (each * F.col("w.n")).alias("width"), "height")
