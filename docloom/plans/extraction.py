@@ -12,7 +12,7 @@ from docloom.plans.grounding import BASE, GROUND, fields, lines, norm
 from docloom.operators.replies import outer, repair, strip_fences
 from docloom.registry import query
 from docloom.sources import dimensions as D
-from docloom.sources.tables import fixture, rows, rows_sql, table, with_fixtures
+from docloom.sources.tables import FIXTURES, derived, fixture, table, with_fixtures
 
 #: A rendered document as one text.
 TEXTS = "SELECT doc_id, string_agg(text, chr(10) ORDER BY line_idx) AS text FROM rendered GROUP BY 1"
@@ -87,23 +87,26 @@ def ext_normalize(spark, sf_dir):
     return normalized(spark, sf_dir).select("doc_id", "key", "number", "string", "confidence")
 
 
-RAW_JSON = [
-    (1, '{"Invoice No": {"raw": "A-1", "value": "A-1", "type": "string", "label": "Invoice no", "confidence": 0.7, "evidence": "No A-1"}, "totalAmount": 12.5, "paid": true, "tags": ["a"], "x": null}'),
-    (2, '{"constructor": "bad", "vat rate": {"value": 14, "confidence": 2}, "nested": {"a": 1}}'),
-    (3, "not json"),
-]
-DISCOVERED = "VALUES (1::BIGINT, 'invoice_no', 'string', 'A-1', 0.7::DOUBLE), (1, 'total_amount', 'number', '12.5', 0.85), (1, 'paid', 'boolean', 'true', 0.85), (1, 'tags', 'array', '[\"a\"]', 0.85), (2, 'vat_rate', 'string', '14', 1.0), (2, 'nested', 'object', '{\"a\":1}', 0.85)"
+# A model's free reply about each order: envelopes and bare entries, keys that clean to nothing, nulls, and replies that are no object.
+RAW_JSON = """SELECT o_orderkey AS k, CASE o_orderkey % 4
+    WHEN 0 THEN concat('{"Invoice No":{"raw":"A-', CAST(o_orderkey AS STRING), '","value":"A-', CAST(o_orderkey AS STRING), '","type":"string","confidence":0.', CAST(1 + o_custkey % 9 AS STRING), '},"totalAmount":', CAST(o_custkey AS STRING), '.5,"paid":', CASE WHEN o_custkey % 2 = 0 THEN 'true' ELSE 'false' END, ',"tags":["a","', CAST(o_custkey AS STRING), '"],"x":null}')
+    WHEN 1 THEN concat('{"constructor":"bad","vat rate":{"value":', CAST(o_custkey % 30 AS STRING), ',"confidence":2},"nested":{"a":', CAST(o_orderkey AS STRING), '}}')
+    WHEN 2 THEN concat('not json ', CAST(o_custkey AS STRING)) ELSE concat('{"Buyer Name":{"raw":"Customer ', CAST(o_custkey AS STRING), '"},"count":', CAST(o_custkey AS STRING), '}') END AS json FROM {orders}"""
+ENTRIES = f"""WITH raw AS (SELECT k, json FROM ({RAW_JSON.replace('{orders}', 'orders')}) AS r WHERE json_valid(json)), en AS (SELECT k, name, json_extract(json, '$."' || name || '"') AS entry FROM (SELECT k, json, unnest(json_keys(json)) AS name FROM raw)),
+ev AS (SELECT *, json_type(entry) = 'OBJECT' AND (list_contains(json_keys(entry), 'value') OR list_contains(json_keys(entry), 'raw')) AS is_envelope FROM en WHERE json_type(entry) <> 'NULL'),
+vl AS (SELECT *, CASE WHEN is_envelope THEN coalesce(json_extract(entry, '$.value'), json_extract(entry, '$.raw')) ELSE entry END AS value, CASE json_type(entry) WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string' ELSE 'number' END AS shape FROM ev)"""
+CLEAN = "lower(regexp_replace(regexp_replace(regexp_replace(trim(name), '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[^\\p{L}\\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g'))"
 
 
-def entries(spark):
-    raw = rows(spark, "k long, json string", RAW_JSON).withColumn("v", F.try_parse_json("json"))
+def entries(spark, sf_dir):
+    raw = derived(spark, sf_dir, RAW_JSON).withColumn("v", F.try_parse_json("json"))
     parts = F.expr("variant_get(v, '$', 'map<string, variant>')")
     return raw.filter("v IS NOT NULL").select("k", F.explode(F.map_entries(parts)).alias("e")).select("k", F.col("e.key").alias("name"), F.col("e.value").alias("entry"))
 
 
-def envelopes(spark):
+def envelopes(spark, sf_dir):
     """(k, name, entry, is_envelope, value, confidence, declared): bare entries are their own value."""
-    e = entries(spark).filter("entry IS NOT NULL AND NOT is_variant_null(entry)").withColumn("shape", F.schema_of_variant("entry"))
+    e = entries(spark, sf_dir).filter("entry IS NOT NULL AND NOT is_variant_null(entry)").withColumn("shape", F.schema_of_variant("entry"))
     is_env = F.col("shape").startswith("OBJECT") & F.col("shape").rlike(r"[<, ](value|raw):")
     value = F.when(is_env, F.coalesce(F.expr("try_variant_get(entry, '$.value', 'variant')"), F.expr("try_variant_get(entry, '$.raw', 'variant')"))).otherwise(F.col("entry"))
     return e.withColumns({"is_envelope": is_env, "value": value, "conf": F.when(is_env, F.expr("try_variant_get(entry, '$.confidence', 'double')")), "declared": F.when(is_env, F.expr("try_variant_get(entry, '$.type', 'string')"))})
@@ -113,22 +116,22 @@ def inferred(shape):
     return F.when(shape.startswith("ARRAY"), "array").when(shape.startswith("OBJECT"), "object").when(shape == "BOOLEAN", "boolean").when(shape.isin("STRING", "VOID"), "string").otherwise("number")
 
 
-@query("ext_normalize_dynamic", f"SELECT * FROM ({DISCOVERED}) AS v(k, key, type, value, confidence)")
+@query("ext_normalize_dynamic", f"{ENTRIES}, kd AS (SELECT *, {CLEAN} AS key FROM vl) SELECT k, key, CASE WHEN is_envelope THEN coalesce(json_extract_string(entry, '$.type'), 'string') ELSE shape END AS type, CASE WHEN json_type(value) = 'VARCHAR' THEN json_extract_string(value, '$') ELSE value::VARCHAR END AS value, least(1.0, greatest(0.0, coalesce(CASE WHEN is_envelope THEN json_extract(entry, '$.confidence')::DOUBLE END, 0.85)))::DOUBLE AS confidence FROM kd WHERE key <> '' AND key NOT IN ({', '.join(f"'{b}'" for b in T.BLOCKED_KEYS)})")
 def ext_normalize_dynamic(spark, sf_dir):
-    e = envelopes(spark).withColumn("key", T.safe_key(F.col("name"))).filter("key <> ''")
+    e = envelopes(spark, sf_dir).withColumn("key", T.safe_key(F.col("name"))).filter("key <> ''")
     kind = F.when(F.col("is_envelope"), F.coalesce("declared", F.lit("string"))).otherwise(inferred(F.col("shape")))
     shown = F.when(F.schema_of_variant("value").isin("STRING"), F.expr("variant_get(value, '$', 'string')")).otherwise(F.to_json("value"))
     return e.select("k", "key", kind.alias("type"), shown.alias("value"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("conf", F.lit(0.85)))).alias("confidence"))
 
 
-@query("json_infer_type", "SELECT * FROM (VALUES (1::BIGINT, 'Invoice No', 'object'), (1, 'paid', 'boolean'), (1, 'tags', 'array'), (1, 'totalAmount', 'number'), (2, 'constructor', 'string'), (2, 'nested', 'object'), (2, 'vat rate', 'object')) AS v(k, name, type)")
+@query("json_infer_type", f"{ENTRIES} SELECT k, name, shape AS type FROM vl")
 def json_infer_type(spark, sf_dir):
-    return envelopes(spark).select("k", "name", inferred(F.col("shape")).alias("type"))
+    return envelopes(spark, sf_dir).select("k", "name", inferred(F.col("shape")).alias("type"))
 
 
-@query("json_envelope", "SELECT * FROM (VALUES (1::BIGINT, 'Invoice No', true, '\"A-1\"'), (1, 'paid', false, 'true'), (1, 'tags', false, '[\"a\"]'), (1, 'totalAmount', false, '12.5'), (2, 'constructor', false, '\"bad\"'), (2, 'nested', false, '{\"a\":1}'), (2, 'vat rate', true, '14')) AS v(k, name, is_envelope, value)")
+@query("json_envelope", f"{ENTRIES} SELECT k, name, is_envelope, value::VARCHAR AS value FROM vl")
 def json_envelope(spark, sf_dir):
-    return envelopes(spark).select("k", "name", "is_envelope", F.to_json("value").alias("value"))
+    return envelopes(spark, sf_dir).select("k", "name", "is_envelope", F.to_json("value").alias("value"))
 
 
 REPLY = with_fixtures("replies")
@@ -174,12 +177,12 @@ def json_classification(spark, sf_dir):
     return v.select("k", F.coalesce(known, F.lit("unknown")).alias("type"), F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), conf)), F.lit(0.0)).alias("confidence"), F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).alias("n_reasons"))
 
 
-EMPTY = [(1, None), (2, ""), (3, "  "), (4, "[]"), (5, "{}"), (6, "0"), (7, "x")]
+EMPTY = "SELECT doc_id, ord, CASE (doc_id + ord) % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '  ' WHEN 3 THEN '[]' WHEN 4 THEN '{}' WHEN 5 THEN '0' ELSE raw END AS v FROM (__CANDIDATES__) AS c".replace("__CANDIDATES__", FIXTURES["candidates"].strip())
 
 
-@query("arr_is_empty", f"SELECT k, coalesce(trim(v) IN ('', '[]', '{{}}'), true) AS is_empty FROM {rows_sql('k long, v string', EMPTY)}")
+@query("arr_is_empty", f"SELECT doc_id, ord, coalesce(trim(v) IN ('', '[]', '{{}}'), true) AS is_empty FROM ({EMPTY.replace('{orders}', 'orders')})")
 def arr_is_empty(spark, sf_dir):
-    return rows(spark, "k long, v string", EMPTY).select("k", F.coalesce(F.trim("v").isin("", "[]", "{}"), F.lit(True)).alias("is_empty"))
+    return derived(spark, sf_dir, EMPTY).select("doc_id", "ord", F.coalesce(F.trim("v").isin("", "[]", "{}"), F.lit(True)).alias("is_empty"))
 
 
 @query("hash_ocr", f"{with_fixtures('rendered')} SELECT doc_id, sha256(string_agg(line_idx::VARCHAR || ':' || text, chr(10) ORDER BY line_idx)) AS digest FROM rendered GROUP BY 1")
@@ -189,23 +192,24 @@ def hash_ocr(spark, sf_dir):
     return r.groupBy("doc_id").agg(F.sha2(body, 256).alias("digest"))
 
 
-VISION = [(1, "رقم العملية", "1"), (2, "Total", "2"), (3, "merchant", "3"), (4, "color", "4"), (5, "Date ", "5"), (6, "grand total", "6")]
+VISION = "SELECT o_orderkey AS k, CASE o_orderkey % 7 WHEN 0 THEN 'رقم العملية' WHEN 1 THEN 'Total' WHEN 2 THEN ' merchant' WHEN 3 THEN concat('color ', CAST(o_custkey AS STRING)) WHEN 4 THEN 'Date ' WHEN 5 THEN 'GRAND total' ELSE '' END AS label FROM {orders}"
 SYNONYMS = {"total": "total_amount", "grand total": "total_amount", "date": "receipt_date", "merchant": "merchant_name", "رقم العملية": "transaction_id"}
 
 
-@query("map_vision_field", f"SELECT k, CASE lower(trim(label)) {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in SYNONYMS.items())} ELSE 'extra' END AS property FROM {rows_sql('k long, label string, value string', VISION)}")
+@query("map_vision_field", f"SELECT k, CASE lower(trim(label)) {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in SYNONYMS.items())} ELSE 'extra' END AS property FROM ({VISION.replace('{orders}', 'orders')})")
 def map_vision_field(spark, sf_dir):
     known = F.create_map(*(F.lit(x) for pair in SYNONYMS.items() for x in pair))
-    return rows(spark, "k long, label string, value string", VISION).select("k", F.coalesce(known[F.lower(F.trim("label"))], F.lit("extra")).alias("property"))
+    return derived(spark, sf_dir, VISION).select("k", F.coalesce(known[F.lower(F.trim("label"))], F.lit("extra")).alias("property"))
 
 
-PIECES = [(1, "Total: 15.00", "15.00"), (2, "15.00 :المجموع", "15.00"), (3, "a b", "c"), (4, "القيمة المجموع 15", "15")]
+PIECES = "SELECT doc_id, line_idx, text AS evidence, CASE doc_id % 3 WHEN 0 THEN CAST(doc_id AS STRING) WHEN 1 THEN 'EGP' ELSE ':' END AS value FROM (__RENDERED__) AS r".replace("__RENDERED__", FIXTURES["rendered"].strip())
 
 
-@query("ext_dynamic_gate", f"SELECT k, contains(evidence, ':') AND contains(evidence, value) AS clear FROM {rows_sql('k long, evidence string, value string', PIECES)}")
+@query("ext_dynamic_gate", f"SELECT doc_id, line_idx, len(string_split_regex(evidence, '[:：]')) = 2 AND len(list_filter(string_split_regex(evidence, '[:：]'), lambda s: contains(s, value))) > 0 AS clear FROM ({PIECES.replace('{orders}', 'orders')})")
 def ext_dynamic_gate(spark, sf_dir):
+    """Whether a line has one label and its value on one side of it."""
     sides = F.split("evidence", "[:：]")
-    return rows(spark, "k long, evidence string, value string", PIECES).select("k", ((F.size(sides) == 2) & F.exists(sides, lambda s: s.contains(F.col("value")))).alias("clear"))
+    return derived(spark, sf_dir, PIECES).select("doc_id", "line_idx", ((F.size(sides) == 2) & F.exists(sides, lambda s: s.contains(F.col("value")))).alias("clear"))
 
 
 @query("ext_vision_fastpath", f"{CAND} SELECT doc_id, bool_or(trim(raw) <> '' AND doc_id % 3 = 0) AS fast, CASE WHEN bool_or(trim(raw) <> '' AND doc_id % 3 = 0) THEN 0.95 ELSE 0.85 END::DOUBLE AS confidence FROM candidates GROUP BY 1")

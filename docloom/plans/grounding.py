@@ -11,7 +11,7 @@ from docloom.plans.text import NORMAL, count_sql
 from docloom.registry import query
 from docloom.sources import dimensions as D
 from docloom.sources.documents import lines as split_lines
-from docloom.sources.tables import derived, fixture, rows, rows_sql, table, with_fixtures
+from docloom.sources.tables import FIXTURES, derived, fixture, table, with_fixtures
 
 OCR = "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE ((line_idx * 7 + doc_id) % 10) / 10.0 END"
 
@@ -164,12 +164,12 @@ def label_group(spark, sf_dir):
     return fixture(spark, sf_dir, "rendered").select("doc_id", "line_idx", G.label_group(F.col("text")).alias("grp"))
 
 
-KEYS = [(f[0],) for f in D.INVOICE_FIELDS] + [(k,) for k in ("mobile", "home_phone", "date", "ref_no", "number", "qty", "unknown_key", "updates")]
+KEYS = "SELECT doc_id, ord, CASE (doc_id + ord) % 9 WHEN 0 THEN concat('mobile', key) WHEN 1 THEN 'home_phone' WHEN 2 THEN 'date' WHEN 3 THEN 'ref_no' WHEN 4 THEN 'number' WHEN 5 THEN 'qty' WHEN 6 THEN concat(key, '_date') ELSE key END AS key FROM (__CANDIDATES__) AS c".replace("__CANDIDATES__", FIXTURES["candidates"].strip())
 
 
-@query("gr_group_for_field", f"SELECT key, {WANT} AS grp FROM {rows_sql('key string', KEYS)}")
+@query("gr_group_for_field", f"SELECT doc_id, ord, {WANT} AS grp FROM ({KEYS.replace('{orders}', 'orders')})")
 def group_for_field(spark, sf_dir):
-    return rows(spark, "key string", KEYS).select("key", G.group_for_key(F.col("key")).alias("grp"))
+    return derived(spark, sf_dir, KEYS).select("doc_id", "ord", G.group_for_key(F.col("key")).alias("grp"))
 
 
 @query("gr_label_verdict", f"{CHECKED} SELECT doc_id, key, verdict, n::BIGINT AS n_evidence FROM verdict")
@@ -216,13 +216,13 @@ def attach_bbox(spark, sf_dir):
     return met.groupBy("doc_id", F.col("q").alias("text")).agg(F.min("line_idx").alias("line_idx"))
 
 
-FACTS = [(0.9, 0.8, 1.0, True), (None, None, 0.92, True), (0.5, 0.5, 0.92, False), (1.0, 1.4, 1.0, True), (0.7, -0.1, 1.0, False)]
+FACTS = "SELECT doc_id, ord, CASE WHEN (doc_id + ord) % 5 > 0 THEN confidence END AS ai, CASE WHEN (doc_id + ord) % 4 > 0 THEN CAST((doc_id * 7 + ord) % 17 - 2 AS DOUBLE) / 10 END AS ocr, CAST(CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.92 END AS DOUBLE) AS factor, doc_id % 3 > 0 AS has FROM (__CANDIDATES__) AS c".replace("__CANDIDATES__", FIXTURES["candidates"].strip())
 
 
-@query("gr_compose_conf", f"SELECT ai, ocr, factor, has, round(least(1.0, greatest(0.0, coalesce(ai, 0.85) * least(1.0, greatest(0.0, coalesce(ocr, 1.0))) * factor * CASE WHEN has THEN 1.0 ELSE 0.9 END)), 6) AS confidence FROM {rows_sql('ai double, ocr double, factor double, has boolean', FACTS)}")
+@query("gr_compose_conf", f"SELECT doc_id, ord, round(least(1.0, greatest(0.0, coalesce(ai, 0.85) * least(1.0, greatest(0.0, coalesce(ocr, 1.0))) * factor * CASE WHEN has THEN 1.0 ELSE 0.9 END)), 6) AS confidence FROM ({FACTS.replace('{orders}', 'orders')})")
 def compose_conf(spark, sf_dir):
     c = G.composed_confidence(F.col("ai"), F.col("ocr"), F.col("factor"), F.col("has"))
-    return rows(spark, "ai double, ocr double, factor double, has boolean", FACTS).withColumn("confidence", F.round(c, 6))
+    return derived(spark, sf_dir, FACTS).select("doc_id", "ord", F.round(c, 6).alias("confidence"))
 
 
 GROUND = f"""{CHECKED}, marked AS (SELECT doc_id, bool_or(regexp_matches(text, '(?i)\\b(egp|usd|sar|eur)\\b')) AS cur, bool_or(regexp_matches(lower(text), 'tax|vat|ضريب')) AS tax FROM lines GROUP BY 1),

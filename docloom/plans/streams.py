@@ -10,7 +10,7 @@ from docloom.registry import query
 from docloom.sources import dimensions as D
 from docloom.sources.documents import lines as split_lines
 from docloom.sources.documents import words as split_words
-from docloom.sources.tables import derived, fixture, rows, rows_sql, table, with_fixtures
+from docloom.sources.tables import derived, fixture, table, with_fixtures
 from docloom.streaming import limits as L
 
 LINES = "SELECT doc_id, unnest(generate_series(0, len(l) - 1))::INTEGER AS line_idx, unnest(l) AS text FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS l FROM documents)"
@@ -81,14 +81,14 @@ def binary_sniff(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", (F.regexp_count("html", F.lit(r"[\x01-\x08\x0e-\x1f]")) / F.greatest(F.char_length("html"), F.lit(1)) < 0.1).alias("is_text"))
 
 
-MAGIC = [(1, "89504E470D0A1A0A00"), (2, "FFD8FFE000"), (3, "255044462D312E37"), (4, "00FF"), (5, "")]
+MAGIC = "SELECT page_id AS k, concat(CASE page_id % 5 WHEN 0 THEN '89504E470D0A1A0A' WHEN 1 THEN 'FFD8FF' WHEN 2 THEN '25504446' WHEN 3 THEN '' ELSE '8950' END, hex(substr(html, 1, 20))) AS hex FROM {pages}"
 SNIFF = [("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"), ("25504446", "application/pdf")]
 
 
-@query("src_mime_sniff", f"SELECT k, CASE {' '.join(f"WHEN starts_with(hex, '{h}') THEN '{m}'" for h, m in SNIFF)} END AS mime FROM {rows_sql('k long, hex string', MAGIC)}")
+@query("src_mime_sniff", f"SELECT k, CASE {' '.join(f"WHEN starts_with(hex, '{h}') THEN '{m}'" for h, m in SNIFF)} END AS mime FROM ({MAGIC.replace('{pages}', 'pages')})")
 def mime_sniff(spark, sf_dir):
     content = F.unhex("hex")
-    return rows(spark, "k long, hex string", MAGIC).select("k", F.coalesce(*(F.when(F.startswith(content, F.unhex(F.lit(h))), m) for h, m in SNIFF)).alias("mime"))
+    return derived(spark, sf_dir, MAGIC).select("k", F.coalesce(*(F.when(F.startswith(content, F.unhex(F.lit(h))), m) for h, m in SNIFF)).alias("mime"))
 
 
 READ = f"{with_fixtures('pages_read')}, l AS (SELECT k, 'total ' || v AS text, 0.9::DOUBLE AS confidence FROM pages_read WHERE k % 3 = 0 UNION ALL SELECT k, 'end', NULL FROM pages_read WHERE k % 3 = 0 UNION ALL SELECT k, unnest(string_split(reply, chr(10))), NULL FROM pages_read WHERE k % 3 = 1)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.registry import query
-from docloom.sources.tables import fixture, rows, rows_sql, table, with_fixtures
+from docloom.sources.tables import FIXTURES, derived, fixture, table, with_fixtures
 
 # DuckDB spellings of the shared patterns.
 SP = r"[\s\x{0b}\x{a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -149,13 +149,12 @@ BLOCKED = ", ".join(f"'{b}'" for b in T.BLOCKED_KEYS)
 SNAKE = f"lower(regexp_replace(regexp_replace(regexp_replace({trim_sql('s')}, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '^_+|_+$', '', 'g'))"
 over("str_safe_key", "fragments", T.safe_key, f"CASE WHEN {SNAKE} IN ({BLOCKED}) THEN '' ELSE {SNAKE} END")
 
-KEYS = [("account_number",), ("totalTax",), ("a_b__c",), ("x",), ("",), ("vat-id_no",), ("ÉTAT_civil",), ("2nd_line",), ("_lead",), ("UPPER_low",)]
-HUMAN = [("Account Number",), ("TotalTax",), ("A B  C",), ("X",), ("",), ("Vat-Id No",), ("ÉTAT Civil",), ("2nd Line",), (" Lead",), ("UPPER Low",)]
+KEYS = "SELECT o_orderkey AS k, CASE o_orderkey % 8 WHEN 0 THEN concat('account_number_', CAST(o_custkey AS STRING)) WHEN 1 THEN concat('totalTax', CAST(o_custkey AS STRING)) WHEN 2 THEN 'a_b__c' WHEN 3 THEN '' WHEN 4 THEN concat('vat-id_no ', CAST(o_custkey AS STRING)) WHEN 5 THEN 'ÉTAT_civil' WHEN 6 THEN concat(CAST(o_custkey AS STRING), 'nd_line') ELSE '_lead UPPER_low' END AS key FROM {orders}"
 
 
-@query("str_humanize_key", f"SELECT key, label FROM {rows_sql('key string, label string', [(k[0], h[0]) for k, h in zip(KEYS, HUMAN, strict=True)])}")
+@query("str_humanize_key", f"SELECT k, array_to_string(list_transform(regexp_extract_all(replace(key, '_', ' '), '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), lambda w: CASE WHEN regexp_matches(w, '^[a-z]') THEN upper(w[1]) || w[2:] ELSE w END), '') AS label FROM ({KEYS.replace('{orders}', 'orders')})")
 def humanize_key(spark, sf_dir):
-    return rows(spark, "key string", KEYS).select("key", T.humanize_key(F.col("key")).alias("label"))
+    return derived(spark, sf_dir, KEYS).select("k", T.humanize_key(F.col("key")).alias("label"))
 
 
 RUNS = f"list_filter(list_transform(regexp_extract_all({DIG.format(trim_sql('s'))}, '[0-9\\-+().]+'), lambda r: regexp_replace(r, '[\\-+().]', '', 'g')), lambda r: r <> '')"
@@ -175,12 +174,12 @@ def sanitize_mobile(spark, sf_dir):
     return fixture(spark, sf_dir, "fragments").select("k", T.sanitize_mobile(F.col("s")).alias("result"))
 
 
-FIELDS = [("mobile", None), ("mobile_2", None), ("contact_phone", None), ("fax", "phone"), ("total", None), ("customer", "buyer"), ("phone", "phone")]
+FIELDS = "SELECT doc_id, ord, concat(CASE (doc_id + ord) % 6 WHEN 0 THEN 'mobile_' WHEN 1 THEN 'contact_phone_' WHEN 2 THEN 'my_mobile_' ELSE '' END, key) AS key, CASE doc_id % 5 WHEN 0 THEN 'phone' WHEN 1 THEN 'buyer' END AS grp FROM (__CANDIDATES__) AS c".replace("__CANDIDATES__", FIXTURES["candidates"].strip())
 
 
-@query("str_is_mobile_field", f"SELECT key, coalesce(grp = 'phone', false) OR key LIKE 'mobile%' OR key LIKE '%phone%' AS is_mobile FROM {rows_sql('key string, grp string', FIELDS)}")
+@query("str_is_mobile_field", f"SELECT doc_id, ord, coalesce(grp = 'phone', false) OR key LIKE 'mobile%' OR key LIKE '%phone%' AS is_mobile FROM ({FIELDS.replace('{orders}', 'orders')})")
 def is_mobile_field(spark, sf_dir):
-    return rows(spark, "key string, grp string", FIELDS).select("key", T.is_mobile_field(F.col("key"), F.col("grp")).alias("is_mobile"))
+    return derived(spark, sf_dir, FIELDS).select("doc_id", "ord", T.is_mobile_field(F.col("key"), F.col("grp")).alias("is_mobile"))
 
 
 MARKED = "SELECT page_id, concat('# T', CAST(page_id AS STRING), chr(10), '> ', html, chr(10), '- **b** and _i_ `c` ![a](u) [l](v)', chr(10), '```py', chr(10), 'x = 1', chr(10), '```', chr(10), chr(10), chr(10), '1. one', chr(10), '---') AS md FROM {pages}"
@@ -245,22 +244,26 @@ def build_prompt(spark, sf_dir):
 
 over("str_csv_escape", "fragments", T.csv_escape, "CASE WHEN regexp_matches(s, '[\",\n\r]') THEN '\"' || replace(s, '\"', '\"\"') || '\"' ELSE s END")
 
-CHECKS = [("a message", "0b8f3c1e-1111-4222-8333-444455556666", "a.b+c@mail.example.org", "longenough", "Text/Plain; charset=utf-8", 10), ("  ", "nope", "a@b", "short", "application/zip", 0), ("x" * 10001, "0B8F3C1E-1111-4222-8333-444455556666", "x@y.io", "p" * 129, "image/png", 52428801)]
+#: What a user might send about each order: messages, ids, addresses, passwords, types and sizes, good and bad.
+CHECKS = """SELECT o_orderkey AS k, repeat(CASE WHEN o_orderkey % 7 = 0 THEN ' ' ELSE 'x' END, CAST(o_orderkey % 4 * 3334 AS INT)) AS message,
+  concat(substr(md5(CAST(o_orderkey AS STRING)), 1, 8), '-', substr(md5(CAST(o_orderkey AS STRING)), 9, 4), '-', substr(md5(CAST(o_orderkey AS STRING)), 13, 4), '-', substr(md5(CAST(o_orderkey AS STRING)), 17, CASE WHEN o_orderkey % 5 = 0 THEN 3 ELSE 4 END), '-', substr(md5(CAST(o_orderkey AS STRING)), 21, 12)) AS id,
+  concat('user.', CAST(o_custkey AS STRING), CASE o_orderkey % 4 WHEN 0 THEN '@mail.example.org' WHEN 1 THEN '@x' WHEN 2 THEN '+tag@a-b.io' ELSE '' END) AS email, repeat('p', CAST(o_orderkey % 140 AS INT)) AS password,
+  CASE o_orderkey % 4 WHEN 0 THEN 'Text/Plain; charset=utf-8' WHEN 1 THEN 'application/zip' WHEN 2 THEN 'image/png' ELSE '' END AS mime, o_orderkey * 40009 % 60000000 AS size FROM {orders}"""
 UUID = "^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
 EMAIL = r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$"
 MIMES = ("application/pdf", "text/csv", "text/plain", "text/markdown", "application/json", "image/jpeg", "image/png", "image/webp", "audio/mpeg", "video/mp4", "text/html")
-CHECK_COLUMNS = "message string, id string, email string, password string, mime string, size long"
 
 
 @query(
     "str_validators",
-    f"""SELECT md5(message) AS message, length(trim(message)) > 0 AND length(message) <= 10000 AS message_ok, regexp_matches(id, '{UUID}') AS id_ok,
+    f"""SELECT k, md5(message) AS message, length(trim(message)) > 0 AND length(message) <= 10000 AS message_ok, regexp_matches(id, '{UUID}') AS id_ok,
 regexp_matches(email, '{EMAIL}') AND length(email) <= 320 AS email_ok, length(password) BETWEEN 8 AND 128 AS password_ok,
-trim(split_part(lower(mime), ';', 1)) IN ({', '.join(f"'{m}'" for m in MIMES)}) AS mime_ok, size > 0 AND size <= 52428800 AS size_ok FROM {rows_sql(CHECK_COLUMNS, CHECKS)}""",
+trim(split_part(lower(mime), ';', 1)) IN ({', '.join(f"'{m}'" for m in MIMES)}) AS mime_ok, size > 0 AND size <= 52428800 AS size_ok FROM ({CHECKS.replace('{orders}', 'orders')})""",
 )
 def validators(spark, sf_dir):
     c = F.col
-    return rows(spark, CHECK_COLUMNS, CHECKS).select(
+    return derived(spark, sf_dir, CHECKS).select(
+        "k",
         F.md5("message").alias("message"),
         ((F.char_length(T.trim_space(c("message"))) > 0) & (F.char_length("message") <= 10000)).alias("message_ok"),
         c("id").rlike(UUID).alias("id_ok"),
