@@ -33,6 +33,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 IDAT_BYTES = 1 << 16
 ZLIB_LEVEL = 4
 LOW = 8
+#: Rows of an image that are filtered, packed and transformed at a time.
+STRIP = 4096
 
 
 class BadPng(ValueError):
@@ -51,17 +53,22 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
 def write_png(payload: bytes, width: int = WIDTH, level: int = ZLIB_LEVEL) -> bytes:
     """8-bit greyscale PNG whose samples are the payload, row by row."""
     image = np.frombuffer(payload, dtype=np.uint8).reshape(-1, width)
-    sub = image.copy()
-    sub[:, 1:] -= image[:, :-1]
-    up = image.copy()
-    up[1:] -= image[:-1]
-    ways = np.stack([image, sub, up])
-    cost = np.abs(ways.view(np.int8).astype(np.int16)).sum(axis=2)
-    best = cost.argmin(axis=0)
-    rows = np.empty((len(image), width + 1), dtype=np.uint8)
-    rows[:, 0] = best
-    rows[:, 1:] = ways[best, np.arange(len(image))]
-    stream = zlib.compress(rows.tobytes(), level)
+    packer, parts = zlib.compressobj(level), []
+    for top in range(0, len(image), STRIP):
+        part = image[top : top + STRIP]
+        sub = part.copy()
+        sub[:, 1:] -= part[:, :-1]
+        up = part.copy()
+        up[1:] -= part[:-1]
+        if top:
+            up[0] -= image[top - 1]
+        ways = np.stack([part, sub, up])
+        best = np.abs(ways.view(np.int8).astype(np.int16)).sum(axis=2).argmin(axis=0)
+        rows = np.empty((len(part), width + 1), dtype=np.uint8)
+        rows[:, 0] = best
+        rows[:, 1:] = ways[best, np.arange(len(part))]
+        parts.append(packer.compress(rows.tobytes()))
+    stream = b"".join([*parts, packer.flush()])
     header = struct.pack(">IIBBBBB", width, len(image), 8, 0, 0, 0, 0)
     data = b"".join(_chunk(b"IDAT", stream[k : k + IDAT_BYTES]) for k in range(0, len(stream), IDAT_BYTES))
     return SIGNATURE + _chunk(b"IHDR", header) + data + _chunk(b"IEND", b"")
@@ -147,17 +154,26 @@ def read_png(data: bytes) -> np.ndarray:
     return unfilter(rows[:, 0].astype(np.int64), rows[:, 1:])
 
 
-@lru_cache(maxsize=256)
-def cosines(n: int) -> np.ndarray:
-    """The LOW slowest cosines over n samples, as integers of 12 bits."""
-    k, x = np.arange(LOW)[:, None], np.arange(n)[None, :]
+def cosines(n: int, start: int, stop: int) -> np.ndarray:
+    """The LOW slowest cosines over n samples, those from start to stop, as integers of 12 bits."""
+    k, x = np.arange(LOW)[:, None], np.arange(start, stop)[None, :]
     return np.rint(4096 * np.cos(np.pi * k * (2 * x + 1) / (2 * n))).astype(np.int64)
 
 
+@lru_cache(maxsize=64)
+def short_cosines(n: int) -> np.ndarray:
+    """Of at most STRIP samples: what is kept stays below 64 x 64 x STRIP bytes."""
+    return cosines(n, 0, n)
+
+
 def cosine_hash(image: np.ndarray) -> bytes:
-    """8 bytes: a bit for each low coefficient, set where it is above the median of all but the constant one."""
+    """8 bytes: a bit for each low coefficient, set where it is above the median of all but the constant one. Integer sums, so strips add up exactly."""
     height, width = image.shape
-    low = cosines(height) @ (image.astype(np.int64) @ cosines(width).T)
+    across, low = short_cosines(width).T, np.zeros((LOW, LOW), dtype=np.int64)
+    for top in range(0, height, STRIP):
+        part = image[top : top + STRIP]
+        down = short_cosines(height) if height <= STRIP else cosines(height, top, top + len(part))
+        low += down @ (part.astype(np.int64) @ across)
     flat = low.ravel()
     return np.packbits(flat > np.median(flat[1:])).tobytes()
 

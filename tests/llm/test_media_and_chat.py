@@ -148,3 +148,20 @@ def test_header_of_the_wrong_length_is_a_bad_png():
     bad = good[:8] + struct.pack(">I", 11) + body + struct.pack(">I", zlib.crc32(body)) + good[33:]
     with pytest.raises(media.BadPng):
         media.read_png(bad)
+
+
+def test_strips_change_neither_images_nor_hashes(monkeypatch):
+    import numpy as np
+
+    from docloom.llm import media
+
+    payload = bytes(np.random.default_rng(1).integers(0, 7, 24 * 24 * 13, dtype=np.uint8)) + b"\xff" * 24 * 24
+    whole = media.write_png(payload)
+    image = media.read_png(whole)
+    assert image.tobytes() == payload
+    hashed = media.cosine_hash(image)
+    full = media.cosines(image.shape[0], 0, image.shape[0]) @ (image.astype(np.int64) @ media.cosines(image.shape[1], 0, image.shape[1]).T)
+    assert hashed == np.packbits(full.ravel() > np.median(full.ravel()[1:])).tobytes()
+    for strip in (24, 100, 311):
+        monkeypatch.setattr(media, "STRIP", strip)
+        assert media.read_png(media.write_png(payload)).tobytes() == payload and media.cosine_hash(image) == hashed
