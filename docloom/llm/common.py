@@ -7,8 +7,9 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,31 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def frugal(run: Callable) -> Callable:
+    """The function of an Arrow UDF, giving free memory back to the machine when its task ends: workers are used again and else keep what the largest task took."""
+
+    @wraps(run)
+    def outer(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        _give_back()
+
+    return outer
+
+
+def _give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps its own counsel
+        return
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

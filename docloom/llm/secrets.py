@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import durable
+from .common import durable, frugal
 
 #: Labelled findings that training uses at most, chosen by a hash.
 LABELLED_ROWS = 20_000
@@ -221,6 +221,7 @@ def label_findings(docs: DataFrame, dictionary: frozenset[str], text: str = "tex
     """(value, before, after, path, label) for the candidates that are certain on their own."""
 
     @F.arrow_udf(FINDING)
+    @frugal
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([*((n, pa.string()) for n in ("value", "before", "after")), ("label", pa.int32())]))
         for batch in batches:
@@ -292,6 +293,7 @@ def scan_texts(text: Column, path: Column, forest: Forest, threshold: float = TH
     """Number of candidates, kept findings (code points) and the text with each finding replaced."""
 
     @F.arrow_udf(SCAN)
+    @frugal
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         finding = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("vote", pa.float64())])
         kind = pa.struct([("n_candidates", pa.int32()), ("findings", pa.list_(finding)), ("redacted", pa.string())])

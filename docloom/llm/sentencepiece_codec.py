@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import frugal, ragged_gather
+
 MARK = "▁"
 
 #: Distinct chunks that a task keeps before it starts a new table: bounds memory, changes no result.
@@ -143,8 +145,6 @@ class ChunkTable:
         place = self.place
         at = np.fromiter((place[c] for chunks in cut for c in chunks), dtype=np.int64)
         lengths = self.length[at]
-        from .common import ragged_gather
-
         ids = ragged_gather(self.ids, self.start[at], lengths)
         chunk_ends = np.concatenate([[0], np.cumsum(lengths)])
         text_ends = np.cumsum([len(c) for c in cut], dtype=np.int64) if cut else np.zeros(0, dtype=np.int64)
@@ -185,6 +185,7 @@ def round_trip(text: Column, model_path: str) -> Column:
     """Column of (ids, decoded): encode() and decode() of each text in one worker."""
 
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    @frugal
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = ChunkTable(codec(model_path))
         for batch in batches:

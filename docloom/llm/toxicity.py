@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, frugal
 from .sentencepiece_codec import slices
 
 #: Labelled rows that the fit uses at most, chosen by a hash of their id.
@@ -153,6 +153,7 @@ def score_texts(text: Column, model: Model) -> Column:
     """score, n_words and the significant passages (in words) of each text."""
 
     @F.arrow_udf(RESULT)
+    @frugal
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, float] = {}
         for batch in batches:
@@ -175,6 +176,7 @@ def score_texts(text: Column, model: Model) -> Column:
 
 def _entry_sets(text: Column) -> Column:
     @F.arrow_udf("array<string>")
+    @frugal
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             parts = [pa.array([sorted({e for w in set(words_of(t.lower())) for e in entries(w)}) for t in part], type=pa.list_(pa.string())) for part in slices(batch, 200_000)]
@@ -265,6 +267,7 @@ MEASURE = "struct<n_words:long,strong:long,best:double,positive:array<double>,se
 
 def _measure(text: Column, model: Model) -> Column:
     @F.arrow_udf(MEASURE)
+    @frugal
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, float] = {}
         for batch in batches:
