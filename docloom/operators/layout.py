@@ -173,6 +173,28 @@ def hierarchy(words: DataFrame, of_blocks: DataFrame) -> DataFrame:
     return out
 
 
+#: Levels of a hierarchy from its root.
+LEVELS = ["document", "block", "line", "word"]
+
+
+def readable(nodes: DataFrame) -> DataFrame:
+    """Nodes of hierarchy() with depth, position among their siblings (by place, then id), next_id, prev_id, siblings, children and ancestors (joined by >, nearest first).
+
+    Levels are few, so ancestors are one join for each."""
+    nodes = cut(nodes)
+    kin = Window.partitionBy("doc_id", "parent").orderBy("y", "x", "id")
+    depth = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level")).cast("int") - 1
+    n = nodes.withColumns({"depth": depth, "position": F.row_number().over(kin), "next_id": F.lead("id").over(kin), "prev_id": F.lag("id").over(kin), "siblings": F.count("*").over(Window.partitionBy("doc_id", "parent")) - 1})
+    count = nodes.filter("parent IS NOT NULL").groupBy("doc_id", F.col("parent").alias("id")).agg(F.count("*").alias("children"))
+    n = n.join(count, ["doc_id", "id"], "left").fillna(0, ["children"]).withColumn("_at", F.col("parent"))
+    up = nodes.select("doc_id", F.col("id").alias("_at"), F.col("parent").alias("_up"))
+    chain = []
+    for k in range(len(LEVELS) - 1):
+        n = n.withColumn(f"_a{k}", F.col("_at")).join(up, ["doc_id", "_at"], "left").withColumn("_at", F.col("_up")).drop("_up")
+        chain.append(f"_a{k}")
+    return n.withColumn("ancestors", F.concat_ws(">", *chain)).drop("_at", *chain)
+
+
 def region_features(regions: DataFrame) -> DataFrame:
     """Features of every region of a page from its siblings. regions: doc_id, id, x, y, width, height, words, children, content_area."""
     page = union_box(regions, ["doc_id"], F.greatest(F.median("width"), F.median("height")).alias("size"), F.count("*").alias("n"))

@@ -121,9 +121,3 @@ def verify(first: Column, first_conf: Column, first_status: Column, second: Colu
 
 
 USED = ("primary_invalid_verifier_valid", "verifier_clearly_stronger_evidence")
-
-
-def within_budget(df: DataFrame, key: str, order: str, cost: str, budget: float) -> DataFrame:
-    """df with admitted: rows whose cost still fits what the rows before them leave of the budget."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("admitted", F.coalesce(F.sum(cost).over(before), F.lit(0)) + F.col(cost) <= budget)

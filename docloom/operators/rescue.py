@@ -16,7 +16,7 @@ from docloom.functions import geometry as G
 from docloom.functions import text as T
 from docloom.operators.anchors import anchored
 from docloom.operators.grounding import label_group
-from docloom.operators.ocr import number_status
+from docloom.operators.ocr import USED, number_status, verify
 from docloom.sources.cut import cut
 
 # Milliseconds, counts, confidences, shares of a row, px.
@@ -25,6 +25,7 @@ MOST_REGIONS, MOST_INSERTED, MOST_CANDIDATES = 6, 8, 6
 LEAST_CONF, DIGIT_LINE_CONF, WEAK_LINE, LONG_DIGITS = 0.85, 0.6, 0.93, 8
 COVERED, SAME_ROW, SAME_LINE, PAIR_GAP = 0.5, 0.8, 16, 48
 FEW_LINES, FEW_NUMBERS = 5, 3
+VERIFY_BUDGET, DOUBT, AGREED_CONF = 2000, 0.6, 0.5
 REFERENCE = r"المرجع|مرجعي|مرجقي|ref"
 TRANSACTION = r"المعامله|عمليه|عملية|transaction"
 #: Words of a page that ask for an amount.
@@ -181,6 +182,24 @@ def planned(asked: DataFrame, most: int = MOST_REGIONS) -> DataFrame:
     return out
 
 
+def verification(candidates: DataFrame, reads: DataFrame, budget: int = VERIFY_BUDGET) -> DataFrame:
+    """candidates with reason, value and agreed: what a second look at the doubtful ones decides, while the time lasts.
+
+    A valid one that is read well is left as it is (reason null). Once what was spent exceeds the budget, all that follow are skipped (budget_exhausted).
+    reads: doc_id, place, read, read_conf, again, again_conf, cost; nothing read is no row or a null."""
+    status = number_status(F.col("kind"), F.col("text"))
+    doubtful = ~((status == "valid") & (F.col("conf").isNull() | (F.col("conf") >= DOUBT)))
+    before = Window.partitionBy(PAGE).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    c = candidates.join(reads, [PAGE, "place"], "left").withColumns({"_status": status, "_doubt": doubtful})
+    c = c.withColumn("_spent", F.coalesce(F.sum(F.when(F.col("_doubt"), F.coalesce("cost", F.lit(0))).otherwise(0)).over(before), F.lit(0)))
+    decided_ = verify(F.col("text"), F.col("conf"), F.col("_status"), F.col("read"), F.col("read_conf"), number_status(F.col("kind"), F.col("read")))
+    reason = F.when(F.col("_spent") > budget, "budget_exhausted").when(F.col("_doubt"), decided_)
+    c = c.withColumn("reason", reason)
+    value = F.when(F.col("reason").isin(*USED), F.col("read")).otherwise(F.col("text"))
+    agreed = F.col("reason").isNotNull() & (F.col("reason") != "budget_exhausted") & F.coalesce((F.col("again_conf") >= AGREED_CONF) & (T.digits_only(F.col("read")) == T.digits_only(F.col("again"))), F.lit(False))
+    return c.withColumns({"value": value, "agreed": agreed}).drop("_status", "_doubt", "_spent", "read", "read_conf", "again", "again_conf", "cost")
+
+
 # --- What a second reading offers ---------------------------------------------------------------------------------
 
 

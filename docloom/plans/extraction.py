@@ -455,13 +455,6 @@ def cnf_tone(spark, sf_dir):
     return fixture(spark, sf_dir, "boxes").select("doc_id", "line_idx", "word_idx", F.when(c >= 0.85, "verified").when(c >= 0.5, "amber").otherwise("red").alias("tone"))
 
 
-@query("trc_events", f"{CAND} SELECT key AS stage, 'start' AS event, min(doc_id) AS ref FROM candidates GROUP BY 1 UNION ALL SELECT key, 'finish', max(doc_id) FROM candidates GROUP BY 1")
-def trc_events(spark, sf_dir):
-    f = fields(spark, sf_dir)
-    ends = [f.groupBy(F.col("key").alias("stage")).agg(F.lit(name).alias("event"), agg("doc_id").alias("ref")) for name, agg in (("start", F.min), ("finish", F.max))]
-    return ends[0].unionByName(ends[1])
-
-
 @query("trc_ground_summary", f"{GROUND} SELECT doc_id, round(avg(CASE WHEN n_evidence > 0 THEN 1.0 ELSE 0 END), 3)::DOUBLE AS coverage, count(*) FILTER (dropped IS NOT NULL)::BIGINT AS n_dropped FROM out GROUP BY 1")
 def trc_ground_summary(spark, sf_dir):
     g = G.ground(fields(spark, sf_dir), lines(spark, sf_dir))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.operators import context as X
 from docloom.operators import grounding as G
 from docloom.operators.quotes import holding
 from docloom.plans.text import NORMAL, count_sql
@@ -253,3 +254,29 @@ def enumerate_fields(spark, sf_dir):
     every = f.unionByName(f.filter("key = 'notes'").select("doc_id", F.concat(F.lit("found_"), "key").alias("key"))).distinct()
     known = F.create_map(*(F.lit(x) for k, row in enumerate(D.INVOICE_FIELDS) for x in (row[0], k)))
     return every.select("doc_id", "key", F.coalesce(known[F.col("key")], F.lit(100)).alias("ord"))
+
+
+# Documents whose extraction is not complete have no structured form.
+SHOWN = f"""{GROUND}, page AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY line_idx) AS text, max(CASE WHEN line_idx = 3 THEN text END) AS quote FROM rendered GROUP BY 1),
+said AS (SELECT *, floor(conf * 10000 + 0.5 + 1e-9)::BIGINT AS c4, concat_ws('; ', CASE WHEN n_evidence = 0 THEN '{D.UNCERTAINTY["no_direct_evidence"]}' END, CASE WHEN coalesce(ocr, 1.0) < 0.6 THEN '{D.UNCERTAINTY["ocr_confidence_low"]}' END, CASE WHEN factor < 1 THEN '{D.UNCERTAINTY["label_not_matched"]}' END) AS why FROM out)"""
+
+
+def documents_shown(spark, sf_dir):
+    """(structured documents, their pages)"""
+    ln = lines(spark, sf_dir)
+    page = ln.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "text"))), lambda x: x["text"]), "\n").alias("text"), F.max(F.when(F.col("line_idx") == 3, F.col("text"))).alias("_q"))
+    page = page.select("doc_id", F.concat(F.lit("Order "), F.col("doc_id").cast("string")).alias("title"), "text", F.create_map(F.lit("buyer_name"), "_q").alias("quotes"))
+    return X.structured_documents(G.ground(fields(spark, sf_dir), ln), page.select("doc_id", (F.col("doc_id") % 5 != 0).alias("complete"))), page
+
+
+@query("sink_structured_doc", f"{SHOWN}, st AS (SELECT doc_id, coalesce(string_agg(key || '=' || raw || '@' || c4, ';' ORDER BY key) FILTER (dropped IS NULL), '') AS fields, coalesce(string_agg(key || '=' || dropped, ';' ORDER BY key) FILTER (dropped IS NOT NULL), '') AS dropped FROM said GROUP BY 1) SELECT p.doc_id, CASE WHEN p.doc_id % 5 <> 0 THEN fields END AS fields, CASE WHEN p.doc_id % 5 <> 0 THEN dropped END AS dropped FROM page p LEFT JOIN st USING (doc_id)")
+def structured_doc(spark, sf_dir):
+    s = documents_shown(spark, sf_dir)[0]
+    field = lambda f: F.concat(f["key"], F.lit("="), f["value"], F.lit("@"), F.round(f["confidence"] * 10000).cast("long").cast("string"))
+    return s.select("doc_id", F.array_join(F.transform("fields", field), ";").alias("fields"), F.array_join(F.transform("dropped", lambda d: F.concat(d["key"], F.lit("="), d["reason"])), ";").alias("dropped"))
+
+
+@query("sink_agent_context", f"""{SHOWN}, fl AS (SELECT doc_id, string_agg('- ' || key || ': ' || raw[:120] || ' (' || floor(c4 / 100.0 + 0.5 + 1e-9)::BIGINT || '%)' || CASE WHEN why <> '' THEN ' [' || why || ']' ELSE '' END || CASE WHEN key = 'buyer_name' AND quote IS NOT NULL THEN ' — "' || quote[:200] || '"' ELSE '' END, chr(10) ORDER BY key) FILTER (dropped IS NULL) AS shown, string_agg('- ' || key || ': ' || dropped, chr(10) ORDER BY key) FILTER (dropped IS NOT NULL) AS lost, true AS has FROM said JOIN page USING (doc_id) GROUP BY 1)
+SELECT p.doc_id, '### Document: Order ' || p.doc_id || CASE WHEN has AND p.doc_id % 5 <> 0 THEN chr(10) || 'Extracted fields:' || chr(10) || coalesce(shown, '- (none)') || CASE WHEN lost IS NULL THEN '' ELSE chr(10) || chr(10) || 'Not confirmed:' || chr(10) || lost END || chr(10) || chr(10) || 'Raw text:' || chr(10) || text[:30000] ELSE chr(10) || 'Raw text:' || chr(10) || text[:30000] END AS context, CASE WHEN has AND p.doc_id % 5 <> 0 THEN 'structured' ELSE 'raw' END AS source FROM page p LEFT JOIN fl USING (doc_id)""")
+def agent_context(spark, sf_dir):
+    return X.agent_context(*documents_shown(spark, sf_dir))

@@ -147,15 +147,14 @@ def hier_agg_conf(spark, sf_dir):
     return lines.groupBy("doc_id", "block").agg(F.round(F.avg("c"), 6).alias("mean"))
 
 
-LINEAGE = f"{NODES}, up1 AS (SELECT c.doc_id, c.id, p.id AS a1, p.parent AS a2 FROM nodes c JOIN nodes p ON p.doc_id = c.doc_id AND p.id = c.parent WHERE c.level = 'word')"
+READER = f"""{NODES}, kin AS (SELECT doc_id, level, id, parent, CASE level WHEN 'document' THEN 0 WHEN 'block' THEN 1 WHEN 'line' THEN 2 ELSE 3 END AS depth, row_number() OVER k AS position, lead(id) OVER k AS next_id, lag(id) OVER k AS prev_id, count(*) OVER (PARTITION BY doc_id, parent) - 1 AS siblings FROM nodes WINDOW k AS (PARTITION BY doc_id, parent ORDER BY y, x, id)),
+ch AS (SELECT doc_id, parent AS id, count(*) AS children FROM nodes WHERE parent IS NOT NULL GROUP BY 1, 2)"""
 
 
-@query("lr_reader", f"{LINEAGE} SELECT doc_id, id, a1 || '>' || a2 || '>d' AS ancestors FROM up1")
+@query("lr_reader", f"{READER} SELECT k.doc_id, k.id, k.depth, k.position::INTEGER AS position, k.next_id, k.prev_id, k.siblings::BIGINT AS siblings, coalesce(children, 0)::BIGINT AS children, concat_ws('>', p.id, g.id, r.id) AS ancestors FROM kin k LEFT JOIN ch USING (doc_id, id) LEFT JOIN nodes p ON p.doc_id = k.doc_id AND p.id = k.parent LEFT JOIN nodes g ON g.doc_id = k.doc_id AND g.id = p.parent LEFT JOIN nodes r ON r.doc_id = k.doc_id AND r.id = g.parent")
 def lr_reader(spark, sf_dir):
-    """Ancestors of every word: one equi-join for each of the few levels."""
-    n = nodes(spark, sf_dir).select("doc_id", "level", "id", "parent")
-    up = n.select("doc_id", F.col("id").alias("parent"), F.col("parent").alias("grand"))
-    return n.filter("level = 'word'").join(up, ["doc_id", "parent"]).select("doc_id", "id", F.concat("parent", F.lit(">"), "grand", F.lit(">d")).alias("ancestors"))
+    """Every node's depth, place among its siblings, neighbours, children and ancestors."""
+    return L.readable(nodes(spark, sf_dir)).select("doc_id", "id", "depth", "position", "next_id", "prev_id", "siblings", "children", "ancestors")
 
 
 @query("lq_descendants", f"{NODES} SELECT doc_id, parent AS id, count(*)::BIGINT AS n FROM nodes WHERE parent IS NOT NULL GROUP BY 1, 2")
@@ -262,11 +261,14 @@ def rc_rank(spark, sf_dir):
     return L.classify_regions(features(spark, sf_dir)).select("doc_id", "id", "type", F.round("score", 6).alias("score"))
 
 
-@query("rc_explain", f"{STATS}, wide AS (SELECT * FROM features JOIN stats USING (doc_id)) {' UNION ALL '.join(f"SELECT doc_id, id, {k} AS term, {w}::DOUBLE AS weight, round(({t})::DOUBLE, 6) AS value FROM wide" for k, (w, t) in enumerate(L.SCORERS['table'][0]))}")
+EVERY_TERM = [(kind, k, w, t) for kind, (terms, _) in L.SCORERS.items() for k, (w, t) in enumerate(terms)]
+
+
+@query("rc_explain", f"{STATS}, wide AS (SELECT * FROM features JOIN stats USING (doc_id)) {' UNION ALL '.join(f"SELECT doc_id, id, '{kind}' AS type, {k} AS term, {w}::DOUBLE AS weight, round(({t})::DOUBLE, 6) AS value FROM wide" for kind, k, w, t in EVERY_TERM)}")
 def rc_explain(spark, sf_dir):
-    """The terms of the table score of every region."""
+    """The weighted terms of every type's score of every region."""
     f = features(spark, sf_dir)
-    terms = F.array(*(F.struct(F.lit(k).alias("term"), F.lit(w).alias("weight"), F.round(F.expr(t).cast("double"), 6).alias("value")) for k, (w, t) in enumerate(L.SCORERS["table"][0])))
+    terms = F.array(*(F.struct(F.lit(kind).alias("type"), F.lit(k).alias("term"), F.lit(w).alias("weight"), F.round(F.expr(t).cast("double"), 6).alias("value")) for kind, k, w, t in EVERY_TERM))
     return f.join(L.page_statistics(f), "doc_id").select("doc_id", "id", F.explode(terms).alias("t")).select("doc_id", "id", "t.*")
 
 

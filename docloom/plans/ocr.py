@@ -87,14 +87,6 @@ def oq_better(spark, sf_dir):
     return attempts(spark, sf_dir).groupBy("doc_id").agg(F.when(of(1) > of(0), "preprocessed").otherwise("raw").alias("better"))
 
 
-def budget_query(name: str, budget: int):
-    @query(name, f"{TRIED}, r AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a) SELECT doc_id, ord::INTEGER AS ord, before + cost <= {budget} AS admitted FROM r")
-    def run(spark, sf_dir):
-        return O.within_budget(attempts(spark, sf_dir), "doc_id", "ord", "cost", budget).select("doc_id", F.col("ord").cast("int").alias("ord"), "admitted")
-
-
-budget_query("nv_loop", 2000)
-
 BOX = with_fixtures("boxes")
 IS_NUMBER = "len(regexp_extract_all(text, '[0-9]')) >= 4 AND len(regexp_extract_all(text, '[0-9]')) / length(text) >= 0.6 AND len(regexp_extract_all(text, '[^0-9.,:/-]')) <= 2"
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.operators import profiles as P
+from docloom.operators.stages import run
 from docloom.plans.grounding import BASE, lines
 from docloom.registry import query
 from docloom.sources import dimensions as D
-from docloom.sources.tables import derived
+from docloom.sources.tables import derived, fixture, with_fixtures
 
 REGISTRY = P.Registry()
 #: Every order as an invoice, a receipt or a contract, or of a type that no profile has.
@@ -118,3 +119,34 @@ def rec_retry_eligible(spark, sf_dir):
     """Required fields without a value and without a candidate: only these are asked for again."""
     lack = missing(spark, sf_dir)
     return lack.join(P.recovery(REGISTRY, lines(spark, sf_dir), lack).select("doc_id", "key"), ["doc_id", "key"], "left_anti").select("doc_id", "key")
+
+
+def stages():
+    """Load, classify, validate: a document without lines, of no profile or with broken rules stops where that shows."""
+
+    def load(state):
+        n = state["lines"].groupBy("doc_id").agg(F.count("*").alias("n"))
+        out = state["docs"].join(n, "doc_id", "left").select("doc_id", F.when(F.coalesce("n", F.lit(0)) < 5, "EMPTY_SOURCE").alias("error"), F.concat(F.col("n").cast("string"), F.lit(" lines")).alias("detail"))
+        return state, out
+
+    def classify(state):
+        profile = REGISTRY.resolved(F.col("profile"))
+        return state, state["docs"].select("doc_id", F.when(profile == P.FALLBACK, "PROFILE_NOT_FOUND").alias("error"), profile.alias("detail"))
+
+    def validate(state):
+        c = P.checked(REGISTRY, state["docs"], state["values"])
+        n = c.groupBy("doc_id").agg(F.count_if(~F.col("ok")).alias("bad"), F.count("missing").alias("missing"))
+        return state | {"checks": c}, n.select("doc_id", F.when(F.col("missing") > 0, "EXTRACTION_FAILED").alias("error"), F.concat(F.col("bad").cast("string"), F.lit(" broken")).alias("detail"))
+
+    return [("load", load), ("classify", classify), ("validate", validate)]
+
+
+TRACED = f"""{with_fixtures('scans')}, {CHECKED.removeprefix('WITH ')}, ld AS (SELECT d0.doc_id, d0.profile, coalesce(n, 0) AS n FROM d0 LEFT JOIN (SELECT doc_id, count(*) AS n FROM scans GROUP BY 1) USING (doc_id)), cs AS (SELECT * FROM ld JOIN (SELECT doc_id, profile AS known FROM d) USING (doc_id) WHERE n >= 5),
+rl AS (SELECT doc_id, count(*) FILTER (NOT ok) AS bad, count(missing) AS missing FROM ({rules_sql()}) GROUP BY 1), vd AS (SELECT doc_id, bad, missing FROM cs JOIN rl USING (doc_id) WHERE known <> 'unknown')"""
+
+
+@query("trc_events", f"{TRACED} SELECT doc_id, 0 AS ord, 'load' AS stage, 'start' AS event, NULL AS detail FROM ld UNION ALL SELECT doc_id, 0, 'load', CASE WHEN n < 5 THEN 'error' ELSE 'finish' END, CASE WHEN n < 5 THEN 'EMPTY_SOURCE' ELSE n || ' lines' END FROM ld UNION ALL SELECT doc_id, 1, 'classify', 'start', NULL FROM cs UNION ALL SELECT doc_id, 1, 'classify', CASE WHEN known = 'unknown' THEN 'error' ELSE 'finish' END, CASE WHEN known = 'unknown' THEN 'PROFILE_NOT_FOUND' ELSE known END FROM cs UNION ALL SELECT doc_id, 2, 'validate', 'start', NULL FROM cs WHERE known <> 'unknown' UNION ALL SELECT doc_id, 2, 'validate', CASE WHEN missing > 0 THEN 'error' ELSE 'finish' END, CASE WHEN missing > 0 THEN 'EXTRACTION_FAILED' ELSE bad || ' broken' END FROM vd")
+def trc_events(spark, sf_dir):
+    """What each stage started, finished or failed at, document by document."""
+    state = {"docs": kinds(spark, sf_dir), "lines": fixture(spark, sf_dir, "scans"), "values": values(spark, sf_dir)}
+    return run(stages(), state)[1]

@@ -201,26 +201,11 @@ def sink_filename(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.nullif(clean, F.lit("")), F.lit("document")).alias("name"))
 
 
-@query("sink_structured_doc", f"{CAND} SELECT doc_id, string_agg(key || '=' || floor(confidence * 10000 + 0.5)::BIGINT::VARCHAR, ';' ORDER BY ord) AS fields FROM candidates GROUP BY 1")
-def sink_structured_doc(spark, sf_dir):
-    shown = F.concat("key", F.lit("="), F.floor(F.col("confidence") * 10000 + 0.5).cast("string"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", shown.alias("s")))), lambda x: x["s"])
-    return fixture(spark, sf_dir, "candidates").groupBy("doc_id").agg(F.array_join(parts, ";").alias("fields"))
-
-
 @query("sink_skip_rule", "SELECT conv_id, turn FROM conversations WHERE length(text) >= 30 AND NOT regexp_matches(text, '^\\[(Audio|Video|Could not extract|No text found)')")
 def sink_skip_rule(spark, sf_dir):
     return table(spark, sf_dir, "conversations").filter((F.char_length("text") >= 30) & ~F.col("text").rlike(r"^\[(Audio|Video|Could not extract|No text found)")).select("conv_id", "turn")
 
 
-@query("sink_agent_context", f"{CAND} SELECT doc_id, string_agg('- ' || key || ': ' || raw[:120] || CASE WHEN confidence < 0.6 THEN ' ({D.UNCERTAINTY['ocr_confidence_low']})' ELSE '' END, chr(10) ORDER BY ord) AS context FROM candidates WHERE raw <> '' GROUP BY 1")
-def sink_agent_context(spark, sf_dir):
-    unsure = F.when(F.col("confidence") < 0.6, F.lit(f" ({D.UNCERTAINTY['ocr_confidence_low']})")).otherwise("")
-    line = F.concat(F.lit("- "), "key", F.lit(": "), F.left("raw", F.lit(120)), unsure)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("s")))), lambda x: x["s"])
-    return fixture(spark, sf_dir, "candidates").filter("raw <> ''").groupBy("doc_id").agg(F.array_join(parts, "\n").alias("context"))
-
-
 @query("sink_rag_context", "WITH c AS (SELECT conv_id, role, min(turn) AS first_turn, string_agg(text, chr(10) || '---' || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1, 2) SELECT conv_id, md5(string_agg('[' || role || ']' || chr(10) || body, chr(10) || chr(10) ORDER BY first_turn, role)) AS digest FROM c GROUP BY 1")
 def sink_rag_context(spark, sf_dir):
     joined = lambda order, text, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t")))), lambda x: x["_t"]), sep)
@@ -302,13 +287,14 @@ def sse_parse(spark, sf_dir):
     return L.assemble_events(whole, "conv_id", "seq", "text").select("conv_id", F.md5("content").alias("content"), "n_events")
 
 
-CAPS = {"system": 200, "user": 500, "assistant": 100}
+# Conversations as requests to a provider each, some of them long.
+REQUESTS = "SELECT conv_id, turn, role, repeat(text, CAST(1 + conv_id % 60 AS INT)) AS content, CASE conv_id % 4 WHEN 0 THEN 'groq' WHEN 1 THEN 'cerebras' WHEN 2 THEN 'huggingface' ELSE 'other' END AS provider FROM {conversations}"
 
 
-@query("st_truncate_for_provider", f"SELECT conv_id, turn, md5(text[:CASE role {' '.join(f"WHEN '{r}' THEN {n}" for r, n in CAPS.items())} END]) AS digest FROM conversations")
+@query("st_truncate_for_provider", f"WITH r AS ({REQUESTS.replace('{conversations}', 'conversations')}), o AS (SELECT *, sum(length(content)) OVER (PARTITION BY conv_id) - CASE WHEN provider <> 'other' THEN 20000 END AS over FROM r), c AS (SELECT *, CASE WHEN over > 0 AND role IN ('system', 'user') AND length(content) > 1000 THEN least(length(content) - 500, over) ELSE 0 END::INTEGER AS cut FROM o) SELECT conv_id, turn, length(content[cut + 1:])::INTEGER AS n, md5(content[cut + 1:]) AS digest FROM c")
 def truncate_for_provider(spark, sf_dir):
-    cap = F.create_map(*(F.lit(x) for pair in CAPS.items() for x in pair))[F.col("role")]
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(F.substring("text", F.lit(1), cap)).alias("digest"))
+    out = L.truncated(derived(spark, sf_dir, REQUESTS), "conv_id")
+    return out.select("conv_id", "turn", F.char_length("content").alias("n"), F.md5("content").alias("digest"))
 
 
 @query("st_job_state", f"{JOBS}, r AS (SELECT *, CASE status WHEN 'queued' THEN 0 WHEN 'extracting' THEN 2 WHEN 'validating' THEN 3 ELSE 4 END AS rank FROM jobs), f AS (SELECT user_id, arg_min(status, (updated_at, job_id)) AS final FROM r WHERE rank = 4 GROUP BY 1), o AS (SELECT user_id, arg_max(status, (rank, updated_at, job_id)) AS open FROM r GROUP BY 1) SELECT o.user_id, coalesce(final, open) AS status FROM o LEFT JOIN f USING (user_id)")

@@ -150,6 +150,21 @@ def failover_stream(requests: DataFrame, run: str, seq: str) -> DataFrame:
     return requests.groupBy(run).applyInPandasWithState(answer, schema, "lost array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
+# Characters that a request to a provider may have, and what a message is cut for and down to.
+PROVIDER_CHARS = {"groq": 20000, "cerebras": 20000, "huggingface": 20000}
+CUT_FROM, CUT_TO = 1000, 500
+
+
+def truncated(messages: DataFrame, request: str) -> DataFrame:
+    """messages (request, provider, role, content) with the contents that their provider takes: where a request is too long, each long message of the
+    system or the user loses what the request has too much from its beginning, down to CUT_TO characters."""
+    most = F.create_map(*(F.lit(x) for pair in PROVIDER_CHARS.items() for x in pair))[F.col("provider")]
+    over = F.sum(F.char_length("content")).over(Window.partitionBy(request)) - most
+    n = F.char_length("content")
+    cut = F.when((over > 0) & F.col("role").isin("system", "user") & (n > CUT_FROM), F.least(n - CUT_TO, over)).otherwise(0)
+    return messages.withColumn("_cut", cut.cast("int")).withColumn("content", F.substr("content", F.col("_cut") + 1)).drop("_cut")
+
+
 def first_success(attempts: DataFrame, key: str) -> DataFrame:
     """The first attempt of each key that succeeded, in provider order."""
     best = Window.partitionBy(key).orderBy("ord")

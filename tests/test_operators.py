@@ -157,3 +157,34 @@ def test_quotes_of_every_length(spark):
     quotes = [(k, " ".join(rnd.choice(["ab", "b", "ca", "abc"]) for _ in range(rnd.randint(0, 8)))) for k in range(60)]
     got = {(r.t, r.q) for r in holding(spark.createDataFrame(texts, "t long, text string"), spark.createDataFrame(quotes, "q long, quote string")).collect()}
     assert got == {(t, q) for t, x in texts for q, y in quotes if y and y in x}
+
+
+def covered(words, quote):
+    """(start, end, cover) of the run that spells most of the quote's beginning, as a loop from every start."""
+    target, best = " ".join(quote.split()), None
+    for s in range(len(words)):
+        acc, first, last = "", -1, -1
+        for k in range(s, len(words)):
+            w = " ".join(words[k].split())
+            if w == "":
+                break
+            joined = f"{acc} {w}" if acc else w
+            if target.startswith(joined):
+                first, last, acc = (k if first < 0 else first), k, joined
+                if len(acc) >= len(target):
+                    break
+        if first >= 0:
+            key = (-min(1.0, len(acc) / len(target)), first, last)
+            best = key if best is None or key < best else best
+    return None if best is None or best[0] > -0.6 else (best[1], best[2], -best[0])
+
+
+def test_quotes_are_matched_to_words_as_a_loop_does(spark):
+    from docloom.plans.fields import quote_span
+
+    cases = [("a b c d", "b c"), ("a b c d", "b x"), ("total due total 12", "total 12"), ("x y", "zz"), ("alpha beta gamma", "alpha beta gam"), ("a  b", "a b"), ("a b a b c", "a b c"), ("a b", ""), ("one two three", "two  three")]
+    df = spark.createDataFrame([(k, t, q) for k, (t, q) in enumerate(cases)], "k int, t string, q string")
+    got = {r.k: r.s for r in df.select("k", quote_span(F.split("t", " "), F.col("q")).alias("s")).collect()}
+    for k, (t, q) in enumerate(cases):
+        want = covered(t.split(" "), q) if q else None
+        assert (got[k] is None) == (want is None) and (want is None or (got[k].start, got[k].end, round(got[k].cover, 9)) == (want[0], want[1], round(want[2], 9))), (t, q, got[k], want)
