@@ -8,7 +8,7 @@ from docloom.functions import text as T
 from docloom.operators import context as X
 from docloom.operators import grounding as G
 from docloom.operators.quotes import holding
-from docloom.plans.text import NORMAL, count_sql
+from docloom.plans.text import NORMAL
 from docloom.registry import query
 from docloom.sources import dimensions as D
 from docloom.sources.documents import lines as split_lines
