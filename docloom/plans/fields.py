@@ -79,12 +79,12 @@ def sx_expected_length(spark, sf_dir):
     return parts(spark, sf_dir)[1].select("doc_id", "key", R.expected_length(F.col("expected")).alias("digits"))
 
 
-@query("sx_values_match", f"{BASE} SELECT doc_id, key, line_idx, token FROM asked JOIN s USING (doc_id) WHERE expected IS NOT NULL AND token IS NOT NULL AND {match('expected', 'token')}")
+@query("sx_values_match", f"{BASE} SELECT doc_id, key, line_idx, token, {match('expected', 'token')} AS equal FROM asked JOIN s USING (doc_id) WHERE expected IS NOT NULL AND token IS NOT NULL")
 def sx_values_match(spark, sf_dir):
-    """Asked values and the numbers of their documents that equal them."""
+    """Asked values and the numbers of their documents: whether they are equal."""
     lines, asked = parts(spark, sf_dir)
     numbers = lines.select("doc_id", "line_idx", R.number_token(F.col("text")).alias("token")).filter("token IS NOT NULL")
-    return R.matching(asked.filter("expected IS NOT NULL"), numbers).select("doc_id", "key", "line_idx", "token")
+    return asked.filter("expected IS NOT NULL").join(numbers, "doc_id").select("doc_id", "key", "line_idx", "token", R.values_match(F.col("expected"), F.col("token")).alias("equal"))
 
 
 def tier_query(name: str, alignment: str):
