@@ -62,6 +62,15 @@ def test_values_are_told_whether_they_match(spark, small):
     assert told == {True, False}
 
 
+def test_cycles_pass_to_python_in_batches(spark):
+    rows = [(d, a, b, s, o) for d in range(50) for a, b, s, o in (("a", "b", 0.5, 1), ("b", "c", 0.4, 2), ("c", "a", 0.3 if d % 2 else 0.6, 3))]
+    e = spark.createDataFrame(rows, "doc_id long, from_id string, to_id string, score double, ord int")
+    out = V.cycle_breakers(e, F.lit(None).cast("int"))
+    assert "FlatMapGroups" not in plan(out) and "FlatMapGroups" not in plan(V.ordered(e))
+    assert {tuple(r) for r in out.collect()} == {(d, "c", "a", 3) if d % 2 else (d, "b", "c", 2) for d in range(50)}
+    assert V.cyclic_nodes(e).count() == 150
+
+
 def test_differing_counts_repeated_rows_of_a_page(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (3, None)], "doc_id long, id string")
     b = spark.createDataFrame([(1, "x"), (2, "z"), (3, None), (4, "q")], "doc_id long, id string")
