@@ -166,13 +166,16 @@ def sx_ladder(spark, sf_dir):
     lines = fixture(spark, sf_dir, "sheet").withColumn("nt", T.normalize(F.col("text")))
     f = fixture(spark, sf_dir, "candidates").filter(F.trim("raw") != "").select("doc_id", "key", T.normalize(F.col("raw")).alias("needle"), region_types().alias("types"))
     inside = F.coalesce(F.array_contains(F.split("types", ","), F.col("region")), F.lit(False))
-    of_key = Window.partitionBy("doc_id", "key")
-    anchor = lambda c: F.when(inside, F.col(c))
-    met = f.join(lines, "doc_id").withColumns({"lo": F.min(anchor("line_idx")).over(of_key), "hi": F.max(anchor("line_idx")).over(of_key), "blocks": F.collect_set(anchor("block")).over(of_key), "pages": F.collect_set(anchor("page")).over(of_key)})
-    near = F.col("line_idx").between(F.col("lo") - 3, F.col("hi") + 3)
-    rank = F.when(F.col("types") == "", 4).when(inside, 0).when(near, 1).when(F.array_contains("blocks", F.col("block")), 2).when(F.array_contains("pages", F.col("page")), 3).otherwise(4)
-    hit = met.filter(F.col("nt").contains(F.col("needle"))).withColumn("rank", rank).groupBy("doc_id", "key", "rank").agg(F.count("*").alias("n"))
-    return hit.groupBy("doc_id", "key").agg(F.min("rank").alias("rank"), F.min_by("n", "rank").alias("n"))
+    hits = F.col("nt").contains(F.col("needle"))
+    anchor = lambda c: F.when(F.col("_in"), F.col(c))
+    # Only lines of a field's regions and lines that hold it tell anything, so no other pair goes on; a field's are gathered without ordering them.
+    met = f.join(lines.select("doc_id", "line_idx", "nt", "region", "block", "page").hint("merge"), "doc_id").withColumns({"_in": inside, "_hit": hits}).filter("_in or _hit")
+    line = F.when(F.col("_hit"), F.struct("line_idx", "block", "page", "_in"))
+    of = met.groupBy("doc_id", "key", "types").agg(F.min(anchor("line_idx")).alias("lo"), F.max(anchor("line_idx")).alias("hi"), F.collect_set(anchor("block")).alias("blocks"), F.collect_set(anchor("page")).alias("pages"), F.collect_list(line).alias("_lines"))
+    near = lambda s: s["line_idx"].between(F.col("lo") - 3, F.col("hi") + 3)
+    rank = lambda s: F.when(F.col("types") == "", 4).when(s["_in"], 0).when(near(s), 1).when(F.array_contains("blocks", s["block"]), 2).when(F.array_contains("pages", s["page"]), 3).otherwise(4)
+    ranks = of.filter(F.size("_lines") > 0).select("doc_id", "key", F.transform("_lines", rank).alias("_ranks")).withColumn("rank", F.array_min("_ranks"))
+    return ranks.select("doc_id", "key", "rank", F.size(F.filter("_ranks", lambda r: r == F.col("rank"))).cast("long").alias("n"))
 
 
 @query("sx_document_text", f"{with_fixtures('sheet')}, g AS (SELECT *, CASE WHEN region IS NULL THEN 1000000 ELSE min(line_idx) OVER (PARTITION BY doc_id, region) END AS first_ FROM sheet) SELECT doc_id, md5(string_agg(text, chr(10) ORDER BY first_, line_idx)) AS digest FROM g WHERE text <> '' GROUP BY 1")
