@@ -14,6 +14,7 @@ from docloom.functions import text as T
 from docloom.operators import extraction as E
 from docloom.operators.grounding import contains_join
 from docloom.sources import dimensions as D
+from docloom.sources.cut import cut
 
 FIELDS = "profile string, ord int, key string, type string, label string, grp string, required boolean, cross boolean"
 RULES = "profile string, rule int, key string, kind string, required boolean, pattern string, low double, high double, listed boolean"
@@ -91,8 +92,8 @@ def lacking(registry: Registry, docs: DataFrame, values: DataFrame) -> DataFrame
     return docs.select("doc_id", registry.resolved(F.col("profile")).alias("profile")).join(F.broadcast(need), "profile").join(have, ["doc_id", "key"], "left_anti").select("doc_id", "profile", "key", "type")
 
 
-def recovery(registry: Registry, lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, key, line_idx, raw, value, confidence) for wanted fields (doc_id, key, type): what follows a label word of the field on a line.
+def recovery(registry: Registry, lines: DataFrame, wanted: DataFrame, tell: bool = False) -> DataFrame:
+    """(doc_id, key, line_idx, raw, value, confidence) for wanted fields (doc_id, key, type): what follows a label word of the field on a line. tell: also own, whether that line holds the value as it is.
 
     A line is tested once for all words of all fields; only one that holds any is tested field by field."""
     words = {f[0]: E.label_words(f[2], group_of(f[0]) or "") for fields, _ in registry.profiles.values() for f in fields if f[1] not in ("array", "enum")}
@@ -101,7 +102,7 @@ def recovery(registry: Registry, lines: DataFrame, wanted: DataFrame) -> DataFra
     # Through a one-element array: the tests of all fields are too many for the code of one stage.
     hits = F.transform(F.array(norm), lambda n: F.array_compact(F.array(*(F.struct(F.lit(k).alias("key"), E.label_word(n, ws).alias("word")) for k, ws in words.items()))))[0]
     found = lines.withColumn("norm", T.normalize(F.col("text"))).filter(any_).withColumn("hit", F.explode(F.filter(hits, lambda h: h["word"].isNotNull()))).select(*lines.columns, "norm", "hit.key", "hit.word")
-    found = found.join(wanted.select("doc_id", "key", "type"), ["doc_id", "key"])
+    found = found.hint("merge").join(wanted.select("doc_id", "key", "type"), ["doc_id", "key"])
     kind = F.col("type")
     after = F.trim(F.regexp_replace(F.split_part(norm, F.col("word"), F.lit(-1)), r"^[\s:：.\-#]+", ""))
     dates = F.regexp_extract_all("norm", F.lit(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}"), F.lit(0))
@@ -110,14 +111,20 @@ def recovery(registry: Registry, lines: DataFrame, wanted: DataFrame) -> DataFra
     raw = F.when(kind == "date", F.try_element_at(dates, F.lit(-1))).when(number, F.try_element_at(numbers, F.lit(-1))).otherwise(F.nullif(after, F.lit("")))
     value = F.when(kind == "date", T.to_date(F.regexp_replace("raw", r"\.", "-"))).when(number, F.replace("raw", F.lit(","), F.lit(""))).otherwise(F.col("raw"))
     out = found.withColumn("raw", raw).filter("raw IS NOT NULL").withColumn("value", value).filter("value IS NOT NULL")
-    return out.select("doc_id", "key", "line_idx", "raw", "value", F.least(F.lit(0.5), F.coalesce("ocr", F.lit(0.7)) * 0.7).alias("confidence"))
+    own = [norm.contains(T.normalize(F.col("value"))).alias("own")] if tell else []
+    return out.select("doc_id", "key", "line_idx", "raw", "value", F.least(F.lit(0.5), F.coalesce("ocr", F.lit(0.7)) * 0.7).alias("confidence"), *own)
 
 
 def recovered(candidates: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc_id, key, status, value, confidence, alternatives): one distinct value that a line still holds is flagged, several are ambiguous, with all of them."""
-    decided = E.decide_recovery(candidates)
-    others = candidates.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("value")).alias("alternatives"))
-    one = decided.filter("status = 'flagged'")
-    held = contains_join(one.withColumn("needle", T.normalize(F.col("value"))), lines.select("doc_id", "text"), F.col("nline").contains(F.col("needle"))).select("doc_id", "key").distinct()
-    kept = one.join(held, ["doc_id", "key"], "left_semi").unionByName(decided.filter("status = 'ambiguous'"))
-    return kept.join(others, ["doc_id", "key"]).select("doc_id", "key", "status", "value", "confidence", "alternatives")
+    """(doc_id, key, status, value, confidence, alternatives): one distinct value that a line still holds is flagged, several are ambiguous, with all of them.
+
+    Candidates are gone over once. Only values that the line they were read from does not tell to hold (own) are looked for in the others."""
+    own = F.bool_or("own") if "own" in candidates.columns else F.lit(False)
+    per = candidates.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("value")).alias("alternatives"), F.max("confidence").alias("_c"), own.alias("_own"))
+    one = F.size("alternatives") == 1
+    value = F.when(one, F.get("alternatives", F.lit(0)))
+    decided = cut(per.select("doc_id", "key", F.when(one, "flagged").otherwise("ambiguous").alias("status"), value.alias("value"), F.when(one, F.col("_c")).otherwise(0.0).alias("confidence"), "alternatives", "_own"))
+    known = (F.col("status") == "ambiguous") | F.col("_own")
+    open_ = decided.filter(~known).withColumn("needle", T.normalize(F.col("value")))
+    held = contains_join(open_, lines.select("doc_id", "text"), F.col("nline").contains(F.col("needle"))).select(*decided.columns).dropDuplicates(["doc_id", "key"])
+    return decided.filter(known).unionByName(held).drop("_own")

@@ -110,7 +110,7 @@ def rec_profiles(spark, sf_dir):
 @query("rec_profiles_decide", f"{FOUND}, pd AS (SELECT doc_id, key, count(DISTINCT value) AS n, min(value) AS v, max(confidence) AS c, array_to_string(list_sort(list(DISTINCT value)), '|') AS alternatives FROM cd WHERE value IS NOT NULL GROUP BY 1, 2) SELECT doc_id, key, CASE WHEN n = 1 THEN 'flagged' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN v END AS value, round(CASE WHEN n = 1 THEN c ELSE 0 END, 6)::DOUBLE AS confidence, alternatives FROM pd WHERE n > 1 OR EXISTS (SELECT 1 FROM w WHERE w.doc_id = pd.doc_id AND contains(w.nline, pd.v))")
 def rec_profiles_decide(spark, sf_dir):
     ln = lines(spark, sf_dir)
-    out = P.recovered(P.recovery(REGISTRY, ln, missing(spark, sf_dir)), ln)
+    out = P.recovered(P.recovery(REGISTRY, ln, missing(spark, sf_dir), tell=True), ln)
     return out.select("doc_id", "key", "status", "value", F.round("confidence", 6).alias("confidence"), F.array_join("alternatives", "|").alias("alternatives"))
 
 
