@@ -271,3 +271,32 @@ def test_parities_differ_in_no_more_bits_than_the_sets_in_shingles(n):
     folded = [differ[w] ^ differ[w + 4] ^ differ[w + 8] ^ differ[w + 12] for w in range(4)]
     bits = lambda words: sum(w.bit_count() for w in words)
     assert bits(folded) <= bits(differ) <= len(np.setxor1d(a, b))
+
+
+def test_copies_around_the_threshold_are_verified_once_a_component(spark, monkeypatch):
+    """Copies of one text whose similarity lies around the threshold: groups as by brute force, few pairs of sets compared."""
+    from docloom.llm import shingles
+
+    rnd = random.Random(4)
+    base = prose(rnd, 150)
+    rows = []
+    for k in range(90):
+        words = list(base)
+        start = rnd.randrange(150)
+        for at in range(13 + k % 9):
+            words[(start + at) % 150] = f"edit{k}x{at}"
+        rows.append((k, " ".join(words)))
+    sets = {k: set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for k, t in rows}
+    root = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                one, two = sorted((root[a], root[b]))
+                root = {k: one if r == two else r for k, r in root.items()}
+    met, compared, possible, similar = [], [], shingles.possible, shingles.similar
+    monkeypatch.setattr(shingles, "possible", lambda pairs, nodes: met.append(pairs.count()) or possible(pairs, nodes))
+    monkeypatch.setattr(shingles, "similar", lambda both, own, shingle=5: compared.append(both.count()) or similar(both, own, shingle))
+    found = shingles.near_duplicates(spark.createDataFrame(rows, DOC)).collect()
+    assert {r.doc_id: r.component_id for r in found} == root
+    # Pairs with hubs alone are joined with their nodes; the others come tested out of their keys.
+    assert len(met) == 1 and met[0] < 6 * len(rows) and 1 < len(set(root.values())) and sum(compared) < 4 * len(rows), (met, compared)
