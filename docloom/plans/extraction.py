@@ -405,32 +405,52 @@ signals AS (SELECT vs.doc_id, vs.validation, coalesce(e.consistency, 1.0) AS con
 NAMES = ("validation", "consistency", "ocr", "extraction", "evidence", "uncertainty", "missing")
 
 
-def signals(spark, sf_dir):
-    """Seven signals of every document: rules, cross-checked fields, OCR, fields, evidence, certainty, completeness."""
+#: Signals by what they are made of: grounded fields, rules, lines.
+GROUNDED, RULED, READ = ("consistency", "extraction", "evidence", "uncertainty"), ("validation", "missing"), ("ocr",)
+
+
+def grounded_signals(spark, sf_dir):
+    """Signals of every document with fields by those that are kept: cross-checked fields, fields, evidence, certainty."""
     g = G.ground(fields(spark, sf_dir), lines(spark, sf_dir)).filter("dropped IS NULL")
     required = [f[0] for f in D.INVOICE_FIELDS if f[3]]
     cross = [f[0] for f in D.INVOICE_FIELDS if f[4]]
     weight = F.when(F.col("key").isin(*required), 2).otherwise(1)
-    has_ocr = F.col("ocr").isNotNull()
     e = g.groupBy("doc_id").agg(
         (F.sum(F.col("confidence") * weight) / F.sum(weight)).alias("extraction"),
-        F.coalesce(F.avg(F.when(F.col("key").isin(*cross), F.col("confidence"))), F.lit(1.0)).alias("consistency"),
+        F.avg(F.when(F.col("key").isin(*cross), F.col("confidence"))).alias("consistency"),
         F.avg((F.col("n_evidence") > 0).cast("double")).alias("coverage"),
         F.avg((F.size("reasons") == 0).cast("double")).alias("uncertainty"),
-        (F.sum(F.col("ocr") * F.col("n_evidence")) / F.sum(F.when(has_ocr, F.col("n_evidence")))).alias("quality"),
+        (F.sum(F.col("ocr") * F.col("n_evidence")) / F.sum(F.when(F.col("ocr").isNotNull(), F.col("n_evidence")))).alias("quality"),
     )
-    c = checks(spark, sf_dir).groupBy("doc_id").agg((F.sum(F.when(F.col("ok"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("validation"), F.greatest(F.lit(0.0), 1 - 0.2 * F.count_distinct("missing")).alias("missing"))
-    size = F.sum(F.char_length("text"))
-    o = lines(spark, sf_dir).groupBy("doc_id").agg(F.coalesce(F.avg("ocr"), F.when(size < 100, 0.4).when(size < 1000, 0.7).otherwise(0.95)).alias("ocr"))
-    evidence = F.coalesce(F.when(F.col("quality").isNull(), F.col("coverage")).otherwise(0.5 * F.col("coverage") + 0.5 * F.col("quality")), F.lit(0.0))
-    both = c.join(o, "doc_id").join(e, "doc_id", "left")
-    return both.select("doc_id", "validation", F.coalesce("consistency", F.lit(1.0)).alias("consistency"), "ocr", F.coalesce("extraction", F.lit(0.0)).alias("extraction"), evidence.alias("evidence"), F.coalesce("uncertainty", F.lit(0.0)).alias("uncertainty"), "missing")
+    e = fields(spark, sf_dir).select("doc_id").distinct().join(e, "doc_id", "left")
+    evidence = F.when(F.col("quality").isNull(), F.col("coverage")).otherwise(0.5 * F.col("coverage") + 0.5 * F.col("quality"))
+    return e.select("doc_id", F.coalesce("consistency", F.lit(1.0)).alias("consistency"), F.coalesce("extraction", F.lit(0.0)).alias("extraction"), F.coalesce(evidence, F.lit(0.0)).alias("evidence"), F.coalesce("uncertainty", F.lit(0.0)).alias("uncertainty"))
+
+
+def signals(spark, sf_dir, names=NAMES):
+    """The named signals of every document with fields and lines: rules, cross-checked fields, OCR, fields, evidence, certainty, completeness. Only what they are made of is."""
+    made = []
+    if set(names) & set(GROUNDED):
+        made.append(grounded_signals(spark, sf_dir))
+    if set(names) & set(RULED):
+        made.append(checks(spark, sf_dir).groupBy("doc_id").agg((F.sum(F.when(F.col("ok"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("validation"), F.greatest(F.lit(0.0), 1 - 0.2 * F.count_distinct("missing")).alias("missing")))
+    if not made:
+        made.append(fields(spark, sf_dir).select("doc_id").distinct())
+    if set(names) & set(READ):
+        size = F.sum(F.char_length("text"))
+        made.append(lines(spark, sf_dir).groupBy("doc_id").agg(F.coalesce(F.avg("ocr"), F.when(size < 100, 0.4).when(size < 1000, 0.7).otherwise(0.95)).alias("ocr")))
+    else:
+        made.append(lines(spark, sf_dir).select("doc_id").distinct())
+    both = made[0]
+    for part in made[1:]:
+        both = both.join(part, "doc_id")
+    return both.select("doc_id", *names)
 
 
 def signal(name: str, column: str):
     @query(name, f"{SIGNALS} SELECT doc_id, round({column}, 6)::DOUBLE AS value FROM signals")
     def run(spark, sf_dir):
-        return signals(spark, sf_dir).select("doc_id", F.round(column, 6).alias("value"))
+        return signals(spark, sf_dir, (column,)).select("doc_id", F.round(column, 6).alias("value"))
 
 
 for part, column in {"validation": "validation", "consistency": "consistency", "ocr": "ocr", "extraction": "extraction", "missing": "missing", "evidence": "evidence", "uncertainty": "uncertainty"}.items():

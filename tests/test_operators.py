@@ -188,3 +188,19 @@ def test_quotes_are_matched_to_words_as_a_loop_does(spark):
     for k, (t, q) in enumerate(cases):
         want = covered(t.split(" "), q) if q else None
         assert (got[k] is None) == (want is None) and (want is None or (got[k].start, got[k].end, round(got[k].cover, 9)) == (want[0], want[1], round(want[2], 9))), (t, q, got[k], want)
+
+
+def test_a_signal_makes_only_what_it_is_made_of(spark, small, monkeypatch):
+    """Signals of fields or of rules alone equal those of all together, and neither makes the other's parts."""
+    from docloom.plans import extraction as X
+
+    every = {r.doc_id: r for r in X.signals(spark, small).collect()}
+
+    def fail(*_):
+        raise AssertionError("not needed")
+
+    for names, other in ((("consistency", "extraction", "evidence"), "checks"), (("validation", "missing", "ocr"), "grounded_signals")):
+        with monkeypatch.context() as m:
+            m.setattr(X, other, fail)
+            found = X.signals(spark, small, names).collect()
+        assert len(found) == len(every) and all(abs(r[n] - every[r.doc_id][n]) < 1e-9 for r in found for n in names)
