@@ -260,6 +260,37 @@ def test_composed_and_fuzzy_passages(spark, kind):
     assert not found - want
 
 
+def test_every_run_is_linked_to_its_own_first_holder(spark):
+    """Runs of 50 words whose every part of 40 was first seen elsewhere, and documents that hold such parts twice."""
+    rnd = random.Random(12)
+    rows, want, k = [], set(), 0
+    for _ in range(30):
+        run = prose(rnd, 50)
+        for part in (run[:40], run[10:], run, prose(rnd, 5) + run + prose(rnd, 5), run):
+            rows.append((k, " ".join(prose(rnd, 30) + part + prose(rnd, 30))))
+            k += 1
+        want |= {(k - 2, k - 3), (k - 1, k - 3)}
+    for _ in range(10):  # the second time, the part goes on
+        run = prose(rnd, 50)
+        rows += [(k, " ".join(prose(rnd, 30) + run[:40] + prose(rnd, 30) + run + prose(rnd, 30) + run[10:])), (k + 1, " ".join(prose(rnd, 30) + run + prose(rnd, 30)))]
+        k += 2
+        want.add((k - 1, k - 2))
+    found = passages.shared_passages(spark.createDataFrame(rows, DOC)).collect()
+    assert {(r.doc_id, r.other_id) for r in found} == want
+    texts = {n: t.split() for n, t in rows}
+    assert all(texts[r.doc_id][r.start_word : r.end_word] == texts[r.other_id][r.other_start : r.other_end] for r in found if r.identity == 1.0)
+
+
+def test_what_stands_around_an_exact_run_does_not_hide_it():
+    rnd = random.Random(13)
+    one, two, ends = prose(rnd, 50), prose(rnd, 50), [prose(rnd, 4) for _ in range(4)]
+    apart = [one + prose(rnd, 28) + two for _ in range(2)]
+    assert passages.align(*apart, [0, 78], [0, 78]) == [(0, 50, 0, 50, 50), (78, 128, 78, 128, 50)]
+    edited = [one + [w for e in ends for w in prose(rnd, 10) + e] for _ in range(2)]
+    (found,) = passages.align(*edited, [0], [0])
+    assert found[0] == 0 and found[1] >= 50 and found[4] >= 0.8 * found[1]
+
+
 @pytest.mark.parametrize("n", [4, 20, 145, 900, 5000])
 def test_parities_differ_in_no_more_bits_than_the_sets_in_shingles(n):
     from docloom.llm import shingles
