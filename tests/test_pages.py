@@ -41,6 +41,17 @@ def test_large_pages_are_grouped_as_small_ones(spark, monkeypatch):
     assert {tuple(r) for r in L.regions(of_blocks).collect()} == near and len({r[:2] for r in near}) == of_blocks.count()
 
 
+def test_blocks_are_not_made_to_be_counted(spark, monkeypatch):
+    """With their words, blocks are not run before they are asked for, unless a page has many words."""
+    words = pages(spark)
+    of_blocks = L.union_box(L.blocked(words), ["doc_id", "block"]).localCheckpoint()
+    near = {tuple(r) for r in L.regions(of_blocks).collect()}
+    L.regions(of_blocks.withColumn("x", F.raise_error(F.lit("run too early")).cast("double")), words)
+    assert {tuple(r) for r in L.regions(of_blocks, words).collect()} == near
+    monkeypatch.setattr(L, "PAGE_BOXES", 6)
+    assert {tuple(r) for r in L.regions(of_blocks, words).collect()} == near
+
+
 def test_pairs_of_a_batch_are_taken_in_parts(spark, monkeypatch):
     words = pages(spark)
     whole = {tuple(r) for r in L.blocks(words).collect()}
