@@ -6,6 +6,7 @@ different profiles go through one plan: what differs between them is data."""
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,14 +96,13 @@ def lacking(registry: Registry, docs: DataFrame, values: DataFrame) -> DataFrame
 def recovery(registry: Registry, lines: DataFrame, wanted: DataFrame, tell: bool = False) -> DataFrame:
     """(doc_id, key, line_idx, raw, value, confidence) for wanted fields (doc_id, key, type): what follows a label word of the field on a line. tell: also own, whether that line holds the value as it is.
 
-    A line is tested once for all words of all fields; only one that holds any is tested field by field."""
+    Lines meet the fields that their document lacks before anything is looked for: each pair is tested for that field's words only."""
     words = {f[0]: E.label_words(f[2], group_of(f[0]) or "") for fields, _ in registry.profiles.values() for f in fields if f[1] not in ("array", "enum")}
     norm = F.col("norm")
-    any_ = T.holds_any(norm, [w for ws in words.values() for w in ws])
-    # Through a one-element array: the tests of all fields are too many for the code of one stage.
-    hits = F.transform(F.array(norm), lambda n: F.array_compact(F.array(*(F.struct(F.lit(k).alias("key"), E.label_word(n, ws).alias("word")) for k, ws in words.items()))))[0]
-    found = lines.withColumn("norm", T.normalize(F.col("text"))).filter(any_).withColumn("hit", F.explode(F.filter(hits, lambda h: h["word"].isNotNull()))).select(*lines.columns, "norm", "hit.key", "hit.word")
-    found = found.hint("merge").join(wanted.select("doc_id", "key", "type"), ["doc_id", "key"])
+    own = [(F.col("key") == key, E.label_word(norm, ws)) for key, ws in words.items()]
+    word = reduce(lambda found, test: found.when(*test), own[1:], F.when(*own[0]))
+    met = lines.withColumn("norm", T.normalize(F.col("text"))).hint("merge").join(wanted.select("doc_id", "key", "type"), "doc_id")
+    found = met.withColumn("word", word).filter("word IS NOT NULL")
     kind = F.col("type")
     after = F.trim(F.regexp_replace(F.split_part(norm, F.col("word"), F.lit(-1)), r"^[\s:：.\-#]+", ""))
     dates = F.regexp_extract_all("norm", F.lit(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}"), F.lit(0))
@@ -111,8 +111,8 @@ def recovery(registry: Registry, lines: DataFrame, wanted: DataFrame, tell: bool
     raw = F.when(kind == "date", F.try_element_at(dates, F.lit(-1))).when(number, F.try_element_at(numbers, F.lit(-1))).otherwise(F.nullif(after, F.lit("")))
     value = F.when(kind == "date", T.to_date(F.regexp_replace("raw", r"\.", "-"))).when(number, F.replace("raw", F.lit(","), F.lit(""))).otherwise(F.col("raw"))
     out = found.withColumn("raw", raw).filter("raw IS NOT NULL").withColumn("value", value).filter("value IS NOT NULL")
-    own = [norm.contains(T.normalize(F.col("value"))).alias("own")] if tell else []
-    return out.select("doc_id", "key", "line_idx", "raw", "value", F.least(F.lit(0.5), F.coalesce("ocr", F.lit(0.7)) * 0.7).alias("confidence"), *own)
+    held = [norm.contains(T.normalize(F.col("value"))).alias("own")] if tell else []
+    return out.select("doc_id", "key", "line_idx", "raw", "value", F.least(F.lit(0.5), F.coalesce("ocr", F.lit(0.7)) * 0.7).alias("confidence"), *held)
 
 
 def recovered(candidates: DataFrame, lines: DataFrame) -> DataFrame:
