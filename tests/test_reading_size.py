@@ -41,3 +41,30 @@ def test_terms_of_regions_are_rounded_in_their_array(spark):
 
     shown = next(line for line in plan(L.rc_explain(spark, DIR)).splitlines() if "Generate explode" in line)
     assert "lambdafunction" in shown and "round(" in shown and shown.count("round(") == 1
+
+
+def test_regions_of_a_page_are_made_once(spark):
+    from docloom.plans import rescue as Q
+
+    shown = plan(Q.pr_plan(spark, DIR))
+    assert "size(concat(" not in shown and shown.count("full_page") == 1
+
+
+def test_every_node_has_its_neighbours_in_both_directions(spark):
+    from docloom.plans import layout as L
+
+    nodes = L.nodes(spark, DIR).select("doc_id", "id", "parent").cache()
+    held = nodes.groupBy("doc_id", F.col("parent").alias("id")).agg(F.count("*").alias("n"))
+    want = nodes.join(held, ["doc_id", "id"], "left").select("doc_id", "id", F.coalesce("n", F.lit(0)).alias("c"), F.col("parent").isNotNull().cast("long").alias("p"))
+    want = want.select("doc_id", "id", (F.col("c") + F.col("p")).alias("neighbors"), (2 * F.col("c")).alias("outgoing"), (2 * F.col("p")).alias("incoming"), F.col("c").alias("children"), F.col("p").alias("parents"))
+    got = L.sg_queries(spark, DIR).select(*want.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_numbers_are_found_with_their_separators(spark):
+    from docloom.operators import grounding as G
+
+    fields = spark.createDataFrame([(1, "total_amount", "currency", "1234567"), (1, "tax_rate", "number", "14.0004"), (1, "notes", "text", "9"), (2, "total_amount", "currency", " ")], "doc_id long, key string, type string, raw string")
+    lines = spark.createDataFrame([(1, 0, "Total : 1,234,567 EGP", 0.5), (1, 1, "rate 14 and 9", 0.5), (2, 0, "0", 0.5)], "doc_id long, line_idx int, text string, ocr double")
+    got = G.printed_numbers(fields, lines).select("key", "line_idx", "start", "end", "role").collect()
+    assert sorted(map(tuple, got)) == [("tax_rate", 1, 1, 1, "derived"), ("total_amount", 0, 2, 2, "derived")]
